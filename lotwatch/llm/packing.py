@@ -11,6 +11,7 @@ gathered whole.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import chunks, ship, table, text_of
 
 #: Remembered pre-tokens a worker; beyond it the memory starts afresh.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 150_000
 #: Pieces a group has on average; a group is packed by one task.
 GROUP = 20_000
 # Texts of these characters alone split alike under the vocabulary's pattern and this one.
@@ -37,6 +38,7 @@ class Ids:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, remembered by pre-token."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -44,7 +46,9 @@ class Ids:
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        # A few at a time: an encoding is far larger than its ids.
+        runs = (texts[i : i + 1000] for i in range(0, len(texts), 1000))
+        return [np.array(e.ids, "<u4").tobytes() for run in runs for e in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         parts = [PLAIN_SPLIT(t) if PLAIN(t) and not any(s in t for s in self.special) else None for t in texts]

@@ -24,7 +24,7 @@ from lotwatch.llm.common import chunks, ship, table, text_of
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
 #: Remembered pre-tokens a worker; beyond it the memory starts afresh.
-CACHE_SIZE = 400_000
+CACHE_SIZE = 200_000
 RUN = 16
 
 
