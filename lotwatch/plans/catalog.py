@@ -1,0 +1,423 @@
+"""Queries over the driver's tables, one or more for each kind of operator, and SQL for the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lotwatch.functions import classify, display, normalize
+from lotwatch.operators import browse, fx, history, relist, runlog, sets, validate
+from lotwatch.plans.views import CURRENCIES, LISTINGS_SQL, OBS_SQL, listings, observations, rates, table
+from lotwatch.sources.payloads import cards
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+L, O = f"WITH {LISTINGS_SQL} ", f"WITH {OBS_SQL} "
+DAY = "2024-01-15"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# Totals and conversion
+
+
+@query(L + "SELECT count(*) AS active, CAST(round(median(gbp), 2) AS DOUBLE) AS median_gbp, count(DISTINCT country) AS countries FROM listings WHERE status = 'active'")
+def summary_totals(spark, sf_dir):
+    rows = listings(spark, sf_dir).filter("status = 'active'")
+    return rows.agg(F.count(F.lit(1)).alias("active"), F.round(F.median("gbp"), 2).alias("median_gbp"), F.count_distinct("country").alias("countries"))
+
+
+@query(L + "SELECT country, count(*) AS n FROM listings WHERE status = 'active' GROUP BY country")
+def active_by_country(spark, sf_dir):
+    return listings(spark, sf_dir).filter("status = 'active'").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(L + "SELECT id, amount, currency, gbp, rate AS fx_rate FROM listings")
+def fx_convert(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    p = normalize.price(F.col("amount"), F.col("currency"), F.col("rate"), F.col("first_seen"))
+    return rows.select("id", p.alias("p")).select("id", "p.amount", "p.currency", "p.gbp", "p.fx_rate")
+
+
+_DAILY = "r AS (SELECT event_type AS ccy, CAST(ts AS DATE) AS day, round(avg(value), 6) AS rate FROM events WHERE day(ts) % 3 = 0 GROUP BY ALL)"
+
+
+@query(f"WITH {_DAILY} SELECT e.event_id, e.event_type AS ccy, CAST(CAST(e.ts AS DATE) AS VARCHAR) AS day, r.rate FROM events e ASOF LEFT JOIN r ON e.event_type = r.ccy AND CAST(e.ts AS DATE) >= r.day")
+def fx_asof(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ccy"), F.to_date("ts").alias("day"), "value")
+    daily = e.filter(F.dayofmonth("day") % 3 == 0).groupBy("ccy", "day").agg(F.round(F.avg("value"), 6).alias("rate"))
+    return fx.as_of(e.drop("value"), daily, "ccy", "day", "rate").select("event_id", "ccy", F.col("day").cast("string").alias("day"), "rate")
+
+
+@query(f"""WITH d AS (SELECT CAST(ts AS DATE) AS date, round(avg(value), 6) AS rate FROM events GROUP BY 1),
+ m AS (SELECT date, rate FROM d WHERE date <> DATE '{DAY}' UNION ALL SELECT DATE '{DAY}', CAST(1.5 AS DOUBLE))
+ SELECT CAST(date AS VARCHAR) AS date, rate, date = (SELECT max(date) FROM m) AS is_latest FROM m""")
+def fx_upsert_latest(spark, sf_dir):
+    log = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("date")).agg(F.round(F.avg("value"), 6).alias("rate"))
+    new = spark.createDataFrame([(DAY, 1.5)], "date string, rate double").withColumn("date", F.col("date").cast("date"))
+    merged = fx.upsert(log, new)
+    return merged.join(fx.latest(merged).select("date", F.lit(True).alias("is_latest")), "date", "left").select(F.col("date").cast("string").alias("date"), "rate", F.coalesce("is_latest", F.lit(False)).alias("is_latest"))
+
+
+# Scalars and predicates
+
+
+@query("""SELECT n_nationkey, v, CASE WHEN v IS NULL OR trim(v) = '' THEN 'XX' WHEN regexp_full_match(trim(v), '[A-Za-z]{2}') THEN upper(trim(v))
+ WHEN lower(trim(v)) = 'japan' THEN 'JP' WHEN lower(trim(v)) = 'united states' THEN 'US' WHEN lower(trim(v)) = 'méxico' THEN 'MX' ELSE 'XX' END AS code
+ FROM (SELECT n_nationkey, CASE n_nationkey % 7 WHEN 0 THEN 'uk' WHEN 1 THEN ' Japan ' WHEN 2 THEN 'United States' WHEN 3 THEN NULL WHEN 4 THEN 'MÉXICO' WHEN 5 THEN '' ELSE n_name END AS v FROM nation)""")
+def country_code_norm(spark, sf_dir):
+    k = F.col("n_nationkey") % 7
+    v = F.when(k == 0, "uk").when(k == 1, " Japan ").when(k == 2, "United States").when(k == 3, None).when(k == 4, "MÉXICO").when(k == 5, "").otherwise(F.col("n_name"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", v.alias("v"), normalize.country_code(v).alias("code"))
+
+
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(t), '\brhd\b|right[ -]hand[ -]drive') THEN 'RHD' WHEN regexp_matches(lower(t), '\blhd\b|left[ -]hand[ -]drive') THEN 'LHD'
+ WHEN c IN ('GB','JP','AU','NZ','ZA','IE','TH','MY','ID') THEN 'RHD' WHEN c IN ('US','CA','DE','FR','NL','BE','IT','ES','SE','CH','AT','MX','PL') THEN 'LHD' ELSE 'unknown' END AS side
+ FROM (SELECT doc_id, upper(lang) AS c, CASE doc_id % 4 WHEN 0 THEN 'A RHD truck' WHEN 1 THEN 'left-hand drive' ELSE left(text, 50) END AS t FROM documents)""")
+def drive_side(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    t = F.when(k == 0, "A RHD truck").when(k == 1, "left-hand drive").otherwise(F.left("text", F.lit(50)))
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.drive_side(F.upper("lang"), t).alias("side"))
+
+
+@query(r"""SELECT o_orderkey, CAST(CASE WHEN y BETWEEN 1971 AND 1980 THEN y ELSE 0 END AS INTEGER) AS year FROM (
+ SELECT o_orderkey, TRY_CAST(nullif(regexp_extract('truck ' || (1960 + o_orderkey % 30) || ' x ' || (1970 + o_orderkey % 12), '\b(19(?:7[0-9]|6[89]|80))\b', 1), '') AS INTEGER) AS y FROM orders)""")
+def year_extract(spark, sf_dir):
+    k = F.col("o_orderkey")
+    title = F.concat(F.lit("truck "), (1960 + k % 30).cast("string"), F.lit(" x "), (1970 + k % 12).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(normalize.year_of(title), F.lit(0)).alias("year"))
+
+
+@query("SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 14 + 44 BETWEEN 46 AND 55 THEN 1925 + o_orderkey % 14 + 44 ELSE 0 END AS INTEGER) AS year FROM orders")
+def year_extract_era(spark, sf_dir):
+    title = F.concat(F.lit("昭和 "), (F.col("o_orderkey") % 14 + 44).cast("string"), F.lit("年 トラック"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.coalesce(normalize.year_of_era(title), F.lit(0)).alias("year"))
+
+
+_PART = "SELECT p_partkey, lower(p_name || ' ' || p_type) AS t, lower(p_brand) AS b, p_name, p_type FROM part"
+
+
+@query(f"""SELECT p_partkey, array_to_string(list_filter(['a', 'e b', 'large', 'zz'], lambda w: contains(t, w)), '|') AS terms,
+ len(list_filter(['a', 'e b', 'large', 'zz'], lambda w: contains(t, w))) > 0 AND NOT (NOT contains(b, '1') AND contains(b, '2')) AS matched,
+ CASE WHEN contains(b, '1') THEN 'pass' WHEN contains(b, '2') THEN 'fail' ELSE 'unavailable' END AS body FROM ({_PART})""")
+def keyword_classify(spark, sf_dir):
+    k = classify.keywords(F.col("p_name"), F.col("p_type"), F.col("p_brand"), ["a", "e b", "large", "zz"], ["1"], ["2"])
+    return table(spark, sf_dir, "part").select("p_partkey", k.alias("k")).select("p_partkey", F.array_join("k.matched_terms", "|").alias("terms"), "k.matched", F.col("k.body_style_check").alias("body"))
+
+
+@query("SELECT doc_id FROM documents WHERE NOT (contains(lower(text), 'licen') OR contains(lower(text), '@') OR contains(lower(text), 'toy') OR regexp_matches(text, '(?i)\\bads?\\b|\\badvert\\b'))")
+def deny_list_filter(spark, sf_dir):
+    bad = classify.any_of(F.col("text"), ["licen", "@", "toy"]) | F.col("text").rlike(classify.AD_WORD)
+    return table(spark, sf_dir, "documents").filter(~bad).select("doc_id")
+
+
+@query(r"""SELECT page_id, regexp_matches(t, '\b620\b') AS whole, regexp_matches(t, '(^|[^0-9A-Za-z])620([^0-9]|$)') AS alone, regexp_matches(t, '(?i)(^|[^0-9])(520|521|720)([^0-9]|$)|D2[12]') AS other
+ FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN ' 620' WHEN 1 THEN ' S620x' WHEN 2 THEN ' 1620 720' WHEN 3 THEN ' d21' ELSE ' 2520' END AS t FROM pages)""")
+def number_boundary_filter(spark, sf_dir):
+    k = F.col("page_id") % 5
+    t = F.concat("url", F.when(k == 0, " 620").when(k == 1, " S620x").when(k == 2, " 1620 720").when(k == 3, " d21").otherwise(" 2520"))
+    return table(spark, sf_dir, "pages").select("page_id", classify.whole_number(t).alias("whole"), classify.number_alone(t).alias("alone"), classify.other_generation(t).alias("other"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT (o_orderpriority LIKE '1%' AND o_totalprice < 50000)")
+def price_floor_filter(spark, sf_dir):
+    options = F.when(F.col("o_orderpriority").startswith("1"), F.array(F.lit("FIXED_PRICE"))).otherwise(F.array(F.lit("FIXED_PRICE"), F.lit("AUCTION")))
+    return table(spark, sf_dir, "orders").filter(~classify.below_floor(F.col("o_totalprice"), options, 50000)).select("o_orderkey")
+
+
+@query(L + """, y AS (SELECT id, CASE WHEN year < 1970 THEN NULL ELSE year END AS year FROM listings)
+ SELECT id, coalesce(year BETWEEN 1971 AND 1980, false) AS reject_unknown, coalesce(year BETWEEN 1971 AND 1980, true) AS accept_unknown FROM y""")
+def era_gate_null_policies(spark, sf_dir):
+    y = F.when(F.col("year") >= 1970, F.col("year"))
+    return listings(spark, sf_dir).select("id", classify.in_era(y, False).alias("reject_unknown"), classify.in_era(y, True).alias("accept_unknown"))
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '^.*/', '') AS raw_slug, regexp_extract(regexp_replace(url, '/+$', ''), '([^/]*)$', 1) AS slug, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '^www\.', '') AS host,
+ CASE WHEN page_id % 3 = 0 THEN '' ELSE url END AS safe FROM pages""")
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    given = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("javascript:"), u)).otherwise(u)
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(u, "^.*/", "").alias("raw_slug"), normalize.slug_of(u).alias("slug"), normalize.host_of(u).alias("host"), normalize.safe_url(given).alias("safe"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
+def strip_html_collapse(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", normalize.collapse(normalize.strip_tags(F.col("html"))).alias("text"))
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def page_title_parse(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query()
+def page_cards(spark, sf_dir):
+    return cards(table(spark, sf_dir, "pages").withColumnRenamed("html", "body"), "li", key="page_id")
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
+def json_props_extract(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+@query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS href FROM pages")
+def explode_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+@query(r"""SELECT n, CAST(CASE WHEN s = '' THEN NULL ELSE replace(s, ',', '') END AS DOUBLE) AS usd, CAST(man * 10000 AS DOUBLE) AS jpy, cents / CAST(100 AS DOUBLE) AS cad FROM (
+ SELECT o_orderkey AS n, regexp_extract('asking $' || format('{:,}', o_orderkey % 20000) || ' now', '\$\s?([0-9][0-9,]*)', 1) AS s, o_orderkey % 900 AS man, o_orderkey AS cents FROM orders)""")
+def money_parse(spark, sf_dir):
+    k = F.col("o_orderkey")
+    text = F.concat(F.lit("asking $"), F.format_number(k % 20000, 0), F.lit(" now"))
+    man = F.concat((k % 900).cast("string"), F.lit(" 万円"))
+    return table(spark, sf_dir, "orders").select(k.alias("n"), normalize.dollars(text).alias("usd"), normalize.ten_thousands_of_yen(man).alias("jpy"), normalize.from_cents(k).alias("cad"))
+
+
+@query(L + """SELECT id, coalesce(m['GBP'], 'x') AS base_sign, CASE WHEN amount IS NULL THEN 'no price shown' ELSE coalesce(m[currency], currency || ' ') || format('{:,.0f}', amount) ||
+ CASE WHEN currency <> 'GBP' THEN ' (£' || format('{:,.0f}', gbp) || ')' ELSE '' END END AS shown FROM listings, (SELECT MAP {'GBP': '£', 'USD': '$', 'EUR': '€', 'JPY': '¥', 'THB': '฿'} AS m)""")
+def money_text(spark, sf_dir):
+    return listings(spark, sf_dir).select("id", F.lit("£").alias("base_sign"), display.money(F.col("amount"), F.col("currency"), F.col("gbp")).alias("shown"))
+
+
+# Sets, order, validation
+
+
+@query(O + "SELECT id, ordinal, source, amount FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS n FROM obs) WHERE n = 1")
+def dedupe_keep_first(spark, sf_dir):
+    return sets.keep_first(observations(spark, sf_dir), "id", ["ordinal"]).select("id", "ordinal", "source", "amount")
+
+
+@query("""SELECT id, source, turn FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY turn, ordinal) AS n FROM (
+ SELECT user_id AS id, event_type AS source, 0 AS turn, event_id AS ordinal FROM events WHERE event_type = 'view'
+ UNION ALL SELECT user_id, event_type, 1, event_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, event_type, 2, event_id FROM events WHERE event_type NOT IN ('view', 'click'))) WHERE n = 1""")
+def union_sources(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    first, second = F.col("source") == "view", F.col("source") == "click"
+    rows = sets.in_turn([obs.filter(first), obs.filter(second), obs.filter(~(first | second))], "turn")
+    return sets.keep_first(rows, "id", ["turn", "ordinal"]).select("id", "source", "turn")
+
+
+@query(L + "SELECT source, count(*) FILTER (ok) AS records, count(*) FILTER (NOT ok) AS dropped FROM (SELECT source, status IN ('active', 'sold') AND (year BETWEEN 1971 AND 1980) AND amount < 200000 AS ok FROM listings) GROUP BY source")
+def quarantine_counts(spark, sf_dir):
+    checks = {"status": F.col("status").isin("active", "sold"), "year": F.col("year").between(1971, 1980), "amount": F.col("amount") < 200000}
+    return validate.source_counts(listings(spark, sf_dir), checks)
+
+
+@query(L + """SELECT id, concat_ws(',', CASE WHEN status NOT IN ('active', 'sold') THEN 'status' END, CASE WHEN NOT year BETWEEN 1971 AND 1980 THEN 'year' END) AS broken FROM listings WHERE status NOT IN ('active', 'sold') OR NOT year BETWEEN 1971 AND 1980""")
+def rule_violations(spark, sf_dir):
+    checks = {"status": F.col("status").isin("active", "sold"), "year": F.col("year").between(1971, 1980)}
+    return validate.split(listings(spark, sf_dir), checks)[1].select("id", F.array_join("violations", ",").alias("broken"))
+
+
+@query("SELECT r_name, c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
+def cross_plan(spark, sf_dir):
+    return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "customer").select("c_mktsegment").distinct())
+
+
+@query("""SELECT source, raw, CASE WHEN all_failed THEN 'failed' WHEN raw = 0 THEN 'canary' WHEN some_failed THEN 'warned' ELSE 'ok' END AS verdict FROM (
+ SELECT event_type AS source, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS raw, bool_and(value > 90) AS all_failed, bool_or(value > 90) AS some_failed FROM events GROUP BY 1)""")
+def canary_checks(spark, sf_dir):
+    tries = table(spark, sf_dir, "events").select(F.col("event_type").alias("source"), (F.col("value") > 90).alias("failed"), F.floor("value").cast("bigint").alias("raw"))
+    return validate.attempts(tries)
+
+
+# Reconciling
+
+
+_TWO = f"""a AS (SELECT id, arg_min(amount, ordinal) AS amount, arg_min(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' GROUP BY id),
+ b AS (SELECT id, arg_min(amount, ordinal) AS amount, arg_min(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' + 1 GROUP BY id)"""
+
+
+def _two_days(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    day = F.lit(DAY).cast("date")
+    pick = lambda d: sets.keep_first(obs.filter(F.col("day") == d), "id", ["ordinal"]).select("id", "amount", "status", "source")
+    return pick(day), pick(F.date_add(day, 1))
+
+
+@query(O + f""", {_TWO} SELECT id, coalesce(b.amount, a.amount) AS amount, coalesce(b.status, a.status) AS status, coalesce(a.source, b.source) AS source,
+ CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'left' ELSE 'updated' END AS change FROM a FULL JOIN b USING (id)""")
+def merge_upsert(spark, sf_dir):
+    a, b = _two_days(spark, sf_dir)
+    a, b = a.select("id", F.struct("*").alias("a")), b.select("id", F.struct("*").alias("b"))
+    m = a.join(b, "id", "full_outer")
+    change = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "left").otherwise("updated")
+    return m.select("id", F.coalesce("b.amount", "a.amount").alias("amount"), F.coalesce("b.status", "a.status").alias("status"), F.coalesce("a.source", "b.source").alias("source"), change.alias("change"))
+
+
+@query(O + f", {_TWO} SELECT id FROM b WHERE id NOT IN (SELECT id FROM a)")
+def new_ids(spark, sf_dir):
+    a, b = _two_days(spark, sf_dir)
+    return b.join(a, "id", "left_anti").select("id")
+
+
+@query(O + f", {_TWO} SELECT id FROM a WHERE id NOT IN (SELECT id FROM b)")
+def vanished_ids(spark, sf_dir):
+    a, b = _two_days(spark, sf_dir)
+    return a.join(b, "id", "left_anti").select("id")
+
+
+@query(O + f""", last AS (SELECT id, max(day) AS last_seen, arg_max(source, ordinal) AS source FROM obs WHERE day <= DATE '{DAY}' GROUP BY id)
+ SELECT id, CAST(DATE '{DAY}' - last_seen AS INTEGER) AS days FROM last WHERE DATE '{DAY}' - last_seen >= 1 AND source IN (SELECT source FROM obs WHERE day = DATE '{DAY}')""")
+def aged_out(spark, sf_dir):
+    obs, day = observations(spark, sf_dir), F.lit(DAY).cast("date")
+    last = obs.filter(F.col("day") <= day).groupBy("id").agg(F.max("day").alias("last_seen"), F.max_by("source", "ordinal").alias("source"))
+    seen = obs.filter(F.col("day") == day).select("source").distinct()
+    return last.withColumn("days", F.date_diff(day, "last_seen")).filter("days >= 1").join(seen, "source", "left_semi").select("id", "days")
+
+
+@query(O + """SELECT id, ordinal, old, amount AS new, CASE WHEN old <> 0 AND amount <> 0 THEN round((amount - old) / old * 100, 1) + 0.0 END AS pct FROM (
+ SELECT *, lag(amount) OVER (PARTITION BY id ORDER BY day, ordinal) AS old FROM obs) WHERE old IS NOT NULL AND old <> amount""")
+def price_changes(spark, sf_dir):
+    m = history.moves(observations(spark, sf_dir), "id", ["day", "ordinal"], "amount")
+    pct = F.when((F.col("old") != 0) & (F.col("new") != 0), F.round((F.col("new") - F.col("old")) / F.col("old") * 100, 1) + F.lit(0.0))
+    return m.select("id", "ordinal", "old", "new", pct.alias("pct"))
+
+
+@query(O + "SELECT id, ordinal, old, status AS new FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY day, ordinal) AS old FROM obs) WHERE old <> status")
+def status_changes(spark, sf_dir):
+    return history.moves(observations(spark, sf_dir), "id", ["day", "ordinal"], "status").select("id", "ordinal", "old", "new")
+
+
+@query(O + "SELECT id, CAST(day AS VARCHAR) AS day, ordinal, status FROM (SELECT *, lag(status) OVER (PARTITION BY id ORDER BY day, ordinal) AS was FROM obs) WHERE was IS DISTINCT FROM status")
+def history_compact(spark, sf_dir):
+    return history.compacted(observations(spark, sf_dir), "id", ["day", "ordinal"], ["status"]).select("id", F.col("day").cast("string").alias("day"), "ordinal", "status")
+
+
+@query("""WITH r AS (SELECT event_type AS source, CAST(ts AS DATE) AS run, bool_or(value > 98) AS ok FROM events GROUP BY ALL),
+ i AS (SELECT *, sum(CAST(ok AS INTEGER)) OVER (PARTITION BY source ORDER BY run) AS island FROM r)
+ SELECT source, CAST(run AS VARCHAR) AS run, ok, count(*) FILTER (NOT ok) OVER (PARTITION BY source, island ORDER BY run) AS streak FROM i""")
+def failure_streaks(spark, sf_dir):
+    runs = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("source"), F.to_date("ts").alias("run")).agg(F.bool_or(F.col("value") > 98).alias("ok"))
+    return runlog.streaks(runs).select("source", F.col("run").cast("string").alias("run"), "ok", "streak")
+
+
+_NAMED = "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part"
+
+
+@query(f"""WITH pr AS (SELECT n.p_partkey AS id, o.p_partkey AS prior_id, 1 - levenshtein(o.p_name, n.p_name) / CAST(greatest(length(o.p_name), length(n.p_name)) AS DOUBLE) AS sim
+ FROM ({_NAMED}) n JOIN ({_NAMED}) o ON n.p_brand = o.p_brand AND n.p_size = o.p_size AND o.p_partkey < n.p_partkey)
+ SELECT id, prior_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, prior_id) AS k FROM pr WHERE sim >= 0.5) WHERE k = 1""")
+def relist_best(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    o = p.select(F.col("p_partkey").alias("prior_id"), F.col("p_name").alias("old"), "p_brand", "p_size")
+    pairs = p.join(o, ["p_brand", "p_size"]).filter("prior_id < p_partkey")
+    most = F.greatest(F.length("old"), F.length("p_name"))
+    pairs = pairs.withColumn("sim", 1 - F.levenshtein("old", "p_name") / most.cast("double")).filter("sim >= 0.5")
+    w = Window.partitionBy("p_partkey").orderBy(F.desc("sim"), "prior_id")
+    return pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select(F.col("p_partkey").alias("id"), "prior_id", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def relist_ratio(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
+    one = p.select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_brand", F.lit("/"), F.col("p_size").cast("string")).alias("source"), F.col("p_name").alias("title"), F.lit("XX").alias("country"), F.struct(F.col("p_retailprice").alias("amount")).alias("price"), F.col("p_partkey").alias("ordinal"), F.lit(None).cast("date").alias("first_seen"), F.when(F.col("p_partkey") % 2 == 0, "sold").otherwise("active").alias("status"))
+    return relist.relists(one.filter("status = 'active'"), one.limit(0), one)
+
+
+# Reports and browsing
+
+
+@query(L + """SELECT id, gbp, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS matched FROM listings WHERE first_seen = DATE '1996-01-02' AND CAST(substr(id, 5) AS BIGINT) % 5 <> 0""")
+def digest_new(spark, sf_dir):
+    rows = listings(spark, sf_dir).filter(F.col("first_seen") == F.lit("1996-01-02").cast("date"))
+    key = F.substring("id", 5, 20).cast("bigint")
+    relisted = rows.filter(key % 5 == 0).select("id")
+    return rows.join(relisted, "id", "left_anti").select("id", "gbp", F.when(key % 3 == 0, 1).otherwise(0).alias("matched"))
+
+
+@query(O + f""", {_TWO} SELECT id, '£' || format('{{:,.0f}}', a.amount) || ' → £' || format('{{:,.0f}}', b.amount) || ' ' || CASE WHEN (b.amount - a.amount) / a.amount < 0 THEN '▼' ELSE '▲' END AS line FROM a JOIN b USING (id) WHERE a.amount <> b.amount""")
+def digest_price(spark, sf_dir):
+    a, b = _two_days(spark, sf_dir)
+    rows = a.select("id", F.col("amount").alias("old")).join(b.select("id", F.col("amount").alias("new")), "id").filter("old <> new")
+    arrow = F.substring(display.change((F.col("new") - F.col("old")) / F.col("old")), 1, 1)
+    return rows.select("id", F.concat(display.pounds(F.col("old")), F.lit(" → "), display.pounds(F.col("new")), F.lit(" "), arrow).alias("line"))
+
+
+@query(f"""SELECT n.p_partkey AS id, n.p_name AS title, o.p_name AS prior_title FROM ({_NAMED}) n LEFT JOIN ({_NAMED}) o ON o.p_partkey = n.p_partkey - 7 AND o.p_size < 25""")
+def digest_relist(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    old = p.filter("p_size < 25").select((F.col("p_partkey") + 7).alias("id"), F.col("p_name").alias("prior_title"))
+    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")).join(old, "id", "left")
+
+
+@query(L + """SELECT id, section, CAST(row_number() OVER (PARTITION BY section ORDER BY nullif(gbp, 0) ASC NULLS LAST, first_seen DESC, id) AS INTEGER) AS place FROM (
+ SELECT *, CASE WHEN status = 'active' THEN 'active' ELSE 'ended' END AS section FROM listings WHERE coalesce(year BETWEEN 1971 AND 9999, false) AND coalesce(gbp <= 100000, false) AND source = '1-URGENT')""")
+def browse_filter_sort(spark, sf_dir):
+    rows = listings(spark, sf_dir).withColumn("last_seen", F.col("first_seen"))
+    return browse.browse(rows, "price-asc", source="1-URGENT", year_min=1971, price_max=100000).select("id", "section", "place")
+
+
+@query(L + "SELECT DISTINCT unnest(['country', 'source', 'currency', 'status']) AS facet, unnest([country, source, currency, status]) AS value FROM listings")
+def facet_values(spark, sf_dir):
+    return browse.facets(listings(spark, sf_dir), ["country", "source", "currency", "status"])
+
+
+@query("""WITH v AS (SELECT p_partkey, CAST(p_name AS VARCHAR) AS p_name, CAST(p_brand AS VARCHAR) AS p_brand, CAST(p_type AS VARCHAR) AS p_type, CAST(p_size AS VARCHAR) AS p_size FROM part WHERE p_partkey IN (1, 2)),
+ u AS (UNPIVOT v ON p_name, p_brand, p_type, p_size INTO NAME field VALUE value)
+ SELECT a.field, a.value AS a, b.value AS b, a.value <> b.value AS differs FROM u a JOIN u b USING (field) WHERE a.p_partkey = 1 AND b.p_partkey = 2""")
+def variant_compare(spark, sf_dir):
+    return browse.compare(table(spark, sf_dir, "part"), "p_partkey", 1, 2, ["p_name", "p_brand", "p_type", "p_size"])
+
+
+@query(L + "SELECT source, count(*) FILTER (gbp < 500) AS shown, count(*) AS total, coalesce(bool_or(gbp < 500), false) AS visible FROM listings GROUP BY source")
+def section_visibility(spark, sf_dir):
+    return browse.sections(listings(spark, sf_dir), "source", F.coalesce(F.col("gbp") < 500, F.lit(False)))
+
+
+@query(O + """SELECT id, ordinal, row_number() OVER (PARTITION BY id ORDER BY day, ordinal) = 1 AS is_first, row_number() OVER (PARTITION BY id ORDER BY day DESC, ordinal DESC) = 1 AS is_last FROM obs""")
+def first_last_obs(spark, sf_dir):
+    return browse.history_points(observations(spark, sf_dir), "id", ["day", "ordinal"]).select("id", "ordinal", "is_first", "is_last")
+
+
+@query(O + "SELECT id, min(amount) AS low, max(amount) AS high, CAST(min(day) AS VARCHAR) AS since, CAST(max(day) AS VARCHAR) AS until, count(*) AS n FROM obs GROUP BY id HAVING count(amount) >= 2")
+def history_minmax(spark, sf_dir):
+    g = observations(spark, sf_dir).groupBy("id").agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.min("day").cast("string").alias("since"), F.max("day").cast("string").alias("until"), F.count(F.lit(1)).alias("n"), F.count("amount").alias("priced"))
+    return g.filter("priced >= 2").drop("priced")
+
+
+@query(O + """, w AS (SELECT id, ordinal AS x, amount AS y, min(amount) OVER p AS lo, max(amount) OVER p AS hi, min(ordinal) OVER p AS x0, max(ordinal) OVER p AS x1, count(*) OVER p AS n FROM obs WINDOW p AS (PARTITION BY id))
+ SELECT id, x, round(coalesce((x - x0) / CAST(nullif(x1 - x0, 0) AS DOUBLE) * 600, 0), 4) AS px, round(200 - (y - (lo - pad)) / ((hi + pad) - (lo - pad)) * 200, 4) AS py FROM (SELECT *, CASE WHEN hi > lo THEN (hi - lo) * 0.15 ELSE 1 END AS pad FROM w WHERE n >= 2)""")
+def chart_points(spark, sf_dir):
+    obs = observations(spark, sf_dir).select("id", F.col("ordinal").alias("x"), F.col("amount").alias("y"))
+    return browse.scaled(obs, "id", "x", "y").select("id", "x", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
+
+
+@query(L + "SELECT 'legacy:' || id AS id, country, CAST(first_seen AS VARCHAR) AS first_seen, len([1]) + CASE WHEN status = 'active' THEN 0 ELSE 1 END AS entries FROM listings WHERE CAST(substr(id, 5) AS BIGINT) % 4 <> 0")
+def legacy_backfill(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    old = rows.withColumn("lid", F.concat(F.lit("legacy:"), "id"))
+    have = old.filter(F.substring("id", 5, 20).cast("bigint") % 4 == 0).select("lid")
+    entry = lambda status: F.array(F.struct("first_seen", status.alias("status")))
+    past = F.when(F.col("status") == "active", entry(F.lit("active"))).otherwise(F.concat(entry(F.lit("active")), entry(F.col("status"))))
+    return old.join(have, "lid", "left_anti").select(F.col("lid").alias("id"), "country", F.col("first_seen").cast("string").alias("first_seen"), F.size(past).cast("bigint").alias("entries"))
+
+
+@query("SELECT c_nationkey, string_agg(c_mktsegment || ': ' || n, '; ' ORDER BY c_mktsegment) AS segments FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+def title_digest_text(spark, sf_dir):
+    n = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    line = F.concat("c_mktsegment", F.lit(": "), F.col("n").cast("string"))
+    return n.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_mktsegment", line.alias("line")))), lambda x: x["line"]), "; ").alias("segments"))
+
+
+@query(L + "SELECT currency, count(*) AS n, CAST(round(sum(gbp), 0) AS DOUBLE) AS gbp FROM listings GROUP BY currency HAVING currency IN ('GBP', 'USD', 'EUR', 'JPY', 'THB')")
+def currency_totals(spark, sf_dir):
+    return listings(spark, sf_dir).filter(F.col("currency").isin(CURRENCIES)).groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gbp"), 0).alias("gbp"))
+
+
+@query(L + ", k AS (SELECT l.id, l.gbp, r.currency AS other, r.rate AS other_rate FROM listings l CROSS JOIN (VALUES ('USD', CAST(1.25 AS DOUBLE))) r(currency, rate)) SELECT id, round(gbp * other_rate, 4) AS usd FROM k")
+def display_dimension_join(spark, sf_dir):
+    usd = rates(spark).filter("currency = 'USD'").select(F.col("rate").alias("other_rate"))
+    return listings(spark, sf_dir).crossJoin(F.broadcast(usd)).select("id", F.round(F.col("gbp") * F.col("other_rate"), 4).alias("usd"))  # one row

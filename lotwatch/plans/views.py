@@ -1,0 +1,64 @@
+"""Listings and observations as views over the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotwatch.functions.normalize import to_gbp
+from lotwatch.operators.fx import convert
+
+RATES = [("GBP", 1.0), ("USD", 1.25), ("EUR", 1.15), ("JPY", 187.3), ("THB", 45.0)]
+CURRENCIES = [c for c, _ in RATES]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rates(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(RATES, "currency string, rate double")
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as listings: id, source, country, status, amount, currency, rate, gbp, first_seen, year."""
+    t = lambda name: table(spark, sf_dir, name)
+    rows = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    status = F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "sold").otherwise("withdrawn")
+    rows = rows.select(
+        F.concat(F.lit("ord:"), F.col("o_orderkey").cast("string")).alias("id"),
+        F.col("o_orderpriority").alias("source"),
+        F.col("n_name").alias("country"),
+        status.alias("status"),
+        F.col("o_totalprice").alias("amount"),
+        F.element_at(F.array(*map(F.lit, CURRENCIES)), (F.col("c_nationkey") % 5 + 1).cast("int")).alias("currency"),
+        F.to_date("o_orderdate").alias("first_seen"),
+        (F.col("o_orderkey") % 15 + 1968).cast("int").alias("year"),
+    )
+    rows = convert(rows, rates(spark))
+    return rows.withColumn("gbp", to_gbp(F.col("amount"), F.col("currency"), F.col("rate")))
+
+
+def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as observations: id, day, source, amount, status, ordinal."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"),
+        F.to_date("ts").alias("day"),
+        F.col("event_type").alias("source"),
+        F.col("value").alias("amount"),
+        F.when(F.col("value") > 50, "active").otherwise("sold").alias("status"),
+        F.col("event_id").alias("ordinal"),
+    )
+
+
+LISTINGS_SQL = """listings AS (
+  SELECT 'ord:' || o_orderkey AS id, o_orderpriority AS source, n_name AS country,
+    CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'sold' ELSE 'withdrawn' END AS status,
+    o_totalprice AS amount, r.currency, r.rate, round(o_totalprice / r.rate, 2) AS gbp,
+    CAST(o_orderdate AS DATE) AS first_seen, CAST(o_orderkey % 15 + 1968 AS INTEGER) AS year
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  JOIN (VALUES (0, 'GBP', CAST(1 AS DOUBLE)), (1, 'USD', CAST(1.25 AS DOUBLE)), (2, 'EUR', CAST(1.15 AS DOUBLE)), (3, 'JPY', CAST(187.3 AS DOUBLE)), (4, 'THB', CAST(45 AS DOUBLE))) r(k, currency, rate)
+    ON c_nationkey % 5 = r.k)"""
+OBS_SQL = """obs AS (
+  SELECT user_id AS id, CAST(ts AS DATE) AS day, event_type AS source, value AS amount,
+    CASE WHEN value > 50 THEN 'active' ELSE 'sold' END AS status, event_id AS ordinal FROM events)"""

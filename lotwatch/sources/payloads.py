@@ -1,0 +1,174 @@
+"""Parsers of landed payloads (source, body) into INCOMING rows: JSON natively, feeds by pattern, HTML by cards."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from lotwatch.functions import classify, normalize
+
+API_ITEMS = (
+    "struct<itemSummaries:array<struct<itemId:string,legacyItemId:string,title:string,shortDescription:string,price:struct<value:string,currency:string>,itemWebUrl:string,"
+    "image:struct<imageUrl:string>,itemLocation:struct<country:string,stateOrProvince:string>,categories:array<struct<categoryName:string>>,buyingOptions:array<string>>>>"
+)
+PAGE_DATA = r'(?s)<script[^>]*id="__NEXT_DATA__"[^>]*>(.*?)</script>'
+LD_JSON = r'(?s)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>'
+
+
+def listing(df: DataFrame, source: str, rates: DataFrame, **given: Column) -> DataFrame:
+    """INCOMING rows from columns by name; prices convert at rates(currency, rate, date)."""
+    null = F.lit(None)
+    rows = df.withColumns({"_native": given["native"], "_currency": given["currency"]}).join(rates.select(F.col("currency").alias("_currency"), "rate", "date"), "_currency", "left")
+    text = F.concat_ws(" ", given["title"], given.get("description", null.cast("string")))
+    return rows.select(
+        F.concat(F.lit(source + ":"), "_native").alias("id"),
+        F.lit(source).alias("source"),
+        F.col("_native").alias("source_listing_id"),
+        normalize.safe_url(given["url"]).alias("url"),
+        given["title"].alias("title"),
+        null.cast("string").alias("title_translated"),
+        F.substring(given.get("description", null.cast("string")), 1, 500).alias("description_snippet"),
+        given.get("region", null.cast("string")).alias("region"),
+        given.get("year", normalize.year_of(given["title"])).cast("int").alias("year"),
+        given["country"].alias("country"),
+        normalize.drive_side(given["country"], text).alias("drive_side"),
+        classify.keywords(given["title"], given.get("description", null.cast("string")), given.get("body", null.cast("string"))).alias("king_cab"),
+        normalize.price(given["amount"], F.col("_currency"), F.col("rate"), F.col("date")).alias("price"),
+        F.array_compact(F.array(given.get("image", null.cast("string")))).alias("images"),
+        given.get("status", F.lit("active")).alias("status"),
+        *[F.col(c) for c in ("ordinal",) if c in df.columns],
+    )
+
+
+def api_items(payloads: DataFrame, rates: DataFrame, source: str = "market_api") -> DataFrame:
+    """payloads(body, country): an API's item lists. Title gate, parts, floor, identity; the item's country else the market's."""
+    items = payloads.select("country", F.explode(F.from_json("body", API_ITEMS)["itemSummaries"]).alias("i"))
+    amount = F.col("i.price.value").try_cast("double")
+    categories = F.coalesce(F.transform("i.categories", lambda c: c["categoryName"]), F.array().cast("array<string>"))
+    options = F.coalesce("i.buyingOptions", F.array().cast("array<string>"))
+    native = normalize.first_filled(F.col("i.legacyItemId"), F.col("i.itemId"))
+    rows = items.filter(classify.whole_number(F.col("i.title")) & ~classify.looks_like_part(F.col("i.title"), categories) & ~classify.below_floor(amount, options) & native.isNotNull())
+    return listing(
+        rows, source, rates, native=native, title=F.col("i.title"), url=F.col("i.itemWebUrl"), description=F.col("i.shortDescription"),
+        country=normalize.country_code(normalize.first_filled(F.col("i.itemLocation.country"), F.col("country"))),
+        region=F.col("i.itemLocation.stateOrProvince"), amount=amount, currency=F.col("i.price.currency"), image=F.col("i.image.imageUrl"),
+    )
+
+
+def embedded(payloads: DataFrame, variable: str, schema: str) -> DataFrame:
+    """payloads(body) with `data`: the JSON that a page assigns to a variable; an error where a page has none."""
+    text = F.regexp_extract("body", rf"(?s){variable}\s*=\s*(\{{.*?\}});", 1)
+    found = F.when(text == "", F.raise_error(F.lit(f"no {variable} in the page"))).otherwise(text)
+    return payloads.withColumn("data", F.from_json(found, schema))
+
+
+def auctions(payloads: DataFrame, rates: DataFrame, source: str = "auction_page") -> DataFrame:
+    """Completed and running auctions from a page's data: title gate; the year as given if in range, else from the title."""
+    schema = "struct<items:array<struct<title:string,url:string,current_bid:double,currency:string,country_code:string,year:int,thumbnail_url:string,active:boolean,excerpt:string>>>"
+    rows = embedded(payloads, "auctionsCompletedInitialData", schema).select(F.explode("data.items").alias("i")).filter(classify.whole_number(F.col("i.title")))
+    given = F.when(F.col("i.year").between(1971, 1980), F.col("i.year"))
+    return listing(
+        rows, source, rates, native=normalize.slug_of(F.col("i.url")), title=F.col("i.title"), url=F.col("i.url"), description=F.col("i.excerpt"), country=normalize.country_code(F.col("i.country_code")),
+        year=F.coalesce(given, normalize.year_of(F.col("i.title"))), amount=F.nullif(F.col("i.current_bid"), F.lit(0.0)), currency=F.coalesce("i.currency", F.lit("USD")), image=F.col("i.thumbnail_url"),
+        status=F.when(F.col("i.active"), "active").otherwise("sold"),
+    )
+
+
+def keyed_state(payloads: DataFrame, rates: DataFrame, prefix: str = "StandardListing:", country: str = "CA", source: str = "classified_page") -> DataFrame:
+    """Listings from a page's state, a map whose keys carry the type; prices in cents; vehicles by their url."""
+    item = "struct<id:string,title:string,description:string,url:string,price:struct<amount:double>,location:struct<name:string>,imageUrls:array<string>>"
+    schema = f"struct<props:struct<pageProps:struct<__APOLLO_STATE__:map<string,{item}>>>>"
+    data = F.from_json(F.regexp_extract("body", PAGE_DATA, 1), schema)["props"]["pageProps"]["__APOLLO_STATE__"]
+    rows = payloads.select(F.explode(F.map_values(F.map_filter(data, lambda k, v: k.startswith(prefix)))).alias("i"))
+    rows = rows.filter(F.col("i.url").rlike("/v-(cars-trucks|classic-cars)/") & (classify.number_alone(F.col("i.title")) | classify.number_alone(F.coalesce("i.description", F.lit("")))))
+    return listing(
+        rows, source, rates, native=F.col("i.id"), title=F.col("i.title"), url=F.col("i.url"), description=F.col("i.description"), country=F.lit(country), region=F.col("i.location.name"),
+        amount=normalize.from_cents(F.col("i.price.amount")), currency=F.lit("CAD"), image=F.try_element_at("i.imageUrls", F.lit(1)),
+    )
+
+
+def linked_data(payloads: DataFrame, rates: DataFrame, source: str = "dealer_page") -> DataFrame:
+    """Cars from ld+json scripts: broken JSON is skipped; the type may be a string or a list."""
+    schema = "struct<`@type`:string,name:string,modelDate:string,sku:string,description:string,offers:struct<url:string,price:string,priceCurrency:string>,image:struct<url:string>>"
+    scripts = payloads.select(F.explode(F.regexp_extract_all("body", F.lit(LD_JSON), F.lit(1))).alias("s")).select(F.from_json("s", schema).alias("i"))
+    rows = scripts.filter(F.lower(F.col("i.@type")).rlike('^"?(\\[.*")?car("|$)') & F.col("i.sku").isNotNull()).dropDuplicates(["i"])
+    year = F.when(F.col("i.modelDate").rlike("^[0-9]+$"), F.col("i.modelDate").try_cast("int"))
+    return listing(
+        rows, source, rates, native=F.col("i.sku"), title=F.col("i.name"), url=F.col("i.offers.url"), description=F.col("i.description"), country=F.lit("US"),
+        region=normalize.region_of(F.col("i.offers.url"), "/for-sale/[^/]*-in-([a-z-]+)"), year=F.when(year.between(1971, 1980), year), amount=F.col("i.offers.price").try_cast("double"), currency=F.coalesce("i.offers.priceCurrency", F.lit("USD")), image=F.col("i.image.url"),
+    )
+
+
+def feed(payloads: DataFrame, rates: DataFrame, source: str = "feed") -> DataFrame:
+    """Items of an RSS feed; a price only after words that announce one."""
+    body = F.when(F.col("body").contains("<rss"), F.col("body")).otherwise(F.raise_error(F.lit("not a feed")))
+    items = payloads.select(F.explode(F.regexp_extract_all(body, F.lit("(?s)<item>(.*?)</item>"), F.lit(1))).alias("x"))
+    part = lambda tag: F.trim(F.regexp_replace(F.regexp_extract("x", rf"(?s)<{tag}>(.*?)</{tag}>", 1), r"<!\[CDATA\[|\]\]>", ""))
+    title = F.replace(F.replace(part("title"), F.lit("&#215;"), F.lit("x")), F.lit("&amp;"), F.lit("&"))
+    text = normalize.collapse(normalize.strip_tags(part("description")))
+    rows = items.select(title.alias("t"), part("link").alias("u"), text.alias("d"), F.regexp_extract(part("description"), '<img[^>]*src="([^"]+)"', 1).alias("img")).filter("u <> ''")
+    return listing(
+        rows, source, rates, native=normalize.slug_of(F.col("u")), title=F.col("t"), url=F.col("u"), description=F.col("d"), country=F.lit("US"),
+        amount=normalize.number_after(F.col("d"), r"(?i)(?:asking|price|bid|for)[^$]{0,20}\$\s?([0-9][0-9,]*)"), currency=F.lit("USD"), image=F.nullif(F.col("img"), F.lit("")),
+    )
+
+
+class _Cards(HTMLParser):
+    """Text, first link, first image of each element of a tag and class, and all links' texts."""
+
+    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+    def __init__(self, tag: str, name: str | None):
+        super().__init__(convert_charrefs=True)
+        self.tag, self.name, self.cards, self.open = tag, name, [], []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        given = dict(attrs)
+        for card in self.open:
+            card["depth"] += tag not in self.VOID
+            card["href"] = card["href"] or (given.get("href") if tag == "a" else None)
+            card["image"] = card["image"] or (given.get("data-src") or given.get("src") if tag == "img" else None)
+        if tag == self.tag and (self.name is None or self.name in (given.get("class") or "").split()):
+            card = {"depth": 1, "text": [], "href": given.get("href"), "image": None}
+            self.open.append(card)
+            self.cards.append(card)
+
+    def handle_endtag(self, tag: str) -> None:
+        for card in self.open:
+            card["depth"] -= tag not in self.VOID
+        self.open = [c for c in self.open if c["depth"] > 0]
+
+    def handle_data(self, data: str) -> None:
+        for card in self.open:
+            card["text"].append(data)
+
+
+def cards(payloads: DataFrame, tag: str, name: str | None = None, key: str = "url") -> DataFrame:
+    """key, pos, href, image, text of each card (an element of a tag and class) in payloads(key, body)."""
+    kind = payloads.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k, body in zip(pdf[key], pdf["body"], strict=True):
+                parser = _Cards(tag, name)
+                parser.feed(body or "")
+                out += [(k, i, c["href"], c["image"], " ".join(" ".join(c["text"]).split())) for i, c in enumerate(parser.cards)]
+            yield pd.DataFrame(out, columns=[key, "pos", "href", "image", "text"])
+
+    return payloads.select(key, "body").mapInPandas(run, f"{key} {kind}, pos int, href string, image string, text string")
+
+
+def era_cards(payloads: DataFrame, rates: DataFrame, tag: str, name: str, source: str, country: str = "JP", unknown_year: bool = False) -> DataFrame:
+    """Listings from cards whose text names the model's era; prices in tens of thousands, else plain yen."""
+    year = F.coalesce(normalize.year_of_era(F.col("text")), F.regexp_extract("text", "(19[78][0-9])年", 1).try_cast("int"))
+    rows = cards(payloads, tag, name).filter("href is not null").withColumn("y", year).filter(classify.in_era(F.col("y"), unknown_year))
+    return listing(
+        rows, source, rates, native=normalize.slug_of(F.col("href")), title=F.substring("text", 1, 120), url=F.col("href"), country=F.lit(country), year=F.col("y"),
+        amount=F.coalesce(normalize.ten_thousands_of_yen(F.col("text")), normalize.yen(F.col("text"))), currency=F.lit("JPY"), image=F.col("image"),
+        status=F.when(F.upper("text").contains("SOLD OUT"), "sold").otherwise("active"),
+    )

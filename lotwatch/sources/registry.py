@@ -1,0 +1,49 @@
+"""Sources by name, each a function from landed payloads and rates to INCOMING rows, read apart from one another."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lotwatch.operators.sets import in_turn, keep_first
+from lotwatch.operators.validate import split
+from lotwatch.schemas import RUN_LOG
+from lotwatch.sources import payloads as p
+
+Parser = Callable[[DataFrame, DataFrame], DataFrame]
+SOURCES: dict[str, Parser] = {
+    "market_api": p.api_items,
+    "auction_page": p.auctions,
+    "classified_page": p.keyed_state,
+    "dealer_page": p.linked_data,
+    "feed": p.feed,
+}
+
+
+def landed(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """Bodies of the files that a crawler left for a source: url, body."""
+    return spark.read.text(f"{folder}/{source}", wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"))
+
+
+def collect(spark: SparkSession, read: Callable[[str], DataFrame], rates: DataFrame, sources: dict[str, Parser] = SOURCES) -> tuple[DataFrame, DataFrame]:
+    """Valid rows of all sources in turn, the first of each id, and each source's result.
+
+    A source that fails is noted and leaves the others alone: its rows are
+    counted (one small job a source) before they are taken in.
+    """
+    frames, results = [], []
+    for name, parse in sources.items():
+        try:
+            good, bad = split(parse(read(name), rates))
+            n, dropped = good.count(), bad.count()
+            frames.append(good)
+            results.append((name, True, n, f"{dropped} invalid record(s) dropped" if dropped else "", 0))
+        except Exception as e:  # one source's failure is a result of its own
+            results.append((name, False, 0, str(e)[:200], 0))
+    log = spark.createDataFrame(results, RUN_LOG)
+    if not frames:
+        raise ValueError("no source could be read")
+    rows = in_turn(frames, "turn").withColumn("ordinal", F.monotonically_increasing_id())
+    return keep_first(rows, "id", ["turn", "ordinal"]).drop("turn"), log
