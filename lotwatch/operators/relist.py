@@ -8,12 +8,13 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 SIMILAR = 0.75
 PRICE_WITHIN = 15.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Ratcliff/Obershelp ratio of (old, new), which depends on their order."""
     for old, new in batches:

@@ -1,0 +1,175 @@
+"""Scalars, rules, parsers, reconcile, relists, reports and the stream, on rows made by hand."""
+
+import json
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from lotwatch.functions import classify, normalize
+from lotwatch.operators import browse, fx, report, runlog, validate
+from lotwatch.operators.reconcile import reconcile
+from lotwatch.schemas import INCOMING, LISTING
+from lotwatch.sources import legacy, payloads, registry, store
+from lotwatch.streaming.reconciling import stream
+
+RATES = "currency string, rate double, date date"
+
+
+def one(spark, column, **values):
+    return spark.range(1).select(*[F.lit(v).alias(k) for k, v in values.items()]).select(column.alias("x")).first()["x"]
+
+
+def incoming(spark, *rows):
+    out = []
+    for i, r in enumerate(rows):
+        amount = r.get("amount", 12500.0)
+        price = {"amount": amount, "currency": "GBP", "gbp": amount, "fx_rate": 1.0, "fx_date": date(2026, 1, 1)}
+        full = {"source": r["id"].split(":")[0], "source_listing_id": r["id"], "url": "https://x.example/1", "title": r.get("title", "1978 pickup king cab"), "title_translated": r.get("tt"), "country": "US", "drive_side": "LHD", "price": price, "images": r.get("images", []), "status": r.get("status", "active"), "king_cab": {"matched": True, "matched_terms": ["king cab"], "body_style_check": "unavailable"}}
+        out.append((i, full | {"id": r["id"]}))
+    schema = f"{INCOMING}, ordinal bigint"
+    names = [c.split()[0] for c in "id source source_listing_id url title title_translated description_snippet region year country drive_side king_cab price images status".split()]
+    return spark.createDataFrame([tuple(f.get(n) for n in names) + (i,) for i, f in out], schema)
+
+
+def sources(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "source string")
+
+
+def empty(spark):
+    return spark.createDataFrame([], LISTING)
+
+
+@pytest.mark.parametrize(("value", "code"), [("uk", "UK"), (" japan ", "JP"), ("Elsewhere", "XX"), ("", "XX"), (None, "XX"), ("ไทย", "TH")])
+def test_country(spark, value, code):
+    assert one(spark, normalize.country_code(F.lit(value).cast("string"))) == code
+
+
+@pytest.mark.parametrize(("title", "year"), [("a 1978 truck", 1978), ("1970 then 1978", None), ("1978年式", None), ("昭和52年 truck", 1977), ("19788", None), (None, None)])
+def test_year(spark, title, year):
+    assert one(spark, normalize.year_of_era(F.lit(title).cast("string"))) == year
+
+
+def test_classify(spark):
+    check = lambda t: one(spark, classify.looks_like_part(F.lit(t)))
+    assert check("Grille for Datsun") and check("start of something") and check("vintage AD 1977")
+    assert not check("1978 Datsun 620 pickup")
+    k = one(spark, classify.keywords(F.lit("King"), F.lit("cab for sale"), F.lit("Crew Cab")))
+    assert k["matched_terms"] == ["king cab"] and not k["matched"] and k["body_style_check"] == "fail"
+    assert one(spark, classify.wanted(F.lit("datsun กระบะ ปี 2520"))) and not one(spark, classify.wanted(F.lit("datsun 720 truck")))
+
+
+def test_rates(spark):
+    day = spark.createDataFrame([(date(2026, 1, 1), "GBP", {"USD": 1.25, "EUR": 1.1, "XXX": 1.0})], "date date, base string, rates map<string,double>")
+    assert sorted(fx.checked(day, ["USD", "EUR"]).first()["rates"]) == ["EUR", "USD"]
+    with pytest.raises(Exception, match="rates are missing: JPY"):
+        fx.checked(day, ["USD", "JPY"]).collect()
+    log = fx.upsert(day, day.withColumn("base", F.lit("new")))
+    assert [r["base"] for r in log.collect()] == ["new"] and fx.latest(log).first()["base"] == "new"
+
+
+def test_reconcile_days(spark):
+    a = incoming(spark, {"id": "s:1"}, {"id": "s:2"}, {"id": "t:1"})
+    first = reconcile(empty(spark), a, sources(spark, "s", "t"), "2026-01-01")
+    assert first.new.count() == 3 and first.price_changed.count() == 0
+    b = incoming(spark, {"id": "s:1", "amount": 13000.0, "tt": "x"})
+    second = reconcile(first.store, b, sources(spark, "s"), "2026-01-02")
+    assert [tuple(r) for r in second.price_changed.collect()] == [("s:1", 12500.0, 13000.0, 4.0)]
+    kept = {r["id"]: r for r in second.store.collect()}
+    assert len(kept["s:1"]["history"]) == 2 and kept["s:1"]["title_translated"] == "x" and kept["s:1"]["first_seen"] == date(2026, 1, 1)
+    again = reconcile(second.store, b, sources(spark, "s"), "2026-01-02")
+    assert again.new.count() == again.price_changed.count() == again.status_changed.count() == 0
+    assert sorted(map(str, again.store.collect())) == sorted(map(str, second.store.collect()))
+    later = reconcile(second.store, b, sources(spark, "s"), "2026-01-05")
+    assert [tuple(r) for r in later.status_changed.collect()] == [("s:2", "active", "withdrawn")]  # t wasn't seen
+    gone = {r["id"]: r for r in later.store.collect()}["s:2"]
+    assert gone["status"] == "withdrawn" and gone["history"][-1]["price"] is None
+    back = reconcile(later.store, incoming(spark, {"id": "s:2"}), sources(spark, "s"), "2026-01-06")
+    assert [tuple(r) for r in back.status_changed.collect()] == [("s:2", "withdrawn", "active")]
+
+
+def test_reconcile_repeated_id(spark):
+    rows = incoming(spark, {"id": "s:1"}, {"id": "s:1", "amount": 10000.0})
+    out = reconcile(empty(spark), rows, sources(spark, "s"), "2026-01-01")
+    assert out.new.count() == 1 and out.price_changed.count() == 1 and out.store.count() == 1
+
+
+def test_relist(spark):
+    sold = reconcile(empty(spark), incoming(spark, {"id": "s:1", "status": "sold"}), sources(spark, "s"), "2026-01-01").store
+    out = reconcile(sold, incoming(spark, {"id": "s:9", "amount": 12900.0}, {"id": "s:8", "title": "something else"}), sources(spark, "s"), "2026-01-09")
+    found = out.possible_relists.collect()
+    assert [(r["id"], r["prior_id"]) for r in found] == [("s:9", "s:1")]
+    assert found[0]["reasons"] == ["title similarity 1.00", "same country (US)", "price within 3%"]
+    shown = report.new_listings(out.new, out.possible_relists, out.store)
+    assert [r["id"] for r in shown.collect()] == ["s:8"]
+    page = report.render({"New": shown, "Gone": report.status_changes(out.status_changed, out.store)}, "2026-01-09")
+    assert "New (1)" in page and "Gone" not in page
+    assert report.subject({"new": 1, "sold": 0}, "d") == "Listings d: 1 new"
+
+
+def test_validate_and_runlog(spark):
+    rows = incoming(spark, {"id": "s:1"}, {"id": "BAD"}, {"id": "t:1", "status": "odd"})
+    good, bad = validate.split(rows)
+    assert [r["id"] for r in good.collect()] == ["s:1"] and bad.count() == 2
+    counts = validate.source_counts(rows)
+    assert {r["source"] for r in validate.seen_sources(counts).collect()} == {"s"}
+    log = spark.createDataFrame([("s", True), ("t", False)], "source string, ok boolean")
+    before = spark.createDataFrame([("t", 6)], "source string, consecutive_failures bigint")
+    after = runlog.with_streaks(log, before)
+    assert {r["source"]: r["consecutive_failures"] for r in after.collect()} == {"s": 0, "t": 7}
+    assert runlog.health(after.withColumn("note", F.lit(""))).first()["level"] == "escalate"
+    held = reconcile(empty(spark), rows, sources(spark, "s"), "2026-01-01").store
+    t = runlog.totals(held).first()
+    assert (t["active"], t["median_gbp"], t["by_country"]) == (2, 12500.0, {"US": 2})
+
+
+def test_parsers(spark):
+    rates = spark.createDataFrame([("USD", 1.25, date(2026, 1, 1)), ("JPY", 190.0, date(2026, 1, 1)), ("CAD", 1.7, date(2026, 1, 1))], RATES)
+    body = lambda s: spark.createDataFrame([(s, "US", "u")], "body string, country string, url string")
+    item = lambda **k: {"itemId": "1", "title": "1978 Datsun 620 truck", "price": {"value": "5000", "currency": "USD"}, "itemWebUrl": "https://m.example/1", "buyingOptions": ["FIXED_PRICE"], "categories": [{"categoryName": "Pickup"}]} | k
+    api = json.dumps({"itemSummaries": [item(), item(itemId="2", title="620 grille"), item(itemId="3", price={"value": "20", "currency": "USD"}), item(itemId="4", title="1620 truck"), item(itemId="5", categories=[{"categoryName": "Art"}])]})
+    got = payloads.api_items(body(api), rates).collect()
+    assert [(r["id"], r["price"]["gbp"], r["year"], r["country"]) for r in got] == [("market_api:1", 4000.0, 1978, "US")]
+    page = "<script>var auctionsCompletedInitialData = " + json.dumps({"items": [{"title": "1974 Datsun 620", "url": "https://a.example/x/slug-1/", "current_bid": 9000, "currency": "USD", "country_code": "US", "year": 1974, "active": False}, {"title": "1974 Datsun 510", "url": "https://a.example/y"}]}) + ";</script>"
+    assert [(r["id"], r["status"]) for r in payloads.auctions(body(page), rates).collect()] == [("auction_page:slug-1", "sold")]
+    state = {"props": {"pageProps": {"__APOLLO_STATE__": {"StandardListing:1": {"id": "1", "title": "Datsun 620", "url": "https://k.example/v-cars-trucks/1", "price": {"amount": 850000}, "location": {"name": "BC"}, "imageUrls": ["https://i.example/1"]}, "StandardListing:2": {"id": "2", "title": "620 toy", "url": "https://k.example/v-toys/2"}, "Other:3": {}}}}}
+    got = payloads.keyed_state(body(f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(state)}</script>'), rates).collect()
+    assert [(r["id"], r["price"]["amount"], r["images"]) for r in got] == [("classified_page:1", 8500.0, ["https://i.example/1"])]
+    ld = '<script type="application/ld+json">{"@type": "Car", "name": "1979 pickup", "modelDate": "1979", "sku": "77", "offers": {"url": "https://d.example/for-sale/1979-pickup-in-portland-oregon", "price": "100", "priceCurrency": "USD"}}</script><script type="application/ld+json">{broken</script>'
+    got = payloads.linked_data(body(ld), rates).collect()
+    assert [(r["source_listing_id"], r["year"], r["region"]) for r in got] == [("77", 1979, "Portland Oregon")]
+    rss = "<rss><channel><item><title>King Cab &#215; 1</title><link>https://b.example/find-1/</link><description><![CDATA[<p>Asking  price of $8,500 or so</p><img src=\"https://i.example/2\">]]></description></item></channel></rss>"
+    got = payloads.feed(body(rss), rates).collect()
+    assert [(r["source_listing_id"], r["price"]["amount"], r["title"]) for r in got] == [("find-1", 8500.0, "King Cab x 1")]
+    cards = '<div class="usdbox a"><a href="/d/1/"><img src="i.jpg"><br>ダットサン 昭和52年</a> <b>398.0</b>万円</div><div class="usdbox"><a href="/d/2">2001年</a></div>'
+    got = payloads.era_cards(body(cards), rates, "div", "usdbox", "cards").collect()
+    assert [(r["source_listing_id"], r["price"]["amount"], r["year"]) for r in got] == [("1", 3980000.0, 1977)]
+    rows, log = registry.collect(spark, lambda name: {"market_api": body(api)}.get(name) or body("nothing"), rates, {"market_api": payloads.api_items, "feed": payloads.feed})
+    assert rows.count() == 1 and [(r["source"], r["ok"]) for r in log.collect()] == [("market_api", True), ("feed", False)]
+
+
+def test_legacy(spark):
+    flat = spark.createDataFrame([("old-1", "s", "https://x.example/1", "t", 100.0, "USD", 80.0, 1.25, date(2026, 1, 1), "Japan", None, "RHD", 1978, None, ["king cab"], None, date(2026, 1, 1), date(2026, 1, 5), [(date(2026, 1, 1), 100.0, 80.0)], "sold", None)], legacy.FLAT)
+    out = legacy.imported(empty(spark), flat)
+    row = out.first()
+    assert (row["id"], row["country"], [h["status"] for h in row["history"]]) == ("s:1", "JP", ["active", "sold"])
+    assert legacy.imported(out, flat).count() == 1
+
+
+def test_browse(spark):
+    rows = spark.createDataFrame([("a", "active", 10.0, 1978, date(2026, 1, 1), date(2026, 1, 1)), ("b", "active", 0.0, None, date(2026, 1, 2), date(2026, 1, 2)), ("c", "sold", 5.0, 1975, date(2026, 1, 1), date(2026, 1, 3))], "id string, status string, gbp double, year int, first_seen date, last_seen date")
+    place = lambda **k: sorted((r["section"], r["place"], r["id"]) for r in browse.browse(rows, **k).collect())
+    assert place(sort="price-desc") == [("active", 1, "a"), ("active", 2, "b"), ("ended", 1, "c")]
+    assert place() == [("active", 1, "b"), ("active", 2, "a"), ("ended", 1, "c")]
+    assert place(price_max=0) == [] and place(year_min=1976) == [("active", 1, "a")]
+
+
+def test_stream(spark, tmp_path):
+    landing, root = str(tmp_path / "landing"), str(tmp_path / "root")
+    days = [incoming(spark, {"id": "s:1"}, {"id": "s:2"}), incoming(spark, {"id": "s:1", "amount": 9000.0})]
+    for d in days:
+        d.drop("ordinal").coalesce(1).write.mode("append").parquet(landing)
+        stream(spark, landing, root, lambda n: f"2026-01-{1 + 4 * n:02d}").awaitTermination()
+    last = {r["id"]: r for r in store.read_or_empty(spark, f"{root}/listings/version=1", LISTING).collect()}
+    assert last["s:1"]["price"]["amount"] == 9000.0 and last["s:2"]["status"] == "withdrawn"
+    assert spark.read.parquet(f"{root}/price_changes").count() == 1
