@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -50,14 +51,17 @@ def once(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Write df to spark.checkpoint.dir and go on from the files there."""
+def cut(df: DataFrame) -> DataFrame:
+    """Write df as Parquet under spark.checkpoint.dir, which all nodes share, and go on from the files there.
+
+    Unlike a checkpoint, files tell the optimizer their true size: a checkpoint
+    keeps the estimate of the plan before it, which loops of joins multiply.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        # A folder is chosen only where the session names none, as in tests.
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
-    return df.checkpoint(eager)
+    # A folder is chosen only where the session names none, as in tests.
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lotwatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def chunks(texts: Iterable[str], most: int = 1_000_000) -> Iterator[list[str]]:

@@ -95,7 +95,7 @@ def with_next(docs: DataFrame, per_task: int = 4) -> DataFrame:
     keyed = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
     n = per_task * partitions(spark)
     bounds = sorted(set(keyed.select(F.col("k").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n)))
-    cuts = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="d", outputCol="range")
+    cuts = Bucketizer(splits=[-float("inf"), *(bounds or [0.0]), float("inf")], inputCol="d", outputCol="range")
     ranged = cuts.transform(keyed.withColumn("d", F.col("k").cast("double"))).withColumn("range", F.col("range").cast("int")).drop("d")
     # At most n rows come to the driver: the first key of each range.
     top = ranged.groupBy("range").agg(F.min(F.struct((-F.col("k").cast("decimal(20,0)")).alias("down"), "h", "k")).alias("top"))

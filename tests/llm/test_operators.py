@@ -1,0 +1,271 @@
+"""Each operator on edge cases, against brute force, and on planted cases."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import public_tokenizers
+from lotwatch.llm import fingerprints, language_id, near_duplicates, packing, quality_rules, secret_scans, sharding, source_mixing, token_counts, url_filters
+from lotwatch.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_tokens string, row string, copy int, label string, size string"
+LONG = "word " * 60_000 + "x" * 50_000
+TEXTS = ["", None, "   \n\t", "one", "Ü ß 中文 \U0001f600", "the same words again and again here", "the same words again and again here", LONG, '<|endoftext|> <s> token = "0123456789abcdef0123456789abcdef01234567" ok']
+
+
+def edge(spark, n=1):
+    rows = [(i if i != 3 else None, t, "en" if i % 2 else None, "a" if i % 3 else None, None, "n", "r", 1, "l", "s") for i, t in enumerate(TEXTS * n)]
+    return spark.createDataFrame([*rows, rows[5]], SCHEMA)  # the last one is there twice
+
+
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def split(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_token_counts(spark, documents):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for docs in (edge(spark), documents):
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        got = token_counts.token_counts(docs, PIECES).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            t = texts[r["doc_id"]]
+            assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n := len(sp.encode(t)), n > 4096)
+    assert token_counts.token_counts(empty(spark), PIECES).count() == 0
+    odd = [" " * k + "ab" for k in range(50)] + ["a" * 300, "=" * 77, "abab" * 50, "9 9  9", "\n \n"]
+    assert token_counts.RankMerger(PIECES).count(odd) == [len(x) for x in sp.encode(odd)]
+
+
+def test_mixing(spark, documents):
+    for docs in (edge(spark), empty(spark)):
+        out = source_mixing.mix(docs, rounds=2).collect()
+        assert len(out) == docs.count() and all(0 <= r["probability"] <= 1 for r in out)
+    out = source_mixing.mix(documents, rounds=12).toPandas()
+    cells = out.drop_duplicates(["source", "lang", "topic"])
+    for m in source_mixing.MARGINS:
+        share = out.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
+        assert np.allclose(cells.groupby(m)["weight"].sum(), share / share.sum(), atol=2e-3)
+    assert source_mixing.sampled(edge(spark), rounds=1).columns == edge(spark).columns
+
+
+def test_fingerprints(spark, documents):
+    for docs in (edge(spark), documents):
+        key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)
+        rows = sorted(docs.collect(), key=key, reverse=True)
+        texts = [r["text"] or "" for r in rows]
+        got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprints(docs).collect()}
+        assert fingerprints.fingerprints(docs).count() == len(rows)
+        for r, t, n in zip(rows, texts, texts[1:] + texts[:1], strict=True):
+            if r["doc_id"] == 5:
+                continue  # there twice: each follows the other or the next
+            k = len(t) // 2
+            edited = t[: len(t) - k] + n[:k]
+            g = got[r["doc_id"], len(t)]
+            own, other, after = (pa.array(fingerprints.digests(pa.array([x]))) for x in (t, edited, n))
+            assert g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+            assert (g["fingerprint"], g["edited_fingerprint"]) == (own[0].as_py(), other[0].as_py())
+            assert g["near_edited"] == pytest.approx(fingerprints.likeness(own, other)[0]) and g["near_next"] == pytest.approx(fingerprints.likeness(own, after)[0])
+    assert fingerprints.fingerprints(empty(spark)).count() == 0
+    assert fingerprints.fingerprints(edge(spark).filter("doc_id = 4")).first()["near_next"] == 1.0
+    assert fingerprints.likeness(pa.array(fingerprints.digests(pa.array(["abc" * 9]))), pa.array(fingerprints.digests(pa.array(["abc" * 9]))))[0] == 1.0
+
+
+def test_quality(spark, documents):
+    for docs in (edge(spark), documents):
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        got = quality_rules.quality(docs).collect()
+        assert len(got) == docs.count()
+        for r in got:
+            t = texts[r["doc_id"]]
+            w = split(t)
+            windows = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+            hit = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+            lines = [x for x in t.split("\n") if split(x)]
+            assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
+            assert r["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>") and r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
+    assert quality_rules.quality(empty(spark)).count() == 0
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    boiler = "All rights reserved by the owners of this host."
+    rows = [(i, f"{own(i)}\n{boiler}", "a") for i in range(20)] + [(99, "\n".join([own(99)[:90], *[boiler + " " + own(200 + k) for k in range(2)]]), "a")]
+    rows += [(100 + i, "\n".join([boiler] + [f"Line {k} of what every page of this host says to all." for k in range(9)] + [f"own {i} word"]), "a") for i in range(15)]
+    rows += [(300 + i, own(300), "a") for i in range(30)]  # copies of one text count once
+    planted = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.lit(None).cast("long"))
+    kept = {r["doc_id"] for r in quality_rules.quality(planted).filter("kept").collect()}
+    assert kept == {*range(20), 99, *range(300, 330)}
+    left = {r["doc_id"]: r for r in quality_rules.cleaned(planted).collect()}
+    assert left[3]["text"] == own(3) and left[3]["n_chars"] == len(own(3)) and left[99]["text"].count("reserved") == 2
+
+
+def test_language(spark, documents):
+    out = language_id.language_id(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
+    held = out[out["held_out"]]
+    assert len(held) and (held["lang_pred"] == held["lang"]).mean() > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out.itertuples())
+    got = {r["doc_id"]: r for r in language_id.language_id(edge(spark)).collect()}
+    assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (0, 1, 2)) and got[4]["lang_pred"] == "en"
+    assert {r["lang_pred"] for r in language_id.language_id(edge(spark).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert language_id.language_id(empty(spark)).count() == 0
+
+
+def test_secrets(spark):
+    key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
+    rows = [(i, f'def f():\n    token = "{key(i)}"\n    return the answer {i}') for i in range(30)]
+    rows += [(100 + i, f"commit {key(1000 + i)} of thanonontioningedthe and 4111111111111{i:03d}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    found = secret_scans.secrets(docs).collect()
+    assert {r["doc_id"] for r in found if r["is_secret"]} == set(range(30)) and len(found) == 30 + 90
+    masked = {r["doc_id"]: r for r in secret_scans.redacted(docs).collect()}
+    assert masked[3]["text"] == 'def f():\n    token = "[SECRET]"\n    return the answer 3' and masked[3]["n_chars"] == len(masked[3]["text"])
+    assert masked[105]["text"] == rows[35][1] and len(masked) == 60
+    assert {r["doc_id"] for r in secret_scans.secrets(edge(spark)).filter("is_secret").collect()} == {8}
+    assert secret_scans.redacted(edge(spark)).count() == edge(spark).count()
+    assert secret_scans.secrets(empty(spark)).count() == 0 and secret_scans.redacted(empty(spark)).count() == 0
+
+
+def test_sharding(spark, documents):
+    for docs in (edge(spark, 5), documents, empty(spark)):
+        n = docs.count()
+        out = sharding.shards(docs).toPandas()
+        assert len(out) == n
+        sizes = out.groupby("shard").size()
+        assert not n or sizes.max() - sizes.min() <= 1
+        for _, s in out.groupby("shard"):
+            assert sorted(s["slot"]) == list(range(len(s)))
+    m = sharding.matrix([5, 0, 7], [4, 4, 4], 1)
+    assert m.sum(axis=1).tolist() == [5, 0, 7] and m.sum(axis=0).tolist() == [4, 4, 4]
+    rng = np.random.default_rng(1)
+    big = [sharding.hypergeometric(rng, 3 * 10**9, 10**9, 1000) for _ in range(300)]
+    assert abs(np.mean(big) - 750) < 5 and 8 < np.std(big) < 20
+
+
+def classes_by_force(rows):
+    bags = {}
+    for d, t in rows:
+        w = split(t)
+        bags[d] = collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else collections.Counter()
+    up = {d: d for d in bags}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    ids = sorted(bags)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both, any_ = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
+            if (any_ and both / any_ >= 0.8) or any_ == 0:
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {d: top(d) for d in bags}
+
+
+def test_near_duplicates(spark, documents):
+    rng = np.random.default_rng(5)
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect() if len(r["text"] or "") < 3000]
+    base = [f"w{k}" for k in range(300)]
+    for i in range(25):  # a chain of edits: neighbours are alike, the ends aren't
+        base = [f"e{i}x{k}" if rng.random() < 0.015 else w for k, w in enumerate(base)]
+        rows.append((10_000 + i, " ".join(base)))
+    passage = " ".join(f"p{k}" for k in range(100))
+    rows += [(20_000 + i, passage + " " + " ".join(f"q{i}y{k}" for k in range(60))) for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes_by_force(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(docs).collect()}
+    assert got == want
+    one = near_duplicates.representatives(docs).collect()
+    assert sorted(r["doc_id"] for r in one) == sorted(set(want.values()))
+    got = near_duplicates.near_duplicates(edge(spark)).collect()
+    assert len(got) == edge(spark).count() and {r["class_id"] for r in got if r["doc_id"] in (5, 6)} == {5} and {r["class_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
+    assert near_duplicates.near_duplicates(empty(spark)).count() == 0 and near_duplicates.representatives(edge(spark)).count() == 6
+
+
+def test_signatures_are_unbiased():
+    errors = []
+    for k in range(40):
+        a = [f"u{k}a{i}" for i in range(100)] * 2 + [f"u{k}s{i}" for i in range(200)]
+        b = [f"u{k}s{i}" for i in range(200)] * 2
+        data, ends = next(fingerprints.byte_runs(pa.array([" ".join(a), " ".join(b)])))
+        h, who, count = near_duplicates.multisets(*near_duplicates.shingles(data, ends, 1))
+        sig = near_duplicates.signatures(h, who, count, 2, 200)
+        errors.append((sig[0] == sig[1]).mean() - 200 / 600)
+    assert abs(np.mean(errors)) < 4 * np.sqrt(1 / 3 * 2 / 3 / 200 / 40)
+
+
+def test_components(spark):
+    path = spark.range(60).selectExpr("id AS a", "id + 1 AS b")
+    star = spark.range(100, 130).selectExpr("id AS a", "500L AS b")
+    got = {r["node"]: r["comp"] for r in components(path.union(star)).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in [*range(100, 130), 500]}
+    assert components(path.limit(0)).count() == 0
+
+
+def test_packing(spark, documents):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(BYTES)
+    for docs in (edge(spark), documents):
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        out = packing.pack(docs, BYTES, group=100).toPandas()
+        seen = collections.Counter(r["doc_id"] for r in docs.collect())
+        for d, mine in out[out["doc_id"].notna()].groupby("doc_id"):
+            if seen[d] > 1:
+                continue
+            ids = [*tokenizer.encode(texts[d], add_special_tokens=False).ids, 2]
+            mine = mine.sort_values("piece")
+            assert mine["length"].sum() == len(ids) and (mine["length"].iloc[1:] == 1024).all() and mine["piece"].tolist() == list(range(len(mine)))
+            for r in mine.itertuples():
+                assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+        for _, s in out.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 1024
+    assert packing.pack(empty(spark), BYTES).count() == 0
+    lengths = np.random.default_rng(2).integers(1, 1025, 3000)
+    bins, _ = packing.sum_of_squares(lengths, 1024)
+    assert bins.max() + 1 <= 1.02 * lengths.sum() / 1024 + 2
+
+
+def test_url_filter(spark):
+    urls = [None, "no scheme", "HTTP://WWW.Example.com/en/1", "http://a.example.com/en/1?x", "http://x.com", "http://é.NET/fr/#a", "https://cheap.org/a/b", "http://notexample.com/en/"]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 2)], "page_id long, url string, key string")
+    labels = spark.createDataFrame([(i, 0 if (urls * 2)[i] and "cheap" in (urls * 2)[i] else 1, None) for i in range(16)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filters.url_filter(pages, labels).collect()}
+    assert [got[i] for i in range(6)] == [("", "", None, "allow"), ("", "", None, "allow"), ("www.example.com", "/en/1", "www.example.com/en/", "allow"), ("a.example.com", "/en/1", "example.com/en/", "block"), ("x.com", "", None, "allow"), ("é.net", "/fr/", "net/fr/", "block")]
+    assert got[7][2:] == ("com/", "allow") and len(got) == 16
+    many = pages.withColumn("page_id", F.col("page_id") % 8).crossJoin(spark.range(8).select((F.col("id") * 8).alias("k"))).select((F.col("page_id") + F.col("k")).alias("page_id"), "url")
+    marks = many.select(F.col("page_id").alias("doc_id"), F.when(F.col("url").contains("cheap"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert {r["verdict"] for r in url_filters.url_filter(many, marks).filter("host = 'cheap.org'").collect()} == {"block"}
+    assert url_filters.url_filter(pages.limit(0), labels).count() == 0 and url_filters.url_filter(pages, labels.limit(0)).count() == 16
+
+
+def test_pipeline(spark, documents):
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == documents.columns, name
+        docs = out
+    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 0 < len(kept) < documents.count() and not any(re.search("[0-9a-f]{40}", t) for t in kept.values())
+    assert classes_by_force(kept.items()) == {d: d for d in kept}
+    out = corpus_pipeline.run(spark, SF).select("doc_id").distinct()
+    assert {r["doc_id"] for r in out.collect()} == set(kept)
