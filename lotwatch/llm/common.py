@@ -51,16 +51,24 @@ def once(c: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, c)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Short rows that one file takes where their number is known.
+ROWS_A_FILE = 200_000
+
+
+def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     """Write df as Parquet under spark.checkpoint.dir, which all nodes share, and go on from the files there.
 
+    `most`, if given, is a bound on its rows, which are short: they go into no
+    more files than that needs.
+
     Unlike a checkpoint, files tell the optimizer their true size: a checkpoint
     keeps the estimate of the plan before it, which loops of joins multiply.
     """
     spark = df.sparkSession
     # A folder is chosen only where the session names none, as in tests.
     path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lotwatch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    out = df if most is None else df.coalesce(max(1, min(partitions(spark), -(-most // ROWS_A_FILE))))
+    out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -10,10 +10,13 @@ minima / sum of maxima, the weighted Jaccard likeness.  Points come in order of
 time, so a shingle is left as soon as its next point is too late to count.
 
 Bands of the signature name buckets.  In a bucket, documents are not paired
-all with all: each meets the bucket's representative, and its likeness is
-verified on the texts; then, while links appear, members of different
-components meet further representatives chosen at random.  Links that join
-components are all that classes need.
+all with all: each meets the bucket's representative first, and most of a group
+of copies is one component then.  What a bucket still holds of different
+components is compared in full where the bucket is small; in larger ones each
+meets further representatives, drawn by text and by component, until a round
+finds no link.  Candidates whose signatures agree too seldom are left, and the
+likeness of the others is verified on the texts.  Links that join components
+are all that classes need.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from lotwatch.llm.fingerprints import byte_runs
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 30, 5
-#: Rounds of further representatives, if each still finds links.
-ROUNDS = 8
+#: Buckets of at most so many texts are compared in full.
+SMALL = 16
+#: Pairs are left if signatures agree so many standard deviations below what the least likeness gives (1 pair in 10^7).
+DEVIATIONS = 5.5
 U = np.uint64
 _POWER = U(0x9E3779B97F4A7C15)
 _FACTORS = [U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)]
@@ -149,7 +154,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, id, set_a and set_b (128 bits that name the multiset), and buckets of every row of docs (doc_id, id, text)."""
+    """doc_id, id, set_a and set_b (128 bits that name the multiset), buckets and brief (a byte of each signature component) of every row of docs (doc_id, id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,12 +169,14 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     np.add.at(total, who, each)
                     sums.append(total.view(np.int64))
                 filled = np.bincount(who, minlength=n) > 0
-                buckets = band_hashes(signatures(h, who, count, n, bands * rows), bands, rows).view(np.int64)
+                sig = signatures(h, who, count, n, bands * rows)
+                buckets = band_hashes(sig, bands, rows).view(np.int64)
+                brief = pa.array([x.tobytes() for x in (sig >> U(56)).astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(filled * bands)].astype(np.int32)), pa.array(buckets[filled].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("id").slice(at, n), pa.array(sums[0]), pa.array(sums[1]), lists], ["doc_id", "id", "set_a", "set_b", "buckets"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("id").slice(at, n), pa.array(sums[0]), pa.array(sums[1]), lists, brief], ["doc_id", "id", "set_a", "set_b", "buckets", "brief"])
                 at += n
 
-    return docs.mapInArrow(run, "doc_id long, id long, set_a long, set_b long, buckets array<long>")
+    return docs.mapInArrow(run, "doc_id long, id long, set_a long, set_b long, buckets array<long>, brief binary")
 
 
 def overlap(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
@@ -194,6 +201,20 @@ def overlap(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     return shared / np.maximum(total - shared, 1)
 
 
+def likely(pairs: DataFrame, own: DataFrame, values: int, least: float) -> DataFrame:
+    """Those pairs (a, b) whose signatures agree about as often as likeness `least` gives, or more often."""
+    enough = values * least - DEVIATIONS * (values * least * (1 - least)) ** 0.5
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, values) for c in ("sa", "sb"))
+            near = pa.array((left == right).sum(axis=1) >= enough)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], ["a", "b"])
+
+    one, two = own.select(F.col("node").alias("a"), F.col("brief").alias("sa")), own.select(F.col("node").alias("b"), F.col("brief").alias("sb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Those pairs (a, b) whose texts' likeness is at least `least`."""
 
@@ -213,7 +234,22 @@ def name(doc_id: Column, text: Column) -> Column:
     return F.coalesce(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseOR(F.lit(-(2**63))))
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, rounds: int = ROUNDS) -> DataFrame:
+def ordered(parts: DataFrame) -> DataFrame:
+    """Distinct pairs (a > b) of the columns node and b."""
+    return parts.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
+def drawn(round_: int) -> list[Column]:
+    """Four texts of a bucket and their components: two drawn from its texts, two from its components."""
+    picks = []
+    for k in (2 * round_, 2 * round_ + 1):
+        text = F.xxhash64("node", "bucket", F.lit(k))
+        part = F.shiftleft(F.xxhash64("comp", "bucket", F.lit(k)), 32).bitwiseOR(text.bitwiseAND(F.lit(0xFFFFFFFF)))
+        picks += [F.struct(F.min_by("node", x).alias("b"), F.min_by("comp", x).alias("comp_b")) for x in (text, part)]
+    return picks
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
     """doc_id, id (see name), class_id (the smallest id of its class) and stays (it is that one) of every row of docs.
 
     Classes are the components of likeness `least` or more.  Texts with equal
@@ -225,35 +261,39 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, b
     ship(docs.sparkSession)
     named = text_of(docs).withColumn("id", name(F.col("doc_id"), F.col("text")))
     sketched = cut(sketch(named, width, bands, rows))
-    texts = sketched.groupBy("set_a", "set_b").agg(F.min("id").alias("text_id"))
-    member = cut(sketched.select("id", "set_a", "set_b").join(texts, ["set_a", "set_b"]).select("id", "text_id").distinct())
-    one = member.groupBy("id").agg(F.min("text_id").alias("text_id"), F.count(F.lit(1)).alias("n"))
-    several = one.filter("n > 1").select("id", F.col("text_id").alias("b")).join(member, "id").select(F.col("text_id").alias("a"), "b").filter("a <> b")
+    # Each distinct text, named by its smallest id; all that share a multiset share its buckets.
+    own = cut(sketched.groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("buckets").alias("buckets"), F.first("brief").alias("brief")))
+    member = cut(sketched.select("id", "set_a", "set_b").join(own.select("set_a", "set_b", F.col("node").alias("text_id")), ["set_a", "set_b"]).select("id", "text_id"))
+    one = member.groupBy("id").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("other"))
+    several = one.filter("text_id <> other").select("id", F.col("text_id").alias("b")).join(member, "id").select(F.col("text_id").alias("a"), "b").filter("a <> b")
 
     # Each distinct text meets the smallest id of each of its buckets.
-    own = sketched.join(member.filter("id = text_id").select("id"), "id", "left_semi")
-    spread = own.select(F.col("id").alias("node"), F.explode("buckets").alias("bucket"))
+    spread = own.select("node", F.explode("buckets").alias("bucket"))
     first = spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other").select("bucket", "b")
-    held = cut(spread.join(first, "bucket").distinct())
-    pairs = cut(held.filter("node <> b").select(F.col("node").alias("a"), "b").distinct())
+    held = cut(spread.join(first, "bucket"))
     needed = held.select(F.col("node").alias("id")).distinct()
     read = cut(named.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]))
-    links = cut(verified(pairs, read, width, least).union(several))
-    found = components(links)
-
-    # What a bucket still holds of other components meets further representatives.
-    for k in range(rounds):
-        parts = held.select("bucket", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        order = F.xxhash64("node", "bucket", F.lit(k))
-        drawn = parts.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by("node", order).alias("b"), F.min_by("comp", order).alias("comp_b"))
-        more = parts.join(drawn.filter("low <> high").drop("low", "high"), "bucket").filter("comp <> comp_b")
-        more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        new = cut(verified(more, read, width, least))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return verified(likely(pairs, own, bands * rows, least), read, width, least)
+
+    found = components(cut(linked(ordered(held.filter("node <> b"))).union(several)))
+    held, round_ = held.select("bucket", "node"), 0
+    while True:
+        parts = held.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*drawn(round_)).alias("drawn")).filter("low <> high")
+        parts = cut(parts.join(mixed.select("bucket", "n", F.when(F.col("n") > small, F.col("drawn")).alias("drawn")), "bucket"))
+        crowd = parts.filter("drawn IS NOT NULL")
+        pairs = crowd.select("node", "comp", F.explode("drawn").alias("drawn")).select("node", "comp", "drawn.*").filter("comp <> comp_b").select("node", "b")
+        if not round_:
+            few = parts.filter("drawn IS NULL").select("bucket", "node", "comp")
+            pairs = pairs.union(few.join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").filter("node > b AND comp <> comp_b").select("node", "b"))
+        new = cut(linked(ordered(pairs)))
         if new.isEmpty():
             break
-        pairs, links = pairs.union(more), links.union(new)
-        found = components(links)
+        found = components(new.union(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
+        # Small buckets are done after one round.
+        held, round_ = crowd.select("bucket", "node"), round_ + 1
 
     to = found.select(F.col("node").alias("text_id"), "comp")
     classes = one.join(to, "text_id", "left").select("id", F.coalesce("comp", "text_id").alias("class_id"))
