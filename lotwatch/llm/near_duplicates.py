@@ -12,11 +12,11 @@ time, so a shingle is left as soon as its next point is too late to count.
 Bands of the signature name buckets.  In a bucket, documents are not paired
 all with all: each meets the bucket's representative first, and most of a group
 of copies is one component then.  What a bucket still holds of different
-components is compared in full where the bucket is small; in larger ones each
-meets further representatives, drawn by text and by component, until a round
-finds no link.  Candidates whose signatures agree too seldom are left, and the
-likeness of the others is verified on the texts.  Links that join components
-are all that classes need.
+components is compared in full: pair by pair where the bucket is small, else in
+blocks of texts, each two blocks in a group of their own, of which only links
+that join components come out.  Before pairs are verified on the texts, those
+whose signatures agree too seldom are left.  Links that join components are all
+that classes need.
 """
 
 from __future__ import annotations
@@ -35,8 +35,10 @@ from lotwatch.llm.fingerprints import byte_runs
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 30, 5
-#: Buckets of at most so many texts are compared in full.
+#: Buckets of at most so many texts are compared pair by pair.
 SMALL = 16
+#: Texts, and their bytes, of a block of a larger bucket, and columns of the matrices that compare two blocks.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 4096
 #: Pairs are left if signatures agree so many standard deviations below what the least likeness gives (1 pair in 10^7).
 DEVIATIONS = 5.5
 U = np.uint64
@@ -239,14 +241,84 @@ def ordered(parts: DataFrame) -> DataFrame:
     return parts.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def drawn(round_: int) -> list[Column]:
-    """Four texts of a bucket and their components: two drawn from its texts, two from its components."""
-    picks = []
-    for k in (2 * round_, 2 * round_ + 1):
-        text = F.xxhash64("node", "bucket", F.lit(k))
-        part = F.shiftleft(F.xxhash64("comp", "bucket", F.lit(k)), 32).bitwiseOR(text.bitwiseAND(F.lit(0xFFFFFFFF)))
-        picks += [F.struct(F.min_by("node", x).alias("b"), F.min_by("comp", x).alias("comp_b")) for x in (text, part)]
-    return picks
+def bridges(batch: pa.Table, left: np.ndarray, right: np.ndarray, width: int, least: float) -> tuple[list[int], list[int]]:
+    """Rows of batch (comp, text) in pairs: enough links from rows left to rows right to join every two components that a likeness of `least` or more joins."""
+    h, who, at = [], [], 0
+    for data, ends in byte_runs(batch.column("text").combine_chunks(), 8 << 20):
+        x, y = shingles(data, ends, width)
+        h.append(x)
+        who.append(y + at)
+        at += len(ends) - 1
+    h, who, count = multisets(np.concatenate(h), np.concatenate(who))
+    total = np.bincount(who, count, at)
+    # A shingle's second occurrence counts as another element, so that sets of elements overlap as the multisets do.
+    again = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    _, col, rows = np.unique(mixed(np.repeat(h, count) + again.astype(np.uint64) * _FACTORS[2]), return_inverse=True, return_counts=True)
+    who, several = np.repeat(who, count), rows[col] > 1
+    col, who = (np.cumsum(rows > 1) - 1)[col[several]], who[several]
+    order = np.argsort(col, kind="stable")
+    col, who = col[order], who[order]
+    # How many elements two texts share: a product of matrices, some columns at a time.
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for first in range(0, int((rows > 1).sum()), COLUMNS):
+        some = slice(*np.searchsorted(col, [first, first + COLUMNS]))
+        holds = np.zeros((at, COLUMNS), np.float32)
+        holds[who[some], col[some] - first] = 1
+        shared += holds[left] @ holds[right].T
+    shared = shared.astype(np.float64)
+    comp = batch.column("comp").to_numpy()
+    near = shared / np.maximum(total[left][:, None] + total[right] - shared, 1) >= least
+    x, y = np.nonzero(near & (comp[left][:, None] != comp[right]))
+    x, y = left[x], right[y]
+    _, firsts = np.unique(np.stack([comp[x], comp[y]]), axis=1, return_index=True)
+    # A forest of components says as much as all of their links.
+    root: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while root.get(c, c) != c:
+            root[c] = c = root.get(root[c], root[c])
+        return c
+
+    a, b = [], []
+    for i, j in zip(x[firsts].tolist(), y[firsts].tolist(), strict=True):
+        one, two = top(int(comp[i])), top(int(comp[j]))
+        if one != two:
+            root[one] = two
+            a.append(i)
+            b.append(j)
+    return a, b
+
+
+def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) that join all the components that a bucket's texts of likeness `least` or more join, of buckets of any size.
+
+    A bucket is cut into blocks of about BLOCK texts or BLOCK_BYTES.  Every
+    block of texts outside the bucket's largest component meets every block,
+    each two in a group of their own, and only what joins components comes out.
+    """
+    per = crowd.join(texts.select(F.col("id").alias("node"), "size"), "node").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    largest = per.groupBy("bucket").agg(F.max(F.struct("n", "size", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+
+    most = F.col("most")
+    largest = largest.select("bucket", most["comp"].alias("main"), blocks(F.col("n") - most["n"], F.col("size") - most["size"]).alias("others"), blocks(most["n"], most["size"]).alias("mains"))
+    main, place = F.col("comp") == F.col("main"), F.xxhash64("node")
+    dealt = crowd.join(largest, "bucket").select(
+        "bucket", "node", "comp",
+        F.when(main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int").alias("block"),
+        F.sequence(F.lit(0), F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)).alias("meets"),
+    )
+
+    def run(group: pa.Table) -> pa.Table:
+        block = group.column("block").to_numpy()
+        a, b = bridges(group, np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max()), width, least)
+        node = group.column("node")
+        return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
+
+    met = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").withColumn("meets", F.explode("meets"))
+    return met.withColumns({"low": F.least("block", "meets"), "high": F.greatest("block", "meets")}).groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
@@ -272,28 +344,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, b
     first = spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other").select("bucket", "b")
     held = cut(spread.join(first, "bucket"))
     needed = held.select(F.col("node").alias("id")).distinct()
-    read = cut(named.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]))
+    read = cut(named.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumn("size", F.octet_length("text")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(likely(pairs, own, bands * rows, least), read, width, least)
 
     found = components(cut(linked(ordered(held.filter("node <> b"))).union(several)))
-    held, round_ = held.select("bucket", "node"), 0
-    while True:
-        parts = held.join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.array(*drawn(round_)).alias("drawn")).filter("low <> high")
-        parts = cut(parts.join(mixed.select("bucket", "n", F.when(F.col("n") > small, F.col("drawn")).alias("drawn")), "bucket"))
-        crowd = parts.filter("drawn IS NOT NULL")
-        pairs = crowd.select("node", "comp", F.explode("drawn").alias("drawn")).select("node", "comp", "drawn.*").filter("comp <> comp_b").select("node", "b")
-        if not round_:
-            few = parts.filter("drawn IS NULL").select("bucket", "node", "comp")
-            pairs = pairs.union(few.join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").filter("node > b AND comp <> comp_b").select("node", "b"))
-        new = cut(linked(ordered(pairs)))
-        if new.isEmpty():
-            break
-        found = components(new.union(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
-        # Small buckets are done after one round.
-        held, round_ = crowd.select("bucket", "node"), round_ + 1
+    # Buckets that still hold different components.
+    parts = held.select("bucket", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
+    parts = cut(parts.join(open_.select("bucket", "n"), "bucket"))
+    few, crowd = parts.filter(F.col("n") <= small), parts.filter(F.col("n") > small)
+    pairs = few.join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").filter("node > b AND comp <> comp_b").select("node", "b")
+    new = cut(linked(ordered(pairs)).union(crossing(crowd.select("bucket", "node", "comp"), read, width, least)))
+    found = components(new.union(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     to = found.select(F.col("node").alias("text_id"), "comp")
     classes = one.join(to, "text_id", "left").select("id", F.coalesce("comp", "text_id").alias("class_id"))
