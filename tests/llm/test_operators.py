@@ -200,6 +200,27 @@ def test_near_duplicates(spark, documents):
     assert near_duplicates.near_duplicates(empty(spark)).count() == 0 and near_duplicates.representatives(edge(spark)).count() == 6
 
 
+def test_large_mixed_buckets(spark, monkeypatch):
+    """Texts of one template share buckets, yet only those with the same word replaced are alike."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    base = [f"t{k}" for k in range(60)]
+    rows = [(100 * at + k, " ".join([*base[:at], f"r{at}n{k}", *base[at + 1 :]])) for at in range(5, 55, 5) for k in range(8)]
+    rows += [(10_000 + i, " ".join(f"c{k}" for k in range(5 * i, 5 * i + 60))) for i in range(20)]  # a sliding window: a chain
+    rows += [(20_000 + k, " ".join([*base, *["again"] * n])) for k, n in enumerate((40, 50, 90, 200))]  # counts matter
+    want = classes_by_force(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), small=2).collect()}
+    assert got == want and len(set(want.values())) >= 13
+
+
+def test_bridges():
+    texts = ["a b c d e f g h", "a b c d e f g h", "a b c d e f g h", "z y x w v u t s", "", ""]
+    batch = pa.table({"comp": [1, 2, 3, 4, 5, 6], "text": texts})
+    every = np.arange(6)
+    a, b = near_duplicates.bridges(batch, every, every, 5, 0.8)
+    assert len(a) == 2 and {*a, *b} == {0, 1, 2}  # a forest, no link to itself, none of texts without a word
+    assert near_duplicates.bridges(batch, every[:1], every[3:], 5, 0.8) == ([], [])
+
+
 def test_signatures_are_unbiased():
     errors = []
     for k in range(40):
