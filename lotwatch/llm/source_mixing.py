@@ -57,12 +57,20 @@ def keys(source: Column, lang: Column, text: Column) -> dict[str, Column]:
     return {"source": value(source), "lang": value(lang), "topic": topic_of(text), "tokens": F.size(words(text)).cast("long")}
 
 
-def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int, tokens: float) -> DataFrame:
-    """weight and probability of each cell(margins, tokens)."""
+def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int, tokens: float, scaled: bool) -> DataFrame:
+    """weight and probability of each cell(margins, tokens).
+
+    scaled: where a cell wants a probability over 1, all are divided by the
+    largest, so that the expected sample meets the targets; else it is cut off
+    at 1 and the sample falls short of them.
+    """
     targets = targets or {m: cut(tempered(cells, m, temper)) for m in MARGINS}
     raked = rake(cells, targets, rounds)
-    whole = raked.agg(F.sum("tokens").cast("double").alias("all"))
+    per_token = F.try_divide(F.col("weight"), F.col("tokens").cast("double"))
+    whole = raked.agg(F.sum("tokens").cast("double").alias("all"), F.max(per_token).alias("most"))
     share = F.try_divide(F.lit(tokens) * F.col("weight") * F.col("all"), F.col("tokens").cast("double"))
+    if scaled:
+        share = share / F.greatest(F.lit(1.0), F.lit(tokens) * F.col("most") * F.col("all"))
     return raked.join(F.broadcast(whole)).select(*MARGINS, "weight", F.coalesce(F.least(F.lit(1.0), share), F.lit(1.0)).alias("probability"))
 
 
@@ -72,7 +80,7 @@ def drawn(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tokens: float = TOKENS, seed: str = SEED, scaled: bool = False) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled of every row of docs.
 
     targets: a frame (value, target) for each margin; by default the corpus's
@@ -80,19 +88,21 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: fl
     their own (""), null texts have no tokens; a cell without tokens has weight
     0 and its documents probability 1 (they take no share).  Whether a row is
     sampled depends on its id and the seed alone; other columns are ignored.
+    scaled: as in calibrated(); without it, as OP2_SQL has it, the sampled
+    shares stay between the corpus's own and the targets.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in keys(F.col("source"), F.col("lang"), F.col("text")).items()]))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    out = rows.join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
+    out = rows.join(calibrated(cells, targets, temper, rounds, tokens, scaled), list(MARGINS))
     return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
 def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
-    """The rows of docs that mix() samples, with all their columns; only cells are shuffled."""
+    """The rows of docs that mix() samples when scaled, with all their columns; only cells are shuffled."""
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     rows = rows.select("row", *[c.alias(k) for k, c in keys(F.col("row.source"), F.col("row.lang"), F.col("row.text")).items()])
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    out = rows.drop("tokens").join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
+    out = rows.drop("tokens").join(calibrated(cells, targets, temper, rounds, tokens, True), list(MARGINS))
     return out.filter(drawn(F.col("row.doc_id"), seed) < F.col("probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 

@@ -68,6 +68,23 @@ def test_mixing(spark, documents):
     assert source_mixing.sampled(edge(spark), rounds=1).columns == edge(spark).columns
 
 
+def test_mix_meets_targets(spark):
+    """The sampled tokens' shares are the targets: a hot source, a rare language, a rare topic."""
+    i = F.col("id")
+    text = F.concat(F.lit("a b c d e f g "), F.when(i % 25 == 0, "@").otherwise("h"))
+    docs = spark.range(20000).select(i.alias("doc_id"), F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), i % 20)).alias("source"), F.when(i % 11 == 1, "es").otherwise("en").alias("lang"), text.alias("text"))
+    every = source_mixing.mix(docs, scaled=True).toPandas()
+    ids = {r["doc_id"] for r in source_mixing.sampled(docs).collect()}
+    assert ids == set(every["doc_id"][every["sampled"]]) and len(ids) > 5000
+    sample = every[every["doc_id"].isin(ids)]
+    for m in source_mixing.MARGINS:
+        target = every.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
+        target /= target.sum()
+        expected = (every["tokens"] * every["probability"]).groupby(every[m]).sum()
+        assert np.allclose(expected / expected.sum(), target, atol=1e-4)
+        assert np.allclose(sample.groupby(m)["tokens"].sum() / sample["tokens"].sum(), target, atol=0.01)
+
+
 def test_fingerprints(spark, documents):
     for docs in (edge(spark), documents):
         key = lambda r: (r["doc_id"] is not None, r["doc_id"] or 0)
