@@ -18,6 +18,8 @@ LEAST_WORDS = 50
 #: A line is over the limit in more distinct documents of a host than this, and than this share of them.
 LEAST_DOCS = 10
 SHARE = 0.1
+#: For cleaned(), a line of so many words is over the limit in more than LEAST_DOCS alone, however large its host.
+LONG_WORDS = 6
 #: A document is depleted if less than this share of its distinct lines' characters is left.
 LEFT = 0.5
 
@@ -48,23 +50,32 @@ def normalised(line: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """Distinct normalised lines as hash and length."""
+    """Distinct normalised lines as hash, length and number of words."""
     lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("size"))))
+    return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("size"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))))
 
 
-def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """`row` and the text of every row of docs, its statistics, verdicts, and the hashes of its lines above the limit."""
+def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, long_words: int | None = None) -> DataFrame:
+    """`row` and the text of every row of docs, its statistics, verdicts, and the hashes of its lines above the limit.
+
+    long_words: lines of so many words are above it in more than least_docs
+    documents, whatever the share.  Those that aren't above the share too don't
+    reject a document: where too little would be left without them, as in a
+    group of near copies, they stay, for deduplication to judge.
+    """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(row.alias("row"), text.alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
     rows = rows.withColumns({"copy": F.unhex(F.md5("text")), "lines": once(lines_of(F.col("text")))})
     # One further entry a document stands for the document itself.
-    itself = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("size"))
-    held = rows.select("host", "copy", F.explode(F.array_append("lines", itself)).alias("l")).select("host", "copy", "l.line", "l.size").distinct()
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    itself = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("words"))
+    held = rows.select("host", "copy", F.explode(F.array_append("lines", itself)).alias("l")).select("host", "copy", "l.line", "l.size", "l.words").distinct()
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("words"))
     hosts = counts.filter("line is null").select("host", F.col("n").alias("documents"))
-    common = counts.filter((F.col("n") > least_docs) & F.col("line").isNotNull()).join(hosts, "host").filter(F.col("n") > share * F.col("documents")).select("host", "line")
-    gone = held.filter("line is not null").join(common, ["host", "line"]).groupBy("host", "copy").agg(F.sum("size").alias("removed_chars"), F.collect_list("line").alias("gone"))
+    common = counts.filter((F.col("n") > least_docs) & F.col("line").isNotNull()).join(hosts, "host").withColumn("wide", F.col("n") > share * F.col("documents"))
+    common = common.filter(F.col("wide") if long_words is None else F.col("wide") | (F.col("words") >= long_words)).select("host", "line", "wide")
+    size, line = F.col("size"), F.col("line")
+    gone = held.filter("line is not null").join(common, ["host", "line"]).groupBy("host", "copy")
+    gone = gone.agg(F.sum(F.when(F.col("wide"), size)).alias("removed_chars"), F.sum(size).alias("common_chars"), F.collect_list(F.when(F.col("wide"), line)).alias("gone"), F.collect_list(line).alias("common"))
 
     plain = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     base = rows.withColumns({"words": once(words(F.col("text"))), "full_lines": plain})
@@ -82,6 +93,7 @@ def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: fl
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = base.join(gone, ["host", "copy"], "left").withColumns({"removed_chars": F.coalesce("removed_chars", F.lit(0)).cast("long"), "base_failed": failed})
+    out = out.withColumn("gone", F.when(F.col("chars") - F.col("common_chars") >= left * F.col("chars"), F.col("common")).when(F.size("gone") > 0, F.col("gone")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("chars") - F.col("removed_chars") >= left * F.col("chars")))
 
 
@@ -97,8 +109,12 @@ def quality(docs: DataFrame, **limits: float) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
-    """The kept rows of docs without their lines above the limit, n_chars to match; other columns as they are."""
-    out = judged(docs, F.struct(*docs.columns), **limits).filter("kept")
+    """The kept rows of docs without their lines above the limit, n_chars to match; other columns as they are.
+
+    The rows are those that quality() keeps; lines of LONG_WORDS go whatever
+    their host's size.
+    """
+    out = judged(docs, F.struct(*docs.columns), **{"long_words": LONG_WORDS, **limits}).filter("kept")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised(x)))), "\n")
     out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
     new = {"text": F.col("left"), "n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left")).cast("long")}

@@ -133,6 +133,19 @@ def test_quality(spark, documents):
     assert left[3]["text"] == own(3) and left[3]["n_chars"] == len(own(3)) and left[99]["text"].count("reserved") == 2
 
 
+def test_lines_of_large_hosts(spark):
+    """A long line in a twelfth of a host goes, a short one stays, and near copies are left to deduplication."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    boiler, short = "All rights reserved by the owners of this host.", "Back to top"
+    common = [own(900 + k)[:60] for k in range(9)]
+    rows = [(i, "\n".join([own(i), *[boiler] * (i < 30), *[short] * (i < 30)]), "a") for i in range(360)]
+    rows += [(500 + i, "\n".join([*common, f"edit {i}"]), "a") for i in range(15)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.lit(None).cast("long"))
+    left = {r["doc_id"]: r["text"] for r in quality_rules.cleaned(docs).collect()}
+    assert left == {i: t.replace(boiler + "\n", "") if i < 30 else t for i, t, _ in rows}
+    assert set(left) == {r["doc_id"] for r in quality_rules.quality(docs).filter("kept").collect()}
+
+
 def test_language(spark, documents):
     out = language_id.language_id(documents).join(documents.select("doc_id", "lang"), "doc_id").toPandas()
     held = out[out["held_out"]]
