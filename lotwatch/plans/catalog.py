@@ -91,6 +91,15 @@ def drive_side(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", normalize.drive_side(F.upper("lang"), t).alias("side"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN regexp_matches(t, '\brhd\b|right[ -]hand[ -]drive') THEN 'RHD' WHEN regexp_matches(t, '\blhd\b|left[ -]hand[ -]drive') THEN 'LHD'
+ WHEN c IN ('GB','JP','AU','NZ','ZA','IE','TH','MY','ID') THEN 'RHD' WHEN c IN ('US','CA','DE','FR','NL','BE','IT','ES','SE','CH','AT','MX','PL') THEN 'LHD' ELSE 'unknown' END AS side
+ FROM (SELECT doc_id, upper(lang) AS c, lower(text || CASE doc_id % 4 WHEN 0 THEN ' a RHD truck' WHEN 1 THEN ' left-hand drive' ELSE '' END) AS t FROM documents)""")
+def drive_side_text(spark, sf_dir):
+    k = F.col("doc_id") % 4
+    t = F.concat("text", F.when(k == 0, " a RHD truck").when(k == 1, " left-hand drive").otherwise(""))  # past the end of a whole text
+    return table(spark, sf_dir, "documents").select("doc_id", normalize.drive_side(F.upper("lang"), t).alias("side"))
+
+
 @query(r"""SELECT o_orderkey, CAST(CASE WHEN y BETWEEN 1971 AND 1980 THEN y ELSE 0 END AS INTEGER) AS year FROM (
  SELECT o_orderkey, TRY_CAST(nullif(regexp_extract('truck ' || (1960 + o_orderkey % 30) || ' x ' || (1970 + o_orderkey % 12), '\b(19(?:7[0-9]|6[89]|80))\b', 1), '') AS INTEGER) AS y FROM orders)""")
 def year_extract(spark, sf_dir):
