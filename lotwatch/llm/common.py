@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -16,12 +17,27 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Send this package to the executors, once a session, so that Python workers anywhere can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lotwatch_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp()) / "lotwatch.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "lotwatch").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._lotwatch_shipped = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; a local session without one, as in tests, gets a temporary folder."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
+    return f"{tempfile.gettempdir()}/lotwatch-{spark.sparkContext.applicationId}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,8 +81,7 @@ def cut(df: DataFrame, most: int | None = None) -> DataFrame:
     keeps the estimate of the plan before it, which loops of joins multiply.
     """
     spark = df.sparkSession
-    # A folder is chosen only where the session names none, as in tests.
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/lotwatch-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lotwatch-{uuid.uuid4().hex}"
     out = df if most is None else df.coalesce(max(1, min(partitions(spark), -(-most // ROWS_A_FILE))))
     out.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,9 +1,9 @@
 """Sum-of-squares packing of token pieces into sequences.
 
 Every document becomes its ids plus an end id; only longer ones are cut, so
-that all pieces but the first hold exactly `size` tokens.  A piece goes where
-the sum of the squared counts of open sequences per residual gap becomes
-smallest (ties: the tightest gap).  Pieces are dealt by hash into groups of a
+that all pieces but the first hold exactly `size` tokens.  A piece goes into the
+open sequence with room that leaves the smallest sum of squared counts of open
+sequences per residual gap (ties: the tightest gap).  Pieces are dealt by hash into groups of a
 bounded number, each packed by one task: a group leaves at most a handful of
 sequences part full, so many groups cost next to nothing, and nothing is ever
 gathered whole.
@@ -11,6 +11,8 @@ gathered whole.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,39 +29,77 @@ from lotwatch.llm.common import ship, table, text_of
 
 #: Pieces a group has on average; a group is packed by one task.
 GROUP = 20_000
-# Fixed value: how byte-level vocabularies of this kind split a text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-def byte_ranks(vocabulary: dict[str, int]) -> dict[bytes, int]:
-    """Byte strings of a byte-level vocabulary, whose texts show bytes without a visible character as U+0100 and on."""
-    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in visible]
-    byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
-    return {bytes(byte[c] for c in t): i for t, i in vocabulary.items() if all(c in byte for c in t)}
+# Fixed value: Unicode's white space, what \s is to the tokenizer.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: No token holds a blank behind another character, so a text may be cut before each run of blanks.
+CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Remembered chunks of a worker, by their memory; beyond it the memory starts afresh.
+CACHE_BYTES = 96 << 20
+#: Longer chunks aren't remembered, and are cut once more where that is safe.
+LONG = 1000
 
 
 class Ids:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    The tokenizer's own vocabulary is encoded by tiktoken, which needs a tenth
-    of the time and memory of an Encoding; a text that holds a special token's
-    string goes through the tokenizer itself.
+    A text is encoded chunk by chunk, and the chunks' ids are remembered.  A
+    chunk without a safe place to cut (a run of blanks or letters may have
+    none) is encoded whole.
     """
 
     def __init__(self, path: str):
-        import tiktoken
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        ranks = byte_ranks({t: i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t not in self.special})
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        assert not re.search(f"[{WHITE}]", "".join(special))
+        self.special = re.compile(f"({'|'.join(map(re.escape, special))})" if special else "(?!)")
+        # Pairs of bytes, as the vocabulary shows them, that some token holds: there a cut could part what belongs together.
+        self.inside = {t[i : i + 2] for t in self.tokenizer.get_vocab(with_added_tokens=False) for i in range(len(t) - 1)}
+        visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in visible]
+        self.shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.white = {chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i))}
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def parts(self, chunk: str) -> Iterator[str]:
+        """chunk, cut about every LONG characters between two blanks or two letters whose bytes no token holds side by side."""
+        for k, part in enumerate(self.special.split(chunk)):
+            start = at = 0
+            # Every second part is a special token's string, which stays whole.
+            while k % 2 == 0 and (at := max(at + 1, start + LONG)) < len(part):
+                a, b = part[at - 1], part[at]
+                alike = (a in self.white and b in self.white) or (a.isalpha() and b.isalpha())
+                if alike and self.shown[a.encode()[-1]] + self.shown[b.encode()[0]] not in self.inside:
+                    yield part[start:at]
+                    start = at
+            yield part[start:]
+
+    def encoded(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        return array("I", self.encode(text)).tobytes()
+        chunks = CHUNK.findall(text)
+        known = self.known
+        long = False
+        for c in set(chunks):
+            if c in known:
+                continue
+            if len(c) > LONG:
+                long = True
+                continue
+            known[c] = got = self.encoded(c)
+            self.held += 4 * len(c) + len(got) + 200
+        if long:
+            out = b"".join(known[c] if c in known else b"".join(map(self.encoded, self.parts(c))) for c in chunks)
+        else:
+            out = b"".join(map(known.__getitem__, chunks))
+        if self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -67,42 +107,31 @@ def ids_by(path: str) -> Ids:
     return Ids(path)
 
 
-def sum_of_squares(lengths: np.ndarray, size: int, ending: float = 1.5) -> tuple[np.ndarray, np.ndarray]:
+def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Bin and offset of each length (1 to size), the longest taken first.
 
-    Once `ending` times the space open holds all that is left, few new bins can
-    come, and keeping gaps in balance for later pieces no longer pays: from
-    there on the tightest gap is taken.
+    Of the open bins that have room the one is taken that leaves the smallest
+    sum of squared counts of open bins per gap (ties: the tightest); a new bin
+    is opened where none has room.
     """
     count = np.zeros(size + 1, np.int64)  # open bins per gap; a full bin (gap 0) isn't open
     opened: list[list[int]] = [[] for _ in range(size + 1)]
     bins, offsets, n = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    left, space = int(lengths.sum()), 0
     for k in np.argsort(-lengths, kind="stable").tolist():
         s = int(lengths[k])
-        if left <= ending * space:
-            at = int((count[s:] > 0).argmax())
-            use = count[at + s] > 0
-        else:
-            # Taking gap g: count[g] falls by one, count[g - s] rises by one; halves of the change less one.
-            change = count[: size - s + 1] - count[s:]
-            change[0] -= 1
-            change[count[s:] == 0] = 2 * len(lengths)  # no such bin
-            at = int(change.argmin())
-            # A new bin only raises count[size - s]: by 2 * count + 1.
-            use = count[at + s] > 0 and (s == size or 2 * int(change[at]) + 2 <= 2 * int(count[size - s]) + 1)
-        if use:
-            b, gap = opened[at + s].pop(), at + s
+        # Taking gap g: count[g] falls by one, count[g - s] rises by one; halves of the change less one (at gap s half less, which settles ties only).
+        change = count[: size - s + 1] - count[s:]
+        change[count[s:] == 0] = 2 * len(lengths)  # no such bin
+        gap = int(change.argmin()) + s
+        if count[gap]:
+            b = opened[gap].pop()
             count[gap] -= 1
-            space -= gap
         else:
             b, gap, n = n, size, n + 1
         bins[k], offsets[k] = b, size - gap
-        left -= s
         if gap > s:
             opened[gap - s].append(b)
             count[gap - s] += 1
-            space += gap - s
     return bins, offsets
 
 
@@ -128,8 +157,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, size: int) -> Data
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024, group: int = GROUP) -> DataFrame:
     """Every piece of every row of docs and its place: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is its end id alone; repeated rows and null ids are
-    documents of their own; other columns are ignored.  One scan of sizes sets
+    A null or empty text is its end id alone; very long texts, blank ones too,
+    are encoded whole, chunk by chunk; repeated rows and null ids are documents
+    of their own, and pieces of equal length are taken in the order in which
+    the group holds them; an empty table has no pieces; other columns are
+    ignored.  One scan of sizes sets
     the number of groups; then pieces (not texts) are shuffled once.
     """
     ship(docs.sparkSession)

@@ -296,6 +296,62 @@ def test_packing(spark, documents):
     assert bins.max() + 1 <= 1.02 * lengths.sum() / 1024 + 2
 
 
+def packed_by_force(lengths, size):
+    """Gap that each piece takes, trying every open sequence with room."""
+    gaps, taken = [], {}
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        s, best = lengths[k], None
+        for i, g in enumerate(gaps):
+            if g >= s:
+                after = collections.Counter(x for x in [*gaps[:i], *gaps[i + 1 :], g - s] if x)
+                best = min(best or (1e9,), (sum(n * n for n in after.values()), g, i))
+        if best is None:
+            gaps.append(size)
+            best = (0, size, len(gaps) - 1)
+        taken[k] = best[1]
+        gaps[best[2]] -= s
+    return taken, len(gaps)
+
+
+def test_sum_of_squares():
+    rng = np.random.default_rng(4)
+    for size, n in ((10, 60), (30, 120), (64, 80)):
+        for low in (1, size // 3):
+            lengths = rng.integers(low, size + 1, n)
+            bins, offsets = packing.sum_of_squares(lengths, size)
+            taken, used = packed_by_force(lengths.tolist(), size)
+            assert {k: size - int(o) for k, o in enumerate(offsets)} == taken and bins.max() + 1 == used
+    assert [len(x) for x in packing.sum_of_squares(np.zeros(0, np.int64), 8)] == [0, 0]
+
+
+def test_ids_of_odd_texts(monkeypatch):
+    """Chunks and safe cuts change no id, and runs of a million blanks are encoded."""
+    from tokenizers import Tokenizer
+
+    tokenizer, ids = Tokenizer.from_file(BYTES), packing.Ids(BYTES)
+    want = lambda t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = np.random.default_rng(6)
+    parts = ["a", "b", " ", "  ", "\n", " \n", "\t", "'s", "'", "''s", "\u3000", "\x1c", "\x85", "\xa0", "é", "中", "ด", "1", "²", "!", "<|endoftext|>", "<|endoftext|> ", " the", "\r\n", "\U0001f600", "\u0308"]
+    for long in (1000, 7):
+        monkeypatch.setattr(packing, "LONG", long)
+        ids.known.clear()
+        for _ in range(3000):
+            t = "".join(rng.choice(parts, rng.integers(1, 50)))
+            assert ids.of(t) == want(t), repr(t)
+    monkeypatch.setattr(packing, "LONG", 1000)
+    for t in ("a" + " " * 1_100_000 + "b", "\n" * 300_001, " \n\t" * 200_000, "中文字" * 50_000, "x" * 100_000):
+        assert ids.of(t) == want(t)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 0)
+    assert ids.of("one two") == want("one two") and not ids.known
+
+
+def test_packing_of_blanks(spark):
+    """Ten million blanks, an empty and a null text."""
+    docs = spark.createDataFrame([(1, "a" + " \n" * 5_000_000 + "b"), (2, ""), (3, None)], "doc_id long, text string")
+    out = packing.pack(docs, BYTES).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in out} == {1: 10_000_003, 2: 1, 3: 1}
+
+
 def test_url_filter(spark):
     urls = [None, "no scheme", "HTTP://WWW.Example.com/en/1", "http://a.example.com/en/1?x", "http://x.com", "http://é.NET/fr/#a", "https://cheap.org/a/b", "http://notexample.com/en/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls * 2)], "page_id long, url string, key string")
