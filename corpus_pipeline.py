@@ -1,4 +1,12 @@
-"""A training corpus from documents: filtered, deduplicated, masked, mixed and packed, stage by stage."""
+"""A training corpus from documents: filtered, deduplicated, masked, mixed and packed, stage by stage.
+
+Every stage takes null texts and sources, empty and very long texts, repeated
+rows and ids, empty tables and extra columns, and returns the columns that it
+got (the last one: pieces).  Null and empty texts end at the quality rules,
+which ask for 50 words; a null id or source is a value of its own; of equal
+rows one stays at the near-duplicates; ties are settled by the operators'
+docstrings; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lotwatch.llm import near_duplicates, packing, quality_rules, secret_scans, source_mixing
+from lotwatch.llm.common import shared_folder
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages on documents, each one's result written as Parquet in the shared folder and read by the next."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
