@@ -13,8 +13,9 @@ Bands of the signature name buckets.  In a bucket, documents are not paired
 all with all: each meets the bucket's representative first, and most of a group
 of copies is one component then.  What a bucket still holds of different
 components is compared in full: pair by pair where the bucket is small, else in
-blocks of texts, each two blocks in a group of their own, of which only links
-that join components come out.  Before pairs are verified on the texts, those
+blocks, each two blocks in a group of their own: signatures first, then the
+texts of those that may have a link, of which only links that join components
+come out.  Before pairs are verified on the texts, those
 whose signatures agree too seldom are left.  Links that join components are all
 that classes need.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwatch.llm.common import cut, ship, table, text_of
@@ -39,6 +40,8 @@ BANDS, ROWS = 30, 5
 SMALL = 16
 #: Texts, and their bytes, of a block of a larger bucket, and columns of the matrices that compare two blocks.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 4096
+#: Signatures of a block where only they are compared.
+BRIEFS = 2048
 #: Pairs are left if signatures agree so many standard deviations below what the least likeness gives (1 pair in 10^7).
 DEVIATIONS = 5.5
 U = np.uint64
@@ -156,7 +159,7 @@ def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, id, set_a and set_b (128 bits that name the multiset), buckets and brief (a byte of each signature component) of every row of docs (doc_id, id, text)."""
+    """doc_id, id, hash, set_a and set_b (128 bits that name the multiset), buckets and brief (a byte of each signature component) of every row of docs (doc_id, text, id, hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,10 +178,11 @@ def sketch(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 buckets = band_hashes(sig, bands, rows).view(np.int64)
                 brief = pa.array([x.tobytes() for x in (sig >> U(56)).astype(np.uint8)], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(filled * bands)].astype(np.int32)), pa.array(buckets[filled].ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, n), b.column("id").slice(at, n), pa.array(sums[0]), pa.array(sums[1]), lists, brief], ["doc_id", "id", "set_a", "set_b", "buckets", "brief"])
+                kept = [b.column(c).slice(at, n) for c in ("doc_id", "id", "hash")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(sums[0]), pa.array(sums[1]), lists, brief], ["doc_id", "id", "hash", "set_a", "set_b", "buckets", "brief"])
                 at += n
 
-    return docs.mapInArrow(run, "doc_id long, id long, set_a long, set_b long, buckets array<long>, brief binary")
+    return docs.mapInArrow(run, "doc_id long, id long, hash long, set_a long, set_b long, buckets array<long>, brief binary")
 
 
 def overlap(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
@@ -203,9 +207,14 @@ def overlap(left: pa.Array, right: pa.Array, width: int) -> np.ndarray:
     return shared / np.maximum(total - shared, 1)
 
 
+def enough_of(values: int, least: float) -> float:
+    """Agreeing components of `values` that a pair of likeness `least` hardly ever falls short of."""
+    return values * least - DEVIATIONS * (values * least * (1 - least)) ** 0.5
+
+
 def likely(pairs: DataFrame, own: DataFrame, values: int, least: float) -> DataFrame:
     """Those pairs (a, b) whose signatures agree about as often as likeness `least` gives, or more often."""
-    enough = values * least - DEVIATIONS * (values * least * (1 - least)) ** 0.5
+    enough = enough_of(values, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,7 +236,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
                 near = pa.array(overlap(b.column("ta"), b.column("tb"), width) >= least)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(near), b.column("b").filter(near)], ["a", "b"])
 
-    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    one, two = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
@@ -289,27 +298,60 @@ def bridges(batch: pa.Table, left: np.ndarray, right: np.ndarray, width: int, le
     return a, b
 
 
-def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Links (a, b) that join all the components that a bucket's texts of likeness `least` or more join, of buckets of any size.
+def dealt(crowd: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """crowd(bucket, node, comp, size) once for each pair of blocks of its bucket that it stands in: bucket, low, high, block, node, comp.
 
-    A bucket is cut into blocks of about BLOCK texts or BLOCK_BYTES.  Every
-    block of texts outside the bucket's largest component meets every block,
-    each two in a group of their own, and only what joins components comes out.
+    Every block of texts outside the bucket's largest component meets every
+    block; those of the largest component don't meet each other.
     """
-    per = crowd.join(texts.select(F.col("id").alias("node"), "size"), "node").groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    per = crowd.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("n", "size", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
 
     def blocks(n: Column, size: Column) -> Column:
-        return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+        return F.greatest(F.ceil(n / block), F.ceil(size / block_bytes), F.lit(1)).cast("int")
 
     most = F.col("most")
-    largest = largest.select("bucket", most["comp"].alias("main"), blocks(F.col("n") - most["n"], F.col("size") - most["size"]).alias("others"), blocks(most["n"], most["size"]).alias("mains"))
+    largest = cut(largest.select("bucket", most["comp"].alias("main"), blocks(F.col("n") - most["n"], F.col("size") - most["size"]).alias("others"), blocks(most["n"], most["size"]).alias("mains")))
     main, place = F.col("comp") == F.col("main"), F.xxhash64("node")
-    dealt = crowd.join(largest, "bucket").select(
+    met = crowd.join(largest, "bucket").select(
         "bucket", "node", "comp",
         F.when(main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int").alias("block"),
-        F.sequence(F.lit(0), F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)).alias("meets"),
+        F.explode(F.sequence(F.lit(0), F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))).alias("meets"),
     )
+    return met.select("bucket", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "node", "comp")
+
+
+def near_others(crowd: DataFrame, own: DataFrame, values: int, least: float) -> DataFrame:
+    """Those (bucket, node) of crowd whose signature agrees often enough with one of another component of the bucket.
+
+    Blocks of signatures meet, a hundred bytes a text, so that only texts that
+    may have a link go on to be compared.
+    """
+    enough = enough_of(values, least)
+
+    def run(group: pa.Table) -> pa.Table:
+        block, comp = group.column("block").to_numpy(), group.column("comp").to_numpy()
+        brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(-1, values)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        near = np.zeros(len(block), bool)
+        for at in range(0, len(left), 64):
+            some = left[at : at + 64]
+            hit = ((brief[some][:, None, :] == brief[right][None, :, :]).sum(axis=2) >= enough) & (comp[some][:, None] != comp[right][None, :])
+            near[some[hit.any(axis=1)]] = True
+            near[right[hit.any(axis=0)]] = True
+        return group.select(["bucket", "node"]).filter(pa.array(near))
+
+    met = dealt(crowd.withColumn("size", F.lit(values)), BRIEFS, BRIEFS * values)
+    return met.join(own.select("node", "brief"), "node").groupBy("bucket", "low", "high").applyInArrow(run, "bucket long, node long").distinct()
+
+
+def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Links (a, b) that join all the components that a bucket's texts of likeness `least` or more join, of buckets of any size.
+
+    A bucket is cut into blocks of about BLOCK texts or BLOCK_BYTES; each two
+    that must meet are a group of their own, of which only what joins
+    components comes out.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         block = group.column("block").to_numpy()
@@ -317,59 +359,76 @@ def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> Da
         node = group.column("node")
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
-    met = dealt.join(texts.select(F.col("id").alias("node"), "text"), "node").withColumn("meets", F.explode("meets"))
-    return met.withColumns({"low": F.least("block", "meets"), "high": F.greatest("block", "meets")}).groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+    met = dealt(crowd.join(texts.select("node", "size"), "node"), BLOCK, BLOCK_BYTES)
+    return met.join(texts.select("node", "text"), "node").groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:
-    """doc_id, id (see name), class_id (the smallest id of its class) and stays (it is that one) of every row of docs.
+    """doc_id, id (see name), hash (of the text), class_id and stays (it is the class's first document) of every row of docs.
 
     Classes are the components of likeness `least` or more.  Texts with equal
-    multisets of shingles are one text from the start; those without a word
-    are one too.  Rows that share a doc_id are one document: if they differ in
-    text, one of their texts is verified for all.  A row without an id is named
-    by its text (a negative class id).  Other columns are ignored.
+    multisets of shingles are one text from the start; null, empty and all
+    other texts without a word are one too.  A class is named by its smallest
+    id.  Rows are told apart by id and text: of texts that share an id but are
+    not alike, one bears the id and each other one a negative number made from
+    its shingles; a row without an id is named by its text, a negative number
+    too.  Equal rows stay or go together; an empty table has no classes; other
+    columns are ignored.
     """
     ship(docs.sparkSession)
-    named = text_of(docs).withColumn("id", name(F.col("doc_id"), F.col("text")))
+    named = text_of(docs).withColumns({"id": name(F.col("doc_id"), F.col("text")), "hash": F.xxhash64("text")})
     sketched = cut(sketch(named, width, bands, rows))
-    # Each distinct text, named by its smallest id; all that share a multiset share its buckets.
-    own = cut(sketched.groupBy("set_a", "set_b").agg(F.min("id").alias("node"), F.first("buckets").alias("buckets"), F.first("brief").alias("brief")))
-    member = cut(sketched.select("id", "set_a", "set_b").join(own.select("set_a", "set_b", F.col("node").alias("text_id")), ["set_a", "set_b"]).select("id", "text_id"))
-    one = member.groupBy("id").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("other"))
-    several = one.filter("text_id <> other").select("id", F.col("text_id").alias("b")).join(member, "id").select(F.col("text_id").alias("a"), "b").filter("a <> b")
-
-    # Each distinct text meets the smallest id of each of its buckets.
+    # Each distinct multiset, known by its first row; all that share it share its buckets.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "id", "hash")).alias("first")
+    sets = cut(sketched.groupBy("set_a", "set_b").agg(first, F.first("buckets").alias("buckets"), F.first("brief").alias("brief")))
+    # Where an id is the first of several multisets, the smallest of them bears it.
+    key = F.struct("set_a", "set_b")
+    shared = cut(sets.groupBy(F.col("first.id").alias("id")).agg(F.min(key).alias("bearer"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "bearer"))
+    other = F.xxhash64("set_a", "set_b").bitwiseOR(F.lit(-(2**63)))
+    own = sets.withColumn("id", F.col("first.id")).join(shared, "id", "left").withColumn("node", F.when(F.col("bearer") != key, other).otherwise(F.col("id"))).drop("id", "bearer")
+
+    # Each distinct multiset meets the smallest node of each of its buckets.
     spread = own.select("node", F.explode("buckets").alias("bucket"))
-    first = spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other").select("bucket", "b")
-    held = cut(spread.join(first, "bucket"))
-    needed = held.select(F.col("node").alias("id")).distinct()
-    read = cut(named.select("id", "text").join(needed, "id", "left_semi").dropDuplicates(["id"]).withColumn("size", F.octet_length("text")))
+    smallest = cut(spread.groupBy("bucket").agg(F.min("node").alias("b"), F.max("node").alias("other")).filter("b <> other").select("bucket", "b"))
+    held = cut(spread.join(smallest, "bucket"))
+    needed = own.join(held.select("node").distinct(), "node", "left_semi").select("node", F.col("first.id").alias("id"), F.col("first.hash").alias("hash"))
+    read = cut(named.select("id", "hash", "text").join(needed, ["id", "hash"]).dropDuplicates(["node"]).select("node", "text", F.octet_length("text").alias("size")))
 
     def linked(pairs: DataFrame) -> DataFrame:
         return verified(likely(pairs, own, bands * rows, least), read, width, least)
 
-    found = components(cut(linked(ordered(held.filter("node <> b"))).union(several)))
+    found = components(cut(linked(ordered(held.filter("node <> b")))))
     # Buckets that still hold different components.
-    parts = held.select("bucket", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_ = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high")
-    parts = cut(parts.join(open_.select("bucket", "n"), "bucket"))
+    parts = cut(held.select("bucket", "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    mixed_ = cut(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "n"))
+    parts = cut(parts.join(mixed_, "bucket"))
     few, crowd = parts.filter(F.col("n") <= small), parts.filter(F.col("n") > small)
     pairs = few.join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").filter("node > b AND comp <> comp_b").select("node", "b")
-    new = cut(linked(ordered(pairs)).union(crossing(crowd.select("bucket", "node", "comp"), read, width, least)))
+    crowd = crowd.select("bucket", "node", "comp")
+    crowd = cut(crowd.join(cut(near_others(crowd, own, bands * rows, least)), ["bucket", "node"], "left_semi"))
+    new = cut(linked(ordered(pairs)).union(crossing(crowd, read, width, least)))
     found = components(new.union(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
-    to = found.select(F.col("node").alias("text_id"), "comp")
-    classes = one.join(to, "text_id", "left").select("id", F.coalesce("comp", "text_id").alias("class_id"))
-    return sketched.select("doc_id", "id").join(classes, "id").select("doc_id", "id", "class_id", (F.col("id") == F.col("class_id")).alias("stays"))
+    classes = own.select("set_a", "set_b", "first", "node").join(found, "node", "left").withColumn("class_id", F.coalesce("comp", "node")).drop("comp")
+    is_first = (F.col("node") == F.col("class_id")) & (F.col("id") == F.col("first.id")) & (F.col("hash") == F.col("first.hash"))
+    return sketched.select("doc_id", "id", "hash", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("doc_id", "id", "hash", "class_id", is_first.alias("stays"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, for each class."""
-    stays = near_duplicates(docs).filter("stays").select(F.col("id").alias("name")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("name", name(F.col("row.doc_id"), F.col("row.text")))
-    # Partitioned by name already: rows that repeat an id go without a further shuffle.
-    return rows.join(stays, "name", "left_semi").dropDuplicates(["name"]).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """One row of docs, with all its columns, for each class.
+
+    Of rows with that id and text, the one that comes first by a hash of its
+    other columns.  Null and empty texts are one class; no row of a text that
+    is like no other goes, whatever its id; an empty table stays empty.
+    """
+    stays = near_duplicates(docs).filter("stays").select(F.col("id").alias("name"), "hash").distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumns({"name": name(F.col("row.doc_id"), F.col("row.text")), "hash": F.xxhash64(F.coalesce("row.text", F.lit("")))})
+    others = [F.col("row")[c].cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    # Partitioned by name and text already: equal rows are numbered without a further shuffle.
+    w = Window.partitionBy("name", "hash").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    rows = rows.join(stays, ["name", "hash"], "left_semi").withColumn("n", F.row_number().over(w)).filter("n = 1")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,9 +200,11 @@ def classes_by_force(rows):
             x = up[x]
         return x
 
-    ids = sorted(bags)
+    ids, size = sorted(bags), {d: sum(bag.values()) for d, bag in bags.items()}
     for i, a in enumerate(ids):
         for b in ids[:i]:
+            if min(size[a], size[b]) < 0.8 * max(size[a], size[b]):
+                continue
             both, any_ = sum((bags[a] & bags[b]).values()), sum((bags[a] | bags[b]).values())
             if (any_ and both / any_ >= 0.8) or any_ == 0:
                 x, y = sorted((top(a), top(b)))
@@ -212,7 +214,7 @@ def classes_by_force(rows):
 
 def test_near_duplicates(spark, documents):
     rng = np.random.default_rng(5)
-    rows = [(r["doc_id"], r["text"]) for r in documents.collect() if len(r["text"] or "") < 3000]
+    rows = [(r["doc_id"], r["text"]) for r in documents.collect()]
     base = [f"w{k}" for k in range(300)]
     for i in range(25):  # a chain of edits: neighbours are alike, the ends aren't
         base = [f"e{i}x{k}" if rng.random() < 0.015 else w for k, w in enumerate(base)]
@@ -227,7 +229,36 @@ def test_near_duplicates(spark, documents):
     assert sorted(r["doc_id"] for r in one) == sorted(set(want.values()))
     got = near_duplicates.near_duplicates(edge(spark)).collect()
     assert len(got) == edge(spark).count() and {r["class_id"] for r in got if r["doc_id"] in (5, 6)} == {5} and {r["class_id"] for r in got if r["doc_id"] in (0, 1, 2)} == {0}
-    assert near_duplicates.near_duplicates(empty(spark)).count() == 0 and near_duplicates.representatives(edge(spark)).count() == 6
+    assert near_duplicates.near_duplicates(empty(spark)).count() == 0 and near_duplicates.representatives(empty(spark)).count() == 0
+    assert near_duplicates.representatives(edge(spark)).count() == 6
+
+
+def test_repeated_ids(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    rows = [(1, own(1), "a"), (1, own(2), "b"), (1, own(2), "c"), (2, own(2) + " end", "d"), (None, own(3), "e"), (None, own(4), "f"), (None, own(3), "g"), (7, own(1), "h"), (-5, own(5), "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = near_duplicates.near_duplicates(docs).join(docs.withColumn("hash", F.xxhash64("text")).select("text", "hash").distinct(), "hash").collect()
+    assert len(out) == len(rows)
+    classes = collections.defaultdict(set)
+    for r in out:
+        classes[r["class_id"]].add(r["text"])
+    assert sorted(map(sorted, classes.values())) == sorted([[own(1)], sorted([own(2), own(2) + " end"]), [own(3)], [own(4)], [own(5)]])
+    assert {r["class_id"] for r in out if r["text"] == own(5)} == {-5}
+    assert all(sum(r["stays"] for r in out if r["class_id"] == c) >= 1 for c in classes)
+    one = near_duplicates.representatives(docs).collect()
+    assert len(one) == 5 and {r["text"] for r in one} >= {own(1), own(3), own(4), own(5)}
+    assert near_duplicates.representatives(docs).columns == docs.columns
+
+
+def test_recall(spark):
+    """Links of likeness 0.8 and more among 1000 documents, whole texts: at least 0.99 are within a class, and no class holds others."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    want = classes_by_force(rows)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [d for d in want if want[d] != d]
+    assert len(linked) > 50 and np.mean([got[d] == got[want[d]] for d in linked]) >= 0.99
+    assert all(want[d] == want[got[d]] for d in got)
 
 
 def test_large_mixed_buckets(spark, monkeypatch):
