@@ -1,9 +1,14 @@
 """Mixing sources to target weights: iterative proportional fitting, then calibrated sampling.
 
 Native throughout.  Token counts are summed into cells of source, language and
-topic; the cells' weights are raked in turn to the targets of each margin; a
-document's probability is its cell's weight over its cell's tokens.  Only cells
-are iterated over, each step written to the checkpoint folder.
+topic; the cells' weights are raked in turn to the targets of each margin until
+all are met; a document's probability is its cell's weight over its cell's
+tokens, scaled so that no cell asks for more than it has: then the expected
+sample has the targets' shares in every margin.  Only cells are iterated over,
+each round written to the checkpoint folder.
+
+Tokens are estimated natively as a fourth of the text's UTF-8 bytes, which
+holds for scripts with and without blanks alike.
 """
 
 from __future__ import annotations
@@ -11,66 +16,90 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import cut, table, words
+from lotwatch.llm.common import cut, once, table
 
 MARGINS = ("source", "lang", "topic")
-ROUNDS = 6
+#: Rounds end when no margin is further than this from its target, or after so many.
+NEAR, MOST_ROUNDS = 1e-10, 25
 #: Targets are shares to this power: 1 leaves the mix, 0 makes it even.
-TEMPER = 0.8
+TEMPER = 0.9
 TOKENS = 1.0  # sampled tokens hoped for, as a share of all; less where a probability would exceed 1
 SEED = "mix"
-#: Topics by the first mark that a text holds.
-TOPICS = (("license", "Licen[cs]e"), ("code", '[=({] *"'), ("contact", "@"), ("symbols", r"[#*$%&|<>]{3}"))
-OTHER = "prose"
+BYTES_A_TOKEN = 4
+#: Topics: what marks one, and about how many bytes of it a mark stands for.
+TOPICS = (
+    ("license", "[Ll]icen[cs]e|[Cc]opyright|[Ww]arrant(?:y|ies)|[Rr]ights reserved", 60),
+    ("code", r'[=({] *"|[;{}]|\) *:', 30),
+    ("contact", "[A-Za-z0-9]@[A-Za-z0-9]|[0-9][0-9 ().-]{8,}[0-9]", 20),
+    ("symbols", "[#*$%&|<>]{3}", 5),
+)
+#: A topic's marks stand for a hundredth of the text at least, else it is prose.
+PARTS, OTHER = 100, "prose"
 
 
 def topic_of(text: Column) -> Column:
-    topic = F.lit(OTHER)
-    for name, mark in reversed(TOPICS):
-        topic = F.when(text.rlike(mark), name).otherwise(topic)
-    return topic
+    """The topic whose marks stand for most of a text (ties: the first in TOPICS)."""
+    scores = once(F.array(*[F.regexp_count(text, F.lit(mark)) * size for _, mark, size in TOPICS]))
+
+    def named(s: Column) -> Column:
+        most = F.array_max(s)
+        names = F.array(*[F.lit(name) for name, _, _ in TOPICS])
+        return F.when((most > 0) & (most * PARTS >= F.octet_length(text)), F.get(names, F.array_position(s, most).cast("int") - 1)).otherwise(OTHER)
+
+    return F.get(F.transform(F.array(scores), named), F.lit(0))
 
 
 def tempered(cells: DataFrame, margin: str, temper: float) -> DataFrame:
-    """Targets of a margin: its values' shares of all tokens, to a power, scaled to sum to 1."""
-    total = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).withColumn("t", F.pow(F.greatest(F.col("t"), F.lit(0)).cast("double"), F.lit(temper)))
+    """Targets of a margin: its values' shares of all tokens, to a power, scaled to sum to 1; a value without tokens has none."""
+    total = cells.groupBy(margin).agg(F.sum("tokens").alias("t")).withColumn("t", F.when(F.col("t") > 0, F.pow(F.col("t").cast("double"), F.lit(temper))).otherwise(0.0))
     whole = total.agg(F.sum("t").alias("all"))
     return total.join(F.broadcast(whole)).select(margin, F.coalesce(F.try_divide("t", "all"), F.lit(0.0)).alias("target"))  # one row
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int) -> DataFrame:
-    """cells(margins, tokens) with weight: shares whose margins meet targets(value, target) after some rounds."""
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROUNDS, near: float = NEAR) -> DataFrame:
+    """cells(margins, tokens) with weight: shares whose margins are `near` their targets(value, target), or come so after `rounds`.
+
+    Where empty cells leave no such weights, the last round's stand: the last
+    margin met, the others as near as they came.
+    """
     whole = cells.agg(F.sum("tokens").cast("double").alias("all"))
-    cells = cut(cells.join(F.broadcast(whole)).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), "all"), F.lit(0.0))).drop("all"))
+    cells = cells.join(F.broadcast(whole)).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), "all"), F.lit(0.0))).drop("all")
     for _ in range(rounds):
         for margin in MARGINS:
             sums = cells.groupBy(margin).agg(F.sum("weight").alias("sum")).join(targets[margin], margin)
             factor = sums.select(margin, F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("factor"))
-            cells = cut(cells.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).select(*MARGINS, "tokens", "weight"))
+            cells = cells.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).select(*MARGINS, "tokens", "weight")
+        cells = cut(cells)
+        if all(off(cells, m, targets[m]) <= near for m in MARGINS[:-1]):  # the last one is met by its turn
+            break
     return cells
 
 
+def off(cells: DataFrame, margin: str, target: DataFrame) -> float:
+    """The largest distance of a margin's weights from its targets."""
+    sums = cells.groupBy(margin).agg(F.sum("weight").alias("sum")).join(target, margin)
+    return sums.agg(F.max(F.abs(F.col("sum") - F.col("target"))).alias("off")).first()["off"] or 0.0
+
+
 def keys(source: Column, lang: Column, text: Column) -> dict[str, Column]:
     """The cell of a document, and its tokens."""
     text = F.coalesce(text, F.lit(""))
     value = lambda c: F.coalesce(c.cast("string"), F.lit(""))
-    return {"source": value(source), "lang": value(lang), "topic": topic_of(text), "tokens": F.size(words(text)).cast("long")}
+    tokens = ((F.octet_length(text) + (BYTES_A_TOKEN - 1)) / BYTES_A_TOKEN).cast("long")
+    return {"source": value(source), "lang": value(lang), "topic": topic_of(text), "tokens": tokens}
 
 
-def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int, tokens: float, scaled: bool) -> DataFrame:
+def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int, tokens: float) -> DataFrame:
     """weight and probability of each cell(margins, tokens).
 
-    scaled: where a cell wants a probability over 1, all are divided by the
-    largest, so that the expected sample meets the targets; else it is cut off
-    at 1 and the sample falls short of them.
+    Where a cell wants a probability over 1, all are divided by the largest, so
+    that the expected sample meets the targets: it is smaller, not off them.
     """
     targets = targets or {m: cut(tempered(cells, m, temper)) for m in MARGINS}
     raked = rake(cells, targets, rounds)
     per_token = F.try_divide(F.col("weight"), F.col("tokens").cast("double"))
     whole = raked.agg(F.sum("tokens").cast("double").alias("all"), F.max(per_token).alias("most"))
-    share = F.try_divide(F.lit(tokens) * F.col("weight") * F.col("all"), F.col("tokens").cast("double"))
-    if scaled:
-        share = share / F.greatest(F.lit(1.0), F.lit(tokens) * F.col("most") * F.col("all"))
+    share = F.lit(tokens) * per_token * F.col("all") / F.greatest(F.lit(1.0), F.lit(tokens) * F.col("most") * F.col("all"))
     return raked.join(F.broadcast(whole)).select(*MARGINS, "weight", F.coalesce(F.least(F.lit(1.0), share), F.lit(1.0)).alias("probability"))
 
 
@@ -80,29 +109,33 @@ def drawn(doc_id: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tokens: float = TOKENS, seed: str = SEED, scaled: bool = False) -> DataFrame:
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled of every row of docs.
 
     targets: a frame (value, target) for each margin; by default the corpus's
     own shares to the power `temper`.  Null sources and languages are values of
-    their own (""), null texts have no tokens; a cell without tokens has weight
-    0 and its documents probability 1 (they take no share).  Whether a row is
-    sampled depends on its id and the seed alone; other columns are ignored.
-    scaled: as in calibrated(); without it, as OP2_SQL has it, the sampled
-    shares stay between the corpus's own and the targets.
+    their own (""); null and empty texts have no tokens, and a cell without
+    tokens has weight 0 and its documents probability 1 (they take no share);
+    a very long text counts whole.  Whether a row is sampled depends on its id
+    and the seed alone, so that repeated rows (and all without an id) stay or
+    go together; an empty table has no cells; other columns are ignored.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in keys(F.col("source"), F.col("lang"), F.col("text")).items()]))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    out = rows.join(calibrated(cells, targets, temper, rounds, tokens, scaled), list(MARGINS))
-    return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 9).alias("weight"), F.round("probability", 9).alias("probability"), (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
+    out = rows.join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
+    return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 7).alias("weight"), F.round("probability", 5).alias("probability"), (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
-    """The rows of docs that mix() samples when scaled, with all their columns; only cells are shuffled."""
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
+    """The rows of docs that mix() samples, with all their columns; only cells are shuffled.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as there;
+    columns may have any names.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     rows = rows.select("row", *[c.alias(k) for k, c in keys(F.col("row.source"), F.col("row.lang"), F.col("row.text")).items()])
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    out = rows.drop("tokens").join(calibrated(cells, targets, temper, rounds, tokens, True), list(MARGINS))
+    out = rows.drop("tokens").join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
     return out.filter(drawn(F.col("row.doc_id"), seed) < F.col("probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
@@ -111,24 +144,27 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    topic = "CASE " + " ".join(f"WHEN regexp_matches(text, '{mark}') THEN '{name}'" for name, mark in TOPICS) + f" ELSE '{OTHER}' END"
+    scores = ", ".join(f"len(regexp_extract_all(text, '{mark}')) * {size} AS s{i}" for i, (_, mark, size) in enumerate(TOPICS))
+    most = f"greatest({', '.join(f's{i}' for i in range(len(TOPICS)))})"
+    topic = f"CASE WHEN {most} = 0 OR {most} * {PARTS} < bytes THEN '{OTHER}' " + " ".join(f"WHEN s{i} = {most} THEN '{name}'" for i, (name, _, _) in enumerate(TOPICS)) + " END"
     steps = [
-        rf"""d AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, {topic} AS topic,
-  CAST(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS tokens
+        f"""t AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, octet_length(encode(text)) AS bytes, {scores}
   FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM documents))""",
+        f"d AS MATERIALIZED (SELECT doc_id, source, lang, {topic} AS topic, CAST((bytes + {BYTES_A_TOKEN - 1}) // {BYTES_A_TOKEN} AS BIGINT) AS tokens FROM t)",
         "cells AS MATERIALIZED (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM d GROUP BY ALL)",
         "r0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)",
     ]
     for m in MARGINS:
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, t / sum(t) OVER () AS target FROM (SELECT {m}, sum(tokens) ** {TEMPER} AS t FROM cells GROUP BY {m}))")
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, t / sum(t) OVER () AS target FROM (SELECT {m}, CASE WHEN sum(tokens) > 0 THEN sum(tokens) ** {TEMPER} ELSE 0 END AS t FROM cells GROUP BY {m}))")
     n = 0
-    for _ in range(ROUNDS):
+    for _ in range(12):  # enough for the tables at hand; more rounds change nothing
         for m in MARGINS:
             steps.append(f"r{n + 1} AS MATERIALIZED (SELECT r.* REPLACE (coalesce(weight * target / nullif(sum(weight) OVER (PARTITION BY r.{m}), 0), 0) AS weight) FROM r{n} r JOIN t_{m} t ON r.{m} = t.{m})")
             n += 1
-    steps.append(f"p AS (SELECT source, lang, topic, weight, coalesce(least(1.0, {TOKENS} * weight * sum(tokens) OVER () / nullif(tokens, 0)), 1.0) AS probability FROM r{n})")
+    steps.append(f"k AS (SELECT *, {TOKENS} * weight * sum(tokens) OVER () / nullif(tokens, 0) AS share FROM r{n})")
+    steps.append("p AS (SELECT source, lang, topic, weight, coalesce(least(1.0, share / greatest(1.0, max(share) OVER ())), 1.0) AS probability FROM k)")
     draw = f"CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(1 << 52)}"
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, d.tokens, round(weight, 9) AS weight, round(probability, 9) AS probability, {draw} < probability AS sampled FROM d JOIN p USING (source, lang, topic)"
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, d.tokens, round(weight, 7) AS weight, round(probability, 5) AS probability, {draw} < probability AS sampled FROM d JOIN p USING (source, lang, topic)"
 
 
 OP2_SQL = _sql()

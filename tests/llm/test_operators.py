@@ -60,22 +60,29 @@ def test_mixing(spark, documents):
     for docs in (edge(spark), empty(spark)):
         out = source_mixing.mix(docs, rounds=2).collect()
         assert len(out) == docs.count() and all(0 <= r["probability"] <= 1 for r in out)
-    out = source_mixing.mix(documents, rounds=12).toPandas()
+    assert {r["tokens"] for r in source_mixing.mix(edge(spark)).filter("doc_id = 7").collect()} == {-(-len(LONG) // 4)}
+    out = source_mixing.mix(documents).toPandas()
     cells = out.drop_duplicates(["source", "lang", "topic"])
     for m in source_mixing.MARGINS:
         share = out.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
-        assert np.allclose(cells.groupby(m)["weight"].sum(), share / share.sum(), atol=2e-3)
-    assert source_mixing.sampled(edge(spark), rounds=1).columns == edge(spark).columns
+        assert np.allclose(cells.groupby(m)["weight"].sum(), share / share.sum(), atol=1e-5)
+    assert source_mixing.sampled(edge(spark), rounds=1).columns == edge(spark).columns and source_mixing.sampled(empty(spark)).count() == 0
+
+
+def test_topics(spark):
+    texts = ["plain words " * 30, "Released under the MIT License. " + "word " * 20, "Released under the MIT License. " + "word " * 3000, "def f(x):\n  return {\"a\": 1};", "call 020 7946 0018 or a@b.org", "### *** word", "", "中文" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", source_mixing.topic_of(F.col("text")).alias("topic"))
+    assert [r["topic"] for r in df.orderBy("i").collect()] == ["prose", "license", "prose", "code", "contact", "symbols", "prose", "prose"]
 
 
 def test_mix_meets_targets(spark):
     """The sampled tokens' shares are the targets: a hot source, a rare language, a rare topic."""
     i = F.col("id")
-    text = F.concat(F.lit("a b c d e f g "), F.when(i % 25 == 0, "@").otherwise("h"))
+    text = F.concat(F.lit("a b c d e f g "), F.when(i % 25 == 0, "x@y").otherwise("h"))
     docs = spark.range(20000).select(i.alias("doc_id"), F.when(i % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), i % 20)).alias("source"), F.when(i % 11 == 1, "es").otherwise("en").alias("lang"), text.alias("text"))
-    every = source_mixing.mix(docs, scaled=True).toPandas()
+    every = source_mixing.mix(docs).toPandas()
     ids = {r["doc_id"] for r in source_mixing.sampled(docs).collect()}
-    assert ids == set(every["doc_id"][every["sampled"]]) and len(ids) > 5000
+    assert ids == set(every["doc_id"][every["sampled"]]) and len(ids) > 9000
     sample = every[every["doc_id"].isin(ids)]
     for m in source_mixing.MARGINS:
         target = every.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
@@ -365,7 +372,7 @@ def test_ids_of_odd_texts(monkeypatch):
     parts = ["a", "b", " ", "  ", "\n", " \n", "\t", "'s", "'", "''s", "\u3000", "\x1c", "\x85", "\xa0", "é", "中", "ด", "1", "²", "!", "<|endoftext|>", "<|endoftext|> ", " the", "\r\n", "\U0001f600", "\u0308"]
     for long in (1000, 7):
         monkeypatch.setattr(packing, "LONG", long)
-        ids.known.clear()
+        ids.clear()
         for _ in range(3000):
             t = "".join(rng.choice(parts, rng.integers(1, 50)))
             assert ids.of(t) == want(t), repr(t)
@@ -373,7 +380,7 @@ def test_ids_of_odd_texts(monkeypatch):
     for t in ("a" + " " * 1_100_000 + "b", "\n" * 300_001, " \n\t" * 200_000, "中文字" * 50_000, "x" * 100_000):
         assert ids.of(t) == want(t)
     monkeypatch.setattr(packing, "CACHE_BYTES", 0)
-    assert ids.of("one two") == want("one two") and not ids.known
+    assert ids.of("one two") == want("one two") and not ids
 
 
 def test_packing_of_blanks(spark):
