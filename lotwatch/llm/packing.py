@@ -31,20 +31,26 @@ from lotwatch.llm.common import ship, table, text_of
 GROUP = 20_000
 # Fixed value: Unicode's white space, what \s is to the tokenizer.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: No token holds a blank behind another character, so a text may be cut before each run of blanks.
-CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+# Fixed value: letters of Latin scripts, which any version of Unicode knows as such.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+WORD = f" ?[{LETTERS}]+"
+#: Where a text may be cut, as no token goes on there: before runs of blanks, and behind words where blanks, signs (but for the apostrophe) or digits follow, and behind a lone line end.
+CHUNK = re.compile(f"{WORD}(?=[!-&(-/:-@\\[-`{{-~0-9{WHITE}]|\\Z)|[\t\n\r\f\v](?=[{LETTERS}])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+WORD = re.compile(WORD)
 #: Remembered chunks of a worker, by their memory; beyond it the memory starts afresh.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 160 << 20
 #: Longer chunks aren't remembered, and are cut once more where that is safe.
 LONG = 1000
 
 
-class Ids:
+class Ids(dict):
     """Ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
 
-    A text is encoded chunk by chunk, and the chunks' ids are remembered.  A
-    chunk without a safe place to cut (a run of blanks or letters may have
-    none) is encoded whole.
+    A text is encoded chunk by chunk, and the dictionary remembers the chunks'
+    ids.  Words go straight to the tokenizer's model, all else through the
+    tokenizer.  A chunk without a
+    safe place to cut (a run of blanks or letters may have none) is encoded
+    whole.
     """
 
     def __init__(self, path: str):
@@ -53,7 +59,7 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        assert not re.search(f"[{WHITE}]", "".join(special))
+        assert not any(re.search(f"^[{LETTERS}]|[{WHITE}]", x) for x in special)  # so that no cut parts one
         self.special = re.compile(f"({'|'.join(map(re.escape, special))})" if special else "(?!)")
         # Pairs of bytes, as the vocabulary shows them, that some token holds: there a cut could part what belongs together.
         self.inside = {t[i : i + 2] for t in self.tokenizer.get_vocab(with_added_tokens=False) for i in range(len(t) - 1)}
@@ -61,7 +67,7 @@ class Ids:
         hidden = [b for b in range(256) if b not in visible]
         self.shown = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
         self.white = {chr(i) for i in range(0x3001) if re.match(f"[{WHITE}]", chr(i))}
-        self.known: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
         self.held = 0
 
     def parts(self, chunk: str) -> Iterator[str]:
@@ -80,24 +86,21 @@ class Ids:
     def encoded(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def of(self, text: str) -> bytes:
-        chunks = CHUNK.findall(text)
-        known = self.known
-        long = False
-        for c in set(chunks):
-            if c in known:
-                continue
-            if len(c) > LONG:
-                long = True
-                continue
-            known[c] = got = self.encoded(c)
-            self.held += 4 * len(c) + len(got) + 200
-        if long:
-            out = b"".join(known[c] if c in known else b"".join(map(self.encoded, self.parts(c))) for c in chunks)
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONG:
+            return b"".join(map(self.encoded, self.parts(chunk)))
+        if WORD.fullmatch(chunk):
+            got = array("I", [t.id for t in self.tokenize("".join(map(self.shown.__getitem__, chunk.encode())))]).tobytes()
         else:
-            out = b"".join(map(known.__getitem__, chunks))
+            got = self.encoded(chunk)
+        self[chunk] = got
+        self.held += 4 * len(chunk) + len(got) + 200
+        return got
+
+    def of(self, text: str) -> bytes:
+        out = b"".join(map(self.__getitem__, CHUNK.findall(text)))
         if self.held > CACHE_BYTES:
-            known.clear()
+            self.clear()
             self.held = 0
         return out
 
