@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import BLANKS, once, table, words
+from lotwatch.llm.common import BLANKS, cut, once, table, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
@@ -55,33 +55,19 @@ def lines_of(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("size"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))))
 
 
-def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, long_words: int | None = None) -> DataFrame:
-    """`row` and the text of every row of docs, its statistics, verdicts, and the hashes of its lines above the limit.
+def keys(source: Column, text: Column) -> dict[str, Column]:
+    """What names a document's text among those of its host."""
+    return {"host": F.coalesce(source.cast("string"), F.lit("")), "copy": F.unhex(F.md5(F.coalesce(text, F.lit(""))))}
 
-    long_words: lines of so many words are above it in more than least_docs
-    documents, whatever the share.  Those that aren't above the share too don't
-    reject a document: where too little would be left without them, as in a
-    group of near copies, they stay, for deduplication to judge.
-    """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(row.alias("row"), text.alias("text"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"))
-    rows = rows.withColumns({"copy": F.unhex(F.md5("text")), "lines": once(lines_of(F.col("text")))})
-    # One further entry a document stands for the document itself.
-    itself = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("words"))
-    held = rows.select("host", "copy", F.explode(F.array_append("lines", itself)).alias("l")).select("host", "copy", "l.line", "l.size", "l.words").distinct()
-    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("words"))
-    hosts = counts.filter("line is null").select("host", F.col("n").alias("documents"))
-    common = counts.filter((F.col("n") > least_docs) & F.col("line").isNotNull()).join(hosts, "host").withColumn("wide", F.col("n") > share * F.col("documents"))
-    common = common.filter(F.col("wide") if long_words is None else F.col("wide") | (F.col("words") >= long_words)).select("host", "line", "wide")
-    size, line = F.col("size"), F.col("line")
-    gone = held.filter("line is not null").join(common, ["host", "line"]).groupBy("host", "copy")
-    gone = gone.agg(F.sum(F.when(F.col("wide"), size)).alias("removed_chars"), F.sum(size).alias("common_chars"), F.collect_list(F.when(F.col("wide"), line)).alias("gone"), F.collect_list(line).alias("common"))
 
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, host, copy, the word statistics, base_failed, the distinct lines and their chars of every row of docs, written: the one pass over texts that verdicts need."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in keys(F.col("source"), F.col("text")).items()])
     plain = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    base = rows.withColumns({"words": once(words(F.col("text"))), "full_lines": plain})
+    base = rows.withColumns({"lines": once(lines_of(F.col("text"))), "words": once(words(F.col("text"))), "full_lines": plain})
     base = repeated_words(base, "words", "n_repeat_words").select(
-        "row",
-        "text",
+        "doc_id",
         "host",
         "copy",
         F.size("words").cast("long").alias("n_words"),
@@ -89,10 +75,33 @@ def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: fl
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("full_lines") - F.size(F.array_distinct("full_lines"))).cast("long").alias("n_dup_lines"),
         "n_repeat_words",
+        "lines",
         F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["size"]).alias("chars"),
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = base.join(gone, ["host", "copy"], "left").withColumns({"removed_chars": F.coalesce("removed_chars", F.lit(0)).cast("long"), "base_failed": failed})
+    return cut(base.withColumn("base_failed", failed))
+
+
+def judged(base: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, long_words: int | None = None) -> DataFrame:
+    """base (see measured) with removed_chars, kept, and the hashes of its lines above the limit.
+
+    long_words: lines of so many words are above it in more than least_docs
+    documents, whatever the share.  Those that aren't above the share too don't
+    reject a document: where too little would be left without them, as in a
+    group of near copies, they stay, for deduplication to judge.
+    """
+    # One further entry a document stands for the document itself.
+    itself = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("words"))
+    held = cut(base.select("host", "copy", F.explode(F.array_append("lines", itself)).alias("l")).select("host", "copy", "l.line", "l.size", "l.words").distinct())
+    counts = held.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"), F.max("words").alias("words"))
+    counts = cut(counts.filter((F.col("n") > least_docs) | F.col("line").isNull()))
+    hosts = counts.filter("line is null").select("host", F.col("n").alias("documents"))
+    common = counts.filter("line is not null").join(hosts, "host").withColumn("wide", F.col("n") > share * F.col("documents"))
+    common = cut(common.filter(F.col("wide") if long_words is None else F.col("wide") | (F.col("words") >= long_words)).select("host", "line", "wide"))
+    size, line = F.col("size"), F.col("line")
+    gone = held.filter("line is not null").join(common, ["host", "line"]).groupBy("host", "copy")
+    gone = cut(gone.agg(F.sum(F.when(F.col("wide"), size)).alias("removed_chars"), F.sum(size).alias("common_chars"), F.collect_list(F.when(F.col("wide"), line)).alias("gone"), F.collect_list(line).alias("common")))
+    out = base.drop("lines").join(gone, ["host", "copy"], "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)).cast("long"))
     out = out.withColumn("gone", F.when(F.col("chars") - F.col("common_chars") >= left * F.col("chars"), F.col("common")).when(F.size("gone") > 0, F.col("gone")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("chars") - F.col("removed_chars") >= left * F.col("chars")))
 
@@ -100,23 +109,28 @@ def judged(docs: DataFrame, row: Column, least_docs: int = LEAST_DOCS, share: fl
 def quality(docs: DataFrame, **limits: float) -> DataFrame:
     """doc_id, the word statistics, base_failed, kept, and the depletion's parts (chars, removed_chars) of every row of docs.
 
-    A null text counts as empty (and fails), a null source is a host of its own
-    (""); repeated rows each return a row, as do null ids; other columns are
-    ignored.  limits: those of judged().
+    A null or empty text has no words (and fails), a null source is a host of
+    its own (""); a very long text counts whole; repeated rows each return a
+    row, as do null ids; a line exactly at a limit stays; an empty table gives
+    an empty result; other columns are ignored.  limits: those of judged().
     """
-    out = judged(docs, F.struct(F.col("doc_id").cast("long").alias("doc_id")), **limits)
-    return out.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "removed_chars")
+    return judged(measured(docs), **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "removed_chars")
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
-    """The kept rows of docs without their lines above the limit, n_chars to match; other columns as they are.
+    """The kept rows of docs without their lines above the limit, n_chars to match; other columns as they are, whatever their names.
 
-    The rows are those that quality() keeps; lines of LONG_WORDS go whatever
-    their host's size.
+    The rows are those that quality() keeps, so null and empty texts go; lines
+    of LONG_WORDS go whatever their host's size.  Verdicts hold for a text of a
+    host, so that repeated rows share theirs; texts are shuffled once, to meet
+    them; an empty table stays empty.
     """
-    out = judged(docs, F.struct(*docs.columns), **{"long_words": LONG_WORDS, **limits}).filter("kept")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised(x)))), "\n")
-    out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    verdicts = judged(measured(docs), **{"long_words": LONG_WORDS, **limits}).filter("kept")
+    verdicts = cut(verdicts.groupBy("host", "copy").agg(F.first("gone").alias("gone")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    out = rows.withColumns(keys(F.col("row.source"), F.col("row.text"))).join(verdicts, ["host", "copy"])
+    left = F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("gone", F.xxhash64(normalised(x)))), "\n")
+    out = out.withColumn("left", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(left))
     new = {"text": F.col("left"), "n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("left")).cast("long")}
     return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 

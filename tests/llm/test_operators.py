@@ -127,7 +127,9 @@ def test_quality(spark, documents):
             lines = [x for x in t.split("\n") if split(x)]
             assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(hit))
             assert r["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>") and r["base_failed"] == (len(w) < 50 or 100 * len(hit) > 50 * len(w))
-    assert quality_rules.quality(empty(spark)).count() == 0
+    assert quality_rules.quality(empty(spark)).count() == 0 and quality_rules.cleaned(empty(spark)).count() == 0
+    long = quality_rules.cleaned(edge(spark)).collect()
+    assert quality_rules.cleaned(edge(spark)).columns == edge(spark).columns and [r["doc_id"] for r in long] in ([], [7])
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     boiler = "All rights reserved by the owners of this host."
     rows = [(i, f"{own(i)}\n{boiler}", "a") for i in range(20)] + [(99, "\n".join([own(99)[:90], *[boiler + " " + own(200 + k) for k in range(2)]]), "a")]
