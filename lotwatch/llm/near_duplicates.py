@@ -41,7 +41,7 @@ SMALL = 16
 #: Texts, and their bytes, of a block of a larger bucket, and columns of the matrices that compare two blocks.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 4096
 #: Signatures of a block where only they are compared.
-BRIEFS = 2048
+BRIEFS = 1024
 #: Pairs are left if signatures agree so many standard deviations below what the least likeness gives (1 pair in 10^7).
 DEVIATIONS = 5.5
 U = np.uint64
