@@ -1,11 +1,16 @@
 """Secret scans: candidate strings, kept or dismissed by a random forest.
 
 Native throughout (Spark SQL and Spark ML).  A candidate is a run of 16 or more
-key characters.  The forest sees its length, its changes of character class,
-how much of it common words cover, path marks around it and the words beside
-it.  It is trained on labelled findings: given ones, or those that a strict
-rule labels by their context; candidates that the rule leaves open get the
-forest's verdict too.
+key characters, or a quoted value of 8 or more that something is assigned.  The
+forest sees its length and characters, how likely its transitions between
+characters are in the corpus's own words, how much of it these words cover,
+path marks around it, and how much more often the words beside it stand beside
+secrets than beside other strings.
+
+It is trained on labelled findings: given ones, or planted ones, whose labels
+come from how they were made and not from any feature: keys of several makes
+with and without a name before them, and strings that are none (checksums,
+identifiers, paths, numbers, placeholders), also with such a name before them.
 """
 
 from __future__ import annotations
@@ -19,101 +24,225 @@ from pyspark.sql import functions as F
 from lotwatch.llm.common import cut, once, table, words
 
 RUN = "[A-Za-z0-9+/_=-]{16,}"
-SECRET_WORDS = "(?i)(token|secret|passw|passphrase|pwd|api.?key|access.?key|private.?key|credential|auth|bearer)"
-#: Common words and endings of the corpora's languages; what they cover is no random string.
-DICTIONARY = "(the|and|ing|tion|ent|ment|that|with|for|ver|ich|ein|sch|keit|heit|ung|der|die|eau|que|les|aux|ou|ción|ado|los|ar|er|en|re|on|an|es|st|in|is|ha|he)"
+QUOTED = "[\"'`]([^\"'`\\x20\\x09-\\x0D]{8,})[\"'`]"
+#: What a text with a candidate holds.
+HELD = f"{RUN}|[=:][\\x20\\x09-\\x0D]*{QUOTED}"
 #: Labelled findings that the forest is fitted on, at most so many of each label, the smallest by a hash.
 MOST_LABELLED = 5000
-TREES, DEPTH, SEED = 20, 6, 7
+PLANTED = 8000
+#: Words of the corpus that count as its dictionary recur so often; words beside findings that are told apart, those that labels differ on most.
+RECURRING, NEIGHBOURS = 5, 200
+TREES, DEPTH, SEED = 30, 8, 7
 MASK = "[SECRET]"
-FEATURES = ("length", "runs", "digits", "uppers", "distinct", "covered", "path", "keyword", "assigned", "quoted")
+FEATURES = ("length", "changes", "digits", "uppers", "distinct", "transitions", "covered", "path", "neighbours", "assigned", "quoted")
+# Fixed values for planting: names that secrets have, names that other strings have, and what stands in for a secret.
+NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "credential", "bearer", "key"]
+OTHERS = ["commit", "sha1", "sha256", "md5", "checksum", "revision", "digest", "etag", "uuid", "request", "id", "build", "version", "hash", "file", "path", "url", "see", "name", "class"]
+STAND_INS = ["your_api_key_here", "replace_with_token", "changeme_changeme", "example_password_1", "xxxxxxxxxxxxxxxxxxxx", "put-your-secret-here", "<your-access-token>", "not_a_real_secret"]
+PLAIN = ["the", "and", "with", "for", "value", "from", "this", "that", "und", "der", "les", "pour", "que", "con"]
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (a hash of the text), word_index, finding and features of every candidate in docs."""
+    """doc_id, copy (a hash of the text), word_index, finding and its context of every candidate in docs."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.col("text").rlike(RUN))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.col("text").rlike(HELD))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("copy"), once(words(F.col("text"))).alias("words"))
     w = F.col("words")
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= 16) & F.get(w, i).rlike(RUN))
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(f"{RUN}|{QUOTED}"))
     near = F.transform(places, lambda i: F.struct(i.alias("word_index"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"), F.get(w, i).alias("word"), F.get(w, i + 1).alias("after")))
     found = rows.select("doc_id", "copy", once(near).alias("near")).select("doc_id", "copy", F.explode("near").alias("c")).select("doc_id", "copy", "c.*")
-    found = found.withColumn("finding", F.explode(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))))
-    return found.select("doc_id", "copy", "word_index", "finding", *features())
+    # A quoted value that something is assigned stands whole, else the runs in the word do.
+    quoted = F.regexp_extract("word", QUOTED, 1)
+    assigned = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.split_part("word", quoted, F.lit(1))).rlike("[=:] *[\"'`]$")
+    found = found.withColumn("finding", F.explode(F.when((quoted != "") & assigned, F.array(quoted)).otherwise(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)))))
+    return found.select("doc_id", "copy", "word_index", "before2", "before", "word", "after", "finding")
 
 
-def features() -> list[Column]:
+def dictionary(docs: DataFrame) -> DataFrame:
+    """word, n of the runs of 3 to 24 letters that recur in the corpus; counted in full, never collected."""
+    runs = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
+    return cut(runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECURRING))
+
+
+def code(c: Column) -> Column:
+    """1 to 26 for letters, 0 for all else."""
+    a = F.ascii(F.lower(c))
+    return F.when(a.between(97, 122), a - 96).otherwise(0)
+
+
+def transitions(known: DataFrame) -> DataFrame:
+    """One row with the log-probability of each of 27 x 27 transitions, by code, in the dictionary's words."""
+    spelt = known.select("n", F.concat(F.lit("."), F.col("word"), F.lit(".")).alias("w"))
+    pairs = spelt.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") - 1), lambda i: code(F.substring("w", i, F.lit(1))) * 27 + code(F.substring("w", i + 1, F.lit(1))))).alias("pair"))
+    counts = pairs.groupBy("pair").agg(F.sum("n").alias("n"))
+    grid = known.sparkSession.range(27 * 27).select(F.col("id").cast("int").alias("pair")).join(counts, "pair", "left").withColumn("n", F.coalesce("n", F.lit(0)) + 1)
+    totals = grid.groupBy(F.floor(F.col("pair") / 27).alias("first")).agg(F.sum("n").alias("all"))
+    logs = grid.withColumn("first", F.floor(F.col("pair") / 27)).join(totals, "first").select("pair", F.log(F.col("n") / F.col("all")).alias("log"))
+    return cut(logs.agg(F.transform(F.sort_array(F.collect_list(F.struct("pair", "log"))), lambda x: x["log"]).alias("logs")).coalesce(1))
+
+
+def beside(lead: Column) -> Column:
+    """The words beside a finding, as what they have of letters."""
+    plain = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z]+", "")
+    return F.array_distinct(F.filter(F.array(plain(F.col("before2")), plain(F.col("before")), plain(lead), plain(F.col("after"))), lambda x: x != ""))
+
+
+def described(found: DataFrame, known: DataFrame, logs: DataFrame) -> DataFrame:
+    """found with all features but `neighbours`, and `beside`, the words that it comes from."""
     f, n = F.col("finding"), F.length("finding").cast("double")
     share = lambda pattern: (n - F.length(F.regexp_replace(f, pattern, ""))) / n
     shape = f
     for kind, pattern in (("a", "[a-z]+"), ("A", "[A-Z]+"), ("0", "[0-9]+")):
         shape = F.regexp_replace(shape, pattern, kind)
-    lead = F.concat_ws(" ", F.coalesce("before2", F.lit("")), F.coalesce("before", F.lit("")), F.split_part("word", f, F.lit(1)))
-    flag = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
-    return [
-        n.alias("length"),
-        F.length(shape).cast("double").alias("runs"),
-        share("[0-9]+").alias("digits"),
-        share("[A-Z]+").alias("uppers"),
-        F.size(F.array_distinct(F.split(f, ""))).cast("double").alias("distinct"),
-        ((n - F.length(F.regexp_replace(F.lower(f), DICTIONARY, ""))) / n).alias("covered"),
-        (F.length("word") - F.length(F.translate("word", "/.:@\\", ""))).cast("double").alias("path"),
-        flag(lead.rlike(SECRET_WORDS)).alias("keyword"),
-        flag(lead.rlike("[=:]")).alias("assigned"),
-        flag(F.col("word").rlike("[\"'`]")).alias("quoted"),
-    ]
-
-
-def labelled(found: DataFrame) -> DataFrame:
-    """Findings that their context labels for certain: 1 assigned to a secret's name and mixed, 0 without such a name."""
-    sure = (F.col("keyword") == 1) & (F.col("assigned") == 1) & (F.col("digits") > 0.1) & (F.col("runs") >= 4)
-    return found.withColumn("label", F.when(sure, 1.0).when(F.col("keyword") == 0, 0.0)).filter("label is not null")
+    lead = F.split_part("word", f, F.lit(1))
+    before = F.concat_ws(" ", F.coalesce("before", F.lit("")), lead)
+    codes = F.transform(F.split(f, ""), code)
+    steps = F.transform(F.sequence(F.lit(0), F.size("codes") - 2), lambda i: F.get("logs", F.get("codes", i) * 27 + F.get("codes", i + 1)))
+    mean = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("codes") - 1, F.lit(1))
+    # Fragments, as in camelCase, that the dictionary has: joined, as it grows with the corpus.
+    parts = found.select("finding").distinct().select("finding", F.explode(F.regexp_extract_all(f, F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))).alias("part")).withColumn("word", F.lower("part"))
+    covered = cut(parts.join(known.select("word"), "word").groupBy("finding").agg(F.sum(F.length("part")).alias("in_words")))
+    rows = found.join(covered, "finding", "left").join(F.broadcast(logs))  # one row
+    rows = rows.withColumn("codes", once(codes)).withColumns(
+        {
+            "length": n,
+            "changes": F.length(shape) / n,
+            "digits": share("[0-9]+"),
+            "uppers": share("[A-Z]+"),
+            "distinct": F.size(F.array_distinct(F.split(f, ""))) / n,
+            "transitions": mean,
+            "covered": F.coalesce(F.col("in_words"), F.lit(0)) / n,
+            "path": (F.length("word") - F.length(F.translate("word", "/.:@\\", ""))).cast("double"),
+            "beside": beside(lead),
+            "assigned": before.rlike("[=:] *[\"'`]?$").cast("double"),
+            "quoted": F.col("word").rlike("[\"'`]").cast("double"),
+        }
+    )
+    return rows.drop("codes", "logs", "in_words")
+
+
+def neighbours(labelled: DataFrame) -> DataFrame:
+    """One row: the log-odds of a secret for each of the words beside labelled findings that tell most."""
+    seen = labelled.select("label", F.explode("beside").alias("w")).groupBy("w").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
+    top = seen.orderBy(F.desc(F.abs(F.col("p") - F.col("q"))), "w").limit(NEIGHBOURS).withColumn("odds", F.log((F.col("p") + 1) / (F.col("q") + 1)))
+    return cut(top.agg(F.map_from_entries(F.collect_list(F.struct("w", "odds"))).alias("odds")).coalesce(1))
+
+
+def weighed(rows: DataFrame, odds: DataFrame) -> DataFrame:
+    """rows (beside) with `neighbours`, the sum of the log-odds of the words beside."""
+    rows = rows.join(F.broadcast(odds))  # one row
+    total = F.aggregate(F.transform("beside", lambda w: F.coalesce(F.try_element_at("odds", w), F.lit(0.0))), F.lit(0.0), lambda a, x: a + x)
+    return rows.withColumn("neighbours", total).drop("odds", "beside")
+
+
+def planted(spark: SparkSession, known: DataFrame, n: int = PLANTED, seed: int = SEED) -> DataFrame:
+    """n made findings with their context and label: half of them secrets, a third of these without a name before them, and others, a third of these with one."""
+
+    def pick(values: Column | list[str], k: int) -> Column:
+        a = values if isinstance(values, Column) else F.array(*map(F.lit, values))
+        return F.get(a, F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.size(a)).cast("int"))
+
+    def number(k: int, most: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(most))
+
+    made = F.concat_ws("/", "id", F.lit(seed))
+    hexes, mixed = F.sha2(made, 512), F.base64(F.unhex(F.sha2(F.concat(made, F.lit("x")), 512)))
+    letters = F.translate(mixed, "+/=\r\n", "kQ7")
+    w = lambda k: pick(F.col("common"), k)
+    cap = lambda k: F.initcap(w(k))
+    secret = [
+        F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.substring(hexes, 1, 64), F.translate(F.substring(mixed, 1, 40), "\r\n", ""), F.substring(letters, 1, 24), F.substring(letters, 5, 36),
+        F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(letters, 1, 24)), F.concat(F.substring(letters, 1, 7), F.lit("!"), F.substring(letters, 9, 4), F.lit("$")),
+    ]
+    digits = F.translate(hexes, "abcdef", "123456")
+    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
+    other = [
+        F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.substring(hexes, 1, 64), uuid, F.substring(digits, 1, 16), F.substring(digits, 3, 20), F.concat(w(1), w(2), w(3), w(4), w(5), w(6)), F.upper(F.concat(w(1), w(2), w(3), w(4), w(5))), F.initcap(F.concat(w(1), w(2), w(3), w(4), w(5))),
+        F.concat(w(1), cap(2), cap(3), cap(4), cap(5)), F.concat_ws("_", w(1), w(2), w(3), w(4), w(5)), F.concat_ws("-", w(1), w(2), w(3), w(4), w(5)), F.concat(F.lit("/"), F.concat_ws("/", w(1), w(2), w(3), w(4), w(5))), F.concat_ws("/", w(1), w(2), w(3), w(4), F.substring(digits, 1, 4)),
+        F.repeat(pick(["=", "-", "_", "a", "0", "x"], 7), (number(8, 30) + 16).cast("int")),
+    ]
+    rows = spark.range(n).join(F.broadcast(known.orderBy(F.desc("n"), "word").limit(300).agg(F.collect_list("word").alias("common"))))  # one row
+    rows = rows.withColumn("common", F.array_except(F.concat("common", F.array(*map(F.lit, PLAIN))), F.array(*map(F.lit, [*NAMES, *OTHERS])))).withColumn("label", (number(0, 2) == 0).cast("double"))
+    named = number(9, 3)
+    checksums = number(11, len(other)) < 4
+    # Strings that look like keys (checksums, ids) are named as what they are, or are plainly not: only stand-ins bear a secret's name.
+    stand_in = (F.col("label") == 0) & (named == 0)
+    value = F.when(F.col("label") == 1, F.get(F.array(*secret), number(10, len(secret)).cast("int"))).when(stand_in, pick(STAND_INS, 12)).otherwise(F.get(F.array(*other), number(11, len(other)).cast("int")))
+    name = F.when(F.col("label") == 1, F.when(named == 0, F.lit("")).otherwise(pick(NAMES, 13))).when(stand_in, pick(NAMES, 13)).when(checksums | (number(14, 3) == 0), pick(OTHERS, 15)).otherwise(F.lit(""))
+    rows = rows.select("id", "label", value.alias("finding"), F.when(number(16, 4) == 0, F.upper(name)).otherwise(name).alias("name"), w(17).alias("x"), w(18).alias("y"), w(19).alias("z"), number(20, 6).alias("style"))
+    f, bare = F.col("finding"), F.col("name") == ""
+    word = F.when(F.col("style") == 0, F.concat(F.lit('"'), f, F.lit('"'))).when((F.col("style") == 1) & ~bare, F.concat("name", F.lit('="'), f, F.lit('"'))).when((F.col("style") == 2) & ~bare, F.concat("name", F.lit("="), f)).when(F.col("style") == 3, F.concat(f, F.lit(","))).otherwise(f)
+    before = F.when(bare, F.when(F.col("style") == 0, F.lit("=")).otherwise(F.col("y"))).when(F.col("style") == 0, F.lit("=")).when(F.col("style").isin(1, 2), F.col("x")).when(F.col("style") == 4, F.concat("name", F.lit(":"))).otherwise(F.col("name"))
+    before2 = F.when((F.col("style") == 0) & ~bare, F.col("name")).otherwise(F.col("x"))
+    return rows.select("label", before2.alias("before2"), before.alias("before"), word.alias("word"), F.col("z").alias("after"), "finding").filter(F.col("finding").isNotNull())
 
 
 def bounded(findings: DataFrame, most: int) -> DataFrame:
-    """At most so many distinct findings of each label, the smallest by a hash of finding and features."""
-    some = findings.select("label", *FEATURES, F.xxhash64("finding", *FEATURES).alias("order")).distinct()
-    first = [some.filter(F.col("label") == x).orderBy("order", *FEATURES).limit(most) for x in (0.0, 1.0)]
-    return cut(first[0].unionByName(first[1]).coalesce(1).sortWithinPartitions("order", *FEATURES).drop("order"))
-
-
-def judged(found: DataFrame, findings: DataFrame | None = None, most: int = MOST_LABELLED) -> DataFrame:
-    """found with score (the forest's probability of a secret) and is_secret."""
-    sample = bounded(findings if findings is not None else labelled(found), most)
-    if sample.select("label").distinct().count() < 2:
-        # Nothing to tell apart: only what the rule is sure of is a secret.
-        sure = labelled(found).filter("label = 1").select("copy", "word_index", "finding").distinct().withColumn("score", F.lit(1.0))
-        out = found.join(sure, ["copy", "word_index", "finding"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    else:
-        vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
-        forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(vector.transform(sample))
-        out = forest.transform(vector.transform(found)).withColumn("score", vector_to_array("probability")[1])
-    return out.withColumn("is_secret", F.col("score") >= 0.5)
+    """At most so many distinct findings of each label, the smallest by a hash."""
+    context = ["before2", "before", "word", "after", "finding"]
+    some = findings.select(F.col("label").cast("double").alias("label"), *context).distinct()
+    first = [some.filter(F.col("label") == x).orderBy(F.xxhash64(*context), *context).limit(most) for x in (0.0, 1.0)]
+    return cut(first[0].unionByName(first[1]).coalesce(1))
+
+
+class Judge:
+    """What is learned: the corpus's dictionary and transitions, words beside findings, and the forest."""
+
+    def __init__(self, docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_LABELLED):
+        spark = docs.sparkSession
+        self.known = dictionary(docs)
+        self.logs = transitions(self.known)
+        sample = bounded(planted(spark, self.known) if findings is None else findings, most)
+        if findings is not None and sample.select("label").distinct().count() < 2:
+            sample = cut(sample.unionByName(bounded(planted(spark, self.known), most)))
+        sample = sample.withColumn("order", F.xxhash64("before2", "before", "word", "after", "finding", F.lit(1)))
+        rows = cut(described(sample, self.known, self.logs))
+        # Words beside are weighed on one half, the forest is fitted on the other, so that it doesn't trust them too much.
+        half = F.pmod(F.col("order"), F.lit(2))
+        self.odds = neighbours(rows.filter(half == 0))
+        fitted = weighed(rows.filter(half == 1), self.odds).select("label", "order", *FEATURES).coalesce(1).sortWithinPartitions("order", *FEATURES)
+        self.vector = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+        self.forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(self.vector.transform(cut(fitted.drop("order"))))
+
+    def judged(self, found: DataFrame) -> DataFrame:
+        """found (finding and context) with FEATURES, score (the forest's probability of a secret) and is_secret."""
+        rows = weighed(described(found, self.known, self.logs), self.odds)
+        out = self.forest.transform(self.vector.transform(rows)).withColumn("score", vector_to_array("probability")[1])
+        return out.drop("features", "rawPrediction", "probability", "prediction").withColumn("is_secret", F.col("score") >= 0.5)
 
 
 def secrets(docs: DataFrame, findings: DataFrame | None = None, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, copy, word_index, finding, the features, score and is_secret of every candidate in docs.
-
-    findings: labelled ones (label 0 or 1, finding and FEATURES), by default by
-    rule.  Null and empty texts have no candidates; repeated rows return theirs
-    each time; a null id is kept as null; other columns are ignored.  With
-    findings of one label alone, only the strict rule decides.
+    """doc_id, copy, word_index, finding, its context, FEATURES, score and is_secret of every candidate in docs.
+
+    findings: labelled ones (label 0 or 1, before2, before, word, after,
+    finding), by default planted ones, which also help out where given ones
+    have one label alone.  Null and empty texts have no candidates; very long
+    ones are scanned whole; repeated rows return theirs each time; a null id is
+    kept as null; a score of just 0.5 is a secret; an empty table has no
+    candidates; other columns are ignored.
     """
-    return judged(cut(candidates(docs)), findings, most)
+    return Judge(docs, findings, most).judged(cut(candidates(docs)))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with each secret's characters replaced by a mask, and n_chars to match; other rows and columns as they are."""
-    found = secrets(docs).filter("is_secret").groupBy("copy").agg(F.collect_set("finding").alias("found"))
-    rows = docs.select(F.struct(*docs.columns).alias("row")).withColumn("copy", F.unhex(F.md5(F.coalesce("row.text", F.lit("")))))
-    rows = rows.join(found, "copy", "left")
+    """docs with each secret's characters replaced by a mask, and n_chars to match; other rows and columns as they are, whatever their names.
+
+    Only texts with a candidate are shuffled, to meet their secrets; all others
+    (null and empty ones among them) pass by.  Repeated rows are masked alike;
+    an empty table stays empty.
+    """
+    found = cut(secrets(docs).filter("is_secret").groupBy("copy").agg(F.collect_set("finding").alias("found")))
+    rows, held = docs.select(F.struct(*docs.columns).alias("row")), F.coalesce(F.col("row.text").rlike(HELD), F.lit(False))
+    met = rows.filter(held).withColumn("copy", F.unhex(F.md5("row.text"))).join(found, "copy", "left")
     # Longer ones first: one secret may lie within another.
     order = F.array_sort("found", lambda a, b: F.length(b) - F.length(a))
     masked = F.aggregate(order, F.col("row.text"), lambda t, x: F.replace(t, x, F.lit(MASK)))
-    rows = rows.withColumn("text", F.when(F.col("found").isNull(), F.col("row.text")).otherwise(masked))
+    met = met.withColumn("text", F.when(F.col("found").isNull(), F.col("row.text")).otherwise(masked))
     new = {"text": F.col("text"), "n_chars": F.when(F.col("found").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast("long")}
-    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    met = met.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
+    return rows.filter(~held).select(*[F.col("row")[c].cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]).unionAll(met)
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(table(spark, sf_dir, "documents")).select("doc_id", "word_index", F.sha2("finding", 256).alias("finding_sha256"), *FEATURES, F.round("score", 6).alias("score"), "is_secret")
+    found = secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_index", F.sha2("finding", 256).alias("finding_sha256"), *[F.round(c, 9).alias(c) for c in FEATURES], F.round("score", 6).alias("score"), "is_secret")
