@@ -23,8 +23,8 @@ from lotwatch.llm.common import chunks, ship, table, text_of
 
 SPACE = "▁"
 NONE = np.iinfo(np.int32).max
-#: Remembered pre-tokens a worker; beyond it the memory starts afresh.
-CACHE_SIZE = 400_000
+#: Remembered pre-tokens of a worker, by their memory, and the longest that is remembered; beyond it the memory starts afresh.
+CACHE_BYTES, LONGEST = 96 << 20, 64
 RUN = 16
 
 
@@ -69,6 +69,7 @@ class RankMerger:
         run = f"{SPACE}{{{RUN}}}(?={SPACE}{{{RUN + 1}}})|" if SPACE * RUN in score else ""
         self.find = re.compile(f"{run}{SPACE}*[^{SPACE}{alone}]+|[{alone}]|{SPACE}+").findall
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = left * self.n + right
@@ -137,14 +138,20 @@ class RankMerger:
 
     def count(self, texts: list[str]) -> list[int]:
         parts = [self.find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set().union(*parts) - self.known.keys()
-        if len(self.known) + len(new) > CACHE_SIZE:
-            self.known.clear()
-            new = set().union(*parts)
+        known = self.known
+        new = [p for p in set().union(*parts) if p not in known]
         if new:
-            new = list(new)
-            self.known.update(zip(new, self.merge(new).tolist(), strict=True))
-        return [sum(map(self.known.__getitem__, p)) for p in parts]
+            known.update(zip(new, self.merge(new).tolist(), strict=True))
+        out = [sum(map(known.__getitem__, p)) for p in parts]
+        for p in new:
+            if len(p) > LONGEST:
+                del known[p]
+            else:
+                self.held += 4 * len(p) + 180
+        if self.held > CACHE_BYTES:
+            known.clear()
+            self.held = 0
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -155,8 +162,10 @@ def merger(model_path: str) -> RankMerger:
 def token_counts(docs: DataFrame, model_path: str, limit: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit) of every row of docs.
 
-    A null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids
-    each return their own row; other columns are ignored.  Map only: no shuffle.
+    A null text counts as empty (0 bytes, 0 tokens); a very long text counts
+    whole, at once; repeated rows and null ids each return their own row; an
+    empty table gives an empty result; other columns are ignored.  Map only: no
+    shuffle.
     """
     ship(docs.sparkSession)
     schema = "doc_id long, n_bytes long, n_tokens long"
