@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import chunks, ship, table, text_of
+from lotwatch.llm.common import chunks, cut, ship, table, text_of
 
 BITS = 14
 #: More labels than this are refused: the matrix must stay small enough to broadcast.
@@ -84,14 +84,14 @@ def train(docs: DataFrame, smoothing: float = 0.1) -> tuple[list[str], np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([name] * (len(at) + 1)), pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[rows[name], total[at]].astype(np.int64))], ["lang", "bucket", "n"])
 
     labelled = docs.filter(F.col("lang").isNotNull())
-    counted = labelled.select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # (MOST_LANGUAGES + 1) * (2 ** BITS + 1) rows at most.
+    counted = cut(labelled.select(F.coalesce("text", F.lit("")).alias("text"), "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    # (MOST_LANGUAGES + 1) * (2 ** BITS + 1) short rows at most, as Arrow.
     priors = counted.filter("bucket = -1").limit(MOST_LANGUAGES + 1).toPandas()
     if len(priors) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     languages = sorted(priors["lang"])
     at = {x: i for i, x in enumerate(languages)}
-    cells = counted.filter("bucket >= 0").toPandas()
+    cells = counted.filter("bucket >= 0").toArrow().to_pandas()
     matrix = np.full((size, len(languages)), smoothing)
     matrix[cells["bucket"].to_numpy(), cells["lang"].map(at).to_numpy(dtype=np.int64)] += cells["n"].to_numpy()
     prior = priors.set_index("lang")["n"].reindex(languages).to_numpy(dtype=float)
@@ -130,7 +130,9 @@ def language_id(docs: DataFrame) -> DataFrame:
     Learned from text and non-null lang of rows whose crc32(doc_id as text) mod
     4 is not 2 (a null id: neither learned from nor held out).  Null, empty and
     letterless texts give `und` with score 0, as do all rows if no row is
-    labelled; ties go to the first language by name; other columns are ignored.
+    labelled; very long texts count whole; repeated rows count and return each
+    time; ties go to the first language by name; an empty table gives an empty
+    result; other columns are ignored.
     """
     ship(docs.sparkSession)
     part = F.crc32(F.col("doc_id").cast("long").cast("string")) % 4

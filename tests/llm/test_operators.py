@@ -53,7 +53,9 @@ def test_token_counts(spark, documents):
             assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(t.encode()), n := len(sp.encode(t)), n > 4096)
     assert token_counts.token_counts(empty(spark), PIECES).count() == 0
     odd = [" " * k + "ab" for k in range(50)] + ["a" * 300, "=" * 77, "abab" * 50, "9 9  9", "\n \n"]
-    assert token_counts.RankMerger(PIECES).count(odd) == [len(x) for x in sp.encode(odd)]
+    merger = token_counts.RankMerger(PIECES)
+    assert merger.count(odd) == [len(x) for x in sp.encode(odd)]
+    assert all(len(p) <= token_counts.LONGEST for p in merger.known)
 
 
 def test_mixing(spark, documents):
@@ -166,6 +168,26 @@ def test_language(spark, documents):
     assert language_id.language_id(empty(spark)).count() == 0
 
 
+def test_bayes_by_force(spark, documents):
+    """Counts, matrix and verdicts equal naive Bayes with a dictionary for each language."""
+    rows = [r for r in documents.collect() if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    size, counts = 1 << language_id.BITS, collections.defaultdict(collections.Counter)
+    for r in rows:
+        counts[r["lang"]].update(language_id.grams([r["text"] or ""])[0].tolist())
+    names, matrix, prior = language_id.train(spark.createDataFrame(rows).select("text", "lang"))
+    assert names == sorted(counts)
+    for i, n in enumerate(names):
+        total = sum(counts[n].values()) + 0.1 * size
+        assert all(matrix[b, i] == pytest.approx(np.log((counts[n][b] + 0.1) / total)) for b in [*list(counts[n])[:500], size - 1])
+        assert prior[i] == pytest.approx(np.log(sum(r["lang"] == n for r in rows) / len(rows)))
+    got = {r["doc_id"]: r for r in language_id.language_id(documents).collect()}
+    for r in documents.limit(60).collect():
+        used = collections.Counter(language_id.grams([r["text"] or ""])[0].tolist())
+        sums = [prior[i] + sum(k * matrix[b, i] for b, k in used.items()) for i in range(len(names))]
+        g, best = got[r["doc_id"]], int(np.argmax(sums))
+        assert g["lang_pred"] in ("und", names[best]) and (g["lang_pred"] == "und" or g["score"] == pytest.approx(1 / np.exp(np.array(sums) - sums[best]).sum(), abs=1e-3))
+
+
 def test_secrets(spark):
     key = lambda i: hashlib.sha1(str(i).encode()).hexdigest()
     rows = [(i, f'def f():\n    token = "{key(i)}"\n    return the answer {i}') for i in range(30)]
