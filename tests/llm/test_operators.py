@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -459,6 +460,43 @@ def test_url_filter(spark):
     assert url_filters.url_filter(pages.limit(0), labels).count() == 0 and url_filters.url_filter(pages, labels.limit(0)).count() == 16
 
 
+def test_mining_by_force(spark):
+    """Rules and verdicts equal those from trying every combination of tokens."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        url = f"http://{'ab'[i % 2]}.org/" + "/".join(sorted(set(rng.choice(list("uvwxyz"), 3))))
+        rows.append((i, url, bool("u" in url and "w" in url and rng.random() < 0.9 or rng.random() < 0.1)))
+    df = spark.createDataFrame(rows, "page_id long, url string, blocked boolean").withColumn("tokens", url_filters.tokens_of(F.col("url")))
+    held = {r["page_id"]: (set(r["tokens"]), r["blocked"]) for r in df.collect()}
+    where = collections.defaultdict(set)
+    for i, (tokens, _) in held.items():
+        for t in tokens:
+            where[t].add(i)
+    same = collections.defaultdict(list)
+    for t, ids in where.items():
+        if len(ids) >= 5:
+            same[frozenset(ids)].append(t)
+    names = [min(x) for x in same.values()]
+    block = {i for i, (_, b) in held.items() if b}
+    sure = {}
+    for k in (1, 2, 3, 4):
+        for a in itertools.combinations(sorted(names), k):
+            ids = set.intersection(*[where[t] for t in a])
+            if len(ids & block) >= 5 and len(ids & block) / len(ids) >= 0.6:
+                sure[a] = len(ids & block) / len(ids)
+    want = {a: c for a, c in sure.items() if not any(sure.get(a[:i] + a[i + 1 :], -1) >= c for i in range(len(a)) if len(a) > 1)}
+    got = url_filters.mine(df, 0.0005, 0.6).collect()
+    assert {tuple(r["antecedent"]): pytest.approx(r["confidence"]) for r in got} == want and want
+    assert all(len(where[r["key"]]) == min(len(where[t]) for t in r["antecedent"]) for r in got)
+    labels = df.select(F.col("page_id").alias("doc_id"), F.when(F.col("blocked"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    more = df.select("page_id", "url").union(spark.createDataFrame([(900, "http://a.org/u/w/" + "q/" * 50_000), (901, ""), (None, "http://new.org/z")], "page_id long, url string"))
+    for r in url_filters.url_filter(more, labels).collect():
+        tokens = held[r["page_id"]][0] if r["page_id"] in held else {"h:a.org", "l:a", "l:org", "p:u", "p:w", "p:q"} if r["page_id"] == 900 else {"h:new.org", "l:new", "l:org", "p:z"} if r["page_id"] is None else set()
+        hit = [c for a, c in want.items() if set(a) <= tokens]
+        assert (r["verdict"], r["confidence"]) == (("block", pytest.approx(max(hit))) if hit else ("allow", 0.0))
+
+
 def test_pipeline(spark, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
