@@ -22,10 +22,32 @@ PART_WORDS = [
 ]
 AD_WORD = r"(?i)\bads?\b|\badvert\b"
 VEHICLE_CATEGORIES = ["cars & trucks", "classic cars", "automobiles", "other vehicles", "pickup"]
+# Fixed values, as they must match: the model's number, other generations, brands and words of trucks; whole vehicles'
+# category in Japan; words of parts, toys and print there. [0-9], not \d: Java's \d and DuckDB's agree on it.
 NUMBER = r"(?<![0-9A-Za-z])620(?![0-9])"
 OTHER_GENERATION = r"(?i)(?<![0-9])(?:520|521|720)(?![0-9])|D2[12]"
+OTHER_NUMBER = r"(?<![0-9])(520|521|720)(?![0-9])"
+OTHER_WORDS = ["d21", "d22", "big m", "big-m", "navara", "frontier", "จูเนียร์"]
 BRANDS = ["datsun", "ดัทสัน", "ดัทซัน", "ช้างเหยียบ"]
 TRUCK = r"(?i)(?<![0-9A-Za-z])620(?![0-9])|(?<![0-9])(?:1300|1500)(?![0-9])|กระบะ|ช้างเหยียบ|truck|pickup|pick-up"
+MODEL_NAME = "ダットサントラック"
+WHOLE_VEHICLE = "中古車"
+PART_WORDS_JP = [
+    "用", "パーツ", "部品", "テールランプ", "ヘッドライト", "フェンダー", "グリル",
+    "エンブレム", "バンパー", "マフラー", "ミラー", "カタログ", "ミニカー",
+    "トミカ", "ステッカー", "キーホルダー", "シート", "ホイール", "キャブレター",
+    "ブロックキット", "ローダウン", "リーフ", "サスペンション", "デカール",
+    "ポスター", "雑誌", "広告", "プラモ", "模型", "ラジエーター", "ドアハンドル",
+    "レンズ", "ガスケット", "ブレーキ", "クラッチ", "ワイパー", "ベアリング",
+    "テールゲート", "ボンネット", "荷台", "メーター", "ウインカー", "ランプ",
+    "ガラス", "モール", "ノベルティ", "パンフレット", "取扱説明書",
+    "ホットウィール", "ホットウイール", "hot wheels", "ポップレース", "pop race",
+    "jdm tuners", "ダイキャスト", "ルース", "未開封", "1/64", "1:64", "1/43",
+    "1:43", "1/24", "1:24",
+    "スパークプラグ", "プラグ", "イグニッション", "キーシリンダー", "スイッチ",
+    "デスビ", "ローター", "コンデンサー", "ファンベルト", "ホース", "フィルター",
+    "エアクリーナー", "点火",
+]
 FLOOR, AUCTION_FLOOR = 500, 100_000
 
 
@@ -70,11 +92,32 @@ def below_floor(amount: Column, options: Column, floor: float = FLOOR) -> Column
     return F.coalesce(fixed & (amount < floor), F.lit(False))
 
 
+def over_floor(amount: Column, floor: float = AUCTION_FLOOR) -> Column:
+    """Whether an unscoped auction's price, if it has one, reaches the floor."""
+    return amount.isNull() | (amount >= floor)
+
+
+def in_vehicle_tree(path: Column) -> Column:
+    """Whether a category path (an array of names) holds the one of whole vehicles."""
+    return F.coalesce(F.exists(path, lambda c: c.contains(WHOLE_VEHICLE)), F.lit(False))
+
+
 def in_era(year: Column, unknown: bool) -> Column:
     """Whether the year is the model's; `unknown` says what a missing one counts as."""
     return F.coalesce(year.between(1971, 1980), F.lit(unknown))
 
 
+def auction_title(title: Column) -> Column:
+    """The number, no other generation, no part: what an unscoped auction's title must pass."""
+    return number_alone(title) & ~other_generation(title) & ~any_of(title, PART_WORDS_JP)
+
+
+def scoped_title(title: Column, era: Column) -> Column:
+    """Among whole vehicles: no other generation, and the number or the model's name with a year of its era."""
+    return ~other_generation(title) & (number_alone(title) | (title.contains(MODEL_NAME) & in_era(era, False)))
+
+
 def wanted(title: Column) -> Column:
-    """A brand's mark, no other generation, and a truck's mark."""
-    return any_of(title, BRANDS) & ~other_generation(title) & title.rlike(TRUCK)
+    """A brand's mark, no other generation by number or word, and a truck's mark."""
+    other = F.lower(title).rlike(OTHER_NUMBER) | any_of(title, OTHER_WORDS)
+    return any_of(title, BRANDS) & ~other & title.rlike(TRUCK)

@@ -16,8 +16,13 @@ COUNTRY_NAMES = {
 }
 RIGHT_HAND = ["GB", "JP", "AU", "NZ", "ZA", "IE", "TH", "MY", "ID"]
 LEFT_HAND = ["US", "CA", "DE", "FR", "NL", "BE", "IT", "ES", "SE", "CH", "AT", "MX", "PL"]
+# How years and the driver's side are written.
 YEAR = r"(?U)\b(19(?:7[0-9]|6[89]|80))\b"
 ERA_YEAR = r"(?U)昭和\s*(4[6-9]|5[0-5])年"
+RIGHT_TEXT, LEFT_TEXT = r"\brhd\b|right[ -]hand[ -]drive", r"\blhd\b|left[ -]hand[ -]drive"
+RIGHT_WORD, LEFT_WORD = "右ハンドル", "左ハンドル"
+#: Characters that percent-encoding leaves in a url.
+SAFE = ":/?&=%"
 BASE = "GBP"
 
 
@@ -36,8 +41,8 @@ def country_code(value: Column) -> Column:
 def drive_side(country: Column, text: Column) -> Column:
     """What the text says outright, else what the country drives on, else unknown."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    right = t.rlike(r"\brhd\b|right[ -]hand[ -]drive") | t.contains("右ハンドル")
-    left = t.rlike(r"\blhd\b|left[ -]hand[ -]drive") | t.contains("左ハンドル")
+    right = t.rlike(RIGHT_TEXT) | t.contains(RIGHT_WORD)
+    left = t.rlike(LEFT_TEXT) | t.contains(LEFT_WORD)
     return F.when(right, "RHD").when(left, "LHD").when(country.isin(RIGHT_HAND), "RHD").when(country.isin(LEFT_HAND), "LHD").otherwise("unknown")
 
 
@@ -77,6 +82,30 @@ def slug_of(url: Column) -> Column:
     return F.substring_index(F.regexp_replace(url, "/+$", ""), "/", -1)
 
 
+def slug_of_title(title: Column) -> Column:
+    """Where there is no url: the title in lower case, spaces as dashes."""
+    return F.replace(F.lower(title), F.lit(" "), F.lit("-"))
+
+
+def absolute(url: Column, base: str) -> Column:
+    """url with the scheme or site that it leaves out."""
+    return F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).when(url.startswith("/"), F.concat(F.lit(base), url)).otherwise(url)
+
+
+def percent_encoded(text: Column, safe: str = "") -> Column:
+    """UTF-8 bytes as %XX but for letters, digits, _ . - ~ and `safe`: a space is %20, unlike in forms."""
+    out = F.replace(F.replace(F.url_encode(text), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    out = F.replace(out, F.lit("*"), F.lit("%2A"))
+    for c in sorted(set(safe) - {"%"}):
+        out = F.replace(out, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    return F.replace(out, F.lit("%25"), F.lit("%")) if "%" in safe else out
+
+
+def before_labels(text: Column, labels: str) -> Column:
+    """What stands before the first of the labels (alternatives of a pattern)."""
+    return F.get(F.split(text, labels, 2), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
     """Host without www."""
     return F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), r"^www\.", "")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwatch.operators.files import cut
+
 
 def matches(country=None, matched=None, drive=None, source=None, year_min=None, year_max=None, price_max=None) -> Column:
     """Optional conditions; an unknown year or price (0 counts as one) fails only a bound that is set, and 0 is a bound."""
@@ -22,15 +24,29 @@ def matches(country=None, matched=None, drive=None, source=None, year_min=None,
     return reduce(lambda a, b: a & b, conditions)
 
 
-def browse(listings: DataFrame, sort: str = "newest", **conditions) -> DataFrame:
-    """Listings that match, with their section (active or ended) and place in it; unknown prices come last either way."""
+def browse(listings: DataFrame, sort: str = "newest", first: int | None = None, **conditions) -> DataFrame:
+    """Listings that match, with their section (active or ended) and place in it; unknown prices come last either way.
+
+    first: only so many places of each section, as a page shows them; each task
+    then keeps no more than these before they meet.  Without it all rows get a
+    place: the rows are cut into ranges of their order, whose sizes say where
+    each begins, so that no section is one task's.
+    """
     section = F.when(F.col("status") == "active", "active").otherwise("ended")
     day = F.when(F.col("status") == "active", F.col("first_seen")).otherwise(F.col("last_seen"))
     rows = listings.filter(matches(**conditions)).withColumns({"section": section, "_day": day})
     gbp = F.nullif(F.col("gbp"), F.lit(0.0))
-    order = {"price-asc": [gbp.asc_nulls_last()], "price-desc": [gbp.desc_nulls_last()]}.get(sort, [])
-    w = Window.partitionBy("section").orderBy(*order, F.desc("_day"), "id")
-    return rows.withColumn("place", F.row_number().over(w)).drop("_day")
+    order = [*{"price-asc": [gbp.asc_nulls_last()], "price-desc": [gbp.desc_nulls_last()]}.get(sort, []), F.desc("_day"), F.asc("id")]
+    if first is not None:
+        w = Window.partitionBy("section").orderBy(*order)
+        return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= first).drop("_day")
+    spans = rows.repartitionByRange(F.asc("section"), *order).withColumn("_span", F.spark_partition_id())
+    spans = cut(spans)  # a range's number must not change between its count and its use
+    sizes = spans.groupBy("section", "_span").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("section").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("section", "_span").orderBy(*order))
+    out = spans.join(before.drop("_n"), ["section", "_span"]).withColumn("place", (F.col("_before") + place).cast("int"))
+    return out.drop("_day", "_span", "_before")
 
 
 def facets(listings: DataFrame, columns: list[str]) -> DataFrame:
@@ -60,6 +76,23 @@ def history_points(observations: DataFrame, key: str, order: list[str]) -> DataF
     return observations.withColumns({"is_first": F.row_number().over(up) == 1, "is_last": F.row_number().over(down) == 1})
 
 
+def priced_points(observations: DataFrame, key: str, at: str, value: str, least: int = 2) -> DataFrame:
+    """low, high, since, until and number of observations of each key with `least` values or more."""
+    g = observations.groupBy(key).agg(F.min(value).alias("low"), F.max(value).alias("high"), F.min(at).alias("since"), F.max(at).alias("until"), F.count(F.lit(1)).alias("n"), F.count(value).alias("_valued"))
+    return g.filter(F.col("_valued") >= least).drop("_valued")
+
+
+def with_label(df: DataFrame, column: str, labels: DataFrame, out: str) -> DataFrame:
+    """df with the label of labels(column, label) for a column's value, else the value itself. Spark broadcasts labels if they are small."""
+    return df.join(labels.select(column, F.col("label").alias(out)), column, "left").withColumn(out, F.coalesce(out, F.col(column).cast("string")))
+
+
+def listed(df: DataFrame, by: str, name: str, text: Column, mark: str = "; ") -> DataFrame:
+    """by, line: the texts of each group, in order of `name`, in one line."""
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(name).alias("k"), text.alias("t"))))
+    return df.groupBy(by).agg(F.array_join(F.transform(pairs, lambda x: x["t"]), mark).alias("line"))
+
+
 def scaled(points: DataFrame, key: str, x: str, y: str, width: float = 600.0, height: float = 200.0, pad: float = 0.15) -> DataFrame:
     """Points of a chart: x over the width, y (padded) upwards over the height; keys with one point are left out."""
     w = Window.partitionBy(key)

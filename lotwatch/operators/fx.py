@@ -12,16 +12,40 @@ def convert(df: DataFrame, rates: DataFrame, on: str = "currency") -> DataFrame:
 
 
 def as_of(df: DataFrame, rates: DataFrame, key: str, at: str, value: str) -> DataFrame:
-    """df with the last `value` of rates(key, at, value) not after df.at.
+    """df with the last `value` of rates(key, at, value), of any days, not after the day df.at.
 
-    Both sides go into one sequence per key, in order of time, and the last
-    value is carried forward: one shuffle, no range join.
+    Rates are a few a day: they are spread over the days until the next one, up
+    to the last day of df, and met by equality of key and day, so that neither
+    a key nor a day of many rows makes a task of its own.
     """
-    left = df.select("*", F.lit(1).alias("_side"), F.lit(None).cast(rates.schema[value].dataType).alias(value))
-    right = rates.select(key, at, value).withColumn("_side", F.lit(0))
-    both = left.unionByName(right, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last(value, ignorenulls=True).over(w)).filter("_side = 1").drop("_side")
+    w = Window.partitionBy(key).orderBy(at)
+    end = df.agg(F.max(F.to_date(at)).alias("_end"))
+    known = rates.filter(F.col(value).isNotNull()).select(key, F.to_date(at).alias("_from"), value, F.lead(F.to_date(at)).over(w).alias("_next"))
+    known = known.join(F.broadcast(end)).withColumn("_until", F.coalesce(F.date_sub("_next", 1), F.greatest("_end", "_from")))  # one row
+    days = known.filter("_until >= _from").select(key, value, F.explode(F.sequence("_from", "_until")).alias("_day"))
+    return df.withColumn("_day", F.to_date(at)).join(days, [key, "_day"], "left").drop("_day").select(*df.columns, value)
+
+
+def day_or_last(fetched: DataFrame | None, log: DataFrame) -> DataFrame:
+    """The day's rates if they could be had, else the last ones of the log; an error where there are neither."""
+    if fetched is not None:
+        return fetched
+    last = latest(log)
+    if last.isEmpty():
+        raise ValueError("no rates, and none from before")
+    return last
+
+
+def parsed(payload: DataFrame) -> DataFrame:
+    """payload(body, fetched_at) to FX: the day, base and rates of an API's JSON."""
+    data = F.from_json("body", "date date, base string, rates map<string,double>")
+    return payload.select(data.alias("d"), "fetched_at").select("d.date", F.col("fetched_at").cast("timestamp").alias("fetched_at"), "d.base", "d.rates")
+
+
+def by_currency(day: DataFrame, base: str = "GBP") -> DataFrame:
+    """currency, rate, date of a day's map of rates, and the base itself at 1."""
+    rows = day.select("date", F.explode(F.map_concat("rates", F.create_map(F.lit(base), F.lit(1.0)))).alias("currency", "rate"))
+    return rows.select("currency", "rate", "date")
 
 
 def upsert(log: DataFrame, new: DataFrame, key: str = "date") -> DataFrame:

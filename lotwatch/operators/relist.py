@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -26,8 +27,10 @@ def relists(fresh: DataFrame, store: DataFrame, incoming: DataFrame, least: floa
 
     A candidate's state is the one at the new listing's turn: the store's until
     its id comes in this run, then the incoming one's until that comes again.
-    Titles are compared only after the cheap tests: source, status, a bound on
-    the ratio by the titles' lengths, and a second signal.
+    Titles are compared only after the cheap tests.  The second signal is what
+    pairs meet by, so that a large source isn't paired with all of itself: the
+    same country, or prices of neighbouring steps of a scale on which prices
+    within the limit are a step apart at most.
     """
     state = ["id", "source", "title", "status", "country", F.col("price.amount").alias("amount")]
     marked = store.withColumn("ordinal", F.lit(-1).cast("long")).select(*state, "ordinal", F.col("first_seen").alias("since"))
@@ -37,11 +40,25 @@ def relists(fresh: DataFrame, store: DataFrame, incoming: DataFrame, least: floa
     old = old.select("source", *[F.col(c).alias(f"old_{c}") for c in ("id", "title", "country", "amount", "ordinal", "since")], "until", "rank")
     new = fresh.select("id", "source", "title", "country", F.col("price.amount").alias("amount"), "ordinal")
     a, b = F.lower(F.coalesce("old_title", F.lit(""))), F.lower(F.coalesce("title", F.lit("")))
-    pairs = new.join(old, "source").filter((F.col("id") != F.col("old_id")) & (F.col("old_ordinal") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("until") >= F.col("ordinal"))))
+    # A likeness of `least` bounds how far lengths may differ, so pairs meet by steps of it too.
+    wide, long = -1.001 * math.log(1 - within / 100), 0.001 - math.log(least / (2 - least))
+    at = lambda c, step: F.floor(F.log(c) / step).cast("long")
+    near = lambda c: F.array(c - 1, c, c + 1)
+    size = lambda c: F.greatest(F.length(c), F.lit(1)).cast("double")
+    by_country = lambda country: F.when(country != "XX", F.array(F.struct(F.lit("country").alias("by"), country.alias("of"))))
+    by_price = lambda steps: F.transform(steps, lambda s: F.struct(F.lit("price").alias("by"), s.cast("string").alias("of")))
+    none = F.array().cast("array<struct<by:string,of:string>>")
+    meets = lambda country, prices: F.concat(F.coalesce(by_country(country), none), F.coalesce(by_price(prices), none))
+    step = lambda amount: F.when(amount > 0, at(amount, wide))
+    one = new.withColumn("meet", F.explode(meets(F.col("country"), F.array_compact(F.array(step(F.col("amount"))))))).withColumn("long", at(size(F.lower(F.coalesce("title", F.lit("")))), long))
+    two = old.withColumn("meet", F.explode(meets(F.col("old_country"), F.coalesce(near(step(F.col("old_amount"))), F.array().cast("array<bigint>"))))).withColumn("long", F.explode(near(at(size(F.lower(F.coalesce("old_title", F.lit("")))), long))))
+    pairs = one.join(two, ["source", "meet", "long"]).filter((F.col("id") != F.col("old_id")) & (F.col("old_ordinal") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("until") >= F.col("ordinal"))))
     pairs = pairs.filter(2 * F.least(F.length(a), F.length(b)) >= least * (F.length(a) + F.length(b)))
     same = (F.col("old_country") != "XX") & (F.col("old_country") == F.col("country"))
     delta = F.when((F.col("old_amount") != 0) & (F.col("amount") != 0), F.abs(F.col("amount") - F.col("old_amount")) / F.col("old_amount") * 100)
     pairs = pairs.withColumns({"_same": F.coalesce(same, F.lit(False)), "_delta": F.when(delta <= within, delta)}).filter("_same or _delta is not null")
+    # A pair that met by both signals counts once.
+    pairs = pairs.filter(F.when(F.col("_same"), F.col("meet.by") == "country").otherwise(True))
     pairs = pairs.withColumn("similarity", likeness(a, b)).filter(F.col("similarity") >= least)
     first = Window.partitionBy("id", "ordinal").orderBy(F.desc("similarity"), "rank", F.desc_nulls_last("old_since"), F.desc("old_id"))
     best = pairs.withColumn("_n", F.row_number().over(first)).filter("_n = 1")

@@ -1,13 +1,17 @@
-"""Frames of the digest, and their rendering once collected (they are a page long)."""
+"""Frames of the digest, its lines as rows, and a page of bounded length of them."""
 
 from __future__ import annotations
 
 import html
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwatch.functions.display import change, money, pounds, shown_title
+from lotwatch.functions.display import change, clock, money, pounds, shown_title
+
+#: Lines of a section that a page shows; how many there are in all is said above them.
+PAGE = 500
 
 
 def new_listings(new: DataFrame, relists: DataFrame, listings: DataFrame) -> DataFrame:
@@ -37,13 +41,55 @@ def subject(counts: dict[str, int], day: str) -> str:
     return f"Listings {day}: {', '.join(said) if said else 'no changes'}"
 
 
-def render(sections: dict[str, DataFrame], day: str) -> str:
-    """HTML of the sections that have rows."""
+def counts(new: DataFrame, price_changed: DataFrame, listings: DataFrame) -> DataFrame:
+    """One row: matches of the keyword among new listings, new ones and price changes, for the subject."""
+    matched = new.select("id").join(listings.select("id", F.col("king_cab.matched").alias("m")), "id", "left").agg(F.count_if("m").alias("matched"), F.count(F.lit(1)).alias("new"))
+    return matched.join(F.broadcast(price_changed.agg(F.count(F.lit(1)).alias("price changes"))))  # a row each
+
+
+def health_lines(log: DataFrame) -> DataFrame:
+    """source and a line of each source: its listings, or why it was skipped, for how long, and from 7 days on that it must be decided on."""
+    days = F.col("consecutive_failures")
+    failed = F.concat_ws("", "source", F.lit(": skipped — "), "note", F.when(days > 1, F.format_string(" (%d days running)", days)), F.when(days >= 7, F.format_string("; blocked %d days: decision needed", days)))
+    return log.select("source", F.when(F.col("ok"), F.format_string("%s: %d listing(s)", "source", "records")).otherwise(failed).alias("line"))
+
+
+def summary_lines(totals: DataFrame, started_at: str = "") -> DataFrame:
+    """One row: active listings, by country in order, the median price, and when the run began."""
+    by = F.array_join(F.transform(F.array_sort(F.map_entries("by_country")), lambda e: F.concat(e["key"], F.lit(": "), e["value"].cast("string"))), ", ")
+    median = F.when(F.col("median_gbp").isNull(), "n/a").otherwise(pounds(F.col("median_gbp")))
+    began = clock(F.lit(started_at))
+    line = F.concat_ws(" · ", F.format_string("Active listings: %d", "active"), F.concat(F.lit("By country: "), F.when(by == "", "none").otherwise(by)), F.concat(F.lit("Median price: "), median), F.when(began != "", F.concat(F.lit("Run started: "), began, F.lit(" UTC"))))
+    return totals.select(line.alias("line"))
+
+
+def escaped(text: Column) -> Column:
+    for c in "&<>\"'":
+        text = F.replace(text, F.lit(c), F.lit(html.escape(c)))
+    return text
+
+
+def lines(sections: dict[str, DataFrame], most: int = PAGE) -> DataFrame:
+    """k (the section's number), section, place and html of the first `most` rows of each section; no task keeps more than these."""
+
+    def part(k: int, name: str, frame: DataFrame) -> DataFrame:
+        text = F.concat_ws(" · ", *[F.col(c).cast("string") for c in frame.columns if c not in ("ordinal", "matched")])
+        order = [F.desc(c) for c in ("matched",) if c in frame.columns] + [F.col("ordinal" if "ordinal" in frame.columns else frame.columns[0])]
+        first = frame.orderBy(*order).limit(most).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(k)).orderBy(*order)))
+        return first.select(F.lit(k).alias("k"), F.lit(name).alias("section"), "place", F.concat(F.lit("<li>"), escaped(text), F.lit("</li>")).alias("html"))
+
+    return reduce(DataFrame.unionByName, [part(k, n, f) for k, (n, f) in enumerate(sections.items())])
+
+
+def render(sections: dict[str, DataFrame], day: str, most: int = PAGE) -> str:
+    """HTML of the sections that have rows: how many, and the first `most` of each."""
+    sizes = reduce(DataFrame.unionByName, [f.agg(F.count(F.lit(1)).alias("n")).withColumn("section", F.lit(s)) for s, f in sections.items()])
+    total = {r["section"]: r["n"] for r in sizes.collect()}
+    shown = lines(sections, most).orderBy("k", "place").collect()  # a page
     out = [f"<h1>Listings {html.escape(day)}</h1>"]
-    for name, frame in sections.items():
-        rows = frame.collect()
+    for name in sections:
+        rows = [r["html"] for r in shown if r["section"] == name]
         if rows:
-            out.append(f"<h2>{html.escape(name)} ({len(rows)})</h2><ul>")
-            out += ["<li>" + html.escape(" · ".join(str(x) for x in r if x is not None)) + "</li>" for r in rows]
-            out.append("</ul>")
+            more = f"<p>and {total[name] - len(rows)} more</p>" if total[name] > len(rows) else ""
+            out.append(f"<h2>{html.escape(name)} ({total[name]})</h2><ul>{''.join(rows)}</ul>{more}")
     return "\n".join(out if len(out) > 1 else [*out, "<p>Nothing new.</p>"])

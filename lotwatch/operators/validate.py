@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STATUSES = ["active", "sold", "ended", "withdrawn"]
+# What the fields of a listing may hold.
+STATUSES = ["active", "sold", "withdrawn"]
 SIDES = ["LHD", "RHD", "unknown"]
+BODIES = ["pass", "fail", "unavailable"]
+SOURCES = ["ebay", "bringatrailer", "carsandbids", "hemmings", "goonet_exchange", "carsensor", "yahoo_auctions", "kaidee", "classiccars", "kijiji", "barnfinds", "flex", "kuruma_ex", "mercadolibre", "justcars", "tokyocarz"]
 
 
 def rules() -> dict[str, Column]:
@@ -15,8 +18,10 @@ def rules() -> dict[str, Column]:
     needed = ["id", "source", "url", "title", "country", "status", "price"]
     return {
         "required": ~F.greatest(*[c(x).isNull() for x in needed]),
-        "id": c("id").rlike("^[a-z0-9_]+:.+$"),
+        "id": c("id").rlike("^[a-z_]+:.+$"),
+        "source": c("source").isin(SOURCES),
         "status": c("status").isin(STATUSES),
+        "body": c("king_cab.body_style_check").isin(BODIES),
         "drive_side": c("drive_side").isin(SIDES),
         "country": c("country").rlike("^[A-Z]{2}$"),
         "currency": c("price.currency").rlike("^[A-Z]{3}$"),

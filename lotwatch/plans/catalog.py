@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch.functions import classify, display, normalize
-from lotwatch.operators import browse, fx, history, relist, runlog, sets, validate
-from lotwatch.plans.views import CURRENCIES, LISTINGS_SQL, OBS_SQL, listings, observations, rates, table
-from lotwatch.sources.payloads import cards
+from lotwatch.operators import browse, fx, history, relist, report, runlog, sets, validate
+from lotwatch.operators.reconcile import reconcile
+from lotwatch.plans.views import CURRENCIES, LISTINGS_SQL, OBS_SQL, arriving, flat_listings, listings, observations, parts_listed, priced, table
+from lotwatch.schemas import LISTING
+from lotwatch.sources import legacy, plan
+from lotwatch.sources.html import elements
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,13 +38,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query(L + "SELECT count(*) AS active, CAST(round(median(gbp), 2) AS DOUBLE) AS median_gbp, count(DISTINCT country) AS countries FROM listings WHERE status = 'active'")
 def summary_totals(spark, sf_dir):
-    rows = listings(spark, sf_dir).filter("status = 'active'")
-    return rows.agg(F.count(F.lit(1)).alias("active"), F.round(F.median("gbp"), 2).alias("median_gbp"), F.count_distinct("country").alias("countries"))
+    return runlog.totals(priced(listings(spark, sf_dir))).select("active", "median_gbp", F.size("by_country").cast("bigint").alias("countries"))
 
 
 @query(L + "SELECT country, count(*) AS n FROM listings WHERE status = 'active' GROUP BY country")
 def active_by_country(spark, sf_dir):
-    return listings(spark, sf_dir).filter("status = 'active'").groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    return runlog.totals(priced(listings(spark, sf_dir))).select(F.explode("by_country").alias("country", "n"))
 
 
 @query(L + "SELECT id, amount, currency, gbp, rate AS fx_rate FROM listings")
@@ -50,13 +53,12 @@ def fx_convert(spark, sf_dir):
     return rows.select("id", p.alias("p")).select("id", "p.amount", "p.currency", "p.gbp", "p.fx_rate")
 
 
-_DAILY = "r AS (SELECT event_type AS ccy, CAST(ts AS DATE) AS day, round(avg(value), 6) AS rate FROM events WHERE day(ts) % 3 = 0 GROUP BY ALL)"
-
-
-@query(f"WITH {_DAILY} SELECT e.event_id, e.event_type AS ccy, CAST(CAST(e.ts AS DATE) AS VARCHAR) AS day, r.rate FROM events e ASOF LEFT JOIN r ON e.event_type = r.ccy AND CAST(e.ts AS DATE) >= r.day")
+@query("""WITH e AS (SELECT event_id, event_type AS ccy, CAST(ts AS DATE) AS day, value FROM events),
+ r AS (SELECT ccy, day, round(avg(value), 6) AS rate FROM e WHERE value > 95 GROUP BY ALL)
+ SELECT event_id, e.ccy, CAST(e.day AS VARCHAR) AS day, rate FROM e ASOF LEFT JOIN r ON e.ccy = r.ccy AND e.day >= r.day""")
 def fx_asof(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ccy"), F.to_date("ts").alias("day"), "value")
-    daily = e.filter(F.dayofmonth("day") % 3 == 0).groupBy("ccy", "day").agg(F.round(F.avg("value"), 6).alias("rate"))
+    daily = e.filter("value > 95").groupBy("ccy", "day").agg(F.round(F.avg("value"), 6).alias("rate"))  # days without such an event have none
     return fx.as_of(e.drop("value"), daily, "ccy", "day", "rate").select("event_id", "ccy", F.col("day").cast("string").alias("day"), "rate")
 
 
@@ -84,10 +86,10 @@ def country_code_norm(spark, sf_dir):
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(lower(t), '\brhd\b|right[ -]hand[ -]drive') THEN 'RHD' WHEN regexp_matches(lower(t), '\blhd\b|left[ -]hand[ -]drive') THEN 'LHD'
  WHEN c IN ('GB','JP','AU','NZ','ZA','IE','TH','MY','ID') THEN 'RHD' WHEN c IN ('US','CA','DE','FR','NL','BE','IT','ES','SE','CH','AT','MX','PL') THEN 'LHD' ELSE 'unknown' END AS side
- FROM (SELECT doc_id, upper(lang) AS c, CASE doc_id % 4 WHEN 0 THEN 'A RHD truck' WHEN 1 THEN 'left-hand drive' ELSE left(text, 50) END AS t FROM documents)""")
+ FROM (SELECT doc_id, upper(lang) AS c, CASE doc_id % 4 WHEN 0 THEN 'A RHD truck ' WHEN 1 THEN 'left-hand drive ' ELSE '' END || text AS t FROM documents)""")
 def drive_side(spark, sf_dir):
     k = F.col("doc_id") % 4
-    t = F.when(k == 0, "A RHD truck").when(k == 1, "left-hand drive").otherwise(F.left("text", F.lit(50)))
+    t = F.concat(F.when(k == 0, "A RHD truck ").when(k == 1, "left-hand drive ").otherwise(""), "text")  # in front of a whole text
     return table(spark, sf_dir, "documents").select("doc_id", normalize.drive_side(F.upper("lang"), t).alias("side"))
 
 
@@ -170,9 +172,10 @@ def page_title_parse(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
-@query()
+@query(r"SELECT page_id, CAST(pos - 1 AS INTEGER) AS pos, href, text FROM (SELECT page_id, unnest(generate_series(1, len(h))) AS pos, unnest(h) AS href, unnest(t) AS text FROM (SELECT page_id, regexp_extract_all(html, '<a[^>]* href=\"([^\"]*)\"[^>]*>([^<]*)</a>', 1) AS h, list_transform(regexp_extract_all(html, '<a[^>]* href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1), lambda x: trim(x)) AS t FROM pages))")
 def page_cards(spark, sf_dir):
-    return cards(table(spark, sf_dir, "pages").withColumnRenamed("html", "body"), "li", key="page_id")
+    pages = table(spark, sf_dir, "pages").withColumnRenamed("html", "body")
+    return elements(pages, "a", {"href": ".@href", "text": "."}, keep=("page_id",))
 
 
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k FROM events")
@@ -224,15 +227,23 @@ def quarantine_counts(spark, sf_dir):
     return validate.source_counts(listings(spark, sf_dir), checks)
 
 
-@query(L + """SELECT id, concat_ws(',', CASE WHEN status NOT IN ('active', 'sold') THEN 'status' END, CASE WHEN NOT year BETWEEN 1971 AND 1980 THEN 'year' END) AS broken FROM listings WHERE status NOT IN ('active', 'sold') OR NOT year BETWEEN 1971 AND 1980""")
+@query(L + """, r AS (SELECT id, CASE WHEN source LIKE '1%' THEN 'ebay' ELSE source END AS source, upper(substr(country, 1, CASE WHEN year > 1975 THEN 2 ELSE 3 END)) AS country, status, year, currency, CASE WHEN gbp < 50000 THEN '' ELSE 'https://x.example/' END AS url FROM listings)
+ SELECT id, concat_ws(',', CASE WHEN source <> 'ebay' THEN 'source' END, CASE WHEN length(country) <> 2 THEN 'country' END, CASE WHEN NOT year BETWEEN 1971 AND 1980 THEN 'year' END, CASE WHEN url = '' THEN 'url' END) AS broken
+ FROM r WHERE source <> 'ebay' OR length(country) <> 2 OR NOT year BETWEEN 1971 AND 1980 OR url = ''""")
 def rule_violations(spark, sf_dir):
-    checks = {"status": F.col("status").isin("active", "sold"), "year": F.col("year").between(1971, 1980)}
-    return validate.split(listings(spark, sf_dir), checks)[1].select("id", F.array_join("violations", ",").alias("broken"))
+    rows = listings(spark, sf_dir).withColumns({
+        "source": F.when(F.col("source").startswith("1"), "ebay").otherwise(F.col("source")),
+        "country": F.upper(F.substring("country", F.lit(1), F.when(F.col("year") > 1975, 2).otherwise(3))),
+        "url": F.when(F.col("gbp") < 50000, "").otherwise("https://x.example/"),
+        "title": F.lit("t"), "drive_side": F.lit("RHD"), "description_snippet": F.lit(None).cast("string"), "images": F.array().cast("array<string>"), "king_cab": F.struct(F.lit("pass").alias("body_style_check")),
+    })
+    return validate.split(priced(rows))[1].select("id", F.array_join("violations", ",").alias("broken"))
 
 
-@query("SELECT r_name, c_mktsegment FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
+@query("SELECT r_name AS market, substr(r_name, 1, 2) AS country, c_mktsegment AS query, CAST(200 AS INTEGER) AS \"limit\" FROM region CROSS JOIN (SELECT DISTINCT c_mktsegment FROM customer)")
 def cross_plan(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_name").crossJoin(table(spark, sf_dir, "customer").select("c_mktsegment").distinct())
+    markets = table(spark, sf_dir, "region").select(F.col("r_name").alias("market"), F.substring("r_name", 1, 2).alias("country"))
+    return plan.market_plan(markets, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("query")).distinct()).drop("turn")
 
 
 @query("""SELECT source, raw, CASE WHEN all_failed THEN 'failed' WHEN raw = 0 THEN 'canary' WHEN some_failed THEN 'warned' ELSE 'ok' END AS verdict FROM (
@@ -245,46 +256,52 @@ def canary_checks(spark, sf_dir):
 # Reconciling
 
 
-_TWO = f"""a AS (SELECT id, arg_min(amount, ordinal) AS amount, arg_min(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' GROUP BY id),
- b AS (SELECT id, arg_min(amount, ordinal) AS amount, arg_min(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' + 1 GROUP BY id)"""
+_TWO = f"""a AS (SELECT id, arg_max(amount, ordinal) AS amount, arg_max(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' GROUP BY id),
+ b AS (SELECT id, arg_max(amount, ordinal) AS amount, arg_max(status, ordinal) AS status, arg_min(source, ordinal) AS source FROM obs WHERE day = DATE '{DAY}' + 4 GROUP BY id),
+ gone AS (SELECT id FROM a WHERE status = 'active' AND id NOT IN (SELECT id FROM b) AND source IN (SELECT source FROM obs WHERE day = DATE '{DAY}' + 4))"""
+#: Each row of the second day after the row before it of the same id, the store's or an earlier one of the day.
+_STEPS = f"""s AS (SELECT id, ordinal, amount, status, lag(amount) OVER w AS old, lag(status) OVER w AS old_status FROM (SELECT id, -1 AS ordinal, amount, status FROM a UNION ALL SELECT id, ordinal, amount, status FROM obs WHERE day = DATE '{DAY}' + 4) WINDOW w AS (PARTITION BY id ORDER BY ordinal))"""
 
 
-def _two_days(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    day = F.lit(DAY).cast("date")
-    pick = lambda d: sets.keep_first(obs.filter(F.col("day") == d), "id", ["ordinal"]).select("id", "amount", "status", "source")
-    return pick(day), pick(F.date_add(day, 1))
+def _second_day(spark, sf_dir):
+    """The store after a first day's observations and the reconcile of those of the fourth day after."""
+    obs, day = arriving(observations(spark, sf_dir)), F.lit(DAY).cast("date")
+    one, two = obs.filter(F.col("day") == day).drop("day"), obs.filter(F.col("day") == F.date_add(day, 4)).drop("day")
+    held = reconcile(spark.createDataFrame([], LISTING), one, one.select("source").distinct(), DAY).store
+    return held, reconcile(held, two, two.select("source").distinct(), str(date.fromisoformat(DAY) + timedelta(4)))
 
 
-@query(O + f""", {_TWO} SELECT id, coalesce(b.amount, a.amount) AS amount, coalesce(b.status, a.status) AS status, coalesce(a.source, b.source) AS source,
+@query(O + f""", {_TWO} SELECT CAST(id AS VARCHAR) AS id, coalesce(b.amount, a.amount) AS amount, coalesce(b.status, CASE WHEN id IN (SELECT id FROM gone) THEN 'withdrawn' END, a.status) AS status, coalesce(a.source, b.source) AS source,
  CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'left' ELSE 'updated' END AS change FROM a FULL JOIN b USING (id)""")
 def merge_upsert(spark, sf_dir):
-    a, b = _two_days(spark, sf_dir)
-    a, b = a.select("id", F.struct("*").alias("a")), b.select("id", F.struct("*").alias("b"))
-    m = a.join(b, "id", "full_outer")
-    change = F.when(F.col("a").isNull(), "new").when(F.col("b").isNull(), "left").otherwise("updated")
-    return m.select("id", F.coalesce("b.amount", "a.amount").alias("amount"), F.coalesce("b.status", "a.status").alias("status"), F.coalesce("a.source", "b.source").alias("source"), change.alias("change"))
+    change = F.when(F.col("first_seen") > DAY, "new").when(F.col("last_seen") == DAY, "left").otherwise("updated")
+    return _second_day(spark, sf_dir)[1].store.select("id", F.col("price.amount").alias("amount"), "status", "source", change.alias("change"))
 
 
-@query(O + f", {_TWO} SELECT id FROM b WHERE id NOT IN (SELECT id FROM a)")
+@query(O + f", {_TWO} SELECT CAST(id AS VARCHAR) AS id FROM b WHERE id NOT IN (SELECT id FROM a)")
 def new_ids(spark, sf_dir):
-    a, b = _two_days(spark, sf_dir)
-    return b.join(a, "id", "left_anti").select("id")
+    return _second_day(spark, sf_dir)[1].new.select("id")
 
 
-@query(O + f", {_TWO} SELECT id FROM a WHERE id NOT IN (SELECT id FROM b)")
+@query(O + f", {_TWO} SELECT CAST(id AS VARCHAR) AS id FROM gone")
 def vanished_ids(spark, sf_dir):
-    a, b = _two_days(spark, sf_dir)
-    return a.join(b, "id", "left_anti").select("id")
+    return _second_day(spark, sf_dir)[1].status_changed.filter("new_status = 'withdrawn'").select("id")
 
 
-@query(O + f""", last AS (SELECT id, max(day) AS last_seen, arg_max(source, ordinal) AS source FROM obs WHERE day <= DATE '{DAY}' GROUP BY id)
- SELECT id, CAST(DATE '{DAY}' - last_seen AS INTEGER) AS days FROM last WHERE DATE '{DAY}' - last_seen >= 1 AND source IN (SELECT source FROM obs WHERE day = DATE '{DAY}')""")
+@query(O + f", {_TWO} SELECT CAST(a.id AS VARCHAR) AS id, CAST(4 AS INTEGER) AS days FROM a JOIN gone USING (id)")
 def aged_out(spark, sf_dir):
-    obs, day = observations(spark, sf_dir), F.lit(DAY).cast("date")
-    last = obs.filter(F.col("day") <= day).groupBy("id").agg(F.max("day").alias("last_seen"), F.max_by("source", "ordinal").alias("source"))
-    seen = obs.filter(F.col("day") == day).select("source").distinct()
-    return last.withColumn("days", F.date_diff(day, "last_seen")).filter("days >= 1").join(seen, "source", "left_semi").select("id", "days")
+    after = _second_day(spark, sf_dir)[1].store.filter("status = 'withdrawn'")
+    return after.select("id", F.date_diff(F.element_at("history", -1)["date"], "last_seen").alias("days"))
+
+
+@query(O + f""", {_TWO}, {_STEPS} SELECT CAST(id AS VARCHAR) AS id, old AS old_gbp, amount AS new_gbp, CASE WHEN old <> 0 AND amount <> 0 THEN round((amount - old) / old * 100, 1) + 0.0 END AS pct FROM s WHERE old IS NOT NULL AND old <> amount""")
+def reconciled_prices(spark, sf_dir):
+    return _second_day(spark, sf_dir)[1].price_changed.withColumn("pct", F.col("pct") + F.lit(0.0))
+
+
+@query(O + f""", {_TWO}, {_STEPS} SELECT CAST(id AS VARCHAR) AS id, old_status, status AS new_status FROM s WHERE old_status IS NOT NULL AND old_status <> status UNION ALL SELECT CAST(id AS VARCHAR), 'active', 'withdrawn' FROM gone""")
+def reconciled_statuses(spark, sf_dir):
+    return _second_day(spark, sf_dir)[1].status_changed
 
 
 @query(O + """SELECT id, ordinal, old, amount AS new, CASE WHEN old <> 0 AND amount <> 0 THEN round((amount - old) / old * 100, 1) + 0.0 END AS pct FROM (
@@ -316,17 +333,12 @@ def failure_streaks(spark, sf_dir):
 _NAMED = "SELECT p_partkey, p_name, p_brand, p_size, p_retailprice FROM part"
 
 
-@query(f"""WITH pr AS (SELECT n.p_partkey AS id, o.p_partkey AS prior_id, 1 - levenshtein(o.p_name, n.p_name) / CAST(greatest(length(o.p_name), length(n.p_name)) AS DOUBLE) AS sim
- FROM ({_NAMED}) n JOIN ({_NAMED}) o ON n.p_brand = o.p_brand AND n.p_size = o.p_size AND o.p_partkey < n.p_partkey)
- SELECT id, prior_id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, prior_id) AS k FROM pr WHERE sim >= 0.5) WHERE k = 1""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS source, p_type AS title, 'C' || p_size AS country, p_retailprice AS amount, CASE WHEN p_size > 25 THEN 'sold' ELSE 'active' END AS status FROM part),
+ pr AS (SELECT n.k, o.k AS old, n.country = o.country AS same, abs(n.amount - o.amount) / o.amount * 100 <= 15 AS near FROM p n JOIN p o ON n.source = o.source AND n.title = o.title AND o.k < n.k WHERE n.status = 'active' AND o.status = 'sold')
+ SELECT 'ebay:' || k AS id, 'ebay:' || min(old) AS prior_id, CAST(1 AS DOUBLE) AS similarity FROM pr WHERE same OR near GROUP BY k""")
 def relist_best(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    o = p.select(F.col("p_partkey").alias("prior_id"), F.col("p_name").alias("old"), "p_brand", "p_size")
-    pairs = p.join(o, ["p_brand", "p_size"]).filter("prior_id < p_partkey")
-    most = F.greatest(F.length("old"), F.length("p_name"))
-    pairs = pairs.withColumn("sim", 1 - F.levenshtein("old", "p_name") / most.cast("double")).filter("sim >= 0.5")
-    w = Window.partitionBy("p_partkey").orderBy(F.desc("sim"), "prior_id")
-    return pairs.withColumn("k", F.row_number().over(w)).filter("k = 1").select(F.col("p_partkey").alias("id"), "prior_id", F.round("sim", 6).alias("sim"))
+    rows = parts_listed(spark, sf_dir)
+    return relist.relists(rows.filter("status = 'active'"), rows.limit(0), rows, least=1.0).select("id", "prior_id", "similarity")
 
 
 @query()
@@ -339,27 +351,30 @@ def relist_ratio(spark, sf_dir):
 # Reports and browsing
 
 
-@query(L + """SELECT id, gbp, CASE WHEN CAST(substr(id, 5) AS BIGINT) % 3 = 0 THEN 1 ELSE 0 END AS matched FROM listings WHERE first_seen = DATE '1996-01-02' AND CAST(substr(id, 5) AS BIGINT) % 5 <> 0""")
+@query(L + """SELECT id, title, CASE WHEN gbp < 50000 THEN '£' || format('{:,.0f}', gbp) ELSE 'no price shown' END AS price, matched FROM (SELECT id, 'lot ' || id AS title, gbp, year = 1978 AS matched, status FROM listings WHERE first_seen = DATE '1996-01-02') WHERE status <> 'sold'""")
 def digest_new(spark, sf_dir):
     rows = listings(spark, sf_dir).filter(F.col("first_seen") == F.lit("1996-01-02").cast("date"))
-    key = F.substring("id", 5, 20).cast("bigint")
-    relisted = rows.filter(key % 5 == 0).select("id")
-    return rows.join(relisted, "id", "left_anti").select("id", "gbp", F.when(key % 3 == 0, 1).otherwise(0).alias("matched"))
+    amount = F.when(F.col("gbp") < 50000, F.col("gbp"))
+    rows = rows.select("id", "status", F.concat(F.lit("lot "), "id").alias("title"), F.lit("").alias("title_translated"), F.struct(amount.alias("amount"), F.lit("GBP").alias("currency"), amount.alias("gbp")).alias("price"), F.struct((F.col("year") == 1978).alias("matched")).alias("king_cab"))
+    new = rows.select("id", F.xxhash64("id").alias("ordinal"))
+    return report.new_listings(new, rows.filter("status = 'sold'"), rows).drop("ordinal")
 
 
-@query(O + f""", {_TWO} SELECT id, '£' || format('{{:,.0f}}', a.amount) || ' → £' || format('{{:,.0f}}', b.amount) || ' ' || CASE WHEN (b.amount - a.amount) / a.amount < 0 THEN '▼' ELSE '▲' END AS line FROM a JOIN b USING (id) WHERE a.amount <> b.amount""")
+@query(O + f""", {_TWO}, {_STEPS}, c AS (SELECT id, old, amount, CASE WHEN old <> 0 AND amount <> 0 THEN round((amount - old) / old * 100, 1) END AS pct FROM s WHERE old IS NOT NULL AND old <> amount)
+ SELECT CAST(id AS VARCHAR) AS id, 'obs ' || id AS title, '£' || format('{{:,.0f}}', old) || ' → £' || format('{{:,.0f}}', amount) || ' ' || CASE WHEN pct < 0 THEN '▼' ELSE '▲' END || coalesce(' ' || format('{{:,.0f}}', abs(pct)) || '%', '') AS change FROM c""")
 def digest_price(spark, sf_dir):
-    a, b = _two_days(spark, sf_dir)
-    rows = a.select("id", F.col("amount").alias("old")).join(b.select("id", F.col("amount").alias("new")), "id").filter("old <> new")
-    arrow = F.substring(display.change((F.col("new") - F.col("old")) / F.col("old")), 1, 1)
-    return rows.select("id", F.concat(display.pounds(F.col("old")), F.lit(" → "), display.pounds(F.col("new")), F.lit(" "), arrow).alias("line"))
+    after = _second_day(spark, sf_dir)[1]
+    return report.price_changes(after.price_changed, after.store)
 
 
-@query(f"""SELECT n.p_partkey AS id, n.p_name AS title, o.p_name AS prior_title FROM ({_NAMED}) n LEFT JOIN ({_NAMED}) o ON o.p_partkey = n.p_partkey - 7 AND o.p_size < 25""")
+@query("""WITH p AS (SELECT p_partkey AS k, p_brand AS source, p_type AS title, 'C' || p_size AS country, p_retailprice AS amount, CASE WHEN p_size > 25 THEN 'sold' ELSE 'active' END AS status FROM part),
+ f AS (SELECT n.k, min(o.k) AS old FROM p n JOIN p o ON n.source = o.source AND n.title = o.title AND o.k < n.k WHERE n.status = 'active' AND o.status = 'sold' AND (n.country = o.country OR abs(n.amount - o.amount) / o.amount * 100 <= 15) GROUP BY n.k)
+ SELECT 'ebay:' || f.k AS id, n.title, 'ebay:' || f.old AS prior_id, CASE WHEN o.amount < 1500 THEN o.title END AS prior_title FROM f JOIN p n USING (k) JOIN p o ON o.k = f.old""")
 def digest_relist(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    old = p.filter("p_size < 25").select((F.col("p_partkey") + 7).alias("id"), F.col("p_name").alias("prior_title"))
-    return p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")).join(old, "id", "left")
+    rows = parts_listed(spark, sf_dir)
+    found = relist.relists(rows.filter("status = 'active'"), rows.limit(0), rows, least=1.0)
+    kept = rows.filter("status = 'active' OR price.amount < 1500")  # a prior one may be gone from the store
+    return report.relist_lines(found, kept).drop("reasons")
 
 
 @query(L + """SELECT id, section, CAST(row_number() OVER (PARTITION BY section ORDER BY nullif(gbp, 0) ASC NULLS LAST, first_seen DESC, id) AS INTEGER) AS place FROM (
@@ -393,8 +408,7 @@ def first_last_obs(spark, sf_dir):
 
 @query(O + "SELECT id, min(amount) AS low, max(amount) AS high, CAST(min(day) AS VARCHAR) AS since, CAST(max(day) AS VARCHAR) AS until, count(*) AS n FROM obs GROUP BY id HAVING count(amount) >= 2")
 def history_minmax(spark, sf_dir):
-    g = observations(spark, sf_dir).groupBy("id").agg(F.min("amount").alias("low"), F.max("amount").alias("high"), F.min("day").cast("string").alias("since"), F.max("day").cast("string").alias("until"), F.count(F.lit(1)).alias("n"), F.count("amount").alias("priced"))
-    return g.filter("priced >= 2").drop("priced")
+    return browse.priced_points(observations(spark, sf_dir), "id", "day", "amount").withColumns({"since": F.col("since").cast("string"), "until": F.col("until").cast("string")})
 
 
 @query(O + """, w AS (SELECT id, ordinal AS x, amount AS y, min(amount) OVER p AS lo, max(amount) OVER p AS hi, min(ordinal) OVER p AS x0, max(ordinal) OVER p AS x1, count(*) OVER p AS n FROM obs WINDOW p AS (PARTITION BY id))
@@ -404,21 +418,17 @@ def chart_points(spark, sf_dir):
     return browse.scaled(obs, "id", "x", "y").select("id", "x", F.round("px", 4).alias("px"), F.round("py", 4).alias("py"))
 
 
-@query(L + "SELECT 'legacy:' || id AS id, country, CAST(first_seen AS VARCHAR) AS first_seen, len([1]) + CASE WHEN status = 'active' THEN 0 ELSE 1 END AS entries FROM listings WHERE CAST(substr(id, 5) AS BIGINT) % 4 <> 0")
+@query(L + "SELECT 'old_site:' || substr(id, 5) AS id, CASE country WHEN 'UNITED STATES' THEN 'US' WHEN 'UNITED KINGDOM' THEN 'GB' WHEN 'GERMANY' THEN 'DE' WHEN 'JAPAN' THEN 'JP' WHEN 'CANADA' THEN 'CA' ELSE 'XX' END AS country, CAST(first_seen AS VARCHAR) AS first_seen, CAST(CASE WHEN status = 'active' THEN 1 ELSE 2 END AS INTEGER) AS entries, status FROM listings")
 def legacy_backfill(spark, sf_dir):
-    rows = listings(spark, sf_dir)
-    old = rows.withColumn("lid", F.concat(F.lit("legacy:"), "id"))
-    have = old.filter(F.substring("id", 5, 20).cast("bigint") % 4 == 0).select("lid")
-    entry = lambda status: F.array(F.struct("first_seen", status.alias("status")))
-    past = F.when(F.col("status") == "active", entry(F.lit("active"))).otherwise(F.concat(entry(F.lit("active")), entry(F.col("status"))))
-    return old.join(have, "lid", "left_anti").select(F.col("lid").alias("id"), "country", F.col("first_seen").cast("string").alias("first_seen"), F.size(past).cast("bigint").alias("entries"))
+    flat = flat_listings(listings(spark, sf_dir))
+    held = legacy.converted(flat.filter("status = 'withdrawn'"))  # what a first import brought
+    return legacy.imported(held, flat).select("id", "country", F.col("first_seen").cast("string").alias("first_seen"), F.size("history").alias("entries"), "status")
 
 
-@query("SELECT c_nationkey, string_agg(c_mktsegment || ': ' || n, '; ' ORDER BY c_mktsegment) AS segments FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+@query("SELECT c_nationkey, string_agg(c_mktsegment || ': ' || n, '; ' ORDER BY c_mktsegment) AS line FROM (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) GROUP BY c_nationkey")
 def title_digest_text(spark, sf_dir):
     n = table(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    line = F.concat("c_mktsegment", F.lit(": "), F.col("n").cast("string"))
-    return n.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_mktsegment", line.alias("line")))), lambda x: x["line"]), "; ").alias("segments"))
+    return browse.listed(n, "c_nationkey", "c_mktsegment", F.concat("c_mktsegment", F.lit(": "), F.col("n").cast("string")))
 
 
 @query(L + "SELECT currency, count(*) AS n, CAST(round(sum(gbp), 0) AS DOUBLE) AS gbp FROM listings GROUP BY currency HAVING currency IN ('GBP', 'USD', 'EUR', 'JPY', 'THB')")
@@ -426,7 +436,7 @@ def currency_totals(spark, sf_dir):
     return listings(spark, sf_dir).filter(F.col("currency").isin(CURRENCIES)).groupBy("currency").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("gbp"), 0).alias("gbp"))
 
 
-@query(L + ", k AS (SELECT l.id, l.gbp, r.currency AS other, r.rate AS other_rate FROM listings l CROSS JOIN (VALUES ('USD', CAST(1.25 AS DOUBLE))) r(currency, rate)) SELECT id, round(gbp * other_rate, 4) AS usd FROM k")
+@query(L + "SELECT id, coalesce(CASE source WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' END, source) AS shown FROM listings")
 def display_dimension_join(spark, sf_dir):
-    usd = rates(spark).filter("currency = 'USD'").select(F.col("rate").alias("other_rate"))
-    return listings(spark, sf_dir).crossJoin(F.broadcast(usd)).select("id", F.round(F.col("gbp") * F.col("other_rate"), 4).alias("usd"))  # one row
+    labels = spark.createDataFrame([("1-URGENT", "Urgent"), ("2-HIGH", "High")], "source string, label string")
+    return browse.with_label(listings(spark, sf_dir), "source", labels, "shown").select("id", "shown")
\ No newline at end of file

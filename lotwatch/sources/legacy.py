@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.functions import normalize
+from lotwatch.functions import classify, normalize
 from lotwatch.schemas import HISTORY, LISTING, PRICE
 
 FLAT = (
@@ -14,30 +14,42 @@ FLAT = (
     "price_history array<struct<date:date,price_original:double,price_gbp:double>>, status string, relisted_from string"
 )
 
+# Countries as they were written before.
+COUNTRIES = {"United States": "US", "United Kingdom": "GB", "Germany": "DE", "Australia": "AU", "Japan": "JP", "Canada": "CA"}
+
 
 def converted(flat: DataFrame) -> DataFrame:
-    """LISTING rows of flat ones; the history from the prices, and the last status if the listing has ended."""
-    native = F.regexp_replace("id", "^[^:-]+[:-]", "")
-    price = F.struct(F.col("price_original").alias("amount"), "currency", F.col("price_gbp").alias("gbp"), F.col("fx_rate_used").alias("fx_rate"), "fx_date").cast(PRICE)
-    past = F.transform(
-        F.coalesce("price_history", F.array().cast("array<struct<date:date,price_original:double,price_gbp:double>>")),
-        lambda h: F.struct(h["date"].alias("date"), F.lit("active").alias("status"), F.struct(h["price_original"].alias("amount"), F.col("currency"), h["price_gbp"].alias("gbp"), F.col("fx_rate_used").alias("fx_rate"), h["date"].alias("fx_date")).alias("price")),
-    ).cast(HISTORY)
-    past = F.when(F.size(past) > 0, past).otherwise(F.array(F.struct(F.col("first_seen").alias("date"), F.lit("active").alias("status"), price.alias("price"))).cast(HISTORY))
-    end = F.when(F.col("status") == "active", F.array()).otherwise(F.array(F.struct(F.col("last_seen").alias("date"), "status", F.lit(None).cast(PRICE).alias("price")))).cast(HISTORY)
-    terms = F.coalesce("king_cab_signals", F.array().cast("array<string>"))
+    """LISTING rows of flat ones: the history from the prices, the last status if the listing has ended, else one entry of what it is.
+
+    An id loses its source and a dash in front, and nothing else; a currency is
+    USD, a driver's side unknown, a rate's day the first sight's where missing.
+    """
+    start = F.concat("source", F.lit("-"))
+    native = F.when(F.col("id").startswith(start), F.substring("id", F.length(start) + 1, F.length("id"))).otherwise(F.col("id"))
+    currency, seen = F.coalesce(F.nullif("currency", F.lit("")), F.lit("USD")), F.coalesce("fx_date", "first_seen")
+
+    def price(amount: Column, gbp: Column, day: Column) -> Column:
+        return F.struct(amount.alias("amount"), currency.alias("currency"), gbp.alias("gbp"), F.col("fx_rate_used").alias("fx_rate"), day.alias("fx_date")).cast(PRICE)
+
+    now, none = price(F.col("price_original"), F.col("price_gbp"), seen), F.lit(None).cast(PRICE)
+    entry = lambda day, status, p: F.struct(day.alias("date"), status.alias("status"), p.alias("price"))
+    past = F.transform(F.coalesce("price_history", F.array().cast("array<struct<date:date,price_original:double,price_gbp:double>>")), lambda h: entry(h["date"], F.lit("active"), price(h["price_original"], h["price_gbp"], h["date"])))
+    end = F.when(F.col("status") == "active", F.array().cast(HISTORY)).otherwise(F.array(entry(F.col("last_seen"), F.col("status"), none)).cast(HISTORY))
+    history = F.concat(past.cast(HISTORY), end)
+    country = normalize.lookup(F.coalesce("country", F.lit("")), COUNTRIES, F.lit("XX"))
     columns = {
         "id": F.concat("source", F.lit(":"), native),
         "source_listing_id": native,
-        "url": normalize.safe_url(F.col("source_url")),
+        "url": F.col("source_url"),
         "title_translated": F.lit(None).cast("string"),
-        "description_snippet": F.substring("condition_notes", 1, 500),
-        "country": normalize.country_code(F.col("country")),
-        "king_cab": F.struct((F.size(terms) > 0).alias("matched"), terms.alias("matched_terms"), F.lit("unavailable").alias("body_style_check")),
-        "price": price,
+        "description_snippet": F.col("condition_notes"),
+        "country": country,
+        "drive_side": F.coalesce(F.nullif("drive_side", F.lit("")), F.lit("unknown")),
+        "king_cab": classify.keywords(F.col("title"), F.lit(None).cast("string"), F.lit(None).cast("string")),
+        "price": now,
         "images": F.coalesce("photo_urls", F.array().cast("array<string>")),
-        "history": F.concat(past, end),
-        "relist": F.struct(F.col("relisted_from").isNotNull().alias("possible"), F.col("relisted_from").alias("prior_id"), F.array().cast("array<string>").alias("reasons")),
+        "history": F.when(F.size(history) > 0, history).otherwise(F.array(entry(F.col("first_seen"), F.col("status"), now)).cast(HISTORY)),
+        "relist": F.struct(F.lit(False).alias("possible"), F.lit(None).cast("string").alias("prior_id"), F.array().cast("array<string>").alias("reasons")),
     }
     names = flat.sparkSession.createDataFrame([], LISTING).columns
     return flat.select(*[columns.get(c, F.col(c)).alias(c) for c in names])

@@ -11,11 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from lotwatch.operators.reconcile import reconcile
 from lotwatch.operators.validate import seen_sources, source_counts, split
 from lotwatch.schemas import INCOMING, LISTING
-from lotwatch.sources.store import append, read_or_empty, write_store
+from lotwatch.sources.store import append, is_complete, read_or_empty, write_store
 
 
 def merge_batch(root: str, day_of: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: versions follow the batches' numbers, so a batch that is run again writes nothing twice."""
+    """foreachBatch function: versions follow the batches' numbers, so a batch that is run again writes nothing twice, and one that died midway is written anew."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -25,7 +25,7 @@ def merge_batch(root: str, day_of: Callable[[int], str]) -> Callable[[DataFrame,
         good, _ = split(rows)
         # Only sources with a valid row make their listings age, so an outage withdraws nothing.
         out = reconcile(store, good, seen_sources(source_counts(rows)), day_of(number))
-        if read_or_empty(spark, done, LISTING).isEmpty():
+        if not is_complete(spark, done):  # else the batch died after it, or is run again
             write_store(out.store, root, str(number))
         append(out.price_changed, f"{root}/price_changes", batch=str(number))
         append(out.status_changed, f"{root}/status_changes", batch=str(number))

@@ -5,9 +5,10 @@ import os
 import duckdb
 import pytest
 
-from lotwatch.plans import catalog
+from lotwatch.plans import catalog, rendered
 
 SF = "/root/testdata/sf0.001"
+QUERIES, ORACLES = catalog.QUERIES | rendered.QUERIES, catalog.ORACLES | rendered.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,14 +24,14 @@ def rows(names, values):
     return sorted(repr([round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order]) for r in values)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    if name not in catalog.ORACLES:
+    if name not in ORACLES:
         assert df.columns
         return
-    want = duck.execute(catalog.ORACLES[name])
+    want = duck.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(df.columns)
     assert rows(df.columns, got) == rows(names, want.fetchall())
