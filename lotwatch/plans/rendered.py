@@ -181,7 +181,7 @@ ORACLES = {
     "source_barnfinds": sql("barnfinds", TITLE, "true", 1.25, amount="CASE WHEN ended THEN floor(amount) END"),
     "source_flex": sql("flex", TITLE, f"number = '620' AND (size % 2 = 1 OR {ERA})", 187.3, year="CASE WHEN size % 2 = 0 THEN year END", amount="CAST(size * 10000 AS DOUBLE)", status="CASE WHEN ended THEN 'sold' ELSE 'active' END"),
     "source_kuruma_ex": sql("kuruma_ex", "'x ' || year || ' Datsun ' || number || ' ' || word", ERA, 187.3, amount="CAST(size * 10000 AS DOUBLE)", key="'ccAB' || k"),
-    "scalar_texts": """SELECT o_orderkey, o_orderkey % 2 = 0 AS translate, 'lot ' || o_orderkey AS head, 'a%20b%2F' || o_orderpriority AS encoded,
+    "scalar_texts": """SELECT o_orderkey, o_orderkey % 2 = 0 AS translate, 'lot ' || o_orderkey AS head, 'a%20b%2F' || replace(o_orderpriority, ' ', '%20') AS encoded,
  '$' || rtrim(rtrim(format('{:,.3f}', o_totalprice), '0'), '.') || ' · £' || format('{:,.0f}', floor(o_totalprice / 1.25 + 0.5)) AS money, '04:' || (o_orderkey % 50 + 10) AS clock, replace(lower(o_orderpriority), ' ', '-') AS slug,
  CASE o_orderkey % 3 WHEN 0 THEN 'https://i.example/1' WHEN 1 THEN 'https://b.example/d/1' ELSE 'https://x.example' END AS absolute FROM orders""",
     "spec_filter": f"WITH {_SPEC} SELECT k AS id, body_type, engines FROM v WHERE 1977 BETWEEN year AND year + 3 AND size > 30 AND word = 'grille'",
