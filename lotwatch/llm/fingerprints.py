@@ -9,6 +9,7 @@ plus the difference of their lengths, bounded by what unrelated digests come to.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ BUCKETS = 256
 TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 4))
 FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 COST = np.array([0, 1, 2, 6], np.int64)
+#: Where a row without an id stands: after all others.
+NO_ID = -(2**63)
 #: Score of unrelated digests: the mean cost of two random quartiles, for every bucket.
 BOUND = BUCKETS * float((COST * [4, 6, 4, 2]).sum()) / 16
 STEP = 1.15  # lengths whose digests differ by one
@@ -92,17 +95,23 @@ def with_next(docs: DataFrame, per_task: int = 4) -> DataFrame:
     gets the first row of the one that follows.
     """
     spark = docs.sparkSession
-    keyed = docs.withColumns({"k": F.coalesce("doc_id", F.lit(-(2**63))), "h": F.xxhash64("text")})
+    keyed = docs.withColumns({"k": F.coalesce("doc_id", F.lit(NO_ID)), "h": F.xxhash64("text")})
     n = per_task * partitions(spark)
-    bounds = sorted(set(keyed.select(F.col("k").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n)))
-    cuts = Bucketizer(splits=[-float("inf"), *(bounds or [0.0]), float("inf")], inputCol="d", outputCol="range")
+    found = keyed.select(F.col("k").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.1 / n)
+    cuts = Bucketizer(splits=[-float("inf"), *(sorted(set(found)) or [0.0]), float("inf")], inputCol="d", outputCol="range")
     ranged = cuts.transform(keyed.withColumn("d", F.col("k").cast("double"))).withColumn("range", F.col("range").cast("int")).drop("d")
-    # At most n rows come to the driver: the first key of each range.
+    # An id that fills several quantiles (or none at all, as the nulls') has as many ranges, by the text's hash; larger ids come before it.
+    hot = {int(v): m for v, m in Counter(found).items() if m > 1 and (abs(v) < 2**53 or v == NO_ID)}
+    part = F.lit(n)
+    for v, m in hot.items():
+        part = F.when(F.col("k") == v, m - 1 - F.floor((F.col("h").cast("double") / 2.0**63 + 1) / 2 * m * (1 - 1e-12))).otherwise(part)
+    ranged = ranged.withColumn("range", (F.col("range") * (n + 1) + part).cast("int"))
+    # At most 2 n rows come to the driver: the first key of each range.
     top = ranged.groupBy("range").agg(F.min(F.struct((-F.col("k").cast("decimal(20,0)")).alias("down"), "h", "k")).alias("top"))
     heads = sorted(((r["range"], r["top"]["k"], r["top"]["h"]) for r in top.collect()), reverse=True)
     follow = [(k, h, heads[i - 1][0]) for i, (_, k, h) in enumerate(heads)]
     schema = "k long, h long, follows int"
-    first = ranged.join(F.broadcast(spark.createDataFrame(follow, schema)), ["k", "h"])
+    first = ranged.join(F.broadcast(spark.createDataFrame(follow, schema)), ["k", "h"]).dropDuplicates(["k", "h", "follows"])
     both = ranged.withColumn("ahead", F.lit(0)).unionByName(first.withColumn("range", F.col("follows")).drop("follows").withColumn("ahead", F.lit(1)))
 
     @F.arrow_udf("string")
@@ -121,7 +130,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     first as many of the next document by descending doc_id (ties: by a hash of
     the text; null ids come last; after the last comes the first).  A null text
     counts as empty; a text of fewer than three bytes has an even digest; a
-    lone row follows itself; other columns are ignored.
+    very long one is digested whole; a lone row follows itself, and so may
+    rows equal in id and text; an empty table gives an empty result; other
+    columns are ignored.
     """
     ship(docs.sparkSession)
     half = F.floor(F.col("n_chars") / 2).cast("int")
