@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwatch.operators.files import shared_folder
+
 #: Characters that separate words: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -30,16 +32,6 @@ def ship(spark: SparkSession) -> None:
     sc._lotwatch_shipped = True
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local session without one, as in tests, gets a temporary folder."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    return f"{tempfile.gettempdir()}/lotwatch-{spark.sparkContext.applicationId}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -18,14 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import partitions, ship, table
+from lotwatch.llm.common import ship, table
 
 #: Parts, and blocks of all shards together, are at most so many: the matrix has at most their product of cells.
 MOST_PARTS = 1024
+LEAST_PARTS, PART_ROWS = 16, 5000
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
-    """Number of good ones among `drawn` of good + bad; numpy's sampler stops at 10 ** 9."""
+    """Number of good ones among `drawn` of good + bad.
+
+    numpy's sampler stops at 10 ** 9: beyond it the law is inverted over 12
+    standard deviations, outside of which there is less than double precision
+    can tell.
+    """
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, drawn)) if good + bad else 0
     n = good + bad
@@ -65,14 +71,15 @@ def shards(docs: DataFrame, count: int = 8, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs; law `rows`.
 
     Shards' row counts differ by one at most, slots are gapless from 0, and all
-    permutations are equally likely (by seed).  A null text has no bytes; null
-    ids and repeated rows are rows of their own (wholly equal rows are
-    interchangeable); other columns are ignored.
+    permutations are equally likely (by seed).  A null text has no bytes; very
+    long texts count whole; null ids and repeated rows are rows of their own
+    (wholly equal rows are interchangeable); an empty table gives an empty
+    result; other columns are ignored.
     """
     ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    n_parts = min(MOST_PARTS, 4 * partitions(docs.sparkSession))
+    n_parts = max(LEAST_PARTS, min(MOST_PARTS, docs.count() // PART_ROWS))  # by the data alone, so that no setting moves a row
 
     def mixed(k: int):
         return F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size")

@@ -117,6 +117,39 @@ def test_fingerprints(spark, documents):
     assert fingerprints.likeness(pa.array(fingerprints.digests(pa.array(["abc" * 9]))), pa.array(fingerprints.digests(pa.array(["abc" * 9]))))[0] == 1.0
 
 
+def digest_by_force(text):
+    """The digest, triplet by triplet."""
+    raw = text.encode()
+    counts = [0] * 256
+    for k, (a, b, c) in enumerate(fingerprints.TRIPLETS):
+        for i in range(len(raw) - c):
+            h = (sum(int(raw[i + o]) * int(f) for o, f in zip((a, b, c), fingerprints.FACTORS, strict=True)) + (k * 0x27D4EB2F & 0xFFFFFFFF)) & 0xFFFFFFFF
+            h = ((h ^ (h >> 15)) * 0x2C1B3C6D) & 0xFFFFFFFF
+            counts[h >> 24] += 1
+    quartiles = [sorted(counts)[q] for q in (63, 127, 191)]
+    codes = [sum(n > q for q in quartiles) for n in counts]
+    size = min(255, round(np.log1p(len(raw)) / np.log(fingerprints.STEP)))
+    return codes, size, bytes([size, *[codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, 256, 4)]]).hex()
+
+
+def test_digests_by_force(documents):
+    texts = [(r["text"] or "")[:3000] for r in documents.limit(25).collect()] + ["", "ab", "abc", "abcd", "é" * 50, "x" * 4000]
+    want = [digest_by_force(t) for t in texts]
+    assert fingerprints.digests(pa.array(texts)) == [w[2] for w in want]
+    for (a, n, x), (b, m, y) in itertools.product(want[::3], want[::4]):
+        cost = sum((0, 1, 2, 6)[abs(i - j)] for i, j in zip(a, b, strict=True)) + abs(n - m)
+        assert fingerprints.likeness(pa.array([x]), pa.array([y]))[0] == pytest.approx(max(0, 1 - cost / (256 * (0 * 4 + 1 * 6 + 2 * 4 + 6 * 2) / 16)))
+
+
+def test_next_of_hot_ids(spark):
+    """A third of the rows without an id, a third with the same: the order is by id, then by the text's hash, and no range holds them all."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = fingerprints.with_next(docs).withColumn("h", F.xxhash64("text")).collect()
+    order = sorted(out, key=lambda r: (-(r["doc_id"] if r["doc_id"] is not None else -(2**63)), r["h"]))
+    assert len(out) == 600 and [r["next_text"] for r in order] == [r["text"] for r in order[1:] + order[:1]]
+
+
 def test_quality(spark, documents):
     for docs in (edge(spark), documents):
         texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
@@ -245,6 +278,18 @@ def test_sharding(spark, documents):
         assert not n or sizes.max() - sizes.min() <= 1
         for _, s in out.groupby("shard"):
             assert sorted(s["slot"]) == list(range(len(s)))
+        texts = collections.Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
+        assert texts == collections.Counter((None if d != d else int(d), s, c) for d, s, c in zip(out["doc_id"], out["size"], out["text_crc32"], strict=True))
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        moved = sharding.shards(docs).toPandas()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(zip(moved["text_crc32"], moved["shard"], moved["slot"], strict=True)) == sorted(zip(out["text_crc32"], out["shard"], out["slot"], strict=True))
+    # The matrix follows the law of a uniform shuffle: a cell's mean and spread are the hypergeometric's, whichever cell.
+    drawn = np.array([sharding.matrix([30, 10, 60], [25, 35, 40], seed) for seed in range(3000)])
+    for i, n in enumerate((30, 10, 60)):
+        for j, c in enumerate((25, 35, 40)):
+            mean, var = n * c / 100, n * c / 100 * (100 - c) / 100 * (100 - n) / 99
+            assert abs(drawn[:, i, j].mean() - mean) < 5 * np.sqrt(var / 3000) and abs(drawn[:, i, j].var() / var - 1) < 0.15
     m = sharding.matrix([5, 0, 7], [4, 4, 4], 1)
     assert m.sum(axis=1).tolist() == [5, 0, 7] and m.sum(axis=0).tolist() == [4, 4, 4]
     rng = np.random.default_rng(1)
