@@ -33,6 +33,7 @@ PLANTED = 8000
 #: Words of the corpus that count as its dictionary recur so often; words beside findings that are told apart, those that labels differ on most.
 RECURRING, NEIGHBOURS = 5, 200
 TREES, DEPTH, SEED = 30, 8, 7
+CHUNK = 1024
 MASK = "[SECRET]"
 FEATURES = ("length", "changes", "digits", "uppers", "distinct", "transitions", "covered", "path", "neighbours", "assigned", "quoted")
 # Fixed values for planting: names that secrets have, names that other strings have, and what stands in for a secret.
@@ -42,6 +43,11 @@ STAND_INS = ["your_api_key_here", "replace_with_token", "changeme_changeme", "ex
 PLAIN = ["the", "and", "with", "for", "value", "from", "this", "that", "und", "der", "les", "pour", "que", "con"]
 
 
+def ahead(word: Column, finding: Column) -> Column:
+    """What stands before a finding in its word."""
+    return F.left(word, F.position(finding, word) - 1)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text), word_index, finding and its context of every candidate in docs."""
     text = F.coalesce("text", F.lit(""))
@@ -53,7 +59,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = rows.select("doc_id", "copy", once(near).alias("near")).select("doc_id", "copy", F.explode("near").alias("c")).select("doc_id", "copy", "c.*")
     # A quoted value that something is assigned stands whole, else the runs in the word do.
     quoted = F.regexp_extract("word", QUOTED, 1)
-    assigned = F.concat_ws(" ", F.coalesce("before", F.lit("")), F.split_part("word", quoted, F.lit(1))).rlike("[=:] *[\"'`]$")
+    assigned = F.concat_ws(" ", F.coalesce("before", F.lit("")), ahead(F.col("word"), quoted)).rlike("[=:] *[\"'`]$")
     found = found.withColumn("finding", F.explode(F.when((quoted != "") & assigned, F.array(quoted)).otherwise(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)))))
     return found.select("doc_id", "copy", "word_index", "before2", "before", "word", "after", "finding")
 
@@ -94,22 +100,29 @@ def described(found: DataFrame, known: DataFrame, logs: DataFrame) -> DataFrame:
     shape = f
     for kind, pattern in (("a", "[a-z]+"), ("A", "[A-Z]+"), ("0", "[0-9]+")):
         shape = F.regexp_replace(shape, pattern, kind)
-    lead = F.split_part("word", f, F.lit(1))
+    lead = ahead(F.col("word"), f)
     before = F.concat_ws(" ", F.coalesce("before", F.lit("")), lead)
-    codes = F.transform(F.split(f, ""), code)
-    steps = F.transform(F.sequence(F.lit(0), F.size("codes") - 2), lambda i: F.get("logs", F.get("codes", i) * 27 + F.get("codes", i + 1)))
-    mean = F.aggregate(steps, F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("codes") - 1, F.lit(1))
+    # Characters are taken apart some at a time (each part with the next one's first), so that a blob of megabytes makes no array of them.
+    chunks = F.regexp_extract_all(f, F.lit(f"(?=([\\s\\S]{{1,{CHUNK + 1}}}))[\\s\\S]{{1,{CHUNK}}}"), F.lit(1))
+
+    def likely(chunk: Column) -> Column:
+        codes = F.transform(F.split(chunk, ""), code)
+        steps = F.zip_with(codes, F.slice(codes, F.lit(2), F.length(chunk)), lambda x, y: F.coalesce(F.get("logs", x * 27 + y), F.lit(0.0)))
+        return F.aggregate(steps, F.lit(0.0), lambda a, x: a + x)
+
+    mean = F.aggregate(F.transform("chunks", likely), F.lit(0.0), lambda a, x: a + x) / F.greatest(n - 1, F.lit(1.0))
+    letters = F.array_distinct(F.flatten(F.transform("chunks", lambda c: F.array_distinct(F.split(c, "")))))
     # Fragments, as in camelCase, that the dictionary has: joined, as it grows with the corpus.
     parts = found.select("finding").distinct().select("finding", F.explode(F.regexp_extract_all(f, F.lit("[A-Z]?[a-z]{2,}|[A-Z]{3,}"), F.lit(0))).alias("part")).withColumn("word", F.lower("part"))
     covered = cut(parts.join(known.select("word"), "word").groupBy("finding").agg(F.sum(F.length("part")).alias("in_words")))
     rows = found.join(covered, "finding", "left").join(F.broadcast(logs))  # one row
-    rows = rows.withColumn("codes", once(codes)).withColumns(
+    rows = rows.withColumn("chunks", once(chunks)).withColumns(
         {
             "length": n,
             "changes": F.length(shape) / n,
             "digits": share("[0-9]+"),
             "uppers": share("[A-Z]+"),
-            "distinct": F.size(F.array_distinct(F.split(f, ""))) / n,
+            "distinct": F.size(letters) / n,
             "transitions": mean,
             "covered": F.coalesce(F.col("in_words"), F.lit(0)) / n,
             "path": (F.length("word") - F.length(F.translate("word", "/.:@\\", ""))).cast("double"),
@@ -118,7 +131,7 @@ def described(found: DataFrame, known: DataFrame, logs: DataFrame) -> DataFrame:
             "quoted": F.col("word").rlike("[\"'`]").cast("double"),
         }
     )
-    return rows.drop("codes", "logs", "in_words")
+    return rows.drop("chunks", "logs", "in_words")
 
 
 def neighbours(labelled: DataFrame) -> DataFrame:
