@@ -51,7 +51,8 @@ def normalised(line: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Distinct normalised lines as hash, length and number of words."""
-    lines = F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != "")
+    # Blanks after a line end change no normalised line: without them a run of millions of line ends makes no array.
+    lines = F.filter(F.transform(F.split(F.regexp_replace(text, r"\n[\x20\x09-\x0D]*", "\n"), "\n"), normalised), lambda x: x != "")
     return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), F.length(x).cast("long").alias("size"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))))
 
 
@@ -64,7 +65,8 @@ def measured(docs: DataFrame) -> DataFrame:
     """doc_id, host, copy, the word statistics, base_failed, the distinct lines and their chars of every row of docs, written: the one pass over texts that verdicts need."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *[c.alias(k) for k, c in keys(F.col("source"), F.col("text")).items()])
-    plain = F.filter(F.split("text", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
+    # Lines without a word go first, together where they stand together.
+    plain = F.filter(F.split(F.regexp_replace("text", r"\n[\x20\x09-\x0D]*\n", "\n"), "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     base = rows.withColumns({"lines": once(lines_of(F.col("text"))), "words": once(words(F.col("text"))), "full_lines": plain})
     base = repeated_words(base, "words", "n_repeat_words").select(
         "doc_id",
