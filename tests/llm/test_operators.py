@@ -256,6 +256,19 @@ def test_secrets_without_a_name(spark, documents):
     assert secret_scans.secrets(docs.filter("doc_id < 9"), given).count() == len(found)
 
 
+def test_transitions_of_long_findings(spark, documents):
+    """Parts and wholes give the same mean over all transitions."""
+    known = secret_scans.dictionary(documents)
+    logs = secret_scans.transitions(known)
+    table = logs.first()["logs"]
+    code = lambda c: ord(c.lower()) - 96 if "a" <= c.lower() <= "z" else 0
+    words = ["aB3/x", "tionering" * 3, "q" * 1024, "qz" * 513, "the-9" * 5000]
+    rows = spark.createDataFrame([(None, None, w, None, w) for w in words], "before2 string, before string, word string, after string, finding string")
+    for r in secret_scans.described(rows, known, logs).collect():
+        w = r["finding"]
+        assert r["transitions"] == pytest.approx(np.mean([table[code(x) * 27 + code(y)] for x, y in itertools.pairwise(w)])) and r["distinct"] == pytest.approx(len(set(w)) / len(w))
+
+
 def test_forest_on_held_out_findings(spark, documents):
     """On planted findings of another seed the forest is right more often than any one feature can be."""
     judge = secret_scans.Judge(documents)
@@ -542,6 +555,20 @@ def test_mining_by_force(spark):
         assert (r["verdict"], r["confidence"]) == (("block", pytest.approx(max(hit))) if hit else ("allow", 0.0))
 
 
+def test_pipeline_on_edges(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, clashing columns, empty tables, through all stages."""
+    own = " ".join(f"word{k}x" for k in range(80))
+    more = [(50, own, "en", "a", 1, "n", "r", 1, "l", "s"), (50, own + " other " * 3, None, None, None, "n", "r", 1, "l", "s"), (None, own[::-1], "en", "a", 1, "n", "r", 1, "l", "s"), (51, own[9:] + " \n" * 1_000_000 + "end", "en", "b", 1, "n", "r", 1, "l", "s"), (52, own.upper() + " " + "x7Q" * 400_000, "en", "b", 1, "n", "r", 1, "l", "s")]
+    edges = edge(spark).union(spark.createDataFrame([*more, more[2]], SCHEMA))
+    for name, docs, least in (("edges", edges, 3), ("none", empty(spark), 0)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.columns[:7] == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() >= (least and 1)
+        for stage, function in [s for s in corpus_pipeline.STAGES[:-1] if name == "none"]:
+            assert function(spark, docs, "").columns == docs.columns, stage
+        assert set(out.columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
 def test_pipeline(spark, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES[:-1]:
