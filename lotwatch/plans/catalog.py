@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lotwatch.functions import classify, display, normalize
 from lotwatch.operators import browse, fx, history, relist, report, runlog, sets, validate
+from lotwatch.operators.files import cut
 from lotwatch.operators.reconcile import reconcile
 from lotwatch.plans.views import CURRENCIES, LISTINGS_SQL, OBS_SQL, arriving, flat_listings, listings, observations, parts_listed, priced, table
 from lotwatch.schemas import LISTING
@@ -267,7 +268,7 @@ def _second_day(spark, sf_dir):
     """The store after a first day's observations and the reconcile of those of the fourth day after."""
     obs, day = arriving(observations(spark, sf_dir)), F.lit(DAY).cast("date")
     one, two = obs.filter(F.col("day") == day).drop("day"), obs.filter(F.col("day") == F.date_add(day, 4)).drop("day")
-    held = reconcile(spark.createDataFrame([], LISTING), one, one.select("source").distinct(), DAY).store
+    held = cut(reconcile(spark.createDataFrame([], LISTING), one, one.select("source").distinct(), DAY).store)  # as a run's store is written
     return held, reconcile(held, two, two.select("source").distinct(), str(date.fromisoformat(DAY) + timedelta(4)))
 
 
