@@ -32,7 +32,7 @@ COVER = 80
 #: The score is floor(SCALE * a / (l + r)); each lang's first TOP are returned.
 SCALE, TOP = 2_000_000, 2000
 #: Words that a shard holds.
-SHARD = 4_000_000
+SHARD = 1_500_000
 #: Bytes of a text that are cut into words at once.
 SEGMENT = 4 << 20
 #: Bits of the map of n-grams that may be frequent (16 MB); more n-grams share bits.
@@ -61,7 +61,7 @@ class Shard:
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
         self.known: dict[str, dict[bytes, int]] = {}
-        self.ids: list[np.ndarray] = [np.zeros(1, np.int64)]
+        self.ids: list[np.ndarray] = [np.zeros(1, np.int32)]
         self.starts: list[np.ndarray] = [np.zeros(1, bool)]
         self.size = 0
 
@@ -74,12 +74,12 @@ class Shard:
             known[w] = len(self.words)
             self.words.append(w)
             self.langs.append(lang)
-        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)))
+        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
         self.starts.append(np.arange(len(tokens)) < counted)
         self.size += counted
 
     def sealed(self) -> "Shard":
-        self.w = np.concatenate([*self.ids, np.zeros(LONGEST, np.int64)])
+        self.w = np.concatenate([*self.ids, np.zeros(LONGEST, np.int32)])
         self.start = np.concatenate([*self.starts, np.zeros(LONGEST, bool)]) & (self.w > 0)
         self.ids, self.starts, self.known = [], [], {}
         return self
@@ -92,12 +92,14 @@ class Shard:
         w, n = self.w, len(self.w)
         rank, width = w, 1
         while width < deepest:
-            key = rank * (int(rank.max()) + 1)
+            key = rank.astype(np.int64)
+            key *= int(rank.max()) + 1
             key[: n - width] += rank[width:]
             order = np.argsort(key)
             key = key[order]
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            rank = np.empty(n, np.int32)
+            rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32)
+            del key, order
             width *= 2
         sa = np.flatnonzero(self.start)
         sa = sa[np.argsort(rank[sa])]
@@ -182,7 +184,8 @@ def exact_counts(texts: DataFrame, sent, size: int) -> DataFrame:
 
 def bitmap(counts: DataFrame, least: int) -> np.ndarray:
     """The bits of the hashes that are counted `least` times or more: BITS / 64 rows at most reach the driver."""
-    often = counts.groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
+    # Few hashes recur within a task, so they are dealt out before they are added.
+    often = counts.repartition("hash").groupBy("hash").agg(F.sum("c").alias("c")).filter(F.col("c") >= least)
     at = F.col("hash").bitwiseAND(F.lit(BITS - 1))
     slots = often.select(F.shiftright(at, 6).alias("slot"), F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bit")).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
