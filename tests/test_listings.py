@@ -57,7 +57,7 @@ def test_classify(spark):
     check = lambda t: one(spark, classify.looks_like_part(F.lit(t)))
     wanted = lambda t: one(spark, classify.wanted(F.lit(t)))
     assert check("Grille for Datsun") and check("start of something") and check("vintage AD 1977")
-    assert not check("1978 Datsun 620 pickup")
+    assert not check("1978 Datsun truck 620 pickup")
     k = one(spark, classify.keywords(F.lit("King"), F.lit("cab for sale"), F.lit("Crew Cab")))
     assert k["matched_terms"] == ["king cab"] and not k["matched"] and k["body_style_check"] == "fail"
     assert wanted("datsun กระบะ ปี 2520") and not wanted("datsun 720 truck") and not wanted("datsun big m truck") and not wanted("Datsun Navara pickup") and not wanted("datsun 1500 จูเนียร์")
@@ -74,7 +74,7 @@ def test_urls_and_texts(spark):
     assert one(spark, normalize.percent_encoded(F.lit("https://x.jp/detail/トラ-used-1.html?a=b&c=%20"), normalize.SAFE)) == "https://x.jp/detail/%E3%83%88%E3%83%A9-used-1.html?a=b&c=%20"
     assert [one(spark, normalize.absolute(F.lit(u), "https://b.jp")) for u in ("//i.jp/1", "/d/1", "http://x")] == ["https://i.jp/1", "https://b.jp/d/1", "http://x"]
     assert one(spark, normalize.before_labels(F.lit("日産 トラック 支払総額 130万円 年式"), "支払総額|年式")) == "日産 トラック "
-    assert one(spark, normalize.slug_of_title(F.lit("1974 Datsun 620"))) == "1974-datsun-620"
+    assert one(spark, normalize.slug_of_title(F.lit("1974 Datsun truck 620"))) == "1974-datsun-truck-620"
     shown = lambda a, c, g: one(spark, display.site_money(F.lit(a).cast("double"), F.lit(c), F.lit(g).cast("double")))
     assert shown(1234567.5, "USD", 99.5) == "$1,234,567.5 · £100" and shown(1200.0, "GBP", 1200.0) == "£1,200" and shown(5.0, "XYZ", None) == "XYZ 5" and shown(None, "USD", None) == "no price shown"
     assert one(spark, display.clock(F.lit("2026-01-02T04:17:09+00:00"))) == "04:17" and one(spark, display.clock(F.lit(""))) == ""

@@ -27,26 +27,26 @@ def state(data):
 
 
 API = lambda *items: json.dumps({"itemSummaries": items})
-ITEM = lambda **k: {"itemId": "1", "title": "1978 Datsun 620 truck", "price": {"value": "5000", "currency": "USD"}, "itemWebUrl": "https://m.example/1", "buyingOptions": ["FIXED_PRICE"], "categories": [{"categoryName": "Pickup"}]} | k
+ITEM = lambda **k: {"itemId": "1", "title": "1978 Datsun truck 620 truck", "price": {"value": "5000", "currency": "USD"}, "itemWebUrl": "https://m.example/1", "buyingOptions": ["FIXED_PRICE"], "categories": [{"categoryName": "Pickup"}]} | k
 
 
 def test_api(spark, rates):
     body = API(ITEM(), ITEM(itemId="2", title="620 grille"), ITEM(itemId="3", price={"value": "20", "currency": "USD"}), ITEM(itemId="4", title="1620 truck"), ITEM(itemId="5", categories=[{"categoryName": "Art"}]))
-    got = payloads.api_items(page(spark, body, API(ITEM(title="1977 Datsun 620 again"))), rates).collect()
+    got = payloads.api_items(page(spark, body, API(ITEM(title="1977 Datsun truck 620 again"))), rates).collect()
     assert [(r["id"], r["price"]["gbp"], r["year"], r["country"]) for r in got] == [("ebay:1", 4000.0, 1978, "US")]
 
 
 def test_auctions(spark, rates):
-    items = [{"title": "1974 Datsun 620", "url": "https://a.example/x/slug-1/", "current_bid": 9000, "year": 1974, "active": False}, {"title": "1974 Datsun 510", "url": "https://a.example/y"}, {"title": "1979 Datsun 620", "active": True, "year": 2020, "country_code": "uk"}]
+    items = [{"title": "1974 Datsun truck 620", "url": "https://a.example/x/slug-1/", "current_bid": 9000, "year": 1974, "active": False}, {"title": "1974 Datsun 510", "url": "https://a.example/y"}, {"title": "1979 Datsun truck 620", "active": True, "year": 2020, "country_code": "uk"}]
     got = payloads.auctions(page(spark, "<script>var auctionsCompletedInitialData = " + json.dumps({"items": items}) + ";</script>"), rates).orderBy("ordinal").collect()
-    assert [(r["id"], r["status"], r["country"], r["year"], r["price"]["currency"]) for r in got] == [("bringatrailer:slug-1", "sold", "US", 1974, "USD"), ("bringatrailer:1979-datsun-620", "active", "UK", 1979, "USD")]
+    assert [(r["id"], r["status"], r["country"], r["year"], r["price"]["currency"]) for r in got] == [("bringatrailer:slug-1", "sold", "US", 1974, "USD"), ("bringatrailer:1979-datsun-truck-620", "active", "UK", 1979, "USD")]
     with pytest.raises(Exception, match="no auctionsCompletedInitialData"):
         payloads.auctions(page(spark, "<html>"), rates).collect()
 
 
 def test_community_auctions(spark, rates):
-    one = {"title": "1978 Datsun 620 King Cab", "sub_title": "5-speed", "slug": "abc", "current_bid": {"amount": 5000}, "location": {"country": "Nowhere", "state": "CA"}, "main_photo": {"url": "https://i.example/1"}, "year": 1978}
-    two = {"title": "Datsun 620", "id": 17, "current_bid": 7000, "ended": True, "year": 1985}
+    one = {"title": "1978 Datsun truck 620 King Cab", "sub_title": "5-speed", "slug": "abc", "current_bid": {"amount": 5000}, "location": {"country": "Nowhere", "state": "CA"}, "main_photo": {"url": "https://i.example/1"}, "year": 1978}
+    two = {"title": "Datsun truck 620", "id": 17, "current_bid": 7000, "ended": True, "year": 1985}
     body = json.dumps({"auctions": [], "results": [one, two, {"title": "Datsun 510"}]})
     want = [("carsandbids:abc", 5000.0, 1978, "active", "US", "CA", ["https://i.example/1"]), ("carsandbids:17", 7000.0, 1985, "sold", "US", None, [])]
     for text in (body, f"<script>window.__INITIAL_STATE__ = {body};</script>"):
@@ -59,14 +59,14 @@ def test_community_auctions(spark, rates):
 
 
 def test_linked_titles(spark, rates):
-    body = """<nav><a href="/cars-for-sale/all">All 620</a></nav><ul><li><a href="/listing/1975-datsun-620-9"><b>1975</b> Datsun 620</a> <span>$8,995</span><img src="https://i.example/h"></li>
-    <li><a href="https://x.example/listing/1975-datsun-620-9/">1975 Datsun 620</a> $1</li><li><a href="/listing/z">1975 Datsun 510</a></li></ul>"""
+    body = """<nav><a href="/cars-for-sale/all">All 620</a></nav><ul><li><a href="/listing/1975-datsun-truck-620-9"><b>1975</b> Datsun truck 620</a> <span>$8,995</span><img src="https://i.example/h"></li>
+    <li><a href="https://x.example/listing/1975-datsun-truck-620-9/">1975 Datsun truck 620</a> $1</li><li><a href="/listing/z">1975 Datsun 510</a></li></ul>"""
     got = payloads.linked_titles(page(spark, body), rates).collect()
-    assert [(r["id"], r["url"], r["title"], r["price"]["amount"], r["images"]) for r in got] == [("hemmings:1975-datsun-620-9", "https://www.hemmings.com/listing/1975-datsun-620-9", "1975 Datsun 620", 8995.0, ["https://i.example/h"])]
+    assert [(r["id"], r["url"], r["title"], r["price"]["amount"], r["images"]) for r in got] == [("hemmings:1975-datsun-truck-620-9", "https://www.hemmings.com/listing/1975-datsun-truck-620-9", "1975 Datsun truck 620", 8995.0, ["https://i.example/h"])]
 
 
 def test_keyed_state(spark, rates):
-    ad = lambda i, **k: {"id": str(i), "title": "Datsun 620", "url": f"https://k.example/v-cars-trucks/{i}", "price": {"amount": 850000}, "location": {"name": "BC"}, "imageUrls": ["https://i.example/1"]} | k
+    ad = lambda i, **k: {"id": str(i), "title": "Datsun truck 620", "url": f"https://k.example/v-cars-trucks/{i}", "price": {"amount": 850000}, "location": {"name": "BC"}, "imageUrls": ["https://i.example/1"]} | k
     ads = {"StandardListing:1": ad(1), "StandardListing:2": ad(2, url="https://k.example/v-toys/2"), "StandardListing:3": ad(3, title="Camion", description="un 620 de 1974", url="https://k.example/v-autos-camions/3", price=None), "Other:4": {}}
     got = payloads.keyed_state(page(spark, state({"props": {"pageProps": {"__APOLLO_STATE__": ads}}})), rates).orderBy("ordinal").collect()
     assert [(r["id"], r["price"]["amount"], r["images"], r["year"]) for r in got] == [("kijiji:1", 8500.0, ["https://i.example/1"], None), ("kijiji:3", None, ["https://i.example/1"], 1974)]
@@ -76,11 +76,11 @@ def test_keyed_state(spark, rates):
 
 
 def test_linked_data(spark, rates):
-    ld = lambda **k: '<script type="application/ld+json">' + json.dumps({"@type": "Car", "name": "1979 pickup", "sku": "77", "offers": {"url": "/listings/view/1/1979-datsun-620-for-sale-in-cadillac-michigan-49601", "price": "100", "priceCurrency": "USD"}} | k) + "</script>"
+    ld = lambda **k: '<script type="application/ld+json">' + json.dumps({"@type": "Car", "name": "1979 pickup", "sku": "77", "offers": {"url": "/listings/view/1/1979-datsun-truck-620-for-sale-in-cadillac-michigan-49601", "price": "100", "priceCurrency": "USD"}} | k) + "</script>"
     body = ld() + ld(sku="77", name="again") + '<script type="application/ld+json">{broken</script>' + ld(**{"@type": ["Product", "car"], "sku": "78", "modelDate": "1975", "offers": {"price": "call"}}) + ld(**{"@type": "Organization", "sku": "79"})
     got = payloads.linked_data(page(spark, body), rates).orderBy("ordinal").collect()
     assert [(r["source_listing_id"], r["title"], r["year"], r["region"], r["price"]["amount"]) for r in got] == [("77", "1979 pickup", 1979, "Cadillac Michigan", 100.0), ("78", "1979 pickup", 1975, None, None)]
-    assert got[0]["url"] == "https://classiccars.com/listings/view/1/1979-datsun-620-for-sale-in-cadillac-michigan-49601"
+    assert got[0]["url"] == "https://classiccars.com/listings/view/1/1979-datsun-truck-620-for-sale-in-cadillac-michigan-49601"
     assert payloads.linked_data(page(spark, "no datsun today"), rates).count() == 0
     with pytest.raises(Exception, match="not the search"):
         payloads.linked_data(page(spark, "<html>"), rates).collect()
@@ -132,7 +132,7 @@ def test_auction_searches(spark, rates):
 
 def test_page_ads(spark, rates):
     ad = lambda i, title, price: {"id": i, "title": title, "price": price, "image": "https://i.example/k", "location": "เชียงใหม่"}
-    body = state({"props": {"pageProps": {"ads": [ad(1, "Datsun 620 ปี 2520", 150000), ad(2, "datsun big m กระบะ", 1), ad(3, "ดัทสัน ช้างเหยียบ 1978", 0), ad(None, "datsun truck", 1), ad(4, "datsun sunny", 1)]}}})
+    body = state({"props": {"pageProps": {"ads": [ad(1, "Datsun truck 620 ปี 2520", 150000), ad(2, "datsun big m กระบะ", 1), ad(3, "ดัทสัน ช้างเหยียบ 1978", 0), ad(None, "datsun truck", 1), ad(4, "datsun sunny", 1)]}}})
     got = payloads.page_ads(page(spark, body, body), rates).orderBy("ordinal").collect()
     assert [(r["id"], r["price"]["amount"], r["year"], r["drive_side"]) for r in got] == [("kaidee:1", 150000.0, None, "RHD"), ("kaidee:3", None, 1978, "RHD")]
     with pytest.raises(Exception, match="no ad"):
@@ -148,9 +148,9 @@ def test_elements(spark):
 
 def test_plans(spark):
     markets = spark.createDataFrame([("EBAY_US", "US"), ("EBAY_GB", "GB")], "market string, country string").coalesce(1)
-    queries = spark.createDataFrame([("datsun 620",), ("620 truck",)], "query string").coalesce(1)
+    queries = spark.createDataFrame([("datsun truck 620",), ("620 truck",)], "query string").coalesce(1)
     got = plan.market_plan(markets, queries).orderBy("turn").collect()
-    assert [(r["turn"], r["market"], r["query"], r["limit"]) for r in got] == [(0, "EBAY_US", "datsun 620", 200), (1, "EBAY_US", "620 truck", 200), (2, "EBAY_GB", "datsun 620", 200), (3, "EBAY_GB", "620 truck", 200)]
+    assert [(r["turn"], r["market"], r["query"], r["limit"]) for r in got] == [(0, "EBAY_US", "datsun truck 620", 200), (1, "EBAY_US", "620 truck", 200), (2, "EBAY_GB", "datsun truck 620", 200), (3, "EBAY_GB", "620 truck", 200)]
     got = plan.search_plan(spark, [("open", "https://s.example/?p={}", ["ダ 620"]), ("closed", "https://c.example/{}", ["a/b"])]).orderBy("turn").collect()
     assert [(r["turn"], r["kind"], r["url"]) for r in got] == [(0, "open", "https://s.example/?p=%E3%83%80%20620"), (1, "closed", "https://c.example/a%2Fb")]
 
@@ -179,10 +179,10 @@ def test_daily_runs(spark, tmp_path):
     """Three days: a first run, a price change with a failing source and no rates, and another run on the same day."""
     root = str(tmp_path)
     day = lambda d, usd: spark.createDataFrame([(d, datetime(2026, 1, 1), "GBP", {"USD": usd, "JPY": 200.0, "CAD": 1.7, "THB": 45.0})], FX)
-    ads = state({"props": {"pageProps": {"ads": [{"id": 5, "title": "Datsun 620 กระบะ ダ", "price": 90000}]}}})
+    ads = state({"props": {"pageProps": {"ads": [{"id": 5, "title": "Datsun truck 620 กระบะ ダ", "price": 90000}]}}})
     only = {k: registry.SOURCES[k] for k in ("ebay", "kaidee")}
     one = daily.run_daily(spark, root, "2026-01-01", lambda n: page(spark, API(ITEM()) if n == "ebay" else ads), day(date(2026, 1, 1), 1.25), only, translate=lambda t: F.concat(t, F.lit(" (en)")))
-    assert {r["id"]: r["title_translated"] for r in one.store.collect()} == {"ebay:1": None, "kaidee:5": "Datsun 620 กระบะ ダ (en)"} and one.changes.new.count() == 2
+    assert {r["id"]: r["title_translated"] for r in one.store.collect()} == {"ebay:1": None, "kaidee:5": "Datsun truck 620 กระบะ ダ (en)"} and one.changes.new.count() == 2
     (tmp_path / "listings" / "version=2026-01-02" / "_temporary").mkdir(parents=True)  # a run that died
     bad = spark.createDataFrame([(date(2026, 1, 2), datetime(2026, 1, 2), "EUR", {"USD": 1.0})], FX)
     two = daily.run_daily(spark, root, "2026-01-02", lambda n: page(spark, API(ITEM(price={"value": "6000", "currency": "USD"})) if n == "ebay" else "blocked"), bad, only)
@@ -197,7 +197,7 @@ def test_daily_runs(spark, tmp_path):
     assert (total["active"], total["by_country"]) == (2, {"TH": 1, "US": 1})
     line = daily.summary(two.log, two.totals, {"new": two.changes.new, "price_changed": two.changes.price_changed}, "2026-01-01").first()
     assert line["line"] == "run complete: fx 2026-01-01, sources ok 1/2, active 2, new 0, price changes 1"
-    assert sorted(r["line"] for r in daily.catches(one.changes.new, one.store).collect())[0] == "new: ebay:1 | 1978 Datsun 620 truck | 5000.0 USD | https://m.example/1"
+    assert sorted(r["line"] for r in daily.catches(one.changes.new, one.store).collect())[0] == "new: ebay:1 | 1978 Datsun truck 620 truck | 5000.0 USD | https://m.example/1"
     assert {r["source"]: r["line"] for r in report.health_lines(again.log).collect()} == {"ebay": "ebay: 1 listing(s)", "kaidee": "kaidee: skipped — all 1 requests failed (2 days running)"}
     assert "By country: TH: 1, US: 1" in report.summary_lines(two.totals, "2026-01-02T04:17:00+00:00").first()["line"]
     assert report.counts(one.changes.new, one.changes.price_changed, one.store).first().asDict() == {"matched": 0, "new": 2, "price changes": 0}
