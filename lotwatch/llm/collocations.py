@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,7 +169,7 @@ def exact_counts(texts: DataFrame, sent, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", "words", "phrase", "f"]
         for shard in shards(batches, size):
-            langs = np.array(shard.langs, object)
+            langs, words = np.array(shard.langs, object), pa.array(shard.words, pa.binary()).cast(pa.string())
             each, n = np.unique(langs[shard.w[shard.start]].astype(str), return_counts=True) if shard.start.any() else ([], [])
             yield pa.RecordBatch.from_arrays([pa.array(list(each), pa.string()), pa.array([0] * len(each), pa.int32()), pa.array([""] * len(each)), pa.array(list(n), pa.int64())], names)
             for n, places, counts in shard.intervals(LONGEST):
@@ -176,8 +177,8 @@ def exact_counts(texts: DataFrame, sent, size: int) -> DataFrame:
                 keep = np.logical_and.reduce([may_recur(sent.value, shard, places + j, inner) for j in range(n - inner + 1)])
                 places, counts = places[keep], counts[keep]
                 grams = shard.w[places[:, None] + np.arange(n)]
-                phrases = [b" ".join(map(shard.words.__getitem__, g)) for g in grams.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(langs[grams[:, 0]], pa.string()), pa.array(np.full(len(counts), n, np.int32)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(counts)], names)
+                phrases = pc.binary_join_element_wise(*[words.take(pa.array(g)) for g in grams.T], " ")
+                yield pa.RecordBatch.from_arrays([pa.array(langs[grams[:, 0]], pa.string()), pa.array(np.full(len(counts), n, np.int32)), phrases, pa.array(counts)], names)
 
     return texts.mapInArrow(run, "lang string, words int, phrase string, f long")
 
