@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import ship, table, text_of
+from lotwatch.llm.common import cut, ship, table, text_of
 
 #: Pieces a group has on average; a group is packed by one task.
 GROUP = 20_000
@@ -175,8 +175,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, size: int = 1024
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), size)
         return pdf.assign(sequence_id=pdf["part"].to_numpy() * (1 << 40) + bins, offset=offsets).drop(columns="part")
 
-    # Hashed by all that a piece has, so that no id or text can fill one group.
-    dealt = pieces(docs, tokenizer_path, end_id, size).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    # Pieces are numbered (and written, so that they keep their numbers) and dealt by that alone: copies of a document spread over the groups.
+    numbered = cut(pieces(docs, tokenizer_path, end_id, size).withColumn("number", F.monotonically_increasing_id()))
+    dealt = numbered.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups))).drop("number")
     return dealt.groupBy("part").applyInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -1,16 +1,17 @@
 """Secret scans: candidate strings, kept or dismissed by a random forest.
 
 Native throughout (Spark SQL and Spark ML).  A candidate is a run of 16 or more
-key characters, or a quoted value of 8 or more that something is assigned.  The
-forest sees its length and characters, how likely its transitions between
-characters are in the corpus's own words, how much of it these words cover,
-path marks around it, and how much more often the words beside it stand beside
-secrets than beside other strings.
+key characters, a value of 8 or more that something is assigned (quoted, or
+with a letter and a digit), or the password in a url.  The forest sees its
+length and characters, how likely its transitions between characters are in the
+corpus's own words, how much of it these words cover, path marks around it,
+whether it starts as issued keys do, and how much more often the words beside
+it stand beside secrets than beside other strings.
 
 It is trained on labelled findings: given ones, or planted ones, whose labels
-come from how they were made and not from any feature: keys of several makes
-with and without a name before them, and strings that are none (checksums,
-identifiers, paths, numbers, placeholders), also with such a name before them.
+come from how they were made: secrets are assigned to a name of secrets, stand
+in a url or start as issued keys do; hashes and numbers that stand alone or
+bear names of their own, coded prose, stand-ins and references are none.
 """
 
 from __future__ import annotations
@@ -25,21 +26,32 @@ from lotwatch.llm.common import cut, once, table, words
 
 RUN = "[A-Za-z0-9+/_=-]{16,}"
 QUOTED = "[\"'`]([^\"'`\\x20\\x09-\\x0D]{8,})[\"'`]"
+#: What may be a plain assigned value, with a letter and a digit.
+PLAIN_VALUE = "(?=[^\\x20\\x09-\\x0D]*[0-9])(?=[^\\x20\\x09-\\x0D]*[A-Za-z])([^\"'`\\x20\\x09-\\x0D,;()<>{}\\[\\]]{8,})"
+#: A value that follows its name in one word; a url's scheme is no name.
+INSIDE = f"[=:](?!//){PLAIN_VALUE}"
+URL_PASSWORD = "://[^/@:\\x20\\x09-\\x0D]*:([^/@\\x20\\x09-\\x0D]{4,})@"
 #: What a text with a candidate holds.
-HELD = f"{RUN}|[=:][\\x20\\x09-\\x0D]*{QUOTED}"
+HELD = f"{RUN}|[=:][\\x20\\x09-\\x0D]*(?:{QUOTED}|(?!//){PLAIN_VALUE})|{URL_PASSWORD}"
 #: Labelled findings that the forest is fitted on, at most so many of each label, the smallest by a hash.
 MOST_LABELLED = 5000
 PLANTED = 8000
-#: Words of the corpus that count as its dictionary recur so often; words beside findings that are told apart, those that labels differ on most.
-RECURRING, NEIGHBOURS = 5, 200
+#: Words of the corpus that count as its dictionary recur so often, and make up so much of all words that do; words beside findings that are told apart, those that labels differ on most.
+RECURRING, SHARE, NEIGHBOURS = 5, 2e-6, 200
 TREES, DEPTH, SEED = 30, 8, 7
 CHUNK = 1024
 MASK = "[SECRET]"
-FEATURES = ("length", "changes", "digits", "uppers", "distinct", "transitions", "covered", "path", "neighbours", "assigned", "quoted")
-# Fixed values for planting: names that secrets have, names that other strings have, and what stands in for a secret.
-NAMES = ["token", "secret", "password", "passwd", "pwd", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "credential", "bearer", "key"]
-OTHERS = ["commit", "sha1", "sha256", "md5", "checksum", "revision", "digest", "etag", "uuid", "request", "id", "build", "version", "hash", "file", "path", "url", "see", "name", "class"]
-STAND_INS = ["your_api_key_here", "replace_with_token", "changeme_changeme", "example_password_1", "xxxxxxxxxxxxxxxxxxxx", "put-your-secret-here", "<your-access-token>", "not_a_real_secret"]
+FEATURES = ("length", "changes", "digits", "uppers", "distinct", "transitions", "covered", "path", "neighbours", "assigned", "quoted", "issued")
+# How issued keys start.
+ISSUED = ["AKIA", "ASIA", "ghp_", "gho_", "ghs_", "glpat-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "npm_", "pypi-", "SG.", "hf_", "eyJhbGci"]
+# Fixed values for planting: names that secrets have, names that hashes, numbers and plain settings have, what hashes and numbers stand behind, and what stands in for a secret.
+NAMES = ["token", "secret", "password", "passwd", "pwd", "pass", "api_key", "apikey", "access_key", "private_key", "auth_token", "client_secret", "credential", "key", "secret_key", "passphrase"]
+HASHES = ["commit", "sha1", "sha256", "md5", "checksum", "revision", "digest", "etag", "uuid", "request", "id", "build", "hash", "integrity", "fingerprint", "signature", "trace", "session"]
+NUMBERS = ["parcel", "tracking", "order", "invoice", "isbn", "iban", "phone", "serial", "ticket", "account", "flight", "number", "shipment"]
+SETTINGS = ["version", "model", "host", "user", "date", "size", "format", "file", "path", "url", "name", "class", "release", "region", "image", "at", "see", "email"]
+CODED = ["data", "body", "content", "payload", "attachment", "message", "text", "encoded"]
+BEHIND = ["in", "at", "commit", "merged", "checkout", "from", "to", "see", "since", "fixed", "reverts", "picked", "of", "and", "the", "deployed", "tag", "by", "was"]
+STAND_INS = ["your_api_key_here", "replace_with_token1", "changeme_changeme", "example_password_1", "xxxxxxxxxxxxxxxxxxxx", "put-your-secret-here", "<your-access-token>", "not_a_real_secret", "${SECRET_FROM_ENV1}", "os.environ[TOKEN1]", "insert-password-123"]
 PLAIN = ["the", "and", "with", "for", "value", "from", "this", "that", "und", "der", "les", "pour", "que", "con"]
 
 
@@ -54,20 +66,31 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter(F.col("text").rlike(HELD))
     rows = rows.select("doc_id", F.unhex(F.md5("text")).alias("copy"), once(words(F.col("text"))).alias("words"))
     w = F.col("words")
-    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= 8) & F.get(w, i).rlike(f"{RUN}|{QUOTED}"))
+    held = lambda i: F.get(w, i).rlike(f"{RUN}|{QUOTED}|{INSIDE}|{URL_PASSWORD}") | (F.coalesce(F.get(w, i - 1), F.lit("")).rlike("[=:]$") & F.get(w, i).rlike(f"^{PLAIN_VALUE}"))
+    places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (F.length(F.get(w, i)) >= 8) & held(i))
     near = F.transform(places, lambda i: F.struct(i.alias("word_index"), F.get(w, i - 2).alias("before2"), F.get(w, i - 1).alias("before"), F.get(w, i).alias("word"), F.get(w, i + 1).alias("after")))
     found = rows.select("doc_id", "copy", once(near).alias("near")).select("doc_id", "copy", F.explode("near").alias("c")).select("doc_id", "copy", "c.*")
-    # A quoted value that something is assigned stands whole, else the runs in the word do.
-    quoted = F.regexp_extract("word", QUOTED, 1)
-    assigned = F.concat_ws(" ", F.coalesce("before", F.lit("")), ahead(F.col("word"), quoted)).rlike("[=:] *[\"'`]$")
-    found = found.withColumn("finding", F.explode(F.when((quoted != "") & assigned, F.array(quoted)).otherwise(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)))))
-    return found.select("doc_id", "copy", "word_index", "before2", "before", "word", "after", "finding")
+    return found.withColumn("finding", F.explode(findings_in(F.col("before"), F.col("word")))).select("doc_id", "copy", "word_index", "before2", "before", "word", "after", "finding")
+
+
+def findings_in(before: Column, word: Column) -> Column:
+    """The candidates in a word: a url's password, a quoted value that something is assigned, a plain one, or else its runs."""
+    before = F.coalesce(before, F.lit(""))
+    password = F.regexp_extract(word, URL_PASSWORD, 1)
+    quoted = F.regexp_extract(word, QUOTED, 1)
+    assigned = F.concat_ws(" ", before, ahead(word, quoted)).rlike("[=:] *[\"'`]$")
+    plain = F.regexp_extract(word, INSIDE, 1)
+    after = F.when(before.rlike("[=:]$"), F.regexp_extract(word, f"^{PLAIN_VALUE}", 1)).otherwise("")
+    one = lambda c: F.array(F.regexp_replace(c, "[.!?]$", ""))
+    runs = F.regexp_extract_all(word, F.lit(f"({RUN})"), F.lit(1))
+    return F.when(password != "", F.array(password)).when((quoted != "") & assigned, F.array(quoted)).when(plain != "", one(plain)).when(after != "", one(after)).otherwise(runs)
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
-    """word, n of the runs of 3 to 24 letters that recur in the corpus; counted in full, never collected."""
+    """word, n of the runs of 3 to 24 letters that recur in the corpus, whatever its size; counted in full, never collected."""
     runs = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,24}"), F.lit(0))).alias("word"))
-    return cut(runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECURRING))
+    recurring = cut(runs.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= RECURRING))
+    return recurring.join(F.broadcast(recurring.agg(F.sum("n").alias("all")))).filter(F.col("n") >= SHARE * F.col("all")).drop("all")  # one row
 
 
 def code(c: Column) -> Column:
@@ -129,6 +152,7 @@ def described(found: DataFrame, known: DataFrame, logs: DataFrame) -> DataFrame:
             "beside": beside(lead),
             "assigned": before.rlike("[=:] *[\"'`]?$").cast("double"),
             "quoted": F.col("word").rlike("[\"'`]").cast("double"),
+            "issued": f.rlike("^(?:" + "|".join(x.replace(".", "\\.") for x in ISSUED) + ")").cast("double"),
         }
     )
     return rows.drop("chunks", "logs", "in_words")
@@ -149,45 +173,74 @@ def weighed(rows: DataFrame, odds: DataFrame) -> DataFrame:
 
 
 def planted(spark: SparkSession, known: DataFrame, n: int = PLANTED, seed: int = SEED) -> DataFrame:
-    """n made findings with their context and label: half of them secrets, a third of these without a name before them, and others, a third of these with one."""
-
-    def pick(values: Column | list[str], k: int) -> Column:
-        a = values if isinstance(values, Column) else F.array(*map(F.lit, values))
-        return F.get(a, F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.size(a)).cast("int"))
+    """n made findings with their context and label, half of them secrets: parts, then names and values of each kind, then how they are written."""
 
     def number(k: int, most: int) -> Column:
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(most))
+        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(most)).cast("int")
+
+    def pick(values: list, k: int) -> Column:
+        return F.get(F.array(*[F.lit(v) if isinstance(v, str) else v for v in values]), number(k, len(values)))
+
+    def word(k: int) -> Column:
+        return F.get("common", F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.size("common")).cast("int"))
+
+    def first(c: str, k: int, least: int, more: int) -> Column:
+        return F.substring(c, F.lit(1), F.lit(least) + number(k, more))
 
     made = F.concat_ws("/", "id", F.lit(seed))
-    hexes, mixed = F.sha2(made, 512), F.base64(F.unhex(F.sha2(F.concat(made, F.lit("x")), 512)))
-    letters = F.translate(mixed, "+/=\r\n", "kQ7")
-    w = lambda k: pick(F.col("common"), k)
-    cap = lambda k: F.initcap(w(k))
-    secret = [
-        F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.substring(hexes, 1, 64), F.translate(F.substring(mixed, 1, 40), "\r\n", ""), F.substring(letters, 1, 24), F.substring(letters, 5, 36),
-        F.concat(F.lit("AKIA"), F.upper(F.substring(letters, 1, 16))), F.concat(F.lit("ghp_"), F.substring(letters, 1, 36)), F.concat(F.lit("sk_live_"), F.substring(letters, 1, 24)), F.concat(F.substring(letters, 1, 7), F.lit("!"), F.substring(letters, 9, 4), F.lit("$")),
-    ]
-    digits = F.translate(hexes, "abcdef", "123456")
-    uuid = F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12))
-    other = [
-        F.substring(hexes, 1, 40), F.substring(hexes, 1, 32), F.substring(hexes, 1, 64), uuid, F.substring(digits, 1, 16), F.substring(digits, 3, 20), F.concat(w(1), w(2), w(3), w(4), w(5), w(6)), F.upper(F.concat(w(1), w(2), w(3), w(4), w(5))), F.initcap(F.concat(w(1), w(2), w(3), w(4), w(5))),
-        F.concat(w(1), cap(2), cap(3), cap(4), cap(5)), F.concat_ws("_", w(1), w(2), w(3), w(4), w(5)), F.concat_ws("-", w(1), w(2), w(3), w(4), w(5)), F.concat(F.lit("/"), F.concat_ws("/", w(1), w(2), w(3), w(4), w(5))), F.concat_ws("/", w(1), w(2), w(3), w(4), F.substring(digits, 1, 4)),
-        F.repeat(pick(["=", "-", "_", "a", "0", "x"], 7), (number(8, 30) + 16).cast("int")),
+    common = known.orderBy(F.desc("n"), "word").limit(300).agg(F.collect_list("word").alias("common"))
+    named = {*NAMES, *HASHES, *NUMBERS, *CODED}
+    rows = spark.range(n, numPartitions=1).join(F.broadcast(common))  # one row
+    rows = rows.withColumn("common", F.array_except(F.concat("common", F.array(*map(F.lit, PLAIN))), F.array(*map(F.lit, sorted(named)))))
+    mixed = F.translate(F.base64(F.unhex(F.sha2(F.concat(made, F.lit("x")), 512))), "\r\n", "")
+    rows = cut(rows.select("id", F.sha2(made, 512).alias("hexes"), mixed.alias("mixed"), F.translate(mixed, "+/=", "kQ7").alias("letters"), F.translate(F.sha2(made, 512), "abcdef", "123456").alias("digits"), *[word(i).alias(f"w{i}") for i in range(1, 9)]))
+
+    w = [f"w{i}" for i in range(1, 9)]
+    part = lambda c, at, n: F.substring(c, at, n)
+    values = {
+        "hash": pick([part("hexes", 1, 40), part("hexes", 1, 32), part("hexes", 1, 64), first("hexes", 33, 16, 12), F.concat_ws("-", part("hexes", 1, 8), part("hexes", 9, 4), part("hexes", 13, 4), part("hexes", 17, 4), part("hexes", 21, 12)), F.concat(pick(["sha384-", "sha512-", "sha256-"], 30), first("mixed", 31, 44, 20))], 1),
+        "issued": F.concat(pick(ISSUED, 37), first("letters", 38, 16, 24)),
+        "password": F.concat(part("w1", 1, 7), pick(["", "!", "$", "_", "X"], 34), first("digits", 35, 1, 4), first("letters", 36, 3, 5)),
+        "random": pick([first("mixed", 39, 32, 20), first("letters", 40, 18, 24), first("letters", 41, 9, 6), part("hexes", 1, 40), part("hexes", 1, 32), part("hexes", 1, 64)], 42),
+        "prose": F.regexp_replace(F.base64(F.encode(F.concat_ws(" ", *w), "utf-8")), "[\r\n]", ""),
+        "parcel": pick([F.concat(F.lit("1Z"), F.upper(part("hexes", 1, 6)), part("digits", 1, 10)), first("digits", 43, 16, 6), F.concat(F.upper(part("hexes", 1, 2)), part("digits", 1, 20)), F.concat_ws("-", part("digits", 1, 4), part("digits", 5, 8), part("hexes", 1, 6))], 44),
+        "setting": pick([F.concat("w1", part("digits", 1, 3)), F.concat_ws(".", part("digits", 1, 1), part("digits", 2, 2), F.concat(part("digits", 4, 1), F.lit("-rc"), part("digits", 5, 1))), F.concat(F.lit("2024-0"), part("digits", 1, 1), F.lit("-1"), part("digits", 2, 1), F.lit("T04:11")), F.concat("w2", part("digits", 1, 1), F.lit(".example.org:8080")), F.concat("w1", F.lit("@"), "w2", part("digits", 1, 2), F.lit(".example"))], 45),
+        "words": pick([F.concat(*w[:5]), F.upper(F.concat(*w[:5])), F.concat("w1", *[F.initcap(x) for x in w[1:5]]), *[F.concat_ws(x, *w[:5]) for x in "_-/."], F.concat(F.lit("/"), F.concat_ws("/", *w[:4], part("digits", 1, 4)))], 62),
+        "etag": first("letters", 56, 18, 10),
+        "stand_in": pick(STAND_INS, 67),
+        "run": F.repeat(pick(["=", "-", "_", "a", "0", "x"], 68), number(8, 30) + 16),
+    }
+    rows = cut(rows.select("id", "w1", "w2", "w3", "w4", *[v.alias(k) for k, v in values.items()]))
+    # label, value, and the names that it may be given (none: it stands alone, behind one of the words, if there are any).
+    kinds = [
+        *[(1, v, NAMES, True) for v in ("random", "random", "random", "password", "password", "issued")], (1, "issued", [], False), (1, "password", [], None), (1, "etag", ["Bearer", "Basic", "Token"], False),
+        *[(0, "hash", BEHIND, False), (0, "hash", [], False), (0, "hash", HASHES, True), (0, "etag", HASHES, True)], *[(0, "prose", CODED, g) for g in (True, False)], *[(0, "parcel", NUMBERS, g) for g in (True, False)],
+        (0, "words", [], False), (0, "words", SETTINGS, True), (0, "setting", SETTINGS, True), (0, "setting", SETTINGS, True), (0, "stand_in", NAMES, True), (0, "words", NAMES, True), (0, "run", [], False),
     ]
-    rows = spark.range(n).join(F.broadcast(known.orderBy(F.desc("n"), "word").limit(300).agg(F.collect_list("word").alias("common"))))  # one row
-    rows = rows.withColumn("common", F.array_except(F.concat("common", F.array(*map(F.lit, PLAIN))), F.array(*map(F.lit, [*NAMES, *OTHERS])))).withColumn("label", (number(0, 2) == 0).cast("double"))
-    named = number(9, 3)
-    checksums = number(11, len(other)) < 4
-    # Strings that look like keys (checksums, ids) are named as what they are, or are plainly not: only stand-ins bear a secret's name.
-    stand_in = (F.col("label") == 0) & (named == 0)
-    value = F.when(F.col("label") == 1, F.get(F.array(*secret), number(10, len(secret)).cast("int"))).when(stand_in, pick(STAND_INS, 12)).otherwise(F.get(F.array(*other), number(11, len(other)).cast("int")))
-    name = F.when(F.col("label") == 1, F.when(named == 0, F.lit("")).otherwise(pick(NAMES, 13))).when(stand_in, pick(NAMES, 13)).when(checksums | (number(14, 3) == 0), pick(OTHERS, 15)).otherwise(F.lit(""))
-    rows = rows.select("id", "label", value.alias("finding"), F.when(number(16, 4) == 0, F.upper(name)).otherwise(name).alias("name"), w(17).alias("x"), w(18).alias("y"), w(19).alias("z"), number(20, 6).alias("style"))
-    f, bare = F.col("finding"), F.col("name") == ""
-    word = F.when(F.col("style") == 0, F.concat(F.lit('"'), f, F.lit('"'))).when((F.col("style") == 1) & ~bare, F.concat("name", F.lit('="'), f, F.lit('"'))).when((F.col("style") == 2) & ~bare, F.concat("name", F.lit("="), f)).when(F.col("style") == 3, F.concat(f, F.lit(","))).otherwise(f)
-    before = F.when(bare, F.when(F.col("style") == 0, F.lit("=")).otherwise(F.col("y"))).when(F.col("style") == 0, F.lit("=")).when(F.col("style").isin(1, 2), F.col("x")).when(F.col("style") == 4, F.concat("name", F.lit(":"))).otherwise(F.col("name"))
-    before2 = F.when((F.col("style") == 0) & ~bare, F.col("name")).otherwise(F.col("x"))
-    return rows.select("label", before2.alias("before2"), before.alias("before"), word.alias("word"), F.col("z").alias("after"), "finding").filter(F.col("finding").isNotNull())
+    yes, no = [k for k in kinds if k[0]], [k for k in kinds if not k[0]]
+    kind = F.when(number(0, 2) == 0, number(9, len(yes))).otherwise(len(yes) + number(9, len(no)))
+    rows = rows.withColumn("kind", kind)
+
+    def by_kind(of, default) -> Column:
+        out = F.lit(default)
+        for i, k in enumerate(yes + no):
+            out = F.when(F.col("kind") == i, of(k)).otherwise(out)
+        return out
+
+    name = by_kind(lambda k: pick(k[2], 13) if k[2] else F.col("w2"), "")
+    way = by_kind(lambda k: F.lit({True: "given", False: "alone", None: "url"}[k[3]]), "")
+    name = F.when(number(16, 4) == 0, F.upper(name)).otherwise(name)
+    rows = cut(rows.select("id", by_kind(lambda k: F.lit(float(k[0])), 0.0).alias("label"), by_kind(lambda k: F.col(k[1]), "").alias("finding"), name.alias("name"), way.alias("way"), "w1", "w2", "w3", "w4"))
+
+    f, style, quote = F.col("finding"), number(20, 5), pick(['"', "'"], 46)
+    q = F.concat(quote, f, quote)
+    style = F.when(f.rlike("[,;()<>{}\\[\\]]") & style.isin(1, 3), style - 1).otherwise(style)
+    given, alone = F.col("way") == "given", pick([f, f, F.concat(f, F.lit(",")), F.concat(F.lit("("), f, F.lit(")"))], 49)
+    address = F.concat(pick(["postgres", "mysql", "https", "amqp", "redis"], 50), F.lit("://"), pick([F.col("w3"), F.lit("")], 51), F.lit(":"), f, F.lit("@"), "w4", F.lit(".example/db"))
+    written = F.when(F.col("way") == "url", address).when(~given, alone).when(style == 0, F.concat("name", F.lit("="), q)).when(style == 1, F.concat("name", pick(["=", ":"], 47), f)).when(style == 3, f).otherwise(q)
+    before = F.when(~given, F.col("name")).when(style == 2, pick(["=", ":=", ":"], 48)).when(style.isin(3, 4), F.concat("name", F.lit(":"))).otherwise(F.col("w3"))
+    before2 = F.when(given & (style == 2), F.col("name")).otherwise(F.col("w1"))
+    return rows.select("label", before2.alias("before2"), before.alias("before"), written.alias("word"), F.col("w4").alias("after"), "finding").filter(f.isNotNull())
 
 
 def bounded(findings: DataFrame, most: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """A uniform shuffle into shards of exact sizes by a hypergeometric communication matrix.
 
-Rows (ids and sizes, never texts) fall by hash into parts.  With the parts'
+Rows (ids and sizes, never texts) are numbered once, and by a hash of that
+number, which equal rows don't share, fall into parts.  With the parts'
 counts known, the number of rows that each part sends to each block of each
 shard is drawn from the multivariate hypergeometric law, under which a uniform
 random permutation would send them.  Then every part permutes its rows and
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lotwatch.llm.common import ship, table
+from lotwatch.llm.common import cut, ship, table
 
 #: Parts, and blocks of all shards together, are at most so many: the matrix has at most their product of cells.
 MOST_PARTS = 1024
@@ -71,18 +72,22 @@ def shards(docs: DataFrame, count: int = 8, seed: int = 20) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs; law `rows`.
 
     Shards' row counts differ by one at most, slots are gapless from 0, and all
-    permutations are equally likely (by seed).  A null text has no bytes; very
-    long texts count whole; null ids and repeated rows are rows of their own
-    (wholly equal rows are interchangeable); an empty table gives an empty
-    result; other columns are ignored.
+    permutations are equally likely, as far as a 64-bit hash of seed and number
+    can tell; repeated rows and null ids are rows of their own and spread like
+    any others.  The numbers follow the rows' places in the table's files, so
+    the same files give the same shards.  A null text has no bytes; very long
+    texts count whole; an empty table gives an empty result; other columns are
+    ignored.
     """
     ship(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    n_parts = max(LEAST_PARTS, min(MOST_PARTS, docs.count() // PART_ROWS))  # by the data alone, so that no setting moves a row
+    # Written, so that a row keeps its number whatever task reads it again.
+    rows = cut(rows.withColumn("number", F.monotonically_increasing_id()))
+    n_parts = max(LEAST_PARTS, min(MOST_PARTS, rows.count() // PART_ROWS))
 
     def mixed(k: int):
-        return F.xxhash64(F.lit(seed + k), "doc_id", "text_crc32", "size")
+        return F.xxhash64(F.lit(seed + k), "number")
 
     rows = rows.withColumn("part", F.pmod(mixed(0), F.lit(n_parts)).cast("int"))
     got = {r["part"]: r["count"] for r in rows.groupBy("part").count().collect()}  # n_parts rows
