@@ -55,27 +55,38 @@ def segments(data: bytes, most: int = SEGMENT) -> Iterator[tuple[bytes, bytes]]:
     yield data[start:], b""
 
 
+class Words(dict):
+    """Ids of one lang's words; new ones go on from the last id that the shard has given."""
+
+    def __init__(self, lang: str, words: list[bytes], langs: list[str]):
+        super().__init__({b"\xff": 0})
+        self.lang, self.words, self.langs = lang, words, langs
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.words)
+        self.words.append(word)
+        self.langs.append(self.lang)
+        return n
+
+
 class Shard:
     """Word ids of texts, told apart by lang; 0 stands between pieces."""
 
     def __init__(self):
         self.words: list[bytes] = [b""]
         self.langs: list[str] = [""]
-        self.known: dict[str, dict[bytes, int]] = {}
+        self.known: dict[str, Words] = {}
         self.ids: list[np.ndarray] = [np.zeros(1, np.int32)]
         self.starts: list[np.ndarray] = [np.zeros(1, bool)]
         self.size = 0
 
     def add(self, lang: str, body: bytes, ahead: bytes) -> None:
-        known = self.known.setdefault(lang, {b"\xff": 0})
+        if lang not in self.known:
+            self.known[lang] = Words(lang, self.words, self.langs)
         tokens = [b"\xff", *body.replace(b"\xff", b" \xff ").split()]
         counted = len(tokens)
         tokens += ahead.split()
-        for w in set(tokens).difference(known):
-            known[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-        self.ids.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+        self.ids.append(np.fromiter(map(self.known[lang].__getitem__, tokens), np.int32, len(tokens)))
         self.starts.append(np.arange(len(tokens)) < counted)
         self.size += counted
 
@@ -85,14 +96,15 @@ class Shard:
         self.ids, self.starts, self.known = [], [], {}
         return self
 
-    def intervals(self, deepest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def intervals(self, deepest: int, some: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each n up to deepest: n, a place of each distinct n-gram inside a piece, and its count.
 
-        Prefix doubling: ranks by one word give those by two, these those by four.
+        Prefix doubling: ranks by one word give those by two, these those by
+        four.  some: the suffixes to take, if not all that are counted.
         """
         w, n = self.w, len(self.w)
         rank, width = w, 1
-        while width < deepest:
+        while 2 * width < deepest:
             key = rank.astype(np.int64)
             key *= int(rank.max()) + 1
             key[: n - width] += rank[width:]
@@ -102,8 +114,8 @@ class Shard:
             rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]], dtype=np.int32)
             del key, order
             width *= 2
-        sa = np.flatnonzero(self.start)
-        sa = sa[np.argsort(rank[sa])]
+        sa = np.flatnonzero(self.start if some is None else self.start & some)
+        sa = sa[np.argsort(rank[sa].astype(np.int64) * (int(rank.max()) + 1) + rank[sa + width])]
         del rank
         same = np.ones(max(0, len(sa) - 1), bool)  # as the suffix before it, for the first n words
         inside = np.ones(len(sa), bool)  # no piece ends in the first n words
@@ -148,16 +160,18 @@ def shards(batches: Iterator[pa.RecordBatch], size: int = SHARD) -> Iterator[Sha
 
 
 def hashed_counts(texts: DataFrame, lengths: tuple[int, ...], sent, size: int) -> DataFrame:
-    """hash, c: a shard's counts of its n-grams of these lengths, if all two-word ones inside longer ones may recur."""
+    """hash, c: a shard's counts of its n-grams of these lengths (up to 2, or 3 alone, if both two-word ones inside may recur)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches, size):
-            for n, places, counts in shard.intervals(max(lengths)):
+            some = None
+            if max(lengths) > 2:  # suffixes whose first two-word n-grams may all recur
+                two = may_recur(sent.value, shard, np.arange(len(shard.w) - 1), 2)
+                some = np.zeros(len(shard.w), bool)
+                some[: len(two) - 1] = two[:-1] & two[1:]
+            for n, places, counts in shard.intervals(max(lengths), some):
                 if n not in lengths:
                     continue
-                if n > 2:
-                    keep = np.logical_and.reduce([may_recur(sent.value, shard, places + j, 2) for j in range(n - 1)])
-                    places, counts = places[keep], counts[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.hashes(places, n).view(np.int64)), pa.array(counts)], ["hash", "c"])
 
     return texts.mapInArrow(run, "hash long, c long")

@@ -104,10 +104,10 @@ def shards(docs: DataFrame, count: int = 8, seed: int = 20) -> DataFrame:
         for b in batches:
             part = b.column("part").to_numpy()
             block = np.searchsorted(ends, first[part] + b.column("place").to_numpy(), "right") - part.astype(np.int64) * len(start)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("text_crc32"), pa.array(block.astype(np.int32)), pa.array(start[block])], ["doc_id", "size", "text_crc32", "block", "start"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("size"), b.column("text_crc32"), b.column("number"), pa.array(block.astype(np.int32)), pa.array(start[block])], ["doc_id", "size", "text_crc32", "number", "block", "start"])
 
     permuted = rows.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(mixed(1))).cast("long") - 1)
-    dealt = permuted.mapInArrow(deal, "doc_id long, size long, text_crc32 long, block int, start long")
+    dealt = permuted.mapInArrow(deal, "doc_id long, size long, text_crc32 long, number long, block int, start long")
     slot = F.col("start") + F.row_number().over(Window.partitionBy("block").orderBy(mixed(2))) - 1
     return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.floor(F.col("block") / blocks).cast("int").alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
