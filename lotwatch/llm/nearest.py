@@ -17,7 +17,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +37,6 @@ PART, PART_BYTES, BLOCK = 8192, 32 << 20, 2048
 SURE, SURE_Z = 0.98, 2.05
 STEPS, SEED = 30, 11
 
-#: All 16-bit numbers with s bits set, for each s.
-RINGS = [np.array([sum(1 << i for i in c) for c in combinations(range(WIDTH), s)], np.uint16) for s in range(WIDTH + 1)]
-
-
 def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
@@ -106,30 +101,44 @@ def fitted(sample: np.ndarray, tags: np.ndarray) -> Model:
 
 
 class Index:
-    """Rows of a part by the values of each substring of their codes."""
+    """Rows of a part by the values of each substring of their codes; all substrings' values stand one behind another."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.order, self.values, self.starts = [], [], []
+        order, values, starts = [], [], []
         for j in range(SUBSTRINGS):
-            order = np.argsort(codes[:, j], kind="stable")
-            values, first = np.unique(codes[order, j], return_index=True)
-            self.order.append(order)
-            self.values.append(values)
-            self.starts.append(np.r_[first, len(order)])
-
-    def rows(self, j: int, value: np.uint16, apart: np.ndarray, s: int) -> np.ndarray:
-        """Rows whose substring j differs from value in s bits; apart: by how many each occupied value does."""
-        values, starts = self.values[j], self.starts[j]
-        if len(RINGS[s]) < len(values):
-            ring = RINGS[s] ^ value
-            at = np.minimum(np.searchsorted(values, ring), len(values) - 1)
-            at = at[values[at] == ring]
-        else:
-            at = np.flatnonzero(apart == s)
-        first, n = starts[at], starts[at + 1] - starts[at]
+            by = np.argsort(codes[:, j], kind="stable")
+            held, first = np.unique(codes[by, j], return_index=True)
+            order.append(by)
+            values.append(held)
+            starts.append(first + j * len(codes))
+        self.order, self.values = np.concatenate(order), np.concatenate(values)
+        self.starts = np.r_[np.concatenate(starts), len(self.order)]
+        self.sizes = np.array([len(v) for v in values])
+        self.ends = np.cumsum(self.sizes)
+
+    def probes(self, code: np.ndarray) -> "Probes":
+        return Probes(self, np.bitwise_count(self.values ^ np.repeat(code, self.sizes)))
+
+
+class Probes:
+    """The occupied values of each substring by how many bits they differ from a query's."""
+
+    def __init__(self, index: Index, apart: np.ndarray):
+        self.index = index
+        self.order = np.argsort(apart, kind="stable")
+        self.rings = np.searchsorted(apart[self.order], np.arange(WIDTH + 2))
+
+    def rows(self, s: int, substrings: int) -> np.ndarray:
+        """Rows of the values that differ in s bits, of the first so many substrings."""
+        at = self.order[self.rings[s] : self.rings[s + 1]]
+        if substrings < SUBSTRINGS:
+            at = at[: np.searchsorted(at, self.index.ends[substrings - 1])]
+        first, n = self.index.starts[at], self.index.starts[at + 1] - self.index.starts[at]
+        if not len(n) or n.max() == 1:
+            return self.index.order[first]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.order[j][np.repeat(first, n) + inner]
+        return self.index.order[np.repeat(first, n) + inner]
 
 
 def search(index: Index, vectors: np.ndarray, ids: np.ndarray, own: int, query: np.ndarray, code: np.ndarray, bound: float, model: Model, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,19 +151,18 @@ def search(index: Index, vectors: np.ndarray, ids: np.ndarray, own: int, query:
         met[own] = True
     best, scores = np.empty(0, np.int64), np.empty(0)
     need, norm = model.radius(bound), np.sqrt((query * query).sum())
-    apart = [np.bitwise_count(v ^ x) for v, x in zip(index.values, code, strict=True)]
+    probes = index.probes(code)
     for s in range(WIDTH + 1):
-        fresh = []
-        for j in range(SUBSTRINGS):
-            if s * SUBSTRINGS + j - 1 >= need:  # every code within the radius has been met
-                break
-            rows = index.rows(j, code[j], apart[j], s)
-            rows = rows[~met[rows]]
-            met[rows] = True
-            fresh.append(rows)
-        if not fresh:
+        # Once the first a substrings are probed within s bits and the others within s - 1, every code within s * SUBSTRINGS + a - 1 bits has been met.
+        a = min(SUBSTRINGS, need + 1 - s * SUBSTRINGS)
+        if a <= 0:
             break
-        rows = np.concatenate(fresh)
+        rows = probes.rows(s, a)
+        fresh = np.zeros(len(ids), bool)
+        fresh[rows] = True
+        fresh &= ~met
+        met |= fresh
+        rows = np.flatnonzero(fresh)
         rows = rows[distances(index.codes[rows], code) <= need]
         there = vectors[rows]
         best = np.concatenate([best, rows])
