@@ -15,11 +15,10 @@ from lotwatch.llm.common import BLANKS, cut, once, table, words
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-#: A line is over the limit in more distinct documents of a host than this, and than this share of them.
-LEAST_DOCS = 10
+#: A line of LONG_WORDS words or more is over the limit in more distinct documents of a host than this, however large the host.
+LEAST_DOCS, LONG_WORDS = 10, 6
+#: Lines of any length are over it in more than that and this share of the host's documents; only these reject a document.
 SHARE = 0.1
-#: For cleaned(), a line of so many words is over the limit in more than LEAST_DOCS alone, however large its host.
-LONG_WORDS = 6
 #: A document is depleted if less than this share of its distinct lines' characters is left.
 LEFT = 0.5
 
@@ -84,13 +83,14 @@ def measured(docs: DataFrame) -> DataFrame:
     return cut(base.withColumn("base_failed", failed))
 
 
-def judged(base: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, long_words: int | None = None) -> DataFrame:
-    """base (see measured) with removed_chars, kept, and the hashes of its lines above the limit.
+def judged(base: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE, left: float = LEFT, long_words: int = LONG_WORDS) -> DataFrame:
+    """base (see measured) with removed_chars, gone_chars, kept, and the hashes of its lines that go.
 
-    long_words: lines of so many words are above it in more than least_docs
-    documents, whatever the share.  Those that aren't above the share too don't
-    reject a document: where too little would be left without them, as in a
-    group of near copies, they stay, for deduplication to judge.
+    long_words: lines of so many words are above the limit in more than
+    least_docs documents, whatever the share.  Those that aren't above the
+    share too don't reject a document: where too little would be left without
+    them, as in a group of near copies, they stay, for deduplication to judge.
+    removed_chars are those that may reject it, gone_chars those that go.
     """
     # One further entry a document stands for the document itself.
     itself = F.struct(F.lit(None).cast("long").alias("line"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("words"))
@@ -99,35 +99,37 @@ def judged(base: DataFrame, least_docs: int = LEAST_DOCS, share: float = SHARE,
     counts = cut(counts.filter((F.col("n") > least_docs) | F.col("line").isNull()))
     hosts = counts.filter("line is null").select("host", F.col("n").alias("documents"))
     common = counts.filter("line is not null").join(hosts, "host").withColumn("wide", F.col("n") > share * F.col("documents"))
-    common = cut(common.filter(F.col("wide") if long_words is None else F.col("wide") | (F.col("words") >= long_words)).select("host", "line", "wide"))
+    common = cut(common.filter(F.col("wide") | (F.col("words") >= long_words)).select("host", "line", "wide"))
     size, line = F.col("size"), F.col("line")
     gone = held.filter("line is not null").join(common, ["host", "line"]).groupBy("host", "copy")
     gone = cut(gone.agg(F.sum(F.when(F.col("wide"), size)).alias("removed_chars"), F.sum(size).alias("common_chars"), F.collect_list(F.when(F.col("wide"), line)).alias("gone"), F.collect_list(line).alias("common")))
     out = base.drop("lines").join(gone, ["host", "copy"], "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0)).cast("long"))
-    out = out.withColumn("gone", F.when(F.col("chars") - F.col("common_chars") >= left * F.col("chars"), F.col("common")).when(F.size("gone") > 0, F.col("gone")))
+    spare = F.col("chars") - F.col("common_chars") >= left * F.col("chars")
+    out = out.withColumn("gone_chars", F.when(spare, F.col("common_chars")).otherwise(F.col("removed_chars")).cast("long"))
+    out = out.withColumn("gone", F.when(spare, F.col("common")).when(F.size("gone") > 0, F.col("gone")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("chars") - F.col("removed_chars") >= left * F.col("chars")))
 
 
 def quality(docs: DataFrame, **limits: float) -> DataFrame:
-    """doc_id, the word statistics, base_failed, kept, and the depletion's parts (chars, removed_chars) of every row of docs.
+    """doc_id, the word statistics, base_failed, kept, and the depletion's parts (chars, removed_chars, gone_chars) of every row of docs.
 
     A null or empty text has no words (and fails), a null source is a host of
     its own (""); a very long text counts whole; repeated rows each return a
     row, as do null ids; a line exactly at a limit stays; an empty table gives
     an empty result; other columns are ignored.  limits: those of judged().
     """
-    return judged(measured(docs), **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "removed_chars")
+    return judged(measured(docs), **limits).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars", "removed_chars", "gone_chars")
 
 
 def cleaned(docs: DataFrame, **limits: float) -> DataFrame:
     """The kept rows of docs without their lines above the limit, n_chars to match; other columns as they are, whatever their names.
 
-    The rows are those that quality() keeps, so null and empty texts go; lines
-    of LONG_WORDS go whatever their host's size.  Verdicts hold for a text of a
+    The rows are those that quality() keeps, so null and empty texts go, and
+    the lines those of its gone_chars.  Verdicts hold for a text of a
     host, so that repeated rows share theirs; texts are shuffled once, to meet
     them; an empty table stays empty.
     """
-    verdicts = judged(measured(docs), **{"long_words": LONG_WORDS, **limits}).filter("kept")
+    verdicts = judged(measured(docs), **limits).filter("kept")
     verdicts = cut(verdicts.groupBy("host", "copy").agg(F.first("gone").alias("gone")))
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     out = rows.withColumns(keys(F.col("row.source"), F.col("row.text"))).join(verdicts, ["host", "copy"])
@@ -157,11 +159,12 @@ ln AS (
 ), held AS (SELECT DISTINCT d.host, d.text, ln.line FROM ln JOIN d USING (rid)),
 hosts AS (SELECT host, count(DISTINCT text) AS documents FROM d GROUP BY host),
 common AS (
-  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM held GROUP BY host, line) JOIN hosts USING (host)
-  WHERE n > {LEAST_DOCS} AND n > {SHARE} * documents
+  SELECT host, line, n > {SHARE} * documents AS wide FROM (SELECT host, line, count(*) AS n FROM held GROUP BY host, line) JOIN hosts USING (host)
+  WHERE n > {LEAST_DOCS} AND (n > {SHARE} * documents OR length(line) - length(replace(line, ' ', '')) + 1 >= {LONG_WORDS})
 ), size AS (
   SELECT rid, CAST(sum(length(line)) AS BIGINT) AS chars,
-         CAST(coalesce(sum(length(line)) FILTER (c.line IS NOT NULL), 0) AS BIGINT) AS removed_chars
+         CAST(coalesce(sum(length(line)) FILTER (c.wide), 0) AS BIGINT) AS removed_chars,
+         CAST(coalesce(sum(length(line)) FILTER (c.line IS NOT NULL), 0) AS BIGINT) AS common_chars
   FROM (SELECT ln.rid, ln.line, d.host FROM ln JOIN d USING (rid)) LEFT JOIN common c USING (host, line) GROUP BY rid
 ), full_lines AS (
   SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
@@ -171,12 +174,12 @@ common AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-    coalesce(chars, 0) AS chars, coalesce(removed_chars, 0) AS removed_chars
+    coalesce(chars, 0) AS chars, coalesce(removed_chars, 0) AS removed_chars, coalesce(common_chars, 0) AS common_chars
   FROM d JOIN w USING (rid) JOIN full_lines USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN size USING (rid)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND chars - removed_chars >= {LEFT} * chars AS kept,
-  chars, removed_chars
+  chars, removed_chars, CASE WHEN common_chars > 0 AND chars - common_chars >= {LEFT} * chars THEN common_chars ELSE removed_chars END AS gone_chars
 FROM m
 """

@@ -13,7 +13,7 @@ holds for scripts with and without blanks alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lotwatch.llm.common import cut, once, table
@@ -22,9 +22,11 @@ MARGINS = ("source", "lang", "topic")
 #: Rounds end when no margin is further than this from its target, or after so many.
 NEAR, MOST_ROUNDS = 1e-10, 25
 #: Targets are shares to this power: 1 leaves the mix, 0 makes it even.
-TEMPER = 0.9
+TEMPER = {"source": 1.0, "lang": 0.9, "topic": 0.9}
 TOKENS = 1.0  # sampled tokens hoped for, as a share of all; less where a probability would exceed 1
 SEED = "mix"
+#: Documents of a stratum (a cell, or of a large one a part of about so many) are drawn systematically.
+STRATUM = 5000
 BYTES_A_TOKEN = 4
 #: Topics: what marks one, and about how many bytes of it a mark stands for.
 TOPICS = (
@@ -89,13 +91,13 @@ def keys(source: Column, lang: Column, text: Column) -> dict[str, Column]:
     return {"source": value(source), "lang": value(lang), "topic": topic_of(text), "tokens": tokens}
 
 
-def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: float, rounds: int, tokens: float) -> DataFrame:
+def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: dict[str, float] | None, rounds: int, tokens: float) -> DataFrame:
     """weight and probability of each cell(margins, tokens).
 
     Where a cell wants a probability over 1, all are divided by the largest, so
     that the expected sample meets the targets: it is smaller, not off them.
     """
-    targets = targets or {m: cut(tempered(cells, m, temper)) for m in MARGINS}
+    targets = targets or {m: cut(tempered(cells, m, (temper or TEMPER)[m])) for m in MARGINS}
     raked = rake(cells, targets, rounds)
     per_token = F.try_divide(F.col("weight"), F.col("tokens").cast("double"))
     whole = raked.agg(F.sum("tokens").cast("double").alias("all"), F.max(per_token).alias("most"))
@@ -103,40 +105,65 @@ def calibrated(cells: DataFrame, targets: dict[str, DataFrame] | None, temper: f
     return raked.join(F.broadcast(whole)).select(*MARGINS, "weight", F.coalesce(F.least(F.lit(1.0), share), F.lit(1.0)).alias("probability"))
 
 
-def drawn(doc_id: Column, seed: str) -> Column:
-    """A number from 0 to 1 by id and seed."""
-    name = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("long").cast("string"), F.lit("")))
-    return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def mark(doc_id: Column, seed: str) -> Column:
+    """Hexadecimal digits by id and seed."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))))
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
+def part(digits: Column, first: int, n: int) -> Column:
+    return F.conv(F.substring(digits, first, n), 16, 10).cast("long")
+
+
+def drawn(rows: DataFrame, seed: str, stratum: int = STRATUM) -> DataFrame:
+    """rows(doc_id, margins, tokens, probability, ...) with `sampled`.
+
+    Strata are cells, split by a hash where they are large.  Within one
+    documents stand by tokens, those of one size by a hash, and every (1 / probability)-th is taken from a hashed start on: each document
+    has its cell's probability, and a cell's sampled tokens are nearly its
+    share of them, where independent draws would miss it by chance.
+    """
+    rows = rows.withColumn("_digits", mark(F.col("doc_id"), seed))
+    counts = rows.groupBy(*MARGINS).agg(F.ceil(F.count(F.lit(1)) / stratum).alias("_parts"))
+    rows = rows.join(counts, list(MARGINS)).withColumn("_part", F.pmod(part(F.col("_digits"), 1, 8), F.col("_parts")))
+    w = Window.partitionBy(*MARGINS, "_part").orderBy("tokens", part(F.col("_digits"), 9, 13), "doc_id")
+    start = part(F.md5(F.concat_ws(":", F.lit(seed), *MARGINS, "_part")), 1, 13) / F.lit(float(1 << 52))
+    at = lambda place: F.floor(place * F.col("probability") + start)
+    place = F.row_number().over(w)
+    return rows.withColumn("_place", place).withColumn("sampled", at(F.col("_place")) > at(F.col("_place") - 1)).drop("_digits", "_parts", "_part", "_place")
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] | None = None, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight, probability, sampled of every row of docs.
 
     targets: a frame (value, target) for each margin; by default the corpus's
-    own shares to the power `temper`.  Null sources and languages are values of
+    own shares to the powers `temper` (TEMPER).  Null sources and languages are values of
     their own (""); null and empty texts have no tokens, and a cell without
     tokens has weight 0 and its documents probability 1 (they take no share);
-    a very long text counts whole.  Whether a row is sampled depends on its id
-    and the seed alone, so that repeated rows (and all without an id) stay or
-    go together; an empty table has no cells; other columns are ignored.
+    a very long text counts whole.  Rows are drawn each by itself (see drawn),
+    repeated ones and those without an id too; an empty table has no cells;
+    other columns are ignored.
     """
     rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in keys(F.col("source"), F.col("lang"), F.col("text")).items()]))
     cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     out = rows.join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
-    return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 7).alias("weight"), F.round("probability", 5).alias("probability"), (drawn(F.col("doc_id"), seed) < F.col("probability")).alias("sampled"))
+    out = drawn(out.withColumn("probability", F.round("probability", 9)), seed)
+    return out.select("doc_id", *MARGINS, "tokens", F.round("weight", 7).alias("weight"), F.round("probability", 5).alias("probability"), "sampled")
 
 
-def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
-    """The rows of docs that mix() samples, with all their columns; only cells are shuffled.
+def sampled(docs: DataFrame, targets: dict[str, DataFrame] | None = None, temper: dict[str, float] | None = None, rounds: int = MOST_ROUNDS, tokens: float = TOKENS, seed: str = SEED) -> DataFrame:
+    """The rows of docs that mix() would sample, with all their columns; cells and numbers of rows are shuffled, texts once, to the rows that stay.
 
     Nulls, empty and long texts, repeated rows and empty tables are as there;
-    columns may have any names.
+    columns may have any names.  docs is read twice, so it should be a table.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"))
-    rows = rows.select("row", *[c.alias(k) for k, c in keys(F.col("row.source"), F.col("row.lang"), F.col("row.text")).items()])
-    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
-    out = rows.drop("tokens").join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS))
-    return out.filter(drawn(F.col("row.doc_id"), seed) < F.col("probability")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    numbered = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number"))
+    keyed = cut(numbered.select("number", F.col("row.doc_id").cast("long").alias("doc_id"), *[c.alias(k) for k, c in keys(F.col("row.source"), F.col("row.lang"), F.col("row.text")).items()], F.xxhash64("row.doc_id", "row.text").alias("hash")))
+    cells = cut(keyed.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
+    out = keyed.join(calibrated(cells, targets, temper, rounds, tokens), list(MARGINS)).withColumn("probability", F.round("probability", 9))
+    stay = cut(drawn(out, seed).filter("sampled").select("number", "hash"))
+    # The hash makes sure that a number is the same row's in both reads.
+    rows = numbered.withColumn("hash", F.xxhash64("row.doc_id", "row.text")).join(stay, ["number", "hash"], "left_semi")
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +182,7 @@ def _sql() -> str:
         "r0 AS MATERIALIZED (SELECT *, tokens / sum(tokens) OVER () AS weight FROM cells)",
     ]
     for m in MARGINS:
-        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, t / sum(t) OVER () AS target FROM (SELECT {m}, CASE WHEN sum(tokens) > 0 THEN sum(tokens) ** {TEMPER} ELSE 0 END AS t FROM cells GROUP BY {m}))")
+        steps.append(f"t_{m} AS MATERIALIZED (SELECT {m}, t / sum(t) OVER () AS target FROM (SELECT {m}, CASE WHEN sum(tokens) > 0 THEN sum(tokens) ** {TEMPER[m]} ELSE 0 END AS t FROM cells GROUP BY {m}))")
     n = 0
     for _ in range(12):  # enough for the tables at hand; more rounds change nothing
         for m in MARGINS:
@@ -163,8 +190,16 @@ def _sql() -> str:
             n += 1
     steps.append(f"k AS (SELECT *, {TOKENS} * weight * sum(tokens) OVER () / nullif(tokens, 0) AS share FROM r{n})")
     steps.append("p AS (SELECT source, lang, topic, weight, coalesce(least(1.0, share / greatest(1.0, max(share) OVER ())), 1.0) AS probability FROM k)")
-    draw = f"CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / {float(1 << 52)}"
-    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, source, lang, topic, d.tokens, round(weight, 7) AS weight, round(probability, 5) AS probability, {draw} < probability AS sampled FROM d JOIN p USING (source, lang, topic)"
+    digits = f"md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), ''))"
+    cell = "source, lang, topic"
+    part = lambda d, first, n: f"CAST(('0x' || substr({d}, {first}, {n})) AS BIGINT)"
+    start = part(f"md5(concat_ws(':', '{SEED}', source, lang, topic, part))", 1, 13)
+    steps += [
+        f"q AS (SELECT doc_id, {cell}, d.tokens, weight, round(probability, 9) AS probability, {digits} AS digits FROM d JOIN p USING ({cell}))",
+        f"s AS (SELECT *, {part('digits', 1, 8)} % CAST(ceil(count(*) OVER (PARTITION BY {cell}) / {STRATUM}.0) AS BIGINT) AS part FROM q)",
+        f"o AS (SELECT *, row_number() OVER (PARTITION BY {cell}, part ORDER BY tokens, {part('digits', 9, 13)}, doc_id NULLS FIRST) AS place, {start} / {float(1 << 52)} AS begin FROM s)",
+    ]
+    return "WITH " + ",\n".join(steps) + f"\nSELECT doc_id, {cell}, tokens, round(weight, 7) AS weight, round(probability, 5) AS probability, floor(place * probability + begin) > floor((place - 1) * probability + begin) AS sampled FROM o"
 
 
 OP2_SQL = _sql()

@@ -282,7 +282,7 @@ def test_forest_on_held_out_findings(spark, documents):
         assert max(max(x.mean(), 1 - x.mean()) for x in above) < right - 0.05
 
 
-def test_sharding(spark, documents):
+def test_sharding(spark, documents, tmp_path):
     for docs in (edge(spark, 5), documents, empty(spark)):
         n = docs.count()
         out = sharding.shards(docs).toPandas()
@@ -297,6 +297,18 @@ def test_sharding(spark, documents):
         moved = sharding.shards(docs).toPandas()
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert sorted(zip(moved["text_crc32"], moved["shard"], moved["slot"], strict=True)) == sorted(zip(out["text_crc32"], out["shard"], out["slot"], strict=True))
+    # Equal rows spread like any others: over seeds, each shard's share of 200 copies follows the hypergeometric law, and copies don't keep together.
+    copies = spark.range(3000).select(F.when(F.col("id") < 200, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 200, "same").otherwise(F.concat(F.lit("t"), "id")).alias("text"))
+    copies.unionAll(spark.range(800).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"))).write.parquet(str(tmp_path / "copies"))
+    copies = spark.read.parquet(str(tmp_path / "copies"))
+    got = [sharding.shards(copies, seed=s).toPandas() for s in range(5)]
+    for mark, k in ((lambda o: o["doc_id"] == 7, 200), (lambda o: o["doc_id"].isna(), 800)):
+        found = np.array([[(mark(o) & (o["shard"] == i)).sum() for i in range(8)] for o in got])
+        var = k / 8 * 7 / 8 * (3800 - k) / 3799
+        chi = ((found - k / 8) ** 2 / var).sum() * 7 / 8
+        assert 12 < chi < 70, found  # 35 degrees of freedom
+        beside = [np.diff(o[mark(o)].sort_values(["shard", "slot"])["slot"].to_numpy()) for o in got]
+        assert abs(np.mean([(d == 1).mean() for d in beside]) - k / 3800) < 0.05
     # The matrix follows the law of a uniform shuffle: a cell's mean and spread are the hypergeometric's, whichever cell.
     drawn = np.array([sharding.matrix([30, 10, 60], [25, 35, 40], seed) for seed in range(3000)])
     for i, n in enumerate((30, 10, 60)):
