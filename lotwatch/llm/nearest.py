@@ -237,7 +237,8 @@ def nearest(rows: DataFrame, k: int = NEIGHBOURS, every: int = EVERY, part: int
         tags, query_ids, found, scores = zip(*out, strict=True) if out else ((), (), (), ())
         return pa.table({"tag": pa.array(tags, pa.int64()), "query_id": pa.array(query_ids, pa.int64()), "vec_id": left["vec_id"].combine_chunks().take(pa.array(found, pa.int64())), "score": pa.array(scores, pa.float64())})
 
-    pairs = index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(meet, "tag long, query_id long, vec_id long, score double")
+    # Written as it is: pruned columns (as by a count) would be missing from what the function gets.
+    pairs = cut(index.groupBy("block", "part").cogroup(queries.groupBy("block", "part")).applyInArrow(meet, "tag long, query_id long, vec_id long, score double"))
     best = Window.partitionBy("tag").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -67,7 +67,7 @@ def test_mixing(spark, documents):
     out = source_mixing.mix(documents).toPandas()
     cells = out.drop_duplicates(["source", "lang", "topic"])
     for m in source_mixing.MARGINS:
-        share = out.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
+        share = out.groupby(m)["tokens"].sum() ** source_mixing.TEMPER[m]
         assert np.allclose(cells.groupby(m)["weight"].sum(), share / share.sum(), atol=1e-5)
     assert source_mixing.sampled(edge(spark), rounds=1).columns == edge(spark).columns and source_mixing.sampled(empty(spark)).count() == 0
 
@@ -88,7 +88,7 @@ def test_mix_meets_targets(spark):
     assert ids == set(every["doc_id"][every["sampled"]]) and len(ids) > 9000
     sample = every[every["doc_id"].isin(ids)]
     for m in source_mixing.MARGINS:
-        target = every.groupby(m)["tokens"].sum() ** source_mixing.TEMPER
+        target = every.groupby(m)["tokens"].sum() ** source_mixing.TEMPER[m]
         target /= target.sum()
         expected = (every["tokens"] * every["probability"]).groupby(every[m]).sum()
         assert np.allclose(expected / expected.sum(), target, atol=1e-4)
