@@ -1,9 +1,11 @@
-"""Intermediate tables in the folder that all nodes share."""
+"""Intermediate tables in the folder that all nodes share, and the package for the nodes' Python workers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +25,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that Python workers anywhere can import it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lotwatch_sent", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp()) / "lotwatch_core.zip"  # Spark serves it from the driver
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "lotwatch").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._lotwatch_sent = True

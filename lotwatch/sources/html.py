@@ -10,6 +10,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from lotwatch.operators.files import ship
+
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -116,6 +118,7 @@ def elements(payloads: DataFrame, card: str, fields: dict[str, str], need: str |
     need: a selector that a page must hold, else the job fails: a page without
     it was moved or blocked, which isn't the same as an empty one.
     """
+    ship(payloads.sparkSession)
     kept = [c for c in keep if c in payloads.columns]
     kinds = {f.name: f.dataType.simpleString() for f in payloads.schema.fields}
     columns = [*kept, "pos", *fields]
