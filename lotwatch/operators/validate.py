@@ -62,7 +62,10 @@ def seen_sources(counts: DataFrame) -> DataFrame:
 
 
 def attempts(tries: DataFrame) -> DataFrame:
-    """tries(source, failed, raw) to its verdict: failed if all tries did or nothing came at all, warned if some did."""
-    a = tries.groupBy("source").agg(F.bool_and("failed").alias("all_failed"), F.bool_or("failed").alias("some_failed"), F.sum("raw").alias("raw"))
-    verdict = F.when(F.col("all_failed"), "failed").when(F.col("raw") == 0, "canary").when(F.col("some_failed"), "warned").otherwise("ok")
-    return a.select("source", "raw", verdict.alias("verdict"))
+    """tries(source, failed, raw) to its verdict: failed if all tries did, canary if nothing at all came, warned if some failed.
+
+    raw: what a try brought before any gate; null where that isn't known, as where it failed.
+    """
+    a = tries.groupBy("source").agg(F.count(F.lit(1)).alias("tries"), F.count_if("failed").alias("failures"), F.sum("raw").alias("raw"))
+    verdict = F.when(F.col("failures") == F.col("tries"), "failed").when(F.col("raw") == 0, "canary").when(F.col("failures") > 0, "warned").otherwise("ok")
+    return a.select("source", "tries", "failures", "raw", verdict.alias("verdict"))

@@ -71,6 +71,11 @@ def demanded(found: Column, ok: Column, message: str) -> Column:
     return F.when(ok, found).otherwise(F.raise_error(F.lit(message)))
 
 
+def api_found(body: Column) -> Column:
+    """The items of an API's answer, before any gate; null where it is no such answer."""
+    return F.coalesce(F.size(F.from_json(body, API_ITEMS)["itemSummaries"]), F.when(body.rlike(r"^\s*\{"), 0))
+
+
 def api_items(payloads: DataFrame, rates: DataFrame, source: str = "ebay") -> DataFrame:
     """payloads(body, country): an API's item lists. Title gate, parts, floor, identity, first of an id; the item's country else the market's."""
     items = exploded(payloads, F.from_json("body", API_ITEMS)["itemSummaries"])
@@ -297,12 +302,21 @@ def all_auctions(payloads: DataFrame, rates: DataFrame, source: str = "yahoo_auc
     return first_of(running.unionByName(ended))
 
 
+ADS = "struct<props:struct<pageProps:struct<ads:array<struct<id:string,title:string,price:double,image:string,location:string>>>>>"
+
+
+def ads_of(body: Column) -> Column:
+    """The ads in a page's state; null where there is no state or no list of ads in it."""
+    return F.from_json(F.nullif(F.regexp_extract(body, PAGE_DATA, 1), F.lit("")), ADS)["props"]["pageProps"]["ads"]
+
+
 def page_ads(payloads: DataFrame, rates: DataFrame, source: str = "kaidee", base: str = "https://rod.kaidee.com") -> DataFrame:
-    """Ads from a page's state that name the brand and a truck and no other generation; years are informative; the first of an id."""
-    schema = "struct<props:struct<pageProps:struct<ads:array<struct<id:string,title:string,price:double,image:string,location:string>>>>>"
-    text = F.regexp_extract("body", PAGE_DATA, 1)
-    ads = F.from_json(demanded(text, text != "", "no state in the page (moved or blocked?)"), schema)["props"]["pageProps"]["ads"]
-    rows = exploded(payloads, demanded(ads, F.coalesce(F.size(ads), F.lit(0)) > 0, "no ad in the page (moved?)"))
+    """Ads from pages' states that name the brand and a truck and no other generation; years are informative; the first of an id.
+
+    A page without an ad is a failed query, which registry.answered tells from the others; pages that come here without one are an error.
+    """
+    ads = ads_of(F.col("body"))
+    rows = exploded(payloads, demanded(ads, F.coalesce(F.size(ads), F.lit(0)) > 0, "no ad in the page (moved or blocked?)"))
     rows = rows.filter((F.coalesce("i.id", F.lit("")) != "") & classify.wanted(F.coalesce("i.title", F.lit(""))))
     return first_of(listing(
         rows, source, rates, native=F.col("i.id"), title=F.col("i.title"), url=F.concat(F.lit(f"{base}/product-"), "i.id"), country=F.lit("TH"), region=F.col("i.location"), amount=F.nullif(F.col("i.price"), F.lit(0.0)),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch.operators.sets import in_turn
-from lotwatch.operators.validate import rules, violations
+from lotwatch.operators.validate import attempts, rules, violations
 from lotwatch.schemas import RUN_LOG
 from lotwatch.sources import payloads as p
 
@@ -33,8 +33,10 @@ SOURCES: dict[str, Parser] = {
 PLANNED: dict[str, Callable[[], Column]] = {
     "ebay": lambda: ~F.col("body").rlike(r"^\s*\{"),
     "yahoo_auctions": lambda: (F.col("kind") == "closed") & ~F.col("body").contains("__NEXT_DATA__"),
-    "kaidee": lambda: ~F.col("body").contains("__NEXT_DATA__"),
+    "kaidee": lambda: F.coalesce(F.size(p.ads_of(F.col("body"))), F.lit(0)) <= 0,
 }
+#: Sources whose pages hold items before any gate, of which none at all means a moved layout, and how many a page has.
+FOUND: dict[str, Callable[[], Column]] = {"ebay": lambda: p.api_found(F.col("body"))}
 #: Rows of a source are numbered within this.
 ROWS = 1 << 44
 
@@ -47,15 +49,25 @@ def landed(spark: SparkSession, folder: str, source: str) -> DataFrame:
 
 
 def answered(rows: DataFrame, source: str) -> tuple[DataFrame, str]:
-    """The pages of a source that are answers, and a note if some aren't; an error if none is."""
+    """The pages of a source that are answers, and a note if some aren't.
+
+    An error if no page is an answer, if one isn't and the source has no plan of
+    several requests, or if no answer holds a single item where some must
+    (the canary: a search without any hit is a moved layout, not an empty market).
+    """
     rows = p.numbered(rows)
     bad = F.col("body").isNull() | F.coalesce(PLANNED.get(source, lambda: F.lit(False))(), F.lit(False))
-    n = rows.agg(F.count(F.lit(1)).alias("pages"), F.count_if(bad).alias("bad")).first()
-    if n["pages"] == n["bad"]:
-        raise ValueError(f"all {n['pages']} requests failed")
-    if n["bad"] and source not in PLANNED:
-        raise ValueError(f"{n['bad']} of {n['pages']} requests failed")
-    return rows.filter(~bad), f"{n['bad']} of {n['pages']} requests failed" if n["bad"] else ""
+    raw = F.when(~bad, FOUND.get(source, lambda: F.lit(None).cast("int"))())
+    tries = rows.select(F.lit(source).alias("source"), bad.alias("failed"), raw.alias("raw"))
+    got = attempts(tries).first()
+    if got is None or got["verdict"] == "failed":
+        raise ValueError(f"all {got['tries'] if got else 0} requests failed")
+    if got["verdict"] == "canary":
+        raise ValueError(f"canary: no item in {got['tries'] - got['failures']} answers")
+    note = f"{got['failures']} of {got['tries']} requests failed" if got["failures"] else ""
+    if note and source not in PLANNED:
+        raise ValueError(note)
+    return rows.filter(~bad), note
 
 
 def collect(spark: SparkSession, read: Callable[[str], DataFrame], rates: DataFrame, sources: dict[str, Parser] = SOURCES, keep: Callable[[DataFrame], DataFrame] = DataFrame.persist) -> tuple[DataFrame, DataFrame]:

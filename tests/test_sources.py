@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotwatch.operators import daily, fx, report
 from lotwatch.schemas import FX, LISTING
 from lotwatch.sources import html, payloads, plan, registry, store
+from lotwatch.sources import pages as landed_pages
 
 RATES = "currency string, rate double, date date"
 
@@ -165,6 +166,37 @@ def test_landed(spark, tmp_path):
         registry.answered(page(spark, "<html>blocked"), "kaidee")
 
 
+def test_partial_failures_and_canary(spark, rates):
+    """One empty page of several is a note; a source without a single item is a failure that ages nothing."""
+    ads = state({"props": {"pageProps": {"ads": [{"id": 5, "title": "Datsun truck 620", "price": 90000}]}}})
+    none = state({"props": {"pageProps": {"ads": []}}})
+    only = {k: registry.SOURCES[k] for k in ("ebay", "kaidee")}
+    pages = {"ebay": page(spark, API(), API(), "HTTP 500"), "kaidee": page(spark, none, ads)}
+    rows, log = registry.collect(spark, pages.get, rates, only)
+    got = {r["source"]: (r["ok"], r["records"], r["note"]) for r in log.collect()}
+    assert got == {"ebay": (False, 0, "canary: no item in 2 answers"), "kaidee": (True, 1, "1 of 2 requests failed")} and [r["id"] for r in rows.collect()] == ["kaidee:5"]
+    pages = {"ebay": page(spark, API(ITEM(title="nothing that passes a gate")), API()), "kaidee": page(spark, none, none)}
+    _, log = registry.collect(spark, pages.get, rates, only)
+    got = {r["source"]: (r["ok"], r["records"], r["note"]) for r in log.collect()}
+    assert got == {"ebay": (True, 0, ""), "kaidee": (False, 0, "all 2 requests failed")}
+
+
+def test_pages_as_a_data_source(spark, rates, tmp_path):
+    """A partition for each landed page; failures are rows of their own; the reader takes the limit; collect reads it."""
+    for name, text in {"ebay/00-us.json": API(ITEM(), ITEM(itemId="2")), "ebay/01-gb-trucks.json": "HTTP 503 busy", "ebay/02-de.json": " ", "kaidee/00.html": "<html>blocked", "kaidee/01-x.html": b"\xff\xfe\xff"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(text.encode() if isinstance(text, str) else text)
+    got = {(r["source"], r["turn"]): r for r in landed_pages.pages(spark, str(tmp_path), "ebay").collect()}
+    assert {k: (r["kind"], r["country"], r["query"], r["error"]) for k, r in got.items()} == {("ebay", 0): ("us", "US", None, None), ("ebay", 1): ("gb", "GB", "trucks", "HTTP 503"), ("ebay", 2): ("de", "DE", None, "empty answer")}
+    assert len(json.loads(landed_pages.pages(spark, str(tmp_path), "ebay", limit=1).filter("turn = 0").first()["body"])["itemSummaries"]) == 1
+    every = spark.read.format("landed_pages").option("path", str(tmp_path)).load()
+    assert every.rdd.getNumPartitions() == 5 and every.filter("error is not null").count() == 3
+    only = {k: registry.SOURCES[k] for k in ("ebay", "kaidee", "flex")}
+    rows, log = registry.collect(spark, lambda s: landed_pages.pages(spark, str(tmp_path), s), rates, only)
+    assert {r["id"] for r in rows.collect()} == {"ebay:1", "ebay:2"}
+    assert {r["source"]: (r["ok"], r["note"]) for r in log.collect()} == {"ebay": (True, "2 of 3 requests failed"), "kaidee": (False, "all 2 requests failed"), "flex": (False, "all 0 requests failed")}
+
+
 def test_collect_isolates_sources(spark, rates):
     assert len(registry.SOURCES) == 13
     pages = {"ebay": page(spark, API(ITEM(), ITEM(itemId="2", itemWebUrl="javascript:1"))), "kaidee": page(spark, "<html>blocked")}
@@ -178,13 +210,13 @@ def test_collect_isolates_sources(spark, rates):
 def test_daily_runs(spark, tmp_path):
     """Three days: a first run, a price change with a failing source and no rates, and another run on the same day."""
     root = str(tmp_path)
-    day = lambda d, usd: spark.createDataFrame([(d, datetime(2026, 1, 1), "GBP", {"USD": usd, "JPY": 200.0, "CAD": 1.7, "THB": 45.0})], FX)
+    day = lambda d, usd: spark.createDataFrame([(d, datetime(2026, 1, 1), "GBP", dict.fromkeys(fx.SYMBOLS, 2.0) | {"USD": usd, "JPY": 200.0, "CAD": 1.7, "THB": 45.0})], FX)
     ads = state({"props": {"pageProps": {"ads": [{"id": 5, "title": "Datsun truck 620 กระบะ ダ", "price": 90000}]}}})
     only = {k: registry.SOURCES[k] for k in ("ebay", "kaidee")}
     one = daily.run_daily(spark, root, "2026-01-01", lambda n: page(spark, API(ITEM()) if n == "ebay" else ads), day(date(2026, 1, 1), 1.25), only, translate=lambda t: F.concat(t, F.lit(" (en)")))
     assert {r["id"]: r["title_translated"] for r in one.store.collect()} == {"ebay:1": None, "kaidee:5": "Datsun truck 620 กระบะ ダ (en)"} and one.changes.new.count() == 2
     (tmp_path / "listings" / "version=2026-01-02" / "_temporary").mkdir(parents=True)  # a run that died
-    bad = spark.createDataFrame([(date(2026, 1, 2), datetime(2026, 1, 2), "EUR", {"USD": 1.0})], FX)
+    bad = spark.createDataFrame([(date(2026, 1, 2), datetime(2026, 1, 2), "GBP", {"USD": 1.0, "JPY": 1.0})], FX)
     two = daily.run_daily(spark, root, "2026-01-02", lambda n: page(spark, API(ITEM(price={"value": "6000", "currency": "USD"})) if n == "ebay" else "blocked"), bad, only)
     assert [(r["id"], r["old_gbp"], r["new_gbp"], r["pct"]) for r in two.changes.price_changed.collect()] == [("ebay:1", 4000.0, 4800.0, 20.0)]
     assert {r["source"]: r["consecutive_failures"] for r in two.log.collect()} == {"ebay": 0, "kaidee": 1}
@@ -203,6 +235,13 @@ def test_daily_runs(spark, tmp_path):
     assert report.counts(one.changes.new, one.changes.price_changed, one.store).first().asDict() == {"matched": 0, "new": 2, "price changes": 0}
     page_ = report.render({"New": report.new_listings(one.changes.new, one.changes.possible_relists, one.store)}, "d", most=1)
     assert "New (2)" in page_ and "and 1 more" in page_ and page_.count("<li>") == 1
+    counted = report.counts(one.changes.new, one.changes.price_changed, one.store)
+    assert report.digest_subject("Lots", counted, "d") == "Lots: 2 new, 0 price change(s) — d"
+    assert report.digest_subject("Lots", counted.withColumn("matched", F.lit(1)), "d") == "Lots: 1 KING CAB of 2 new, 0 price change(s) — d"
+    assert report.digest_subject("Lots", counted.withColumns({"new": F.lit(0), "price changes": F.lit(0)}), "d") == "Lots digest — d"
+    shown = {r["id"]: r for r in report.listing_pages(two.store).collect()}
+    assert shown["ebay:1"]["page"] == "ebay--1" and shown["ebay:1"]["history"] == ["2026-01-01 · active · $5,000 · £4,000 · first seen", "2026-01-02 · active · $6,000 · £4,800 · latest"]
+    assert [(str(c["date"]), c["gbp"]) for c in shown["ebay:1"]["chart"]] == [("2026-01-01", 4000.0), ("2026-01-02", 4800.0)] and shown["kaidee:5"]["chart"] is None and shown["kaidee:5"]["prior_page"] is None
     with pytest.raises(ValueError, match="no rates"):
         daily.run_daily(spark, root + "/none", "2026-01-01", lambda n: page(spark, "x"), None, only)
     parsed = fx.parsed(spark.createDataFrame([('{"date": "2026-01-01", "base": "GBP", "rates": {"USD": 1.2}}', datetime(2026, 1, 1))], "body string, fetched_at timestamp"))
