@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwatch import contracts
 from lotwatch.functions.normalize import needs_translation
 from lotwatch.operators import fx, runlog
+from lotwatch.operators.contracts import require_documents
 from lotwatch.operators.files import cut
 from lotwatch.operators.reconcile import Reconciled, reconcile
 from lotwatch.operators.validate import require, rules
@@ -37,10 +39,10 @@ def translated(rows: DataFrame, translate: Callable[[Column], Column] | None) ->
     return rows.withColumn("title_translated", F.when(missing, translate(F.col("title"))).otherwise(F.col("title_translated")))
 
 
-def checked_rates(day: DataFrame) -> DataFrame:
-    """The day's rates, failing where they are no rates of the base."""
+def checked_rates(day: DataFrame, symbols: list[str]) -> DataFrame:
+    """The day's rates of these currencies, failing where one is missing or they are no rates of the base."""
     positive = F.forall(F.map_values("rates"), lambda r: r > 0)
-    return require(day, {"date": F.col("date").isNotNull(), "base": F.col("base") == "GBP", "rates": positive}, "rates")
+    return require(fx.checked(day, symbols), {"date": F.col("date").isNotNull(), "base": F.col("base") == "GBP", "rates": positive}, "rates")
 
 
 def merged(spark: SparkSession, rows: DataFrame, results: DataFrame, held: DataFrame, before: DataFrame, today: str) -> Run:
@@ -55,6 +57,12 @@ def merged(spark: SparkSession, rows: DataFrame, results: DataFrame, held: DataF
     return Run(store, changes, runlog.with_streaks(results, before), runlog.totals(store))
 
 
+def checked_changes(changes: Reconciled) -> dict[str, DataFrame]:
+    """The changes by name, failing where one breaks its contract."""
+    held = {"price_changed": contracts.PRICE_CHANGE, "status_changed": contracts.STATUS_CHANGE, "possible_relists": contracts.POSSIBLE_RELIST}
+    return {name: require_documents(getattr(changes, name), held[name], name) if name in held else getattr(changes, name) for name in CHANGES}
+
+
 def run_daily(
     spark: SparkSession,
     root: str,
@@ -64,11 +72,13 @@ def run_daily(
     sources: dict[str, registry.Parser] = registry.SOURCES,
     translate: Callable[[Column], Column] | None = None,
     run: str | None = None,
+    symbols: list[str] = fx.SYMBOLS,
 ) -> Run:
     """Everything that a day does, from landed payloads to written tables under root.
 
-    fetched: the day's rates (FX), or None where they couldn't be had: the last
-    known ones serve then.  A run is named by its day (or `run`, for another on
+    fetched: the day's rates (FX) of at least the currencies `symbols`, or None
+    where they couldn't be had: the last known ones serve then, as they do for
+    rates that lack one.  A run is named by its day (or `run`, for another on
     the same day); what a run of the same name left unfinished is replaced.
     Tables: listings/version=<run>, rates/version=<run>, and rows with run=<run>
     in run_log, totals and one table for each kind of change.
@@ -77,7 +87,7 @@ def run_daily(
     known = [v for v in versions(spark, f"{root}/listings") if v < run and is_complete(spark, f"{root}/listings/version={v}")]
     log = read_or_empty(spark, f"{root}/rates/version={known[-1]}" if known else f"{root}/rates/none", FX)
     try:
-        day = None if fetched is None else cut(checked_rates(fetched))
+        day = None if fetched is None else cut(checked_rates(fetched, symbols))
     except Exception:  # rates must not stop a run: each price keeps the rate and its day
         day = None
     day = fx.day_or_last(day, log)
@@ -86,10 +96,10 @@ def run_daily(
     before = latest_run(spark, f"{root}/run_log", RUN_LOG) if known else spark.createDataFrame([], RUN_LOG)
     out = merged(spark, cut(translated(rows, translate)), results, held, before, today)
     fx.upsert(log, day.select(*log.columns)).write.mode("overwrite").parquet(f"{root}/rates/version={run}")
-    for name in CHANGES:
-        append(getattr(out.changes, name), f"{root}/{name}", run=run)
-    append(out.log, f"{root}/run_log", run=run)
-    append(out.totals, f"{root}/totals", run=run)
+    for name, frame in checked_changes(out.changes).items():
+        append(frame, f"{root}/{name}", run=run)
+    append(require_documents(out.log, contracts.SOURCE_RESULT, "run log"), f"{root}/run_log", run=run)
+    append(require_documents(out.totals, contracts.TOTALS, "totals"), f"{root}/totals", run=run)
     write_store(out.store, root, run)  # last: its end marks the run as done
     return out
 

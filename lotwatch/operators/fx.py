@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# The currencies that a day's rates must have.
+SYMBOLS = ["USD", "EUR", "JPY", "AUD", "ZAR", "THB", "CAD", "MXN"]
+
 
 def convert(df: DataFrame, rates: DataFrame, on: str = "currency") -> DataFrame:
     """df with the rate of its currency; rates(currency, rate). Spark broadcasts rates if they are small."""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwatch.operators.files import cut
 from lotwatch.operators.relist import relists
 from lotwatch.schemas import HISTORY, PRICE, RELIST
 
@@ -31,7 +32,8 @@ def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str
 
     A row is compared with the one before it of the same id: the store's, or an
     earlier one of this run.  seen(source): sources whose missing listings age.
-    One shuffle by id serves the merge and all changes; relists join by source.
+    One shuffle by id serves the merge and all changes, which read what it
+    brought together from the shared folder; relists join by source.
     """
     day = F.lit(today).cast("date")
     held = store.withColumns({"ordinal": F.lit(-1).cast("long"), "_old": F.lit(True)})
@@ -41,10 +43,10 @@ def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str
     was = F.lag(F.struct("price", "status")).over(w)
     both = both.withColumn("_was", was).withColumn("_new", ~F.col("_old") & F.col("_was").isNull())
     changed = ~F.col("_old") & F.col("_was").isNotNull()
-    both = both.withColumns({"_price_moved": changed & ~F.col("price.amount").eqNullSafe(F.col("_was.price.amount")), "_status_moved": changed & (F.col("status") != F.col("_was.status"))})
+    both = cut(both.withColumns({"_price_moved": changed & ~F.col("price.amount").eqNullSafe(F.col("_was.price.amount")), "_status_moved": changed & (F.col("status") != F.col("_was.status"))}))
 
     fresh = both.filter("_new")
-    found = relists(fresh, store, incoming)
+    found = relists(fresh, both.filter("_old"), both.filter("not _old"))
     new = fresh.select("id", "ordinal")
     price_changed = both.filter("_price_moved").select("id", F.col("_was.price.gbp").alias("old_gbp"), F.col("price.gbp").alias("new_gbp"), _pct(F.col("_was.price.gbp"), F.col("price.gbp")).alias("pct"))
     moved = both.filter("_status_moved").select("id", F.col("_was.status").alias("old_status"), F.col("status").alias("new_status"))

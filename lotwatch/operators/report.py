@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwatch.functions.display import change, clock, money, pounds, shown_title
+from lotwatch.functions.display import change, clock, money, page_name, pounds, shown_title, site_money
 
 #: Lines of a section that a page shows; how many there are in all is said above them.
 PAGE = 500
@@ -36,6 +36,16 @@ def status_changes(changed: DataFrame, listings: DataFrame) -> DataFrame:
     return changed.join(listings.select("id", "title"), "id").select("id", "title", "old_status", "new_status")
 
 
+def digest_subject(name: str, counts: DataFrame, day: str) -> str:
+    """The subject of a day's mail, by what the digest has (counts, one row): keyword matches lead, then new ones and price changes."""
+    c = counts.first()
+    if c["matched"]:
+        return f"{name}: {c['matched']} KING CAB of {c['new']} new, {c['price changes']} price change(s) — {day}"
+    if c["new"] or c["price changes"]:
+        return f"{name}: {c['new']} new, {c['price changes']} price change(s) — {day}"
+    return f"{name} digest — {day}"
+
+
 def subject(counts: dict[str, int], day: str) -> str:
     said = [f"{n} {name}" for name, n in counts.items() if n]
     return f"Listings {day}: {', '.join(said) if said else 'no changes'}"
@@ -93,3 +103,23 @@ def render(sections: dict[str, DataFrame], day: str, most: int = PAGE) -> str:
             more = f"<p>and {total[name] - len(rows)} more</p>" if total[name] > len(rows) else ""
             out.append(f"<h2>{html.escape(name)} ({total[name]})</h2><ul>{''.join(rows)}</ul>{more}")
     return "\n".join(out if len(out) > 1 else [*out, "<p>Nothing new.</p>"])
+
+
+def listing_pages(listings: DataFrame) -> DataFrame:
+    """page, id and what a listing's own page shows: title, price, place, the listing before it (if it is still known), its history and the dates and amounts that a chart needs two of."""
+    prior = listings.select(F.col("id").alias("_prior"), F.col("title").alias("prior_title"), F.col("url").alias("prior_url"))
+    rows = listings.withColumn("_prior", F.when(F.col("relist.possible"), F.col("relist.prior_id"))).join(prior, "_prior", "left")
+    priced = F.filter("history", lambda h: h["price"]["gbp"].isNotNull())
+    last = F.size("history") - 1
+    label = lambda h, i: F.concat_ws(" · ", h["date"].cast("string"), h["status"], site_money(h["price"]["amount"], h["price"]["currency"], h["price"]["gbp"]), F.when(i == 0, "first seen").when(i == last, "latest"))
+    return rows.select(
+        page_name(F.col("id")).alias("page"),
+        "id",
+        shown_title(F.col("title"), F.col("title_translated")).alias("title"),
+        site_money(F.col("price.amount"), F.col("price.currency"), F.col("price.gbp")).alias("price"),
+        F.concat_ws(", ", "region", "country").alias("place"),
+        F.when(F.col("prior_title").isNotNull(), page_name(F.col("_prior"))).alias("prior_page"),
+        "prior_title",
+        F.transform("history", label).alias("history"),
+        F.when(F.size(priced) >= 2, F.transform(priced, lambda h: F.struct(h["date"].alias("date"), h["price"]["gbp"].alias("gbp")))).alias("chart"),
+    )

@@ -14,6 +14,10 @@ from lotwatch.schemas import INCOMING, LISTING
 from lotwatch.sources.store import append, is_complete, read_or_empty, write_store
 
 
+#: Where changes go whose table isn't named as they are.
+TABLES = {"price_changed": "price_changes", "status_changed": "status_changes"}
+
+
 def merge_batch(root: str, day_of: Callable[[int], str]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: versions follow the batches' numbers, so a batch that is run again writes nothing twice, and one that died midway is written anew."""
 
@@ -27,8 +31,8 @@ def merge_batch(root: str, day_of: Callable[[int], str]) -> Callable[[DataFrame,
         out = reconcile(store, good, seen_sources(source_counts(rows)), day_of(number))
         if not is_complete(spark, done):  # else the batch died after it, or is run again
             write_store(out.store, root, str(number))
-        append(out.price_changed, f"{root}/price_changes", batch=str(number))
-        append(out.status_changed, f"{root}/status_changes", batch=str(number))
+        for name in ("new", "price_changed", "status_changed", "possible_relists"):
+            append(getattr(out, name), f"{root}/{TABLES.get(name, name)}", batch=str(number))
 
     return merge
 
