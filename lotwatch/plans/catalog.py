@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwatch.functions import classify, display, normalize
-from lotwatch.operators import browse, fx, history, relist, report, runlog, sets, validate
+from lotwatch import contracts
+from lotwatch.operators import browse, fx, history, intervals, quantiles, relist, report, runlog, sets, validate
+from lotwatch.operators.contracts import judged
 from lotwatch.operators.files import cut
 from lotwatch.operators.reconcile import reconcile
 from lotwatch.plans.views import CURRENCIES, LISTINGS_SQL, OBS_SQL, arriving, flat_listings, listings, observations, parts_listed, priced, table
@@ -440,4 +442,56 @@ def currency_totals(spark, sf_dir):
 @query(L + "SELECT id, coalesce(CASE source WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' END, source) AS shown FROM listings")
 def display_dimension_join(spark, sf_dir):
     labels = spark.createDataFrame([("1-URGENT", "Urgent"), ("2-HIGH", "High")], "source string, label string")
-    return browse.with_label(listings(spark, sf_dir), "source", labels, "shown").select("id", "shown")
\ No newline at end of file
+    return browse.with_label(listings(spark, sf_dir), "source", labels, "shown").select("id", "shown")
+
+
+# Snapshots, contracts, medians
+
+
+_SNAPSHOTS = """WITH s AS (SELECT CAST(ts AS DATE) AS day, user_id AS id, max(CASE WHEN value > 50 THEN 'active' ELSE 'sold' END) AS status FROM events GROUP BY 1, 2),
+ d AS (SELECT day, row_number() OVER (ORDER BY day) AS n, lead(day) OVER (ORDER BY day) AS next FROM (SELECT DISTINCT day FROM s)),
+ p AS (SELECT *, CASE WHEN lag(n) OVER w = n - 1 AND lag(status) OVER w = status THEN 0 ELSE 1 END AS starts FROM s JOIN d USING (day) WINDOW w AS (PARTITION BY id ORDER BY n)),
+ r AS (SELECT *, sum(starts) OVER (PARTITION BY id ORDER BY n) AS run FROM p),
+ i AS (SELECT id, min(status) AS status, min(day) AS valid_from, max(day) AS last_day, arg_max(coalesce(CAST(next AS VARCHAR), ''), n) AS valid_to FROM r GROUP BY id, run)"""
+
+
+def _snapshots(spark, sf_dir):
+    """Observations as full-state snapshots: what a day holds of an id is its state, and an id that it lacks is gone."""
+    return intervals.intervals(observations(spark, sf_dir).withColumnRenamed("day", "snapshot_date"), ["status"])
+
+
+@query(_SNAPSHOTS + " SELECT id, status, CAST(valid_from AS VARCHAR) AS valid_from, CAST(last_day AS VARCHAR) AS last_day, nullif(valid_to, '') AS valid_to FROM i")
+def snapshot_intervals(spark, sf_dir):
+    text = {c: F.col(c).cast("string") for c in ("valid_from", "last_day", "valid_to")}
+    return _snapshots(spark, sf_dir).withColumns(text)
+
+
+@query(_SNAPSHOTS + """, c AS (SELECT *, CAST(valid_from AS VARCHAR) AS since, lag(status) OVER w AS was, lag(valid_to) OVER w AS ended, lead(CAST(valid_from AS VARCHAR)) OVER w AS next FROM i WINDOW w AS (PARTITION BY id ORDER BY valid_from))
+ SELECT since AS day, id, CASE WHEN was IS NULL THEN 'new' WHEN ended = since THEN 'changed' ELSE 'back' END AS kind, was AS before, status AS after FROM c
+ UNION ALL SELECT valid_to, id, 'gone', status, NULL FROM c WHERE valid_to <> '' AND next IS DISTINCT FROM valid_to""")
+def snapshot_changes(spark, sf_dir):
+    found = intervals.changes(_snapshots(spark, sf_dir), ["status"])
+    return found.select(F.col("day").cast("string").alias("day"), "id", "kind", F.col("before.status").alias("before"), F.col("after.status").alias("after"))
+
+
+@query(L + "SELECT count(gbp) AS n, CAST(median(gbp) AS DOUBLE) AS median_gbp FROM listings")
+def exact_median(spark, sf_dir):
+    rows = listings(spark, sf_dir)
+    return rows.agg(F.count("gbp").alias("n")).withColumn("median_gbp", F.lit(quantiles.exact_median(rows, "gbp")).cast("double"))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_filter([CASE k WHEN 1 THEN 'id:type' END, CASE k WHEN 2 THEN 'old_gbp:type' END, CASE k WHEN 3 THEN 'pct:required' END, CASE k WHEN 4 THEN ':unknown' END], lambda x: x IS NOT NULL), ',') AS violations
+ FROM (SELECT o_orderkey, o_orderkey % 6 AS k FROM orders)""")
+def contract_breaches(spark, sf_dir):
+    """Orders as changes of price, of which some break the contract: a number for an id, a text for a price, a missing and an unknown field."""
+    k, amount = F.col("o_orderkey") % 6, F.col("o_totalprice")
+    known = F.to_json(F.struct(F.concat(F.lit("ord:"), F.col("o_orderkey").cast("string")).alias("id"), amount.alias("old_gbp"), (amount / 2).alias("new_gbp"), F.when(k == 5, F.lit(None)).otherwise(-50.0).alias("pct")), {"ignoreNullFields": "false"})
+    body = (
+        F.when(k == 1, F.regexp_replace(known, '"id":"ord:([0-9]+)"', '"id":$1'))
+        .when(k == 2, F.regexp_replace(known, '"old_gbp":([^,]+)', '"old_gbp":"$1"'))
+        .when(k == 3, F.regexp_replace(known, ',"pct":[^}]+', ""))
+        .when(k == 4, F.regexp_replace(known, "}$", ',"more":1}'))
+        .otherwise(known)
+    )
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    return judged(rows, contracts.PRICE_CHANGE, "body").select("o_orderkey", F.array_join("violations", ",").alias("violations"))
