@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lotwatch.functions import classify, display, normalize
 from lotwatch.operators import specs
 from lotwatch.plans.views import table
-from lotwatch.sources import payloads, registry
+from lotwatch.sources import payloads, registry, udtfs
 
 DAY = date(2026, 1, 1)
 RATES = [("USD", 1.25), ("JPY", 187.3), ("CAD", 1.6), ("THB", 50.0)]
@@ -163,11 +163,30 @@ def spec_shown(spark, sf_dir):
     return specs.shown(spec_rows(spark, sf_dir)).select("id", "years", "body", "engine", "power", "length", "colours").join(spec_rows(spark, sf_dir).select("id", "body_type", "engine_line"), "id")
 
 
+def lateral_elements(spark, sf_dir):
+    """Two elements of a page for each part, by SQL with LATERAL."""
+    udtfs.register(spark)
+    body = said('<ul><li class="lot x" data-k="', F.col("k"), '"><b>', F.col("word"), "</b> ", F.col("number"), '</li><li class="lot" data-k="s', F.col("k"), '">size <i>', F.col("size"), "</i></li><li>no lot</li></ul>")
+    parts(spark, sf_dir).select("k", body.alias("body")).createOrReplaceTempView("lotwatch_pages")
+    return spark.sql("""SELECT p.k, e.pos, e.lot, e.text, e.bold FROM lotwatch_pages p, LATERAL page_elements(p.body, 'li.lot', '{"lot": ".@data-k", "text": ".", "bold": "b"}') e""")
+
+
+def lateral_feed(spark, sf_dir):
+    """Items of a feed for each part, RSS for one half and Atom for the other, by SQL with LATERAL."""
+    udtfs.register(spark)
+    rss = said("<rss><channel><item><title>A &amp; ", F.col("word"), "</title><link>https://b.example/", F.col("k"), "/</link><description><![CDATA[<p>size <b>", F.col("size"), '</b></p><img src="https://i.example/', F.col("k"), '">]]></description></item></channel></rss>')
+    atom = said('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>A &#38; ', F.col("word"), '</title><link href="https://b.example/', F.col("k"), '/"/><summary type="html">&lt;p&gt;size&nbsp;', F.col("size"), "&lt;/p&gt;</summary></entry></feed>")
+    parts(spark, sf_dir).select("k", F.when(F.col("ended"), atom).otherwise(rss).alias("body")).createOrReplaceTempView("lotwatch_feeds")
+    return spark.sql("SELECT p.k, e.pos, e.title, e.link, replace(e.description, chr(160), ' ') AS description, e.image FROM lotwatch_feeds p, LATERAL feed_items(p.body) e")
+
+
 _SPEC = f"""{PART}, v AS (SELECT *, CASE WHEN ended THEN NULL ELSE number END AS code, CASE WHEN size < 10 THEN 'King (x)' WHEN size < 20 THEN 'double (king)' WHEN size < 30 THEN 'long bed' ELSE 'long wheelbase' END AS body,
  CASE WHEN size < 10 THEN 'King Cab' WHEN size < 20 THEN 'Double cab' WHEN size < 30 THEN 'Long bed' ELSE 'Standard cab' END AS body_type, CASE WHEN size > 30 THEN 'L18,L20B' WHEN NOT ended THEN number ELSE '' END AS engines, format('{{:.1f}}L', size * 40 / 1000.0) AS litres FROM p)"""
 ERA = "year BETWEEN 1971 AND 1980"
-QUERIES = {f.__name__: f for f in (source_ebay, source_bringatrailer, source_carsandbids, source_hemmings, source_goonet_exchange, source_carsensor, source_yahoo_auctions, source_kaidee, source_classiccars, source_kijiji, source_barnfinds, source_flex, source_kuruma_ex, scalar_texts, spec_filter, spec_shown)}
+QUERIES = {f.__name__: f for f in (lateral_elements, lateral_feed, source_ebay, source_bringatrailer, source_carsandbids, source_hemmings, source_goonet_exchange, source_carsensor, source_yahoo_auctions, source_kaidee, source_classiccars, source_kijiji, source_barnfinds, source_flex, source_kuruma_ex, scalar_texts, spec_filter, spec_shown)}
 ORACLES = {
+    "lateral_elements": f"WITH {PART} SELECT k, CAST(0 AS INTEGER) AS pos, k AS lot, word || ' ' || number AS text, word AS bold FROM p UNION ALL SELECT k, CAST(1 AS INTEGER), 's' || k, 'size ' || size, NULL FROM p",
+    "lateral_feed": f"WITH {PART} SELECT k, CAST(0 AS INTEGER) AS pos, 'A & ' || word AS title, 'https://b.example/' || k || '/' AS link, 'size ' || size AS description, CASE WHEN NOT ended THEN 'https://i.example/' || k END AS image FROM p",
     "source_ebay": sql("ebay", TITLE, f"number = '620' AND amount >= 500 AND {NO_PART} AND NOT regexp_matches(title, '{classify.AD_WORD}')", 1.25),
     "source_bringatrailer": sql("bringatrailer", TITLE, "number = '620'", 1.25, status="CASE WHEN ended THEN 'sold' ELSE 'active' END"),
     "source_carsandbids": sql("carsandbids", TITLE, "number = '620'", 1.25, year="year", status="CASE WHEN ended THEN 'sold' ELSE 'active' END"),

@@ -112,6 +112,14 @@ def value(card: Node, spec: str) -> str | None:
     return nodes[0].text() if nodes else None
 
 
+def tree_of(body: str | None) -> Node:
+    """The root of a page's elements; a null page has none."""
+    tree = _Tree()
+    tree.feed(body or "")
+    tree.close()
+    return tree.root
+
+
 def elements(payloads: DataFrame, card: str, fields: dict[str, str], need: str | None = None, keep: tuple[str, ...] = ("url", "turn", "kind")) -> DataFrame:
     """keep, pos and a string for each field of every element that `card` names in payloads(keep, body).
 
@@ -127,12 +135,10 @@ def elements(payloads: DataFrame, card: str, fields: dict[str, str], need: str |
         for pdf in batches:
             out = []
             for *key, body in zip(*[pdf[c] for c in kept], pdf["body"], strict=True):
-                tree = _Tree()
-                tree.feed(body or "")
-                tree.close()
-                if need and not any(found(tree.root, n) for n in need.split(",")):
+                root = tree_of(body)
+                if need and not any(found(root, n) for n in need.split(",")):
                     raise ValueError(f"no {need} in the page (moved or blocked?)")
-                out += [(*key, i, *[value(n, s) for s in fields.values()]) for i, n in enumerate(found(tree.root, card))]
+                out += [(*key, i, *[value(n, s) for s in fields.values()]) for i, n in enumerate(found(root, card))]
             yield pd.DataFrame(out, columns=columns)
 
     return payloads.select(*kept, "body").mapInPandas(run, ", ".join([*[f"{c} {kinds[c]}" for c in kept], "pos int", *[f"{c} string" for c in fields]]))
