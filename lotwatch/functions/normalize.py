@@ -151,3 +151,8 @@ def first_filled(*values: Column) -> Column:
 
 def needs_translation(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).rlike("[\\u3040-\\u30FF\\u3400-\\u9FFF]")
+
+
+def to_tenth(c: Column) -> Column:
+    """Rounded half up to a tenth by the binary value, as SQL engines round doubles; F.round goes by the decimal text."""
+    return F.round(c * 10) / 10

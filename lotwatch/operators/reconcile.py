@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwatch.functions.normalize import to_tenth
 from lotwatch.operators.files import cut
 from lotwatch.operators.relist import relists
 from lotwatch.schemas import HISTORY, PRICE, RELIST
@@ -16,15 +19,30 @@ DAYS_TO_WITHDRAWN = 3
 
 @dataclass
 class Reconciled:
-    store: DataFrame
+    """A run's changes and the store after it; relists are looked for when they, or the store with its marks of them, are asked for."""
+
     new: DataFrame
     price_changed: DataFrame
     status_changed: DataFrame
-    possible_relists: DataFrame
+    relists: Callable[[], DataFrame]
+    after: Callable[[DataFrame | None], DataFrame]
+
+    @cached_property
+    def possible_relists(self) -> DataFrame:
+        return cut(self.relists())
+
+    @cached_property
+    def merged(self) -> DataFrame:
+        """The store, but for this run's marks of relists, for those who don't read them."""
+        return self.after(None)
+
+    @cached_property
+    def store(self) -> DataFrame:
+        return self.after(self.possible_relists)
 
 
 def _pct(old, new):
-    return F.when((old != 0) & (new != 0), F.round((new - old) / old * 100, 1))
+    return F.when((old != 0) & (new != 0), to_tenth((new - old) / old * 100))
 
 
 def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str, days: int = DAYS_TO_WITHDRAWN) -> Reconciled:
@@ -46,7 +64,6 @@ def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str
     both = cut(both.withColumns({"_price_moved": changed & ~F.col("price.amount").eqNullSafe(F.col("_was.price.amount")), "_status_moved": changed & (F.col("status") != F.col("_was.status"))}))
 
     fresh = both.filter("_new")
-    found = relists(fresh, both.filter("_old"), both.filter("not _old"))
     new = fresh.select("id", "ordinal")
     price_changed = both.filter("_price_moved").select("id", F.col("_was.price.gbp").alias("old_gbp"), F.col("price.gbp").alias("new_gbp"), _pct(F.col("_was.price.gbp"), F.col("price.gbp")).alias("pct"))
     moved = both.filter("_status_moved").select("id", F.col("_was.status").alias("old_status"), F.col("status").alias("new_status"))
@@ -62,7 +79,7 @@ def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str
         F.bool_or(~F.col("_old")).alias("came"),
         F.sort_array(F.collect_list(entry)).alias("entries"),
     )
-    merged = merged.join(found.select("id", F.struct(F.lit(True).alias("possible"), "prior_id", "reasons").alias("found")), "id", "left").join(seen.select(F.col("source").alias("_seen")).distinct(), F.col("f.source") == F.col("_seen"), "left")
+    merged = merged.join(seen.select(F.col("source").alias("_seen")).distinct(), F.col("f.source") == F.col("_seen"), "left")
     last_seen = F.when(F.col("came"), day).otherwise(F.col("f.last_seen"))
     aged = ~F.col("came") & (F.col("l.status") == "active") & F.col("_seen").isNotNull() & (F.date_diff(day, F.col("f.last_seen")) >= days)
     merged = merged.withColumn("_aged", F.coalesce(aged, F.lit(False)))
@@ -80,6 +97,11 @@ def reconcile(store: DataFrame, incoming: DataFrame, seen: DataFrame, today: str
         "history": history,
         "relist": F.coalesce(F.col("found").cast(RELIST), F.col("f.relist"), none),
     }
-    after = merged.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in store.columns])
+
+    def after(relisted: DataFrame | None) -> DataFrame:
+        mark = F.struct(F.lit(True).alias("possible"), "prior_id", "reasons").cast(RELIST).alias("found") if relisted is not None else None
+        marked = merged.withColumn("found", F.lit(None).cast(RELIST)) if mark is None else merged.join(relisted.select("id", mark), "id", "left")
+        return marked.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in store.columns])
+
     withdrawn = merged.filter("_aged").select("id", F.lit("active").alias("old_status"), F.lit("withdrawn").alias("new_status"))
-    return Reconciled(after, new, price_changed, moved.unionByName(withdrawn), found)
+    return Reconciled(new, price_changed, moved.unionByName(withdrawn), lambda: relists(fresh, both.filter("_old"), both.filter("not _old")), after)

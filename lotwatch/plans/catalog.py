@@ -267,10 +267,10 @@ _STEPS = f"""s AS (SELECT id, ordinal, amount, status, lag(amount) OVER w AS old
 
 
 def _second_day(spark, sf_dir):
-    """The store after a first day's observations and the reconcile of those of the fourth day after."""
+    """The store after a first day's observations and the reconcile of those of the fourth day after; no query of it reads marks of relists."""
     obs, day = arriving(observations(spark, sf_dir)), F.lit(DAY).cast("date")
     one, two = obs.filter(F.col("day") == day).drop("day"), obs.filter(F.col("day") == F.date_add(day, 4)).drop("day")
-    held = cut(reconcile(spark.createDataFrame([], LISTING), one, one.select("source").distinct(), DAY).store)  # as a run's store is written
+    held = cut(reconcile(spark.createDataFrame([], LISTING), one, one.select("source").distinct(), DAY).merged)  # as a run's store is written
     return held, reconcile(held, two, two.select("source").distinct(), str(date.fromisoformat(DAY) + timedelta(4)))
 
 
@@ -278,7 +278,7 @@ def _second_day(spark, sf_dir):
  CASE WHEN a.id IS NULL THEN 'new' WHEN b.id IS NULL THEN 'left' ELSE 'updated' END AS change FROM a FULL JOIN b USING (id)""")
 def merge_upsert(spark, sf_dir):
     change = F.when(F.col("first_seen") > DAY, "new").when(F.col("last_seen") == DAY, "left").otherwise("updated")
-    return _second_day(spark, sf_dir)[1].store.select("id", F.col("price.amount").alias("amount"), "status", "source", change.alias("change"))
+    return _second_day(spark, sf_dir)[1].merged.select("id", F.col("price.amount").alias("amount"), "status", "source", change.alias("change"))
 
 
 @query(O + f", {_TWO} SELECT CAST(id AS VARCHAR) AS id FROM b WHERE id NOT IN (SELECT id FROM a)")
@@ -293,7 +293,7 @@ def vanished_ids(spark, sf_dir):
 
 @query(O + f", {_TWO} SELECT CAST(a.id AS VARCHAR) AS id, CAST(4 AS INTEGER) AS days FROM a JOIN gone USING (id)")
 def aged_out(spark, sf_dir):
-    after = _second_day(spark, sf_dir)[1].store.filter("status = 'withdrawn'")
+    after = _second_day(spark, sf_dir)[1].merged.filter("status = 'withdrawn'")
     return after.select("id", F.date_diff(F.element_at("history", -1)["date"], "last_seen").alias("days"))
 
 
@@ -311,7 +311,7 @@ def reconciled_statuses(spark, sf_dir):
  SELECT *, lag(amount) OVER (PARTITION BY id ORDER BY day, ordinal) AS old FROM obs) WHERE old IS NOT NULL AND old <> amount""")
 def price_changes(spark, sf_dir):
     m = history.moves(observations(spark, sf_dir), "id", ["day", "ordinal"], "amount")
-    pct = F.when((F.col("old") != 0) & (F.col("new") != 0), F.round((F.col("new") - F.col("old")) / F.col("old") * 100, 1) + F.lit(0.0))
+    pct = F.when((F.col("old") != 0) & (F.col("new") != 0), normalize.to_tenth((F.col("new") - F.col("old")) / F.col("old") * 100) + F.lit(0.0))
     return m.select("id", "ordinal", "old", "new", pct.alias("pct"))
 
 
@@ -367,7 +367,7 @@ def digest_new(spark, sf_dir):
  SELECT CAST(id AS VARCHAR) AS id, 'obs ' || id AS title, '£' || format('{{:,.0f}}', old) || ' → £' || format('{{:,.0f}}', amount) || ' ' || CASE WHEN pct < 0 THEN '▼' ELSE '▲' END || coalesce(' ' || format('{{:,.0f}}', abs(pct)) || '%', '') AS change FROM c""")
 def digest_price(spark, sf_dir):
     after = _second_day(spark, sf_dir)[1]
-    return report.price_changes(after.price_changed, after.store)
+    return report.price_changes(after.price_changed, after.merged)
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_brand AS source, p_type AS title, 'C' || p_size AS country, p_retailprice AS amount, CASE WHEN p_size > 25 THEN 'sold' ELSE 'active' END AS status FROM part),
