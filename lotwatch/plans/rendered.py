@@ -20,7 +20,8 @@ PART = """p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, p_size AS size, p_retail
 
 
 def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
+    # Few bytes become pages that take long to read, so rows are dealt out: a small file would be one task.
+    p = table(spark, sf_dir, "part").repartition(4 * spark.sparkContext.defaultParallelism)
     size = F.col("p_size")
     return p.select(
         F.col("p_partkey").cast("string").alias("k"), size.alias("size"), F.col("p_retailprice").alias("amount"), (1940 + size).cast("int").alias("year"), F.when(size >= 20, "620").otherwise("510").alias("number"),

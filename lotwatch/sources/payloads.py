@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwatch.functions import classify, normalize
+from lotwatch.operators.files import cut
 from lotwatch.operators.sets import keep_first
 from lotwatch.sources.html import elements
 
@@ -268,7 +269,7 @@ def open_auctions(payloads: DataFrame, rates: DataFrame, source: str = "yahoo_au
     """
     link = "a.Product__titleLink"
     fields = {"native": f"{link}@data-auction-id", "named": f"{link}@data-auction-title", "text": link, "asked": f"{link}@data-auction-price", "image": f"{link}@data-auction-img"}
-    items = elements(numbered(payloads), "li.Product", fields)
+    items = cut(elements(numbered(payloads), "li.Product", fields))  # counted and read
     amount = F.when(F.col("asked").rlike("^[0-9]+$"), F.col("asked").try_cast("double"))
     rows = items.withColumns({"title": F.coalesce(F.nullif("named", F.lit("")), F.col("text")), "amount": amount}).filter("native <> ''")
     scoped = F.coalesce(F.col("kind") == "vehicle", F.lit(False))

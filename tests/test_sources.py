@@ -246,3 +246,10 @@ def test_daily_runs(spark, tmp_path):
         daily.run_daily(spark, root + "/none", "2026-01-01", lambda n: page(spark, "x"), None, only)
     parsed = fx.parsed(spark.createDataFrame([('{"date": "2026-01-01", "base": "GBP", "rates": {"USD": 1.2}}', datetime(2026, 1, 1))], "body string, fetched_at timestamp"))
     assert parsed.first()["rates"] == {"USD": 1.2} and parsed.columns == ["date", "fetched_at", "base", "rates"]
+
+
+def test_parts_are_dealt_out(spark):
+    """Pages made of one small file are read by more than one task."""
+    from lotwatch.plans import rendered
+
+    assert rendered.parts(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
