@@ -12,7 +12,7 @@ time, so a shingle is left as soon as its next point is too late to count.
 Bands of the signature name buckets.  In a bucket, documents are not paired
 all with all: each meets the bucket's representative first, and most of a group
 of copies is one component then.  What a bucket still holds of different
-components is compared in full: pair by pair where the bucket is small, else in
+components is compared in full: in one list where the bucket is small, else in
 blocks, each two blocks in a group of their own: signatures first, then the
 texts of those that may have a link, of which only links that join components
 come out.  Before pairs are verified on the texts, those
@@ -36,7 +36,7 @@ from lotwatch.llm.fingerprints import byte_runs
 WIDTH = 5
 LEAST = 0.8
 BANDS, ROWS = 30, 5
-#: Buckets of at most so many texts are compared pair by pair.
+#: Buckets of at most so many texts are compared as one list.
 SMALL = 16
 #: Texts, and their bytes, of a block of a larger bucket, and columns of the matrices that compare two blocks.
 BLOCK, BLOCK_BYTES, COLUMNS = 512, 2 << 20, 4096
@@ -226,6 +226,31 @@ def likely(pairs: DataFrame, own: DataFrame, values: int, least: float) -> DataF
     return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def likely_of_few(few: DataFrame, own: DataFrame, values: int, least: float) -> DataFrame:
+    """As likely: pairs (a, b) of different components of small buckets, few(bucket, node, comp); a bucket's signatures come as one list."""
+    enough = enough_of(values, least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = batch.column("held").flatten()
+            node, comp = (held.field(c).to_numpy() for c in ("node", "comp"))
+            sizes = batch.column("held").value_lengths().to_numpy()
+            brief = np.frombuffer(b"".join(held.field("brief").to_pylist()), np.uint8).reshape(-1, values)
+            bucket = np.repeat(np.arange(len(sizes)), sizes)
+            a, b = [], []
+            for k in range(1, int(sizes.max(initial=1))):
+                at = np.flatnonzero((bucket[k:] == bucket[:-k]) & (comp[k:] != comp[:-k]))
+                for some in np.array_split(at, len(at) // 50_000 + 1):
+                    near = some[(brief[some] == brief[some + k]).sum(axis=1) >= enough]
+                    a.append(np.maximum(node[near], node[near + k]))
+                    b.append(np.minimum(node[near], node[near + k]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    met = few.join(own.select("node", "brief"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "brief")).alias("held"))
+    return met.select("held").mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Those pairs (a, b) whose texts' likeness is at least `least`."""
 
@@ -403,10 +428,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, b
     mixed_ = cut(parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket", "n"))
     parts = cut(parts.join(mixed_, "bucket"))
     few, crowd = parts.filter(F.col("n") <= small), parts.filter(F.col("n") > small)
-    pairs = few.join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("comp_b")), "bucket").filter("node > b AND comp <> comp_b").select("node", "b")
     crowd = crowd.select("bucket", "node", "comp")
     crowd = cut(crowd.join(cut(near_others(crowd, own, bands * rows, least)), ["bucket", "node"], "left_semi"))
-    new = cut(linked(ordered(pairs)).union(crossing(crowd, read, width, least)))
+    pairs = likely_of_few(few, own, bands * rows, least)
+    new = cut(verified(pairs, read, width, least).union(crossing(crowd, read, width, least)))
     found = components(new.union(found.select(F.col("node").alias("a"), F.col("comp").alias("b"))))
 
     classes = own.select("set_a", "set_b", "first", "node").join(found, "node", "left").withColumn("class_id", F.coalesce("comp", "node")).drop("comp")

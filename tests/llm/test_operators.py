@@ -395,6 +395,19 @@ def test_recall(spark):
     assert all(want[d] == want[got[d]] for d in got)
 
 
+def test_likely_pairs_of_small_buckets(spark):
+    """Of small buckets only pairs that may be alike come out, found in one list and not by a join of all with all."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, 150).astype(np.uint8)
+    briefs = [base, np.where(np.arange(150) < 10, base + 1, base).astype(np.uint8), rng.integers(0, 256, 150).astype(np.uint8), base]
+    own = spark.createDataFrame([(i, bytearray(b.tobytes())) for i, b in enumerate(briefs)], "node long, brief binary")
+    few = spark.createDataFrame([(7, 0, 0), (7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 2), (9, 0, 0), (9, 1, 1), (9, 3, 0)], "bucket long, node long, comp long")
+    found = near_duplicates.likely_of_few(few, own, 150, 0.8)
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (3, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert near_duplicates.likely_of_few(few.limit(0), own, 150, 0.8).count() == 0
+
+
 def test_large_mixed_buckets(spark, monkeypatch):
     """Texts of one template share buckets, yet only those with the same word replaced are alike."""
     monkeypatch.setattr(near_duplicates, "BLOCK", 8)
