@@ -215,6 +215,20 @@ def test_relists_meet_all_pairs(spark):
     assert {r["id"]: r["prior_id"] for r in got} == want and len(want) > 10 and len(got) == len(want)
 
 
+def test_merge_looks_for_no_relists(spark, monkeypatch):
+    """Relists are a search of their own: changes and the merged store come without it, and the store's marks with it."""
+    monkeypatch.setattr("lotwatch.operators.reconcile.relists", lambda *a: pytest.fail("relists were looked for"))
+    rows = incoming(spark, {"id": "ebay:1", "title": "a", "status": "sold"}, {"id": "ebay:2", "title": "a"})
+    out = reconcile(empty(spark), rows, rows.select("source"), "2026-01-01")
+    assert out.new.count() == 2 and out.merged.filter("not relist.possible").count() == 2
+    assert out.merged.columns == empty(spark).columns
+
+
+def test_percent_rounds_by_binary_value(spark):
+    """SQL rounds (257.64 - 80) / 80 * 100, which is 222.04999999999998, to 222.1."""
+    assert one(spark, normalize.to_tenth((F.col("new") - F.col("old")) / F.col("old") * 100), old=80.0, new=257.64) == 222.1
+
+
 def test_specs(spark):
     v = {"id": "us-1", "name": "King Cab (1977)", "years": {"from": 1977, "to": 1979}, "body": None, "engine": {"code": "L20B", "codes": None, "displacement_cc": 1952, "power_hp": 97.0}, "dimensions_mm": {"length": 4690}, "weight_kg": 1180.0, "colors": [{"name": "Blue", "hex": None}]}
     w = {"id": "jp-1", "name": "Standard", "years": {"from": 1972, "to": 1973}, "engine": {"code": None, "codes": ["J15", "J13"]}}
