@@ -247,7 +247,7 @@ def likely_of_few(few: DataFrame, own: DataFrame, values: int, least: float) ->
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    met = few.join(own.select("node", "brief"), "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "comp", "brief")).alias("held"))
+    met = meeting(few.select("node", "comp", F.col("bucket").alias("place")), own.select("node", "brief")).groupBy("place").agg(F.collect_list(F.struct("node", "comp", "brief")).alias("held"))
     return met.select("held").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -323,11 +323,13 @@ def bridges(batch: pa.Table, left: np.ndarray, right: np.ndarray, width: int, le
     return a, b
 
 
-def dealt(crowd: DataFrame, block: int, block_bytes: int) -> DataFrame:
-    """crowd(bucket, node, comp, size) once for each pair of blocks of its bucket that it stands in: bucket, low, high, block, node, comp.
+def dealt(crowd: DataFrame, held: DataFrame, block: int, block_bytes: int) -> DataFrame:
+    """crowd(bucket, node, comp, size) once for each pair of blocks of its bucket that it stands in: bucket, low, high, block, node, comp, and held's other columns.
 
     Every block of texts outside the bucket's largest component meets every
-    block; those of the largest component don't meet each other.
+    block; those of the largest component don't meet each other.  A node meets
+    what held(node, ...) has of it once, with all its places, and is dealt out
+    after that.
     """
     per = crowd.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("n", "size", "comp")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
@@ -338,12 +340,21 @@ def dealt(crowd: DataFrame, block: int, block_bytes: int) -> DataFrame:
     most = F.col("most")
     largest = cut(largest.select("bucket", most["comp"].alias("main"), blocks(F.col("n") - most["n"], F.col("size") - most["size"]).alias("others"), blocks(most["n"], most["size"]).alias("mains")))
     main, place = F.col("comp") == F.col("main"), F.xxhash64("node")
-    met = crowd.join(largest, "bucket").select(
-        "bucket", "node", "comp",
+    stands = F.struct(
+        "bucket",
         F.when(main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int").alias("block"),
-        F.explode(F.sequence(F.lit(0), F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1))).alias("meets"),
-    )
-    return met.select("bucket", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "node", "comp")
+        F.when(main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1).alias("last"),
+    )
+    met = meeting(crowd.join(largest, "bucket").select("node", "comp", stands.alias("place")), held)
+    met = met.select("*", "place.*").select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("meets"))
+    kept = [F.col(c) for c in held.columns if c != "node"]
+    return met.select("bucket", F.least("block", "meets").alias("low"), F.greatest("block", "meets").alias("high"), "block", "node", "comp", *kept)
+
+
+def meeting(places: DataFrame, held: DataFrame) -> DataFrame:
+    """places(node, comp, place) with the other columns of held(node, ...): a node, which has a place in each band at most, meets held once."""
+    each = places.groupBy("node", "comp").agg(F.collect_list("place").alias("places"))
+    return each.join(held, "node").select("*", F.explode("places").alias("place")).drop("places")
 
 
 def near_others(crowd: DataFrame, own: DataFrame, values: int, least: float) -> DataFrame:
@@ -366,8 +377,8 @@ def near_others(crowd: DataFrame, own: DataFrame, values: int, least: float) ->
             near[right[hit.any(axis=0)]] = True
         return group.select(["bucket", "node"]).filter(pa.array(near))
 
-    met = dealt(crowd.withColumn("size", F.lit(values)), BRIEFS, BRIEFS * values)
-    return met.join(own.select("node", "brief"), "node").groupBy("bucket", "low", "high").applyInArrow(run, "bucket long, node long").distinct()
+    met = dealt(crowd.withColumn("size", F.lit(values)), own.select("node", "brief"), BRIEFS, BRIEFS * values)
+    return met.groupBy("bucket", "low", "high").applyInArrow(run, "bucket long, node long").distinct()
 
 
 def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -384,8 +395,9 @@ def crossing(crowd: DataFrame, texts: DataFrame, width: int, least: float) -> Da
         node = group.column("node")
         return pa.table({"a": node.take(pa.array(a, pa.int64())), "b": node.take(pa.array(b, pa.int64()))})
 
-    met = dealt(crowd.join(texts.select("node", "size"), "node"), BLOCK, BLOCK_BYTES)
-    return met.join(texts.select("node", "text"), "node").groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
+    sized = meeting(crowd.select("node", "comp", F.col("bucket").alias("place")), texts.select("node", "size")).withColumnRenamed("place", "bucket")
+    met = dealt(sized, texts.select("node", "text"), BLOCK, BLOCK_BYTES)
+    return met.groupBy("bucket", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, small: int = SMALL) -> DataFrame:

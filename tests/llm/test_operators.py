@@ -395,6 +395,27 @@ def test_recall(spark):
     assert all(want[d] == want[got[d]] for d in got)
 
 
+def test_nodes_meet_their_texts_once(spark):
+    """A node in several places meets what is held of it in one row, however many places and blocks it is dealt to."""
+    crowd = spark.createDataFrame([(b, n, n, 10) for b in range(3) for n in range(40)], "bucket long, node long, comp long, size int")
+    held = spark.createDataFrame([(n, f"text {n}") for n in range(40)], "node long, text string")
+    dealt = near_duplicates.dealt(crowd, held, 8, 1 << 20)
+    rows = dealt.collect()
+    assert all(r["text"] == f"text {r['node']}" and r["block"] in (r["low"], r["high"]) for r in rows)
+    met = {(r["bucket"], r["low"], r["high"]): set() for r in rows}
+    for r in rows:
+        met[r["bucket"], r["low"], r["high"]].add(r["node"])
+    for bucket in range(3):  # each two nodes meet
+        pairs = {(a, b) for (k, _, _), nodes in met.items() if k == bucket for a in nodes for b in nodes if a < b}
+        assert len(pairs) == 40 * 39 // 2
+    places = crowd.select("node", "comp", F.col("bucket").alias("place"))
+    joined = near_duplicates.meeting(places, held)
+    assert sorted((r["node"], r["place"], r["text"]) for r in joined.collect()) == sorted((n, b, f"text {n}") for b in range(3) for n in range(40))
+    lines = joined._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generate, join = (next(i for i, x in enumerate(lines) if word in x) for word in ("Generate", "Join"))
+    assert generate < join  # dealt out above the join
+
+
 def test_likely_pairs_of_small_buckets(spark):
     """Of small buckets only pairs that may be alike come out, found in one list and not by a join of all with all."""
     rng = np.random.default_rng(2)
