@@ -13,6 +13,8 @@ holds for scripts with and without blanks alike.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -66,21 +68,26 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = MOST_ROU
     """
     whole = cells.agg(F.sum("tokens").cast("double").alias("all"))
     cells = cells.join(F.broadcast(whole)).withColumn("weight", F.coalesce(F.try_divide(F.col("tokens").cast("double"), "all"), F.lit(0.0))).drop("all")
+    # Cells bear their targets, so that a round joins nothing but its sums: each plan that the driver has run stays in its memory.
+    goals = [f"_{m}" for m in MARGINS]
+    for margin, goal in zip(MARGINS, goals, strict=True):
+        cells = cells.join(targets[margin].select(margin, F.col("target").alias(goal)), margin)
+    cells = cut(cells.select(*MARGINS, "tokens", "weight", *goals))
     for _ in range(rounds):
-        for margin in MARGINS:
-            sums = cells.groupBy(margin).agg(F.sum("weight").alias("sum")).join(targets[margin], margin)
-            factor = sums.select(margin, F.coalesce(F.try_divide("target", "sum"), F.lit(0.0)).alias("factor"))
-            cells = cells.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).select(*MARGINS, "tokens", "weight")
+        for margin, goal in zip(MARGINS, goals, strict=True):
+            sums = cells.groupBy(margin).agg(F.sum("weight").alias("sum"))
+            factor = F.coalesce(F.try_divide(goal, "sum"), F.lit(0.0))
+            cells = cells.join(sums, margin).select(*MARGINS, "tokens", (F.col("weight") * factor).alias("weight"), *goals)
         cells = cut(cells)
-        if all(off(cells, m, targets[m]) <= near for m in MARGINS[:-1]):  # the last one is met by its turn
+        if off(cells, MARGINS[:-1]) <= near:  # the last one is met by its turn
             break
-    return cells
+    return cells.drop(*goals)
 
 
-def off(cells: DataFrame, margin: str, target: DataFrame) -> float:
-    """The largest distance of a margin's weights from its targets."""
-    sums = cells.groupBy(margin).agg(F.sum("weight").alias("sum")).join(target, margin)
-    return sums.agg(F.max(F.abs(F.col("sum") - F.col("target"))).alias("off")).first()["off"] or 0.0
+def off(cells: DataFrame, margins: tuple[str, ...]) -> float:
+    """The largest distance of some margins' weights from the targets that cells bear."""
+    sums = [cells.groupBy(m).agg(F.sum("weight").alias("sum"), F.max(f"_{m}").alias("target")).select("sum", "target") for m in margins]
+    return reduce(DataFrame.unionAll, sums).agg(F.max(F.abs(F.col("sum") - F.col("target"))).alias("off")).first()["off"] or 0.0
 
 
 def keys(source: Column, lang: Column, text: Column) -> dict[str, Column]:

@@ -395,6 +395,24 @@ def test_recall(spark):
     assert all(want[d] == want[got[d]] for d in got)
 
 
+def test_a_round_of_raking_joins_its_sums_only(spark, monkeypatch):
+    """Targets stand in the cells, so each margin's turn adds one join to what its cells and its sums have; the weights meet the targets."""
+    plans = []
+
+    def kept(df, most=None):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(source_mixing, "cut", kept)
+    cells = spark.createDataFrame([(s, g, t, 10 + i * j + k) for i, s in enumerate("ab") for j, g in enumerate("xy") for k, t in enumerate("pq")], "source string, lang string, topic string, tokens long")
+    targets = {m: spark.createDataFrame([(v, w) for v, w in zip(vs, (0.25, 0.75), strict=True)], f"{m} string, target double") for m, vs in (("source", "ab"), ("lang", "xy"), ("topic", "pq"))}
+    out = source_mixing.rake(cells, targets)
+    assert len(plans) > 1 and max(plans[1:]) <= 2 ** len(source_mixing.MARGINS) - 1
+    for m in source_mixing.MARGINS:
+        got = [r["w"] for r in out.groupBy(m).agg(F.sum("weight").alias("w")).orderBy(m).collect()]
+        assert got == pytest.approx([0.25, 0.75], abs=1e-9)
+
+
 def test_nodes_meet_their_texts_once(spark):
     """A node in several places meets what is held of it in one row, however many places and blocks it is dealt to."""
     crowd = spark.createDataFrame([(b, n, n, 10) for b in range(3) for n in range(40)], "bucket long, node long, comp long, size int")
