@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lotwatch.operators.files import ship
+from lotwatch.operators.files import cut, ship
 
 SIMILAR = 0.75
 PRICE_WITHIN = 15.0
@@ -28,6 +28,10 @@ def likeness(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
         yield pd.Series([SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(old, new, strict=True)], dtype=float)
 
 
+# Else a filter on its result would run it a second time.
+likeness = likeness.asNondeterministic()
+
+
 def characters(title: Column) -> Column:
     """Each character of a title with how many of it stand before: what two such lists share bounds what the titles can match."""
     each = F.filter(F.array_sort(F.split(title, "")), lambda x: x != "")
@@ -116,7 +120,8 @@ def relists(fresh: DataFrame, store: DataFrame, incoming: DataFrame, least: floa
     had = had.withColumn("long", F.explode(F.array(*[size("old_title") + k for k in near])))
     by_title = [F.col("old_title") == F.col("title")] if least >= 1 else []
     had = had.select(*[F.col(c).alias(f"_{c}") if c in ("source", "meet", "long") else F.col(c) for c in had.columns])
-    pairs = meets.join(had, [F.col(c) == F.col(f"_{c}") for c in ("source", "meet", "long")] + by_title).filter((F.col("id") != F.col("old_id")) & (F.col("old_ordinal") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("until") >= F.col("ordinal"))))
+    # Files say little of how large either side becomes here, so neither is to be broadcast.
+    pairs = meets.join(had.hint("merge"), [F.col(c) == F.col(f"_{c}") for c in ("source", "meet", "long")] + by_title).filter((F.col("id") != F.col("old_id")) & (F.col("old_ordinal") < F.col("ordinal")) & (F.col("until").isNull() | (F.col("until") >= F.col("ordinal"))))
     delta = F.when((F.col("old_amount") != 0) & (F.col("amount") != 0), F.abs(F.col("amount") - F.col("old_amount")) / F.col("old_amount") * 100)
     same = F.coalesce((F.col("old_country") != "XX") & (F.col("old_country") == F.col("country")), F.lit(False))
     pairs = pairs.withColumns({"_same": same, "_delta": F.when(delta <= within, delta)}).filter("_same or _delta is not null")
@@ -127,7 +132,8 @@ def relists(fresh: DataFrame, store: DataFrame, incoming: DataFrame, least: floa
         both = F.length("old_title") + F.length("title")
         shared = F.size(F.array_intersect(characters(F.col("old_title")), characters(F.col("title"))))
         likely = pairs.filter(2 * F.least(F.length("old_title"), F.length("title")) >= F.lit(least) * both)
-        alike = likely.select("old_title", "title").distinct().filter(F.coalesce(2 * F.when(shared >= 0, shared), both) >= F.lit(least) * both)
+        titles = cut(likely.select("old_title", "title").distinct())  # or the filters would move to the pairs before it, of which there are many more
+        alike = titles.filter(F.coalesce(2 * F.when(shared >= 0, shared), both) >= F.lit(least) * both)
         alike = alike.withColumn("similarity", likeness("old_title", "title")).filter(F.col("similarity") >= least)
         found = likely.join(alike, ["old_title", "title"])
     chosen = F.struct("similarity", preferred("old_"))

@@ -250,3 +250,16 @@ def test_rates_as_of(spark):
     df = spark.createDataFrame([(i, c, date(2026, 1, d)) for i, (c, d) in enumerate([("USD", 1), ("USD", 2), ("USD", 4), ("USD", 5), ("USD", 30), ("EUR", 8), ("EUR", 9), ("XXX", 9)])], "i int, ccy string, day date")
     assert [r["rate"] for r in fx.as_of(df, rates, "ccy", "day", "rate").orderBy("i").collect()] == [None, 1.2, 1.2, 1.3, 1.3, None, 1.1, None]
     assert fx.as_of(df.limit(0), rates, "ccy", "day", "rate").count() == 0
+
+
+def test_relists_broadcast_no_exploded_side_and_compare_titles_once(spark):
+    """Rows that prices spread over steps are never broadcast, and likeness runs on distinct pairs of titles only, once."""
+    rows = [(f"e:{i}", "s", ("blue ring", "blue rings", "old plate")[i % 3], "XX", (900.0 + i,), i, None, "sold" if i % 2 else "active") for i in range(60)]
+    schema = "id string, source string, title string, country string, price struct<amount:double>, ordinal long, first_seen date, status string"
+    one = spark.createDataFrame(rows, schema)
+    out = relist.relists(one.filter("status = 'active'"), one.limit(0), one)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin [source" in x for x in plan.splitlines())
+    assert plan.count("ArrowEvalPython [likeness") == 1
+    found = {r["id"]: r for r in out.collect()}
+    assert set(found) == {f"e:{i}" for i in range(4, 60, 2)} and all(r["similarity"] >= relist.SIMILAR for r in found.values())
